@@ -1,4 +1,6 @@
-"""The registered queries and their SQL."""
+"""All registered queries of the library but those of optional subpackages."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import guarding, reports, sets, texts  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
