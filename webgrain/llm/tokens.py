@@ -180,4 +180,5 @@ def encoder(path: str) -> Encoder:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of an input's size; it only picks numbers of tasks and sizes of sketches."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    found = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return found if found < 1 << 55 else 1 << 28  # beyond: unknown
