@@ -67,7 +67,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = batch.take(pa.array(keep, pa.int32()))
         found = [grams(t) for t in batch.column("text").to_pylist()]
         if found:
-            yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("lang"), pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.list_(pa.int64()))], ["draw", "lang", "columns", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("lang"), pa.array([x[0].astype("<u2").tobytes() for x in found], pa.binary()), pa.array([x[1].astype("<u4").tobytes() for x in found], pa.binary())], ["draw", "lang", "columns", "counts"])
 
 
 def weigh(columns: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -118,7 +118,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], n_languages: int, epoch
             step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
             z[at] += g - step * w
             n[at] += g * g
-    return weights(np.arange(FEATURES))
+    return weights(slice(None))
 
 
 def calibrate(scores: np.ndarray, truth: np.ndarray) -> float:
@@ -159,14 +159,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     counts[list(found)] = list(found.values())
     idf = np.log((1 + n) / (1 + counts)) + 1
     picked = docs.where(draw / F.lit(2.0**64) + 0.5 <= share[F.col("lang")]).select(draw.alias("draw"), "lang", "text")
-    rows = stage.put(picked.mapInArrow(_features, "draw long, lang string, columns array<long>, counts array<long>"), "sample").orderBy("draw", "lang").limit(2 * sample).collect()
+    rows = stage.put(picked.mapInArrow(_features, "draw long, lang string, columns binary, counts binary"), "sample").orderBy("draw", "lang").limit(2 * sample).collect()
     stage.drop(df)
     languages = sorted({r["lang"] for r in rows})
     at = {lang: k for k, lang in enumerate(languages)}
     made = []
     for r in rows:
-        columns = np.array(r["columns"])
-        made.append((columns, weigh(columns, np.array(r["counts"]), idf), at[r["lang"]]))
+        columns = np.frombuffer(r["columns"], "<u2").astype(np.int32)
+        made.append((columns, weigh(columns, np.frombuffer(r["counts"], "<u4"), idf).astype(np.float32), at[r["lang"]]))
     held = made[::CALIBRATION] if len(made) >= 2 * CALIBRATION else []
     taught = [x for i, x in enumerate(made) if i % CALIBRATION or not held]
     weights = ftrl(taught, len(languages))

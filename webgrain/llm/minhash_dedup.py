@@ -5,11 +5,12 @@
    first filled bin in that bin's own random probe order.
 2. Bands of the signature give buckets. In each bucket the smallest class is the hub, and candidates are the
    edges from the hub to the others, so a bucket of n classes gives n - 1 of them.
-3. Candidates are confirmed on the full sets, by pairs of blocks of about 64 classes, so that a hot hub's members
+3. Candidates are confirmed on the full sets, by pairs of blocks of about BLOCK classes, so that a hot hub's members
    are dealt over many tasks and a text is read once for all its pairs with a block.
 4. A member that its hub refuses may still be linked to another member. Buckets whose members are in more than
-   one component go on: a round with other hubs, then the pairs whose ends are still in different
-   components. Pairs within a component are never made, so groups of copies do not grow with their square.
+   one component go on: a task reads two of their blocks and compares the classes that share a bucket until each is
+   in one component with those that it is linked to. No pair of documents ever becomes a row, and pairs within
+   a component are not compared.
 
 Two sets at the threshold 0.8 share none of the 32 bands of 4 with a probability of (1 - 0.8**4)**32 = 5e-8.
 """
@@ -30,8 +31,7 @@ from .staging import Stage, clean
 U = np.uint64
 BINS = 128
 ROWS = 4  # bins of a band
-BLOCK = 64  # classes of a block; the verification reads two blocks' texts at a time
-STAR_ROUNDS = 1
+BLOCK = 256  # classes of a block, about; the verification reads two blocks' texts at a time
 
 _PROBES = np.stack([np.random.default_rng(7919 + i).permutation(BINS) for i in range(BINS)])
 
@@ -100,6 +100,32 @@ def _confirm(k: int, lower: bool, threshold: int):
     return run
 
 
+def _across(k: int, lower: bool, threshold: int):
+    """The open classes of two blocks -> links between those that share a bucket and are not yet in one component."""
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("id")
+        hashes, first = tk.word_hashes(*tk.buffers(pa.array(pdf["text"], pa.large_string())), lower)
+        sets = [tk.shingle_set(hashes[first[i] : first[i + 1]], k) for i in range(len(pdf))]
+        sizes, block, ids, out = np.array(list(map(len, sets))), pdf["k"].to_numpy(), pdf["id"].to_numpy(), []
+        band = np.stack(pdf["bands"].to_list())
+        comp, same = pdf["comp"].to_numpy().copy(), pdf["ka"].iat[0] == pdf["kb"].iat[0]
+        for i in range(len(pdf)):
+            rest = slice(i + 1, None)
+            fit = (100 * np.minimum(sizes[rest], sizes[i]) >= threshold * np.maximum(sizes[rest], sizes[i])) & (comp[rest] != comp[i])
+            if not same:
+                fit &= block[rest] != block[i]
+            for j in np.flatnonzero(fit) + i + 1:
+                if comp[j] != comp[i] and (band[j] == band[i]).any() and _linked(sets[i], sets[j], threshold):
+                    out.append((ids[i], ids[j]))
+                    comp[comp == comp[j]] = comp[i]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def _linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
     if len(x) > len(y):
         x, y = y, x
@@ -134,44 +160,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, lower: boo
     member = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stage.put(member.groupBy(*of).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     spread = classes.select(F.explode("bands").alias("h"), "rep", F.col("n_shingles").alias("n"))
-    hubs = spread.groupBy("h").agg(F.min("rep").alias("hub"), F.max("rep").alias("other")).where("hub < other")
-    hubs = stage.put(hubs.select(F.col("h").alias("bucket"), "hub"), "hubs")
-    bucketed = stage.put(spread.join(stage.small(hubs), F.col("h") == F.col("bucket")).select("h", "hub", "rep", "n"), "buckets")
-    # blocks of about BLOCK classes that are likely alike
-    alike = bucketed.groupBy("rep").agg(F.min("hub").alias("g"))
-    alike = stage.put(alike, "alike")
-    many = stage.put(alike.groupBy(F.col("g").alias("of")).agg(F.ceil(F.count("*") / BLOCK).alias("parts")), "many")
-    blocks = alike.join(stage.small(many), F.col("g") == F.col("of")).select(F.col("rep").alias("id"), F.xxhash64("g", F.pmod(F.xxhash64("rep"), "parts")).alias("k"))
-    blocks = stage.put(blocks, "blocks")
+    hubs = spread.groupBy("h").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1")
+    hubs = stage.put(hubs.select(F.col("h").alias("bucket"), "hub", "c"), "hubs")
+    bucketed = stage.put(spread.join(stage.small(hubs), F.col("h") == F.col("bucket")).select("h", "hub", "c", "rep"), "buckets")
+    # blocks of about BLOCK classes that are likely alike: a share of the bucket of a class's smallest hub
+    blocks = bucketed.groupBy("rep").agg(F.min("hub").alias("g"), F.max("c").alias("c"))
+    blocks = stage.put(blocks.select(F.col("rep").alias("id"), F.xxhash64("g", F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / BLOCK))).alias("k")), "blocks")
     texts = stage.put(docs.select(F.col("doc_id").alias("id"), "text").join(stage.small(blocks), "id", "left_semi"), "texts")
     confirm = (texts, stage, k, lower, threshold)
 
-    bucketed = stage.put(bucketed.join(stage.small(blocks), F.col("rep") == F.col("id")).select("h", "hub", "rep", "n", "k"), "blocked")
+    bucketed = bucketed.join(stage.small(blocks), F.col("rep") == F.col("id")).select("h", "hub", "rep", "k")
+    hub_block = stage.small(blocks).select(F.col("id").alias("a"), F.col("k").alias("ka"))
     first = bucketed.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), F.col("k").alias("kb")).distinct()
-    first = stage.put(first.join(stage.small(blocks), F.col("a") == F.col("id")).select("a", F.col("k").alias("ka"), "b", "kb"), "pairs")
+    first = stage.put(first.join(hub_block, "a").select("a", "ka", "b", "kb"), "pairs")
     done = _verify(first, *confirm)
     comps = connected_components(spark, done.where("linked"), stage)
-    for turn in range(STAR_ROUNDS + 1):
-        known = bucketed.join(comps, F.col("rep") == F.col("node"), "left").select("h", "rep", "n", "k", F.coalesce("component", "rep").alias("comp"))
-        known = stage.put(known, "known")
-        apart = known.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min(F.xxhash64("rep", F.lit(turn))).alias("pick")).where("x < y")
-        apart = stage.put(apart.select(F.col("h").alias("bucket"), "pick"), "apart")
-        still = stage.put(known.join(stage.small(apart), F.col("h") == F.col("bucket")), "open")
-        x = still.select("h", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "k", "comp")])
-        if turn < STAR_ROUNDS:
-            x = stage.small(stage.put(x.join(stage.small(apart), F.col("h") == F.col("bucket")).where(F.xxhash64("x_rep", F.lit(turn)) == F.col("pick")).drop("bucket", "pick"), "star"))
-        near = still.join(x, "h").where("comp != x_comp" + ("" if turn < STAR_ROUNDS else " AND rep < x_rep"))
-        near = near.where(f"100 * least(n, x_n) >= {threshold} * greatest(n, x_n)")
-        swap = F.col("rep") < F.col("x_rep")
-        pairs = near.select(F.least("rep", "x_rep").alias("a"), F.when(swap, F.col("k")).otherwise(F.col("x_k")).alias("ka"), F.greatest("rep", "x_rep").alias("b"), F.when(swap, F.col("x_k")).otherwise(F.col("k")).alias("kb"))
-        pairs = stage.put(pairs.distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"), "next")
-        if not pairs.isEmpty():
-            got = _verify(pairs, *confirm)
-            done = done.union(got)
-            if not got.where("linked").isEmpty():
-                comps = connected_components(spark, got.where("linked").select("a", "b").union(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))), stage)
-        elif apart.isEmpty():
-            break
+
+    # what the stars left apart: buckets with members in several components, compared by pairs of blocks
+    known = bucketed.join(stage.small(comps), F.col("rep") == F.col("node"), "left").select("h", "rep", "k", F.coalesce("component", "rep").alias("comp"))
+    apart = known.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select(F.col("h").alias("bucket"))
+    apart = stage.put(apart, "apart")
+    if not apart.isEmpty():
+        still = stage.put(known.join(stage.small(apart), F.col("h") == F.col("bucket")).select("h", "rep", "k", "comp"), "open")
+        sides = still.select("h", "k").distinct()
+        met = sides.join(sides.select("h", F.col("k").alias("kb")), "h").where("k <= kb").select(F.col("k").alias("ka"), "kb").distinct()
+        met = stage.put(met, "block-pairs")
+        members = still.select(F.col("rep").alias("id"), "k", "comp").distinct()
+        members = members.join(texts, "id").join(classes.select(F.col("rep").alias("id"), "bands"), "id")
+        reads = met.select("ka", "kb", F.explode(F.array_distinct(F.array("ka", "kb"))).alias("k"))
+        rows = reads.join(members, "k").select("ka", "kb", "k", "id", "comp", "bands", "text")
+        more = stage.put(rows.groupBy("ka", "kb").applyInPandas(_across(k, lower, threshold), "a long, b long"), "more")
+        comps = connected_components(spark, more.union(comps.select("node", "component")), stage)
     stage.drop(texts)
     named = classes.join(comps, F.col("rep") == F.col("node"), "left").select(*of, F.coalesce("component", "rep").alias("class_component"))
     named = stage.put(named, "named")
