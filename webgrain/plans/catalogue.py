@@ -1,6 +1,6 @@
 """All registered queries of the library but those of optional subpackages."""
 
-from . import guarding, reports, sets, texts  # noqa: F401
+from . import capture, guarding, reports, sets, streams, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

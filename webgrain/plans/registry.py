@@ -10,12 +10,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+class Tables:
+    """Tables of a folder, as batches or as streams."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+    def stream(self, name: str) -> DataFrame:
+        """The table's files as they arrive; the file source wants folders, so a file is found by its name."""
+        return self.spark.readStream.schema(self(name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
+
+    def drained(self, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+        """All that a stream gives for what is there now, from an in-memory sink: for small results."""
+        run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+        run.awaitTermination()
+        return self.spark.table(name)
+
+
 def query(sql: str | None = None):
     """Registers a function (spark, read) -> DataFrame under its name; read gives a table by its name."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            return f(spark, Tables(spark, sf_dir))
 
         QUERIES[f.__name__] = run
         if sql:
