@@ -196,7 +196,7 @@ def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def recognised(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def recognised(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """docs of which the language is recognised, with the same columns: und and scores below least go."""
     model = train(docs.where(~held_out()))
     return predict(docs, model).where((F.col("__lang_pred") != UNDETERMINED) & (F.col("__lang_score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])

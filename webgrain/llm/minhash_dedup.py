@@ -205,8 +205,8 @@ def one_per_group(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame
     Rows that repeat a kept doc_id all stay: they are one document.
     """
     stage = Stage(docs.sparkSession, "groups")
-    gone = stage.put(near_duplicates(docs, k, threshold).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return docs.join(stage.small(gone), docs["doc_id"] == F.col("gone"), "left_anti")
+    gone = stage.put(near_duplicates(docs, k, threshold).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return docs.join(stage.small(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
