@@ -1,7 +1,7 @@
 """Screening of text segments for injected instructions.
 
-A segment's readings, rules and request grammar run in one Arrow function, below a JVM filter that lets through only
-segments in which some rule could match; severities, policy and merging are Columns.
+A segment's readings, rules and request grammar run in one Arrow function, for the segments that a JVM expression has
+marked as possible matches; severities, policy and merging are Columns.
 """
 
 from __future__ import annotations
@@ -76,8 +76,8 @@ POSSIBLE = "(?i)ignor|disreg|forget|overrid|bypass|discard|you are now|act as|pr
 
 def scan(segments: DataFrame, *, strict: bool = False, text: str = "text", location: str = "location", lines: bool = False) -> DataFrame:
     """segments with findings, an array. Null texts and those in which no rule could match have an empty one."""
-    rest = segments.where(F.col(text).isNull() | ~F.col(text).rlike(POSSIBLE)).withColumn("findings", F.array().cast(FINDING))
-    some = segments.where(F.col(text).rlike(POSSIBLE))
+    # one scan: the JVM marks the rows that need the grammar, and Python passes the others through
+    marked = segments.withColumn("__possible", F.coalesce(F.col(text).rlike(POSSIBLE), F.lit(False)))
     schema = T.StructType([*segments.schema.fields, T.StructField("findings", T._parse_datatype_string(FINDING))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,10 +85,12 @@ def scan(segments: DataFrame, *, strict: bool = False, text: str = "text", locat
 
         kind = to_arrow_type(schema["findings"].dataType)
         for batch in batches:
-            found = [findings(t, p, strict, lines) for t, p in zip(batch.column(text).to_pylist(), batch.column(location).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "findings"])
+            columns = (batch.column(c).to_pylist() for c in (text, location, "__possible"))
+            found = [findings(t, p, strict, lines) if some else [] for t, p, some in zip(*columns, strict=True)]
+            kept = [c for c in batch.schema.names if c != "__possible"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(found, kind)], [*kept, "findings"])
 
-    return some.mapInArrow(run, schema).unionByName(rest)
+    return marked.mapInArrow(run, schema)
 
 
 def decided(scanned: DataFrame, keys: list[str], use: str = "answer", truncated: str | None = None) -> DataFrame:
