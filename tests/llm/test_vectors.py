@@ -103,7 +103,8 @@ def test_graph_finds_the_range():
     assert (ids[:, 0] == np.arange(len(x))).mean() > 0.95
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [1 << 20, -1])
+def test_components(spark, one_task):
     rng = random.Random(6)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)] + [(k, k + 1) for k in range(1000, 1060)] + [(5000, 5000 + k) for k in range(300)]
     parent = {x: x for e in edges for x in e}
@@ -117,6 +118,6 @@ def test_components(spark):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     df = spark.createDataFrame(edges + [(None, 3), (3, None)], "a long, b long").repartition(7)
-    got = {r.node: r.component for r in connected_components(spark, df, Stage(spark, "test")).collect()}
+    got = {r.node: r.component for r in connected_components(spark, df, Stage(spark, "test"), one_task).collect()}
     assert got == {x: find(x) for e in edges for x in e if e[0] != e[1]}
-    assert connected_components(spark, df.limit(0), Stage(spark, "test")).count() == 0
+    assert connected_components(spark, df.limit(0), Stage(spark, "test"), one_task).count() == 0
