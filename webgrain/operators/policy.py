@@ -65,3 +65,24 @@ def withheld(hits: DataFrame, query: str, *, decided: str = "decision") -> DataF
         .otherwise(named(DECISIONS, F.max(rank(DECISIONS, F.col(decided)))))
         .alias("decision"),
     )
+
+
+#: Reason codes, in their order.
+REASON_CODES = ("PATTERN_DETECTED", "SEGMENT_COUNT_LIMIT", "CHARACTER_BUDGET_LIMIT", "SEGMENT_TEXT_LIMIT", "SEGMENT_COLLECTION_LIMIT", "INSPECTION_INCOMPLETE", "ADDITIONAL_GUARD_RESTRICTION")
+
+
+def ordered_codes(codes: Column) -> Column:
+    """The known codes among an array's, each once and in their order."""
+    return F.filter(F.array(*map(F.lit, REASON_CODES)), lambda c: F.array_contains(codes, c))
+
+
+def reason_codes(pattern: Column, count: Column, budget: Column, text: Column, collection: Column, truncated: Column) -> Column:
+    specific = count | budget | text | collection
+    flags = (pattern, count, budget, text, collection, truncated & ~specific)
+    return F.array_compact(F.array(*[F.when(f, c) for f, c in zip(flags, REASON_CODES, strict=False)]))
+
+
+def judged(contract_failures: Column, goal: Column, scores: Column, results: Column, goal_policy: Column) -> Column:
+    """failed > inconclusive > passed; scores: answer, groundedness, safety and two more; results: of the criteria."""
+    low = F.when(goal_policy, ~F.coalesce(goal, F.lit(False)) | F.exists(F.slice(scores, 1, 3), lambda s: s < 3)).otherwise(F.exists(scores, lambda s: s < 3))
+    return F.when((contract_failures > 0) | low | F.array_contains(results, "fail"), "failed").when(F.array_contains(results, "unknown"), "inconclusive").otherwise("passed")
