@@ -93,8 +93,10 @@ def quote_containment(spark, read):
     long, short = quotes.where(F.size(F.split(F.trim("q"), " ")) >= 8), quotes.where(F.size(F.split(F.trim("q"), " ")) < 8)
     docs = read("documents").select("doc_id", clean("text").alias("t"))
     words = F.split("t", " ")
-    keys = docs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 5, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, 6)))).alias("k")).distinct()
-    near = long.withColumn("k", F.xxhash64(lead)).join(keys, "k").select("item_id", "q", "doc_id")
+    # six arrays, each a word further, side by side: the text is split a few times and not once per word
+    grams = F.transform(F.arrays_zip(*[F.slice(words, k, F.size(words)).alias(f"w{k}") for k in range(1, 7)]), lambda z: F.xxhash64(z))
+    keys = docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("k"))
+    near = long.withColumn("k", F.xxhash64(F.struct(*[lead[i].alias(f"w{i + 1}") for i in range(6)]))).join(keys, "k").select("item_id", "q", "doc_id")
     found = near.join(docs, "doc_id").where(F.contains("t", F.col("q"))).select("item_id", "doc_id")
     few = short.join(docs, F.contains("t", F.col("q"))).select("item_id", "doc_id")
     return found.unionByName(few)
