@@ -152,14 +152,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
         return Model([], np.zeros(FEATURES), np.zeros((FEATURES, 0)), 1.0)
     each = max(1, sample // len(sizes))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 1.2 * each / n))])
-    df = stage.put(docs.select("text").mapInArrow(_document_frequency, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")), "df")
+    df = stage.put(docs.select("text").mapInArrow(tk.task(_document_frequency), "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")), "df")
     found = {r[0]: r[1] for r in df.collect()}  # FEATURES rows and one at most
     n = found.pop(-1, 0)
     counts = np.zeros(FEATURES)
     counts[list(found)] = list(found.values())
     idf = np.log((1 + n) / (1 + counts)) + 1
     picked = docs.where(draw / F.lit(2.0**64) + 0.5 <= share[F.col("lang")]).select(draw.alias("draw"), "lang", "text")
-    rows = stage.put(picked.mapInArrow(_features, "draw long, lang string, columns binary, counts binary"), "sample").orderBy("draw", "lang").limit(2 * sample).collect()
+    rows = stage.put(picked.mapInArrow(tk.task(_features), "draw long, lang string, columns binary, counts binary"), "sample").orderBy("draw", "lang").limit(2 * sample).collect()
     stage.drop(df)
     languages = sorted({r["lang"] for r in rows})
     at = {lang: k for k, lang in enumerate(languages)}
@@ -189,7 +189,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             arrays = [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "__lang_pred", "__lang_score"])
 
-    return plain.mapInArrow(run, schema).toDF(*names, "__lang_pred", "__lang_score")
+    return plain.mapInArrow(tk.task(run), schema).toDF(*names, "__lang_pred", "__lang_score")
 
 
 def held_out() -> F.Column:

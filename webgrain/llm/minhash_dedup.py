@@ -155,7 +155,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, lower: boo
     spark = docs.sparkSession
     stage = Stage(spark, "minhash")
     docs = clean(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    sketched = stage.put(docs.mapInArrow(_sketch(k, lower), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "sketches")
+    sketched = stage.put(docs.mapInArrow(tk.task(_sketch(k, lower)), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "sketches")
     of = ["n_shingles", "f1", "f2"]
     member = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stage.put(member.groupBy(*of).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")

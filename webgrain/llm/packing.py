@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .staging import Stage, clean
-from .tokens import END_ID, default_path, encoder
+from .tokens import END_ID, default_path, encoder, kept
 
 WINDOW = 2048
 GROUP_TOKENS = 4 << 20
@@ -146,9 +146,10 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
     """
     spark = docs.sparkSession
     stage = Stage(spark, "packing")
+    path = path or default_path()
     plain = clean(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, fill long"
-    pieces = stage.put(plain.mapInArrow(_pack(path or default_path(), end_id, window, group_tokens), schema), "pieces")
+    pieces = stage.put(plain.mapInArrow(tk.task(_pack(path, end_id, window, group_tokens), kept(path)), schema), "pieces")
     # each window has one piece at offset 0; those at a power of two need no padding
     loose = pieces.where(f"offset = 0 AND fill < {window} AND (fill & (fill - 1)) != 0").select("sequence_id", "fill")
     n = loose.count()

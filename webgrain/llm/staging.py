@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: A side is broadcast only if its file on the shared folder is at most this large.
 BROADCAST_BYTES = 16 << 20
 
@@ -30,6 +31,8 @@ class Stage:
     """Tables written for one run of an operator. drop() removes those that its result does not read."""
 
     def __init__(self, spark: SparkSession, name: str):
+        if spark.conf.get(BATCH, "10000") == "10000":  # rows are texts, so batches are kept short
+            spark.conf.set(BATCH, "1000")
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 

@@ -221,7 +221,7 @@ def remove_repeats(docs: DataFrame, n: int = 13) -> DataFrame:
     stage = Stage(spark, "substring")
     cells = cells_for(input_bytes(docs))
     plain = clean(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    scanned = stage.put(plain.mapInArrow(_scan(n, cells), "doc_id long, n_words long, f1 long, f2 long, piece long, task long, a binary, b binary"), "scan")
+    scanned = stage.put(plain.mapInArrow(tk.task(_scan(n, cells)), "doc_id long, n_words long, f1 long, f2 long, piece long, task long, a binary, b binary"), "scan")
     sketch = merged(scanned.where("piece IS NOT NULL").select("piece", "task", "a", "b"), cells).select("piece", "b")
     # bounded by MAX_CELLS / 8 bytes, whatever the input
     shared = spark.sparkContext.broadcast([(r["piece"], bytes(r["b"])) for r in sketch.collect()])
@@ -237,7 +237,7 @@ def remove_repeats(docs: DataFrame, n: int = 13) -> DataFrame:
     stage.drop(scanned)
 
     first = plain.where("doc_id IS NOT NULL").join(stage.small(copies), F.col("doc_id") == F.col("copy"), "left_anti")
-    found = stage.put(first.mapInArrow(_emit(n, cells, shared), "w1 long, w2 int, doc long, pos int"), "windows")
+    found = stage.put(first.mapInArrow(tk.task(_emit(n, cells, shared)), "w1 long, w2 int, doc long, pos int"), "windows")
     groups = found.groupBy("w1", "w2").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y")
     groups = stage.put(groups.select(F.col("w1").alias("g1"), F.col("w2").alias("g2"), "x"), "groups")
     hits = found.join(groups, (F.col("w1") == F.col("g1")) & (F.col("w2") == F.col("g2"))).where("doc > x")
@@ -250,7 +250,7 @@ def remove_repeats(docs: DataFrame, n: int = 13) -> DataFrame:
     plain = docs.select(*[F.col(f"`{c}`").cast("string").alias("text") if c == "text" else F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(names)])
     joined = plain.join(stage.small(spans), F.col(f"__c{names.index('doc_id')}") == F.col("gone_id"), "left").select(*plain.columns, F.col("spans").alias("__spans"))
     schema = T.StructType([*plain.schema.fields, T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType())])
-    return joined.mapInArrow(_take_out(schema.names), schema).toDF(*names, "__n_words", "__n_removed")
+    return joined.mapInArrow(tk.task(_take_out(schema.names)), schema).toDF(*names, "__n_words", "__n_removed")
 
 
 def without_repeats(docs: DataFrame, n: int = 13) -> DataFrame:

@@ -7,7 +7,10 @@ about 2**-64.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,33 @@ SEGMENT = 1 << 20
 _HEAD = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
 
 
+#: What a Python worker keeps between tasks. Workers are reused, so a task drops what others have left.
+KEPT: dict[str, object] = {}
+
+
+def settle(keep: str = "") -> None:
+    """Drops all kept state but one entry, and gives freed memory back to the system."""
+    for name in [k for k in KEPT if k != keep]:
+        del KEPT[name]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def task(run: Callable, keep: str = "") -> Callable:
+    """run, a function over a task's batches, with memory settled before and after it."""
+
+    def wrapped(batches):
+        settle(keep)
+        try:
+            yield from run(batches)
+        finally:
+            settle(keep)
+
+    return wrapped
+
+
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     """The splitmix64 finaliser."""
     h = h + U((seed * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)

@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from . import textkernel as tk
 from .staging import Stage, clean
-from .tokens import END_ID, default_path, encoder, input_bytes
+from .tokens import END_ID, default_path, encoder, input_bytes, kept
 
 MAGIC = b"WGWM0001"
 SHARD_TOKENS = 2 << 20
@@ -207,9 +207,10 @@ def write_shards(docs: DataFrame, stage: Stage, path: str | None = None, end_id:
     A null text has no ids but the end's. A null doc_id comes first. Rows that repeat a doc_id are ordered by text.
     """
     plain = clean(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    path = path or default_path()
     n = max(12, input_bytes(docs) >> 24)
     dealt = plain.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return stage.put(dealt.mapInArrow(_write(path or default_path(), end_id, shard_tokens), "part long, shard long, n_docs long, n_tokens long, file binary"), "shards")
+    return stage.put(dealt.mapInArrow(tk.task(_write(path, end_id, shard_tokens), kept(path)), "part long, shard long, n_docs long, n_tokens long, file binary"), "shards")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +236,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
     totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("t"))
     totals = totals.select(F.col("part").alias("p"), F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("parts_before"))
     starts = sizes.join(F.broadcast(totals), F.col("part") == F.col("p")).select(F.col("part").alias("at_part"), F.col("shard").alias("at_shard"), (F.col("before") + F.col("parts_before")).alias("first"))
-    docs = shards.select("part", "shard", "file").mapInArrow(_read, "part long, shard long, doc_id long, begin long, n_tokens long, ids_crc32 long")
+    docs = shards.select("part", "shard", "file").mapInArrow(tk.task(_read), "part long, shard long, doc_id long, begin long, n_tokens long, ids_crc32 long")
     out = docs.join(starts, (F.col("part") == F.col("at_part")) & (F.col("shard") == F.col("at_shard")))
     return out.select("doc_id", (F.col("begin") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -168,14 +168,15 @@ class Encoder:
         return ids, at
 
 
-_encoders: dict[str, Encoder] = {}
+def kept(path: str) -> str:
+    return f"encoder {path}"
 
 
 def encoder(path: str) -> Encoder:
-    """One per worker process and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One per worker process and file, until a task of another kind runs there."""
+    if kept(path) not in tk.KEPT:
+        tk.KEPT[kept(path)] = Encoder(path)
+    return tk.KEPT[kept(path)]
 
 
 def input_bytes(df: DataFrame) -> int:
