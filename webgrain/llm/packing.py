@@ -1,7 +1,7 @@
 """Best-fit decreasing packing of token sequences.
 
 A segment tree indexed by remaining capacity finds the tightest open window. Overlong documents are first cut into
-full windows. Each task packs groups of some million tokens; the windows that stay open at the end of a group are
+full windows. Each task packs groups of about a million tokens; the windows that stay open at the end of a group are
 packed again with those of the other groups, as items of their filled length, so little padding is left even when
 the input comes in many small partitions. Nothing is collected.
 """
@@ -22,7 +22,7 @@ from .staging import Stage, clean
 from .tokens import END_ID, default_path, encoder, kept
 
 WINDOW = 2048
-GROUP_TOKENS = 4 << 20
+GROUP_TOKENS = 1 << 20
 
 
 class Capacities:

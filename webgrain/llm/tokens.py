@@ -27,8 +27,8 @@ def default_path() -> str:
 
 U = np.uint64
 #: Chunks that a worker remembers; beyond it, it starts anew. It bounds memory and changes no result.
-REMEMBERED = 1_000_000
-_SLOTS = 1 << 22
+REMEMBERED = 800_000
+_SLOTS = 1 << 21
 _PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u017f]+")
 _LETTERS = "a-z\u00df-\u00f6\u00f8-\u017f"
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+")
@@ -143,8 +143,11 @@ class Encoder:
         codes = self.table.find(hashes)
         if len(absent := np.flatnonzero(codes < 0)):
             fresh, at = np.unique(hashes[absent], return_index=True)
-            if self.known + len(fresh) > _SLOTS // 2:  # more distinct chunks than the table holds
-                return self._long(data, offsets, end_id)
+            if self.known + len(fresh) > _SLOTS // 2:
+                if not self.known:  # more distinct chunks than the table holds
+                    return self._long(data, offsets, end_id)
+                self.forget()
+                return self.encode(data, offsets, end_id)
             at = absent[at]
             self._learn([data[a:b].tobytes() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)], fresh)
             codes[absent] = self.table.find(hashes[absent])
