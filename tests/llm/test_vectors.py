@@ -93,6 +93,28 @@ def test_vector_dedup(spark, rows, shard, monkeypatch):
     assert vector_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def dense(kind):
+    """A ball, or an arc, that is much larger than a shard."""
+    rng = np.random.default_rng(12)
+    if kind == "ball":
+        x = rng.normal(size=24) + rng.normal(size=(700, 24)) * 0.05
+    else:
+        turn = np.linspace(0, 2 * np.pi, 700)
+        x = np.stack([np.cos(turn), np.sin(turn)], 1) @ np.linalg.qr(rng.normal(size=(8, 2)))[0].T
+    return [(k, [float(np.float32(y)) for y in v], 1, 1, "") for k, v in enumerate(x)]
+
+
+@pytest.mark.parametrize(("kind", "passes"), [("ball", slice(0, 1)), ("ball", slice(2, 3))])
+def test_vector_dedup_across_shards(spark, kind, passes, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "SHARD", 25)
+    monkeypatch.setattr(vector_dedup, "PASSES", vector_dedup.PASSES[passes])
+    rows = dense(kind)
+    links, comps = brute(rows, 0.93)
+    got = vector_dedup.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {k: (links[k], comps[k]) for k in links}
+    assert got[0].audit_recall == 1.0
+
+
 def test_graph_finds_the_range():
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(size=(300, 32)), rng.normal(size=32) + rng.normal(size=(200, 32)) * 0.1])

@@ -7,9 +7,14 @@ The adjacency lists of all shards are united, and a range-expanding greedy searc
 is within the range of every class that has its home there: when the search settles, nodes within the range (and a
 little beyond) go on to be expanded until no more turn up. Every link is confirmed by its cosine in double precision.
 
-Links between classes of the same home are counted where they are found; only links across homes, and a star of
-edges for each component of a shard, leave the task. Recall is audited against brute force on a bounded sample of
-classes; below AUDIT_LEAST, the whole runs again with more overlap and a wider search.
+The range expands across shards too. Where an edge of the united lists leads from an expanded node to a class of
+another home, and the angles allow that class to be within the range, the searched class visits that shard and is compared
+with all classes at home there; the nodes found are expanded in turn, and each class that was linked visits the
+home of the other. Rounds of visits go on until none is new. A visit counts for its visitor only, so that each link counts
+once at either end, and no row is made of a pair: counts, visits and a star of edges for each component leave a task.
+
+Recall is audited against brute force on a bounded sample of classes; below AUDIT_LEAST, the whole runs again with
+more overlap and a wider search, and at last with every class compared with all of its label.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ SLACK = 0.08  # nodes that much below the range still expand
 MEDOIDS = 16
 AUDIT, AUDIT_LEAST = 256, 0.97
 QUERIES = 256  # searched at a time
+PASSES = ((2, BEAM, False), (4, 2 * BEAM, False), (1, BEAM, True))  # overlap, beam, whether all is compared
 
 
 def robust_prune(x: np.ndarray, p: np.ndarray, cand: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
@@ -55,7 +61,7 @@ def robust_prune(x: np.ndarray, p: np.ndarray, cand: np.ndarray, degree: int = D
 
 
 def greedy(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, q: np.ndarray, beam: int = BEAM, reach: float | None = None, both: tuple[np.ndarray, np.ndarray] | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Beams (ids, best first, -1: none) of the queries; with reach, also which nodes were found within it.
+    """Beams (ids, best first, -1: none) of the queries; with reach, also the cosines of the nodes met (-inf: not met).
 
     The range expands along edges of either direction: both has where each node's begin, and their ends.
     """
@@ -69,10 +75,10 @@ def greedy(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, q: np.ndarray,
     near = q @ x[entries].T
     by = np.argsort(-near, 1, kind="stable")
     ids[:, : len(entries)], sims[:, : len(entries)] = entries[by], np.take_along_axis(near, by, 1)
-    found = np.zeros((len(q), n), bool) if reach is not None else None
+    found = np.full((len(q), n), -np.inf) if reach is not None else None
     spread = np.zeros((len(q), n), bool) if reach is not None else None
     if found is not None:
-        found[:, entries] = near >= reach
+        found[:, entries] = near
         spread[:, entries] = near >= reach - SLACK
         if own is not None:  # a query that is a node also starts from itself
             spread[rows, own] = True
@@ -95,7 +101,7 @@ def greedy(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, q: np.ndarray,
         got = np.einsum("ij,ij->i", q[who], x[what])
         s[r, c] = got
         if found is not None:
-            found[who, what] = got >= reach
+            found[who, what] = got
             spread[who, what] = got >= reach - SLACK
         all_s, all_i = np.concatenate([sims[live], s], 1), np.concatenate([ids[live], np.where(fresh, near, -1)], 1)
         all_d = np.concatenate([done[live], np.zeros(near.shape, bool)], 1)
@@ -114,7 +120,7 @@ def greedy(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, q: np.ndarray,
             w, what = key // n, key % n
             seen[w, what] = True
             got = np.einsum("ij,ij->i", q[w], x[what])
-            found[w, what] = got >= reach
+            found[w, what] = got
             spread[w, what] |= got >= reach - SLACK
     return ids, found
 
@@ -156,36 +162,75 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM) -> np.ndarray:
     return graph
 
 
-def _built(pdf):
+def _built(threshold: float):
+    # an edge below that cosine cannot lead from an expanded node to one within the range
+    least = np.cos(min(np.pi, np.arccos(max(-1.0, threshold - SLACK)) + np.arccos(threshold))) - 1e-9
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("rep")
+        reps, at, x = pdf["rep"].to_numpy(), pdf["at"].to_numpy(), vectors.stacked(pdf["v"])
+        graph = build(x)
+        i, j = np.repeat(np.arange(len(x)), graph.shape[1]), graph.ravel()
+        i, j = i[j >= 0], j[j >= 0]
+        sim = np.einsum("ij,ij->i", x[i], x[j])
+        out = (at[i] != at[j]) & (sim >= least)
+        far = [{} for _ in reps]  # of each node, its nearest neighbour in each other home
+        for a, b, s in zip(i[out].tolist(), j[out].tolist(), sim[out].tolist(), strict=True):
+            for a, b in ((a, b), (b, a)):
+                far[a][at[b]] = max(s, far[a].get(at[b], -1.0))
+        return pd.DataFrame({"rep": reps, "near": [reps[g[g >= 0]] for g in graph], "far_at": [list(f) for f in far], "far_sim": [list(f.values()) for f in far]})
+
+    return run
+
+
+def _borders(pdf) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Home -> nodes with an edge to it, and the edge's angle."""
+    size = [len(f) for f in pdf["far_at"]]
+    node = np.repeat(np.arange(len(size)), size)
+    to = np.concatenate([np.zeros(0, np.int64), *map(np.asarray, pdf["far_at"])]).astype(np.int64)
+    turn = np.arccos(np.clip(np.concatenate([np.zeros(0), *map(np.asarray, pdf["far_sim"])]), -1, 1))
+    return {u: (node[to == u], turn[to == u]) for u in np.unique(to).tolist()}
+
+
+def _crossings(sims: np.ndarray, borders: dict, threshold: float):
+    """(home, which of the rows of sims have something within their range there, for all that the edges tell)."""
+    wide = sims >= threshold - SLACK
+    angle = np.arccos(np.clip(sims, -1, 1)) + np.arccos(threshold) + 1e-9
+    for u, (node, turn) in borders.items():
+        yield u, (wide[:, node] & (angle[:, node] >= turn)).any(1)
+
+
+def _rows(kind: int, **columns):
     import pandas as pd
 
-    pdf = pdf.sort_values("rep")
-    reps, x = pdf["rep"].to_numpy(), vectors.stacked(pdf["v"])
-    graph = build(x)
-    return pd.DataFrame({"rep": reps, "near": [reps[g[g >= 0]] for g in graph]})
+    return pd.DataFrame({"kind": kind} | {c: columns.get(c, 0) for c in "abxy"})
 
 
-def _searched(threshold: float, beam: int):
-    def run(pdf):
+def _searched(threshold: float, beam: int, exact: bool):
+    def run(key, pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values("rep")
+        pdf = pdf.sort_values("rep").reset_index(drop=True)
+        (label, dim, here), at = (int(k) for k in key), pdf["at"].to_numpy()
         reps, n, home, x = pdf["rep"].to_numpy(), pdf["n"].to_numpy(), pdf["home"].to_numpy(bool), vectors.stacked(pdf["v"])
         lists = [np.asarray(y, np.int64) for y in pdf["near"]]
         flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
         owner = np.repeat(np.arange(len(reps)), [len(y) for y in lists])
-        at = np.minimum(np.searchsorted(reps, flat), len(reps) - 1)
-        here = reps[at] == flat  # edges to classes of other shards cannot be followed here
-        owner, at = owner[here], at[here]
+        to = np.minimum(np.searchsorted(reps, flat), len(reps) - 1)
+        inside = reps[to] == flat  # the other edges are in far_at
+        owner, to = owner[inside], to[inside]
         size = np.bincount(owner, minlength=len(reps))
         graph = np.full((len(reps), max(1, size.max(initial=0))), -1, np.int64)
-        graph[owner, np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)] = at
-        ends = np.unique(np.concatenate([owner * len(reps) + at, at * len(reps) + owner]))
+        graph[owner, np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)] = to
+        ends = np.unique(np.concatenate([owner * len(reps) + to, to * len(reps) + owner]))
         either = np.concatenate([[0], np.cumsum(np.bincount(ends // len(reps), minlength=len(reps)))]), ends % len(reps)
         entry, mine = medoids(x), np.flatnonzero(home)
         count = np.zeros(len(reps), np.int64)
         root = np.arange(len(reps))
-        pairs = []
+        borders = _borders(pdf)
+        out = []
 
         def find(i: int) -> int:
             while root[i] != i:
@@ -193,11 +238,22 @@ def _searched(threshold: float, beam: int):
                 i = root[i]
             return i
 
+        def visits(who: np.ndarray, where) -> None:
+            out.append(_rows(1, a=who, b=where, x=label, y=dim))
+
         # a link found from either end counts at both
         links = np.zeros(0, np.int64)
         for a in range(0, len(mine), QUERIES):
             some = mine[a : a + QUERIES]
-            _, found = greedy(x, graph, entry, x[some], beam, threshold, either, some)
+            sims = x[some] @ x.T if exact else greedy(x, graph, entry, x[some], beam, threshold, either, some)[1]
+            sims[np.arange(len(some)), some] = 1.0
+            for u, ok in _crossings(sims, borders, threshold):
+                if u != here:
+                    visits(reps[some[ok]], u)
+            for u in np.unique(at[~home]).tolist():
+                visits(reps[some[(sims[:, at == u] >= threshold - SLACK).any(1)]], u)
+            found = sims >= threshold
+            visits(reps[found.any(0) & ~home], here)
             found[np.arange(len(some)), some] = False
             i, j = np.nonzero(found)
             i = some[i]
@@ -213,13 +269,46 @@ def _searched(threshold: float, beam: int):
             a, b = find(a), find(b)
             if a != b:
                 root[max(a, b)] = min(a, b)
-        out = [pd.DataFrame({"kind": 0, "a": reps[mine], "b": 0, "x": count[mine], "y": 0})]
-        cross = ~both
-        out.append(pd.DataFrame({"kind": 1, "a": reps[i[cross]], "b": reps[j[cross]], "x": n[i[cross]], "y": n[j[cross]]}))
+        out.append(_rows(0, a=reps[mine], x=count[mine]))
         top = np.array([find(k) for k in range(len(reps))], np.int64)
         tied = np.flatnonzero(top != np.arange(len(reps)))
-        out.append(pd.DataFrame({"kind": 2, "a": reps[tied], "b": reps[top[tied]], "x": 0, "y": 0}))
-        return pd.concat(out).astype("int64")
+        out.append(_rows(2, a=reps[tied], b=reps[top[tied]]))
+        return pd.concat(out).drop_duplicates().astype("int64")
+
+    return run
+
+
+def _visited(threshold: float):
+    def run(key, guests, pdf):
+        import pandas as pd
+
+        label, dim, here = (int(k) for k in key[:3])
+        guests, pdf = guests.sort_values("guest"), pdf.sort_values("rep").reset_index(drop=True)
+        who, origin, q = guests["guest"].to_numpy(), guests["origin"].to_numpy(), vectors.stacked(guests["q"])
+        reps, n, x, borders = pdf["rep"].to_numpy(), pdf["n"].to_numpy(), vectors.stacked(pdf["v"]), _borders(pdf)
+        group = np.arange(len(reps))  # the smallest node that guests tie each one to
+        out = []
+        for a in range(0, len(who), QUERIES):
+            some, from_ = who[a : a + QUERIES], origin[a : a + QUERIES]
+            sims = q[a : a + QUERIES] @ x.T
+            hit = sims >= threshold
+            out.append(_rows(0, a=some, x=hit @ n))
+            for u, ok in _crossings(sims, borders, threshold):
+                ok &= from_ != u
+                out.append(_rows(1, a=some[ok], b=u, x=label, y=dim))
+            for u in np.unique(from_).tolist():
+                out.append(_rows(1, a=reps[hit[from_ == u].any(0)], b=u, x=label, y=dim))
+            first = []
+            linked = np.flatnonzero(hit.any(1))
+            for k in linked.tolist():
+                tied = group[hit[k]]
+                first.append(tied.min())
+                if (tied != first[-1]).any():
+                    group[np.isin(group, tied)] = first[-1]
+            out.append(_rows(2, a=some[linked], b=reps[np.array(first, np.int64)]))
+        tied = np.flatnonzero(group != np.arange(len(reps)))
+        out.append(_rows(2, a=reps[tied], b=reps[group[tied]]))
+        return pd.concat(out).drop_duplicates().astype("int64")
 
     return run
 
@@ -245,7 +334,7 @@ def _dealt(shared, overlap: int):
                 c = shared.value.get((label, dim))
                 near = np.zeros((len(g), 1), np.int64) if c is None else np.argsort(-(vectors.stacked(g["v"]) @ c.T), 1, kind="stable")[:, :overlap]
                 for k in range(near.shape[1]):
-                    yield pd.DataFrame({"label": g["label"], "dim": g["dim"], "shard": near[:, k], "home": k == 0, "rep": g["rep"], "n": g["n"], "v": g["v"]})
+                    yield pd.DataFrame({"label": g["label"], "dim": g["dim"], "shard": near[:, k], "home": k == 0, "at": near[:, 0], "rep": g["rep"], "n": g["n"], "v": g["v"]})
 
     return run
 
@@ -264,7 +353,7 @@ def _exact(shared, threshold: float):
     return run
 
 
-def _run(classes: DataFrame, stage: Stage, threshold: float, overlap: int, beam: int) -> tuple[DataFrame, DataFrame]:
+def _run(classes: DataFrame, stage: Stage, threshold: float, overlap: int, beam: int, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rep, links) of other classes' vectors, and component edges (a, b)."""
     spark = classes.sparkSession
     total = classes.count()
@@ -280,18 +369,43 @@ def _run(classes: DataFrame, stage: Stage, threshold: float, overlap: int, beam:
             x = vectors.stacked(g.sort_values("rep")["v"])
             centroids[key] = kmeans(x, min(want[key], len(x)))
     shared = spark.sparkContext.broadcast(centroids)
-    dealt = stage.put(classes.mapInPandas(_dealt(shared, overlap), "label long, dim int, shard long, home boolean, rep long, n long, v array<double>"), "dealt")
-    graphs = dealt.groupBy("label", "dim", "shard").applyInPandas(_built, "rep long, near array<long>")
-    united = graphs.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    united = stage.put(united.withColumnRenamed("rep", "node"), "graph")
+    dealt = stage.put(classes.mapInPandas(_dealt(shared, overlap), "label long, dim int, shard long, home boolean, at long, rep long, n long, v array<double>"), "dealt")
+    graphs = dealt.groupBy("label", "dim", "shard").applyInPandas(_built(threshold), "rep long, near array<long>, far_at array<long>, far_sim array<double>")
+    united = graphs.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("far_at", "far_sim")))).alias("far"))
+    united = stage.put(united.select(F.col("rep").alias("node"), "near", F.col("far.far_at").alias("far_at"), F.col("far.far_sim").alias("far_sim")), "graph")
     rows = dealt.join(united, F.col("rep") == F.col("node"))
-    found = stage.put(rows.groupBy("label", "dim", "shard").applyInPandas(_searched(threshold, beam), "kind long, a long, b long, x long, y long"), "found")
-    cross = found.where("kind = 1").select("a", "b", "x", "y").distinct()
-    counted = found.where("kind = 0").select(F.col("a").alias("rep"), F.col("x").alias("c"))
-    counted = counted.union(cross.select("a", "y")).union(cross.select("b", "x"))
-    counted = stage.put(counted.groupBy("rep").agg(F.sum("c").alias("links")), "links")
+    schema = "kind long, a long, b long, x long, y long"
+    found = stage.put(rows.groupBy("label", "dim", "shard").applyInPandas(_searched(threshold, beam, exact), schema), "found")
+    nodes = stage.put(rows.where("home").select("label", "dim", "at", "rep", "n", "v", "far_at", "far_sim"), "nodes") if centroids else None
+    counted, edges = (found.where(f"kind = {k}") for k in (0, 2))
+
+    def asked(df: DataFrame) -> DataFrame:
+        return df.where("kind = 1").select(F.col("a").alias("guest"), F.col("b").alias("shard"), F.col("x").alias("g_label"), F.col("y").cast("int").alias("g_dim")).distinct()
+
+    new = asked(found)
+    if exact and centroids:
+        many = spark.createDataFrame([(int(a), int(b), len(c)) for (a, b), c in centroids.items()], "g_label long, g_dim int, many long")
+        new = nodes.join(F.broadcast(many), (F.col("label") == F.col("g_label")) & (F.col("dim") == F.col("g_dim")))
+        new = new.select(F.col("rep").alias("guest"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("shard"), "g_label", "g_dim", "at").where("shard != at").drop("at")
+    seen = new = stage.put(new, "visits")
+    while not new.isEmpty():
+        # a shard's guests come in parts of some shards' size
+        parts = new.groupBy("g_label", "g_dim", "shard").agg(F.ceil(F.count("*") / (4 * target)).alias("parts"))
+        parts = stage.put(parts.select(F.col("g_label").alias("p_label"), F.col("g_dim").alias("p_dim"), F.col("shard").alias("p_shard"), "parts"), "parts")
+        at = (F.col("label") == F.col("p_label")) & (F.col("dim") == F.col("p_dim"))
+        guests = nodes.select("label", "dim", "at", "rep", "v").join(stage.small(new), F.col("rep") == F.col("guest"))
+        guests = guests.join(stage.small(parts), at & (F.col("shard") == F.col("p_shard"))).withColumn("part", F.pmod(F.xxhash64("rep", F.lit(13)), F.col("parts")))
+        hosts = nodes.join(stage.small(parts), at & (F.col("at") == F.col("p_shard"))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        # other names than the hosts' keep the two sides of one table apart
+        guests = guests.select("g_label", "g_dim", "shard", "part", "guest", F.col("at").alias("origin"), F.col("v").alias("q")).groupBy("g_label", "g_dim", "shard", "part")
+        hosts = hosts.select("label", "dim", "p_shard", "part", "rep", "n", "v", "far_at", "far_sim").groupBy("label", "dim", "p_shard", "part")
+        more = stage.put(guests.cogroup(hosts).applyInPandas(_visited(threshold), schema), "found")
+        counted, edges = counted.union(more.where("kind = 0")), edges.union(more.where("kind = 2"))
+        new = stage.put(asked(more).join(seen.select("guest", "shard"), ["guest", "shard"], "left_anti").select(*new.columns), "visits")
+        seen = seen.union(new)
+    counted = stage.put(counted.groupBy(F.col("a").alias("rep")).agg(F.sum("x").alias("links")), "links")
     stage.drop(dealt, united)
-    return counted, found.where("kind = 2").select("a", "b")
+    return counted, edges.select("a", "b")
 
 
 def near_vectors(embeddings: DataFrame, threshold: float = 0.93) -> DataFrame:
@@ -316,9 +430,8 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.93) -> DataFrame:
     one = stage.put(one, "rows")
     classes = one.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("dim", F.size("v"))
     classes = stage.put(classes, "classes")
-    overlap, beam, recall = 2, BEAM, 1.0
-    for _ in range(2):
-        counted, edges = _run(classes, stage, threshold, overlap, beam)
+    for overlap, beam, exact in PASSES:
+        counted, edges = _run(classes, stage, threshold, overlap, beam, exact)
         sample = classes.select("rep", "label", "dim", "v", F.xxhash64("rep", F.lit(9)).alias("draw")).orderBy("draw").limit(AUDIT).toPandas()
         probes = {key: (g["rep"].to_numpy(), vectors.stacked(g["v"])) for key, g in sample.groupby(["label", "dim"])}
         truth = classes.mapInPandas(_exact(spark.sparkContext.broadcast(probes), threshold), "rep long, n long").groupBy("rep").agg(F.sum("n").alias("exact"))
@@ -326,7 +439,6 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.93) -> DataFrame:
         recall = float(sums[1] / sums[0]) if sums[0] else 1.0
         if recall >= AUDIT_LEAST:
             break
-        overlap, beam = overlap + 2, 2 * beam
     comps = connected_components(spark, edges, stage)
     named = classes.join(comps, F.col("rep") == F.col("node"), "left").join(counted.withColumnRenamed("rep", "c_rep"), F.col("rep") == F.col("c_rep"), "left")
     named = named.select("label", "v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
