@@ -104,7 +104,7 @@ def dense(kind):
     return [(k, [float(np.float32(y)) for y in v], 1, 1, "") for k, v in enumerate(x)]
 
 
-@pytest.mark.parametrize(("kind", "passes"), [("ball", slice(0, 1)), ("ball", slice(2, 3))])
+@pytest.mark.parametrize(("kind", "passes"), [("ball", slice(0, 1)), ("arc", slice(0, 1)), ("ball", slice(2, 3))])
 def test_vector_dedup_across_shards(spark, kind, passes, monkeypatch):
     monkeypatch.setattr(vector_dedup, "SHARD", 25)
     monkeypatch.setattr(vector_dedup, "PASSES", vector_dedup.PASSES[passes])
