@@ -32,7 +32,11 @@ def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
 
 
 def inspected(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """All segments of each extracted page, its title and text as the visible one first: key, ordinal, location, text, truncated."""
+    """All segments of each extracted page, its title and text as the visible one first: key, ordinal, location, text, truncated.
+
+    The first segment of a page some of whose segments were omitted counts as truncated: its rest was not read.
+    """
     visible = F.array(F.struct(F.lit("visible").alias("location"), F.concat_ws("\n\n", "title", "text").alias("text"), F.col("truncated")))
     rows = F.when(F.col("text").isNotNull(), F.concat(visible, "segments")).otherwise(F.col("segments"))
-    return pages.select(key, F.posexplode(rows).alias("ordinal", "s")).select(key, "ordinal", "s.location", "s.text", "s.truncated")
+    some = pages.select(key, F.col("omitted"), F.posexplode(rows).alias("ordinal", "s"))
+    return some.select(key, "ordinal", "s.location", "s.text", (F.col("s.truncated") | ((F.col("ordinal") == 0) & (F.col("omitted") > 0))).alias("truncated"))
