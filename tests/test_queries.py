@@ -38,6 +38,16 @@ def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, FOLDER).count() >= 0
 
 
+def test_the_whole_text_is_escaped(spark, tmp_path):
+    import hashlib
+
+    texts = {1: "a" * 400 + "<b> & *c* [d] #", 2: "", 3: None, 4: "\\`_" * 200}
+    safe = {1: "a" * 400 + "&lt;b&gt; &amp; \\*c\\* \\[d\\] \\#", 2: "", 4: "\\\\\\`\\_" * 200}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.escaped_sha256 for r in catalogue.QUERIES["markdown_escape_whole"](spark, str(tmp_path)).collect()}
+    assert got == {k: hashlib.sha256(safe[k].encode()).hexdigest() if k in safe else None for k in texts}
+
+
 def test_the_entry_module_works_without_the_optional_parts():
     import subprocess
     import sys

@@ -60,6 +60,12 @@ def markdown_escape(spark, read):
     return read("documents").select("doc_id", F.sha2(t.markdown_escaped(F.substring("text", 1, 300)), 256).alias("escaped_sha256"))
 
 
+@query(None)
+def markdown_escape_whole(spark, read):
+    """Every character of each text; markdown_escape and its SQL look at the first 300."""
+    return read("documents").select("doc_id", F.sha2(t.markdown_escaped(F.col("text")), 256).alias("escaped_sha256"))
+
+
 @query(
     """SELECT doc_id, CASE WHEN regexp_matches(cell, '^[=+\\-@\\t\\r]') THEN '''' || cell ELSE cell END AS cell
     FROM (SELECT doc_id, (CASE doc_id % 4 WHEN 0 THEN '=' WHEN 1 THEN '-' WHEN 2 THEN '@' ELSE '' END) || source AS cell FROM documents)"""
