@@ -235,6 +235,15 @@ def test_mixing(docs, rows, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_of_repeated_ids(spark):
+    rows = [(None, "a b c d e", "s") for _ in range(70)] + [(7, "a b c d f", "s") for _ in range(30)] + [(None, f"a b {k}", None) for k in range(31)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    assert len(got) == len(rows) and {r["__times"] for r in got} == {1, 2}
+    for source in ("s", None):
+        some = [r for r in got if r["source"] == source]
+        assert 0 <= some[0]["__target"] - sum(r["__size"] * r["__times"] for r in some) < some[0]["__size"]
+
+
 def test_fit_is_exact_for_the_last_words():
     import itertools
 

@@ -98,12 +98,28 @@ def _plan(pdf):
     return pd.DataFrame({"source": pdf["source"], "size": lengths, "n": counts, "source_size": total, "target": target, "copies": copies, "more": more})
 
 
+def _ties_cut(met: DataFrame, some, stage: Stage) -> DataFrame:
+    """met with __extra for the first __ties of the rows in some, of each source and length; ranked within the tasks that wrote them."""
+    columns = [F.col(f"`{c}`") for c in met.columns]
+    tied = stage.put(met.where(some).withColumn("__row", F.monotonically_increasing_id()), "tied").withColumn("__slice", F.shiftright("__row", 33))
+    by = ["__b_source", "__b_size", "__slice"]
+    slices = tied.groupBy(*by).agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy(*by[:2]).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slices = stage.put(slices.select(*[F.col(c).alias(f"{c}_s") for c in by], before.alias("__before")), "slices")
+    same = F.col("__b_source").eqNullSafe(F.col("__b_source_s")) & (F.col("__b_size") == F.col("__b_size_s")) & (F.col("__slice") == F.col("__slice_s"))
+    rank = F.col("__before") + F.row_number().over(Window.partitionBy(*by).orderBy("__row"))
+    ranked = tied.join(stage.small(slices), same).withColumn("__extra", rank <= F.col("__ties"))
+    return met.where(~some).select(*columns).union(ranked.select(*columns))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE_PERCENT / 100, most: int = MOST_EPOCHS, seed: int = 17) -> DataFrame:
     """docs with __size (its words), __source_size, __target and __times (whole copies that the mix takes).
 
     A word is a run of bytes other than white space; a null text has none. Null is a source of its own, the last.
     Documents without words are never taken. Sources without words get a target of 0. The
     sources' sizes are collected, a row each; all else stays distributed. An empty table gives an empty one.
+    Rows that repeat a doc_id, or have none, are documents of their own: the draw goes by the text too, and of rows with
+    equal draws just as many are taken as the plan wants.
     """
     spark = docs.sparkSession
     stage = Stage(spark, "mixing")
@@ -124,24 +140,30 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE_PERCENT / 100, mo
     sized = docs.select(*names, size.alias("__size"))
     met = sized.join(stage.small(plan), key.eqNullSafe(F.col("__p_source")) & (F.col("__size") == F.col("__p_size")), "left")
     # the rank by a seeded hash, within slices of it: a source and length with n documents has n / SLICE of them
-    draw = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    part = F.when((F.col("__p_more") > 0) & (F.col("__p_more") < F.col("__p_n")), F.floor((draw / F.lit(2.0**64) + 0.5) * F.ceil(F.col("__p_n") / SLICE)))
+    draw = F.xxhash64(F.col("doc_id"), F.col("text").cast("string"), F.lit(seed))
+    part = F.when((F.col("__p_more") > 0) & (F.col("__p_more") < F.col("__p_n")), F.floor((F.col("draw") / F.lit(2.0**64) + 0.5) * F.ceil(F.col("__p_n") / SLICE)))
     partly = "__p_more > 0 AND __p_more < __p_n"
     if not plan.where(partly).isEmpty():
-        ids = clean(docs, "doc_id", "source", "text").select(F.col("doc_id"), key.alias("source"), size.alias("size"))
+        ids = clean(docs, "doc_id", "source", "text").select(key.alias("source"), size.alias("size"), draw.alias("draw"))
         drawn = ids.join(stage.small(plan).where(partly), F.col("source").eqNullSafe(F.col("__p_source")) & (F.col("size") == F.col("__p_size")))
-        drawn = stage.put(drawn.select("source", "size", F.col("__p_more").alias("more"), draw.alias("draw"), F.coalesce(part, F.lit(0)).alias("part")), "drawn")
+        drawn = stage.put(drawn.select("source", "size", F.col("__p_more").alias("more"), "draw", F.coalesce(part, F.lit(0)).alias("part")), "drawn")
         by = ["source", "size", "part"]
         slices = drawn.groupBy(*by).agg(F.count("*").alias("c"))
         slices = slices.select(*by, F.coalesce(F.sum("c").over(Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
         slices = stage.put(slices.select(F.col("source").alias("s_source"), F.col("size").alias("s_size"), F.col("part").alias("s_part"), "before"), "slices")
         edge = drawn.join(stage.small(slices), F.col("source").eqNullSafe(F.col("s_source")) & (F.col("size") == F.col("s_size")) & (F.col("part") == F.col("s_part")))
-        rank = F.col("before") + F.row_number().over(Window.partitionBy(*by).orderBy("draw"))
-        # the last draw that is taken: a bound for each source and length
-        bounds = edge.withColumn("rank", rank).where("rank = more").select(F.col("source").alias("__b_source"), F.col("size").alias("__b_size"), F.col("draw").alias("__bound"))
-        bounds = stage.put(bounds, "bounds")
+        ordered = Window.partitionBy(*by).orderBy("draw")
+        rank, below = F.col("before") + F.row_number().over(ordered), F.col("before") + F.rank().over(ordered) - 1
+        # the last draw that is taken, how many rows have it and how many of those are taken, for each source and length
+        bounds = edge.withColumn("rank", rank).withColumn("below", below).withColumn("at", F.count("*").over(Window.partitionBy(*by, "draw"))).where("rank = more")
+        bounds = bounds.select(F.col("source").alias("__b_source"), F.col("size").alias("__b_size"), F.col("draw").alias("__bound"), "at", (F.col("more") - F.col("below")).alias("ties"))
+        bounds = stage.put(bounds.withColumnsRenamed({"at": "__at", "ties": "__ties"}), "bounds")
         met = met.join(stage.small(bounds), key.eqNullSafe(F.col("__b_source")) & (F.col("__size") == F.col("__b_size")), "left")
-        extra = (F.col("__p_more") == F.col("__p_n")) | F.coalesce(draw <= F.col("__bound"), F.lit(False))
+        some = F.coalesce(draw == F.col("__bound"), F.lit(False)) & (F.col("__ties") < F.col("__at"))
+        met = met.withColumn("__extra", (F.col("__p_more") == F.col("__p_n")) | (F.coalesce(draw <= F.col("__bound"), F.lit(False)) & ~F.coalesce(some, F.lit(False))))
+        if not bounds.where("__ties < __at").isEmpty():
+            met = _ties_cut(met, F.coalesce(some, F.lit(False)), stage)
+        extra = F.col("__extra")
     else:
         extra = F.col("__p_more") == F.col("__p_n")
     times = F.when(F.col("__size") > 0, F.col("__p_copies") + F.when(extra, 1).otherwise(0)).otherwise(0)
