@@ -52,6 +52,30 @@ def test_topk(spark, rows, small, monkeypatch):
     assert topk.top_k(df.limit(0), df).count() == 0 and topk.top_k(df, df.limit(0)).count() == 0
 
 
+def test_topk_meets_every_shard_in_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 20)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 3)
+    rng = np.random.default_rng(2)
+    x = rng.integers(-9, 9, (200, 6))
+    conf = {"spark.sql.shuffle.partitions": "13", "spark.sql.adaptive.enabled": "false"}
+    held = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.createDataFrame([(k, [float(y) for y in v]) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+        got = sorted(map(tuple, topk.top_k(df, df.where("vec_id % 20 = 0"), factor=1).collect()))
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    best = {q: sorted((-int(x[q] @ x[i]), i) for i in range(200) if i != q)[:10] for q in range(0, 200, 20)}
+    assert got == [(q, r + 1, i, -s) for q in best for r, (s, i) in enumerate(best[q])]
+
+
+def test_essential_terms_follow_the_threshold():
+    rest = np.array([20, 12, 7, 3, 0])
+    assert [topk.essential(rest, x) for x in (21, 13, 8, 7, 1, 0, -5, None)] == [0, 1, 2, 3, 4, 4, 4, 4]
+
+
 def brute(rows, least):
     unit = {}
     for i, v, label, *_ in rows:

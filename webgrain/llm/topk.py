@@ -41,6 +41,12 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
+def essential(rest: np.ndarray, least: int | None) -> int:
+    """How many of the ordered terms are essential: the fewest whose remaining bounds, rest, cannot reach the threshold."""
+    short = np.flatnonzero(rest < least) if least is not None else ()
+    return int(short[0]) if len(short) else len(rest) - 1
+
+
 def maxscore(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """(query, id, score): each query's k best rows of one shard, but for rows below floor and the query's own."""
     kind = _exact(rows, queries)
@@ -60,8 +66,7 @@ def maxscore(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries:
             block, own = blocks[j]
             terms = np.argsort(-(high[j] - low[j]).astype(float), kind="stable")
             rest = np.concatenate([np.cumsum(high[j][terms][::-1])[::-1], np.zeros(1, kind)])
-            # essential: as many of the widest terms as leave the others half of the way to the threshold
-            n = len(terms) // 2 if least is not None else len(terms)
+            n = essential(rest, least)
             alive, score = np.arange(len(own)), block[:, terms[:n]] @ q[terms[:n]]
             while n < len(terms):
                 keep = score + rest[n] >= least
@@ -130,13 +135,13 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, factor: int =
     shards, parts = -(-n_rows // SHARD_ROWS) or 1, -(-n_asked // QUERY_ROWS) or 1
     asked = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(parts)))
     near = F.xxhash64("vec_id", F.lit(3)) / F.lit(2.0**64) + 0.5 < min(1.0, PILOT_ROWS / max(1, n_rows))
-    pilot = rows.where(near).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    pilot = rows.where(near).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     first = pilot.groupBy("part").cogroup(asked.withColumn("floor", F.lit(None).cast("long")).groupBy("part")).applyInPandas(_search(k), schema)
     floors = first.groupBy("query_id").agg(F.count("*").alias("c"), F.min("score").alias("floor")).where(f"c >= {k}").select("query_id", "floor")
     floors = stage.put(floors, "floors")
     known = asked.join(floors, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "x", "part", "floor")
-    known = known.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    dealt = rows.select("vec_id", "x", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).alias("r_shard"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("r_part"))
+    known = known.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    dealt = rows.select("vec_id", "x", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).alias("r_shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("r_part"))
     best = dealt.groupBy("r_shard", "r_part").cogroup(known.groupBy("shard", "part")).applyInPandas(_search(k), schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
