@@ -125,6 +125,13 @@ def test_substring_dedup_of_null_ids_and_nothing(spark, none):
     assert substring_dedup.without_repeats(none).count() == 0
 
 
+def test_substring_dedup_of_unlike_texts_of_one_id(spark):
+    t, other = (" ".join(f"{c}{k}" for k in range(20)) for c in "ab")
+    rows = [(1, t), (2, t), (2, other), (3, t), (3, "short"), (4, other + " end")]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["__n_words"], r["__n_removed"]) for r in got) == [(1, 20, 0), (2, 20, 20), (2, 20, 20), (3, 1, 1), (3, 20, 20), (4, 21, 20)]
+
+
 def test_substring_sketch_never_underestimates():
     import numpy as np
 

@@ -214,7 +214,9 @@ def remove_repeats(docs: DataFrame, n: int = 13) -> DataFrame:
 
     A text that loses words is the kept words joined by one space; any other is unchanged. Null and blank texts
     have no words. A text of fewer than n words has no window and keeps all. Rows with a null doc_id neither
-    lose words nor make others lose any. Rows that repeat a doc_id keep each other's words. Columns other than
+    lose words nor make others lose any. Rows that repeat a doc_id keep each other's words.
+    Where they have unlike texts, what is found in one is taken out of all at the same places, as the spans go by doc_id;
+    beside a whole copy, a text of fewer than n words loses all. Columns other than
     doc_id and text pass through, whatever their names. An empty table gives an empty one.
     """
     spark = docs.sparkSession
