@@ -86,6 +86,36 @@ def test_near_duplicates_of_null_ids_and_nothing(spark, none):
     assert minhash_dedup.one_per_group(none).columns == none.columns
 
 
+def test_unlike_texts_of_one_id_are_one_document(spark):
+    a, b, c = "a b c d e f", "k l m n o p", "u v w x y z"
+    rows = [(3, a), (5, a), (5, b), (9, b), (5, ""), (5, None), (7, c), (7, c), (8, None), (8, c)]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in got} == {(3, 3), (5, 3), (9, 3), (7, 7), (8, 7)}
+
+
+@pytest.mark.parametrize("block", [1 << 18, 200])
+def test_a_group_of_near_copies_whose_hub_refuses_most(spark, block, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for d in range(120):
+        ws = list(base)
+        for _ in range(rng.choice([1, 2, 3, 9, 12])):
+            ws[rng.randrange(80)] = f"x{rng.randrange(40)}"
+        rows.append((d, " ".join(ws)))
+    sets = [shingles(t, 3) for _, t in rows]
+    links = {(a, b) for a in range(120) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    component = list(range(120))
+    for _ in range(120):
+        for a, b in links:
+            component[a] = component[b] = min(component[a], component[b])
+    assert 2 < len(set(component)) < 110
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == set(enumerate(component))
+
+
 def test_one_per_group_keeps_columns(docs):
     out = minhash_dedup.one_per_group(docs)
     assert out.columns == docs.columns

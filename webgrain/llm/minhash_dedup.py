@@ -5,12 +5,14 @@
    first filled bin in that bin's own random probe order.
 2. Bands of the signature give buckets. In each bucket the smallest class is the hub, and candidates are the
    edges from the hub to the others, so a bucket of n classes gives n - 1 of them.
-3. Candidates are confirmed on the full sets, by pairs of blocks of about BLOCK classes, so that a hot hub's members
-   are dealt over many tasks and a text is read once for all its pairs with a block.
-4. A member that its hub refuses may still be linked to another member. Buckets whose members are in more than
-   one component go on: a task reads two of their blocks and compares the classes that share a bucket until each is
-   in one component with those that it is linked to. No pair of documents ever becomes a row, and pairs within
-   a component are not compared.
+3. Candidates are confirmed on the full sets, by pairs of blocks of about BLOCK shingles, so that a hot hub's
+   members are dealt over many tasks and a set is read once for all its pairs with a block.
+4. A member that its hub refuses may still be linked to another member. Of buckets whose members are in more than
+   one component, each set's shingles that no other open class holds are counted: a link can have none of them, which
+   bounds the similarity and the size of what the set can be linked with, so most members need no
+   comparison. The others go on by pairs of blocks: a task compares those sets that share a bucket, that the bounds
+   allow, until each is in one component with those it is linked to. No pair of documents ever becomes a row, pairs
+   within a component are not compared, and no member is left out.
 
 Two sets at the threshold 0.8 share none of the 32 bands of 4 with a probability of (1 - 0.8**4)**32 = 5e-8.
 """
@@ -26,12 +28,12 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .components import connected_components
-from .staging import Stage, clean
+from .staging import Stage, clean, unused
 
 U = np.uint64
 BINS = 128
 ROWS = 4  # bins of a band
-BLOCK = 256  # classes of a block, about; the verification reads two blocks' texts at a time
+BLOCK = 1 << 18  # shingles of a block, about; the verification reads two blocks' sets at a time
 
 _PROBES = np.stack([np.random.default_rng(7919 + i).permutation(BINS) for i in range(BINS)])
 
@@ -85,36 +87,49 @@ def _sketch(k: int, lower: bool):
     return run
 
 
-def _confirm(k: int, lower: bool, threshold: int):
-    """The pairs between two blocks, with the texts of both -> whether each pair is linked."""
+def _sets(k: int, lower: bool):
+    """Each text's set itself, with one of its fingerprints to tell apart the texts of one id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (p for b in batches for p in tk.parts(b)):
+            hashes, first = tk.word_hashes(*tk.buffers(batch.column("text")), lower)
+            sets = [tk.shingle_set(hashes[first[i] : first[i + 1]], k) for i in range(batch.num_rows)]
+            at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            marks = pa.array(np.array([tk.mix(s, 21).sum(dtype=U) for s in sets], U).view(np.int64))
+            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), marks, pa.ListArray.from_arrays(at, flat)], ["id", "f1", "set"])
+
+    return run
+
+
+def _confirm(threshold: int):
+    """The pairs between two blocks, with the sets of both -> whether each pair is linked."""
 
     def run(pairs, docs):
-        column = pa.array(docs["text"], pa.large_string())
-        hashes, first = tk.word_hashes(*tk.buffers(column), lower)
         sets: dict[int, list[np.ndarray]] = {}
-        for i, x in enumerate(docs["id"].tolist()):
-            sets.setdefault(x, []).append(tk.shingle_set(hashes[first[i] : first[i + 1]], k))
+        for x, s in zip(docs["id"].tolist(), docs["set"], strict=True):
+            sets.setdefault(x, []).append(s.view(U))
         pairs["linked"] = [any(_linked(x, y, threshold) for x in sets.get(a, ()) for y in sets.get(b, ())) for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True)]
         return pairs[["a", "b", "linked"]]
 
     return run
 
 
-def _across(k: int, lower: bool, threshold: int):
-    """The open classes of two blocks -> links between those that share a bucket and are not yet in one component."""
+def _across(threshold: int):
+    """The open sets of two blocks -> links between those that share a bucket and are not yet in one component."""
 
     def run(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("id")
-        hashes, first = tk.word_hashes(*tk.buffers(pa.array(pdf["text"], pa.large_string())), lower)
-        sets = [tk.shingle_set(hashes[first[i] : first[i + 1]], k) for i in range(len(pdf))]
-        sizes, block, ids, out = np.array(list(map(len, sets))), pdf["k"].to_numpy(), pdf["id"].to_numpy(), []
+        sets, sizes, most = [s.view(U) for s in pdf["set"]], pdf["n"].to_numpy(), pdf["most"].to_numpy()
+        block, ids, out = pdf["k"].to_numpy(), pdf["id"].to_numpy(), []
         band = np.stack(pdf["bands"].to_list())
         comp, same = pdf["comp"].to_numpy().copy(), pdf["ka"].iat[0] == pdf["kb"].iat[0]
         for i in range(len(pdf)):
             rest = slice(i + 1, None)
-            fit = (100 * np.minimum(sizes[rest], sizes[i]) >= threshold * np.maximum(sizes[rest], sizes[i])) & (comp[rest] != comp[i])
+            fit = (sizes[rest] <= most[i]) & (sizes[i] <= most[rest]) & (100 * np.minimum(sizes[rest], sizes[i]) >= threshold * np.maximum(sizes[rest], sizes[i]))
+            fit &= comp[rest] != comp[i]
             if not same:
                 fit &= block[rest] != block[i]
             for j in np.flatnonzero(fit) + i + 1:
@@ -135,14 +150,62 @@ def _linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
     return 100 * both >= threshold * (len(x) + len(y) - both)
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, stage: Stage, k: int, lower: bool, threshold: int) -> DataFrame:
-    """pairs (a, ka, b, kb), distinct, k the blocks -> staged (a, b, linked). Each pair of blocks reads its texts once."""
+def _verify(pairs: DataFrame, sets: DataFrame, stage: Stage, threshold: int) -> DataFrame:
+    """pairs (a, ka, b, kb), distinct, k the blocks -> staged (a, b, linked). Each pair of blocks reads its sets once."""
     ends = pairs.select("ka", "kb", F.col("a").alias("id")).union(pairs.select("ka", "kb", F.col("b").alias("id"))).distinct()
-    docs = ends.join(texts, "id").select(F.col("ka").alias("da"), F.col("kb").alias("db"), "id", "text")
-    found = pairs.groupBy("ka", "kb").cogroup(docs.groupBy("da", "db")).applyInPandas(_confirm(k, lower, threshold), "a long, b long, linked boolean")
+    docs = ends.join(sets, "id").select(F.col("ka").alias("da"), F.col("kb").alias("db"), "id", "set")
+    found = pairs.groupBy("ka", "kb").cogroup(docs.groupBy("da", "db")).applyInPandas(_confirm(threshold), "a long, b long, linked boolean")
     return stage.put(found, "links")
 
 
+def _blocked(members: DataFrame, stage: Stage) -> DataFrame:
+    """members (id, hub, n), a row per bucket -> staged (id, k): blocks of about BLOCK shingles, likely alike.
+
+    A block is a share of the classes whose smallest hub is the same one.
+    """
+    owned = stage.put(members.groupBy("id").agg(F.min("hub").alias("g"), F.max("n").alias("n")), "owned")
+    loads = owned.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
+    loads = stage.put(loads.where("parts > 1").select(F.col("g").alias("of"), "parts"), "loads")
+    part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))
+    return stage.put(owned.join(stage.small(loads), F.col("g") == F.col("of"), "left").select("id", F.xxhash64("g", part).alias("k")), "blocks")
+
+
+def _open(known: DataFrame) -> DataFrame:
+    """The buckets (h, rep, comp, ...) whose members are in more than one component."""
+    apart = known.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select(F.col("h").alias("bucket"))
+    return known.join(apart, F.col("h") == F.col("bucket"), "left_semi")
+
+
+def _left_apart(known: DataFrame, sets: DataFrame, classes: DataFrame, stage: Stage, threshold: int) -> DataFrame | None:
+    """Links (a, b) that the stars of known (h, hub, rep, n, comp) have missed, or None if no bucket is open."""
+    still = stage.put(_open(known), "open")
+    if still.isEmpty():
+        return None
+    # of each set, the shingles that another open class holds too: no link can have more in common
+    ids = still.select("rep").distinct()
+    mine = stage.put(sets.join(ids, F.col("id") == F.col("rep"), "left_semi"), "open-sets")
+    shingles = mine.select("id", "f1", F.explode("set").alias("t"))
+    held = stage.put(shingles.groupBy("t").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(F.col("t").alias("both")), "held")
+    common = shingles.join(stage.small(held), F.col("t") == F.col("both"), "left_semi").groupBy("id", "f1").agg(F.count("*").alias("c"))
+    sized = mine.select("id", "f1", F.size("set").alias("n")).join(common, ["id", "f1"])
+    # the largest set that one with c such shingles can be linked with
+    sized = sized.withColumn("most", F.floor(((100 + threshold) * F.col("c") - threshold * F.col("n")) / threshold)).where(100 * F.col("c") >= threshold * F.col("n"))
+    sized = stage.put(sized.select("id", "f1", "n", "most"), "sized")
+    able = sized.select(F.col("id").alias("able")).distinct()
+    still = stage.put(_open(still.join(stage.small(stage.put(able, "able")), F.col("rep") == F.col("able"), "left_semi")), "open")
+    blocks = _blocked(still.select(F.col("rep").alias("id"), "hub", "n"), stage)
+    sides = still.join(stage.small(blocks), F.col("rep") == F.col("id")).select("h", "k").distinct()
+    met = sides.join(sides.select("h", F.col("k").alias("kb")), "h").where("k <= kb").select(F.col("k").alias("ka"), "kb").distinct()
+    met = stage.put(met, "block-pairs")
+    members = still.select(F.col("rep").alias("id"), "comp").distinct().join(stage.small(blocks), "id").join(sized, "id").join(mine, ["id", "f1"])
+    members = members.join(classes.select(F.col("rep").alias("id"), "f1", "bands"), ["id", "f1"])
+    reads = met.select("ka", "kb", F.explode(F.array_distinct(F.array("ka", "kb"))).alias("k"))
+    rows = reads.join(members, "k").select("ka", "kb", "k", "id", "comp", "n", "most", "bands", "set")
+    more = stage.put(rows.groupBy("ka", "kb").applyInPandas(_across(threshold), "a long, b long"), "more")
+    stage.drop(mine)
+    return more
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, lower: bool = True) -> DataFrame:
     """Links documents whose sets of k-word shingles have a Jaccard similarity of threshold percent or more.
 
@@ -150,51 +213,48 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, lower: boo
     component_id (the smallest doc_id reachable by links, itself included) and kept (doc_id = component_id).
     Null, empty and blank texts have an empty set, link with nothing and are kept. A text of fewer than k words
     is one shingle. A null doc_id links with nothing, has a null component_id and is kept. Rows that repeat a
-    doc_id are one document, linked if any of its texts is. An empty table gives an empty result.
+    doc_id are one document: it is linked with whatever one of its texts is linked with, and all its rows have one
+    component; n_shingles is that of the row's text. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     stage = Stage(spark, "minhash")
-    docs = clean(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    docs = clean(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sketched = stage.put(docs.mapInArrow(tk.task(_sketch(k, lower)), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "sketches")
     of = ["n_shingles", "f1", "f2"]
     member = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stage.put(member.groupBy(*of).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    repeats = sketched.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(F.struct(*of)).alias("low"), F.max(F.struct(*of)).alias("high"))
+    repeats = stage.put(repeats.where("rows > 1").select(F.col("doc_id").alias("again"), (F.col("low") != F.col("high")).alias("unlike")), "repeats")
     spread = classes.select(F.explode("bands").alias("h"), "rep", F.col("n_shingles").alias("n"))
-    hubs = spread.groupBy("h").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1")
-    hubs = stage.put(hubs.select(F.col("h").alias("bucket"), "hub", "c"), "hubs")
-    bucketed = stage.put(spread.join(stage.small(hubs), F.col("h") == F.col("bucket")).select("h", "hub", "c", "rep"), "buckets")
-    # blocks of about BLOCK classes that are likely alike: a share of the bucket of a class's smallest hub
-    blocks = bucketed.groupBy("rep").agg(F.min("hub").alias("g"), F.max("c").alias("c"))
-    blocks = stage.put(blocks.select(F.col("rep").alias("id"), F.xxhash64("g", F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / BLOCK))).alias("k")), "blocks")
-    texts = stage.put(docs.select(F.col("doc_id").alias("id"), "text").join(stage.small(blocks), "id", "left_semi"), "texts")
-    confirm = (texts, stage, k, lower, threshold)
-
-    bucketed = bucketed.join(stage.small(blocks), F.col("rep") == F.col("id")).select("h", "hub", "rep", "k")
-    hub_block = stage.small(blocks).select(F.col("id").alias("a"), F.col("k").alias("ka"))
-    first = bucketed.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), F.col("k").alias("kb")).distinct()
-    first = stage.put(first.join(hub_block, "a").select("a", "ka", "b", "kb"), "pairs")
-    done = _verify(first, *confirm)
-    comps = connected_components(spark, done.where("linked"), stage)
-
-    # what the stars left apart: buckets with members in several components, compared by pairs of blocks
-    known = bucketed.join(stage.small(comps), F.col("rep") == F.col("node"), "left").select("h", "rep", "k", F.coalesce("component", "rep").alias("comp"))
-    apart = known.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select(F.col("h").alias("bucket"))
-    apart = stage.put(apart, "apart")
-    if not apart.isEmpty():
-        still = stage.put(known.join(stage.small(apart), F.col("h") == F.col("bucket")).select("h", "rep", "k", "comp"), "open")
-        sides = still.select("h", "k").distinct()
-        met = sides.join(sides.select("h", F.col("k").alias("kb")), "h").where("k <= kb").select(F.col("k").alias("ka"), "kb").distinct()
-        met = stage.put(met, "block-pairs")
-        members = still.select(F.col("rep").alias("id"), "k", "comp").distinct()
-        members = members.join(texts, "id").join(classes.select(F.col("rep").alias("id"), "bands"), "id")
-        reads = met.select("ka", "kb", F.explode(F.array_distinct(F.array("ka", "kb"))).alias("k"))
-        rows = reads.join(members, "k").select("ka", "kb", "k", "id", "comp", "bands", "text")
-        more = stage.put(rows.groupBy("ka", "kb").applyInPandas(_across(k, lower, threshold), "a long, b long"), "more")
+    hubs = spread.groupBy("h").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last")
+    hubs = stage.put(hubs.select(F.col("h").alias("bucket"), "hub"), "hubs")
+    bucketed = stage.put(spread.join(stage.small(hubs), F.col("h") == F.col("bucket")).select("h", "hub", "rep", "n"), "buckets")
+    blocks = _blocked(bucketed.select(F.col("rep").alias("id"), "hub", "n"), stage)
+    sets = docs.select(F.col("doc_id").alias("id"), "text").join(stage.small(blocks), "id", "left_semi").mapInArrow(tk.task(_sets(k, lower)), "id long, f1 long, set array<long>")
+    if not repeats.isEmpty():
+        sets = sets.groupBy("id", "f1").agg(F.first("set").alias("set"))
+    sets = stage.put(sets.where(F.size("set") > 0), "sets")
+
+    homes = stage.small(blocks).select("id", "k")
+    first = bucketed.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    first = first.join(homes.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a").join(homes.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
+    links = _verify(stage.put(first.select("a", "ka", "b", "kb"), "pairs"), sets, stage, threshold).where("linked").select("a", "b")
+    unlike = stage.put(repeats.where("unlike"), "unlike")
+    if not unlike.isEmpty():  # a document of unlike texts ties their classes together
+        tied = sketched.join(stage.small(unlike), F.col("doc_id") == F.col("again"), "left_semi").join(classes.select("rep", *of), of)
+        links = links.union(tied.select("doc_id", "rep"))
+    comps = connected_components(spark, links, stage)
+    known = bucketed.join(stage.small(comps), F.col("rep") == F.col("node"), "left").select("h", "hub", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    more = _left_apart(known, sets, classes, stage, threshold)
+    if more is not None:
         comps = connected_components(spark, more.union(comps.select("node", "component")), stage)
-    stage.drop(texts)
+    stage.drop(sets)
     named = classes.join(comps, F.col("rep") == F.col("node"), "left").select(*of, F.coalesce("component", "rep").alias("class_component"))
     named = stage.put(named, "named")
     joined = sketched.select("doc_id", *of).join(stage.small(named), of, "left")
+    if not unlike.isEmpty():  # also its blank texts
+        whole = stage.put(comps.join(unlike, F.col("node") == F.col("again"), "left_semi").select(F.col("node").alias("whole"), F.col("component").alias("whole_component")), "whole")
+        joined = joined.join(stage.small(whole), F.col("doc_id") == F.col("whole"), "left").withColumn("class_component", F.coalesce("class_component", "whole_component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
@@ -205,8 +265,9 @@ def one_per_group(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame
     Rows that repeat a kept doc_id all stay: they are one document.
     """
     stage = Stage(docs.sparkSession, "groups")
-    gone = stage.put(near_duplicates(docs, k, threshold).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(stage.small(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
+    (name,) = unused(docs, "gone")
+    gone = stage.put(near_duplicates(docs, k, threshold).where("NOT kept").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(stage.small(gone), docs["doc_id"] == F.col(name), "left_anti")
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,3 +65,15 @@ class Stage:
 def clean(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns that an operator reads, whatever else the table holds."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """For each name, one that no column of df has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        found = f"__{name}"
+        while found.lower() in taken:
+            found += "_"
+        taken.add(found.lower())
+        out.append(found)
+    return out
