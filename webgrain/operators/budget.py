@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def head_tail_segments(df: DataFrame, doc: str, ordinal: str, most: int) -> DataFrame:
-    """The first and last segments of each document, most in all, the odd one in front."""
+def marked_head_tail(df: DataFrame, doc: str, ordinal: str, most: int, name: str) -> DataFrame:
+    """Adds name: whether a segment is among the first and last of its document, most in all, the odd one in front."""
     by = Window.partitionBy(doc)
     n, k = F.count("*").over(by), F.row_number().over(by.orderBy(ordinal))
-    return df.withColumn("__n", n).withColumn("__k", k).where((F.col("__k") <= -(-most // 2)) | (F.col("__k") > F.col("__n") - most // 2)).drop("__n", "__k")
+    return df.withColumn("__n", n).withColumn("__k", k).withColumn(name, (F.col("__k") <= -(-most // 2)) | (F.col("__k") > F.col("__n") - most // 2)).drop("__n", "__k")
+
+
+def head_tail_segments(df: DataFrame, doc: str, ordinal: str, most: int) -> DataFrame:
+    """The first and last segments of each document, most in all, the odd one in front."""
+    return marked_head_tail(df, doc, ordinal, most, "__some").where("__some").drop("__some")
 
 
 def water_filled(df: DataFrame, doc: str, ordinal: str, length: str, budget: int | Column) -> DataFrame:

@@ -1,7 +1,7 @@
 """Screening of text segments for injected instructions.
 
 A segment's readings, rules and request grammar run in one Arrow function, for the segments that a JVM expression has
-marked as possible matches; severities, policy and merging are Columns.
+marked as possible matches; budgets, severities, policy, reason codes and merging are Columns.
 """
 
 from __future__ import annotations
@@ -10,21 +10,23 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as t
 from ..functions.directives import request, sentences
-from ..functions.rules import BENIGN, candidates
+from ..functions.plain import units
+from ..functions.rules import BENIGN, RULES, candidates
 from ..functions.variants import readings
-from . import policy
+from . import budget, policy
 
 FINDING = "array<struct<category string, rule string, severity string, confidence double, location string, reason string, techniques array<string>, segment_hash string>>"
 MAX_CHARACTERS = 250_000
 
 
 def matches(text: str, lines: bool = False) -> list[tuple]:
-    """(rule, steps, reading number, start, end) of all matches."""
+    """(rule, steps, reading number, start, end) of all matches, in UTF-16 units of the reading."""
     out = []
     for k, (reading, steps) in enumerate(readings(text)):
         spans = None
@@ -40,55 +42,67 @@ def matches(text: str, lines: bool = False) -> list[tuple]:
                 spans = sentences(reading) if spans is None else spans
                 at = request(reading, spans, rule.patterns[rule.action], rule.patterns[1 - rule.action], secret=rule.category == "secret_exfiltration", direct=rule.direct, lines=lines)
             if at:
-                out.append((rule, steps, k, *at))
+                out.append((rule, steps, k, *(units(reading[:x]) for x in at)))
     return out
 
 
 def findings(text: str, location: str, strict: bool, lines: bool = False) -> list[dict]:
     """One segment's findings, one for each public category and rule; the first reading's is kept."""
-    hidden, attribute = location in policy.HIDDEN_PLACES, location == "attribute"
     benign = location == "visible" and bool(BENIGN.search(text))
     mark = hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()[:16]
     out: dict[tuple, dict] = {}
     for rule, steps, k, start, end in matches(text, lines):
-        rank = policy.SEVERITIES.index(rule.severity)
-        rank = max(rank, 3) if hidden else max(rank, 2) if attribute else rank
-        rank = 3 if strict and rank == 2 and not benign else rank
-        category = "hidden_instruction" if hidden else "low_trust_attribute" if attribute else rule.category
-        sure = min(0.99, 0.72 + (0.2 if hidden else 0.1 if attribute else 0.0) - (0.2 if benign else 0.0))
-        place = f" Detected in {location} content." if hidden else ""
-        reason = f"{rule.reason}{place} Rule {rule.category}; variant {k}; UTF-16 range [{_units(start, text, k)}, {_units(end, text, k)})."
-        out.setdefault((category, rule.category), {"category": category, "rule": rule.category, "severity": policy.SEVERITIES[rank], "confidence": sure, "location": location, "reason": reason, "techniques": list(steps), "segment_hash": mark})
+        place = f" Detected in {location} content." if location in policy.HIDDEN_PLACES else ""
+        reason = f"{rule.reason}{place} Rule {rule.category}; variant {k}; UTF-16 range [{start}, {end})."
+        found = policy.placed(rule.category, rule.severity, location, benign, strict)
+        out.setdefault((found["category"], rule.category), found | {"rule": rule.category, "location": location, "reason": reason, "techniques": list(steps), "segment_hash": mark})
     if out and benign:
         out["benign_mention", ""] = {"category": "benign_mention", "rule": "", "severity": "info", "confidence": 0.7, "location": "visible", "reason": "Content appears to discuss or quote a security pattern.", "techniques": [], "segment_hash": mark}
     return list(out.values())
 
 
-def _units(at: int, text: str, k: int) -> int:
-    """A place in the k-th reading in UTF-16 code units."""
-    reading = text if text.isascii() else readings(text)[k][0]
-    return at + sum(ord(c) > 0xFFFF for c in reading[:at]) if not reading.isascii() else at
+#: Letters that look like no other in any reading; all else beyond ASCII may.
+PLAIN_LETTERS = r"\x09\x0A\x0D\x20-\x7E\u00A1\u00AB\u00BB\u00BF\u00C0-\u012F\u0134-\u013E\u0141-\u0148\u014A-\u017E\u2013\u2014\u2018-\u201D\u0410-\u044F"
 
 
-#: Some letters of every rule in plain ASCII, or anything that could hide them.
-POSSIBLE = "(?i)ignor|disreg|forget|overrid|bypass|discard|you are now|act as|pretend|role|secret|passw|token|api|credential|prompt|environment|tool|function|command|shell|terminal|browser|send|post|upload|forward|transmit|memory|procedure|skill|knowledge|profile|polic|rule|safety|guardrail|setting|cit|quot|source|reference|provenance|only|exactly|message|authorized|instruction|[^\\x09\\x0A\\x0D\\x20-\\x7E]|[%\\\\$@0-9]|[A-Za-z][._|/-][A-Za-z]|[A-Za-z+/]{16}|(?:[A-Za-z][\\t ]+){3}"
+def possible(text: Column) -> Column:
+    """Whether some rule could match some reading: never false where one does.
 
+    Without white space, delimiters and signs that stand for letters, a text holds the words of all its readings, but
+    for characters that normalise to others, escapes and encoded runs; those make a text possible by themselves.
+    """
+    bare = F.translate(F.lower(F.regexp_replace(text, r"[\s._|/\\-]+", "")), "013457@$", "oieastas")
+    rules = F.lit(False)
+    for rule in RULES:
+        every = F.lit(True)
+        for stems in rule.stems:
+            every = every & bare.rlike("|".join(s.replace(" ", "") for s in stems))
+        rules = rules | every
+    disguised = text.rlike(rf"[^{PLAIN_LETTERS}]|\\[uxUX]|%[0-9a-fA-F]{{2}}|(?<![A-Za-z])(?:[A-Za-z][\t ]+){{3}}")
+    encoded = F.regexp_replace(text, r"[._|\\-]", "").rlike("[A-Za-z0-9+/@$]{16}")
+    return F.coalesce(disguised | encoded | rules, F.lit(False))
 
-def scan(segments: DataFrame, *, strict: bool = False, text: str = "text", location: str = "location", lines: bool = False) -> DataFrame:
-    """segments with findings, an array. Null texts and those in which no rule could match have an empty one."""
-    # one scan: the JVM marks the rows that need the grammar, and Python passes the others through
-    marked = segments.withColumn("__possible", F.coalesce(F.col(text).rlike(POSSIBLE), F.lit(False)))
-    schema = T.StructType([*segments.schema.fields, T.StructField("findings", T._parse_datatype_string(FINDING))])
+
+def scan(segments: DataFrame, *, strict: bool = False, text: str = "text", location: str = "location", lines: bool | str = False, carry: list[str] | None = None) -> DataFrame:
+    """segments with findings, an array. Null texts and those in which no rule could match have an empty one.
+
+    carry: the columns that the result keeps (all, if None). lines: whether a line's end ends a clause, or a column's name.
+    """
+    carry = list(segments.columns) if carry is None else carry
+    ends = F.col(lines) if isinstance(lines, str) else F.lit(lines)
+    some = possible(F.col(text))
+    # the texts of the other rows do not go through Python, unless they are carried
+    marked = segments.select(*[F.col(f"`{c}`") for c in carry], F.when(some, F.col(text)).alias("__text"), F.col(location).alias("__place"), ends.alias("__lines"))
+    schema = T.StructType([*(segments.schema[c] for c in carry), T.StructField("findings", T._parse_datatype_string(FINDING))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
         kind = to_arrow_type(schema["findings"].dataType)
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in (text, location, "__possible"))
-            found = [findings(t, p, strict, lines) if some else [] for t, p, some in zip(*columns, strict=True)]
-            kept = [c for c in batch.schema.names if c != "__possible"]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(found, kind)], [*kept, "findings"])
+            columns = (c.to_pylist() for c in batch.columns[-3:])
+            found = [[] if x is None else findings(x, place, strict, bool(cut)) for x, place, cut in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(found, kind)], [*carry, "findings"])
 
     return marked.mapInArrow(run, schema)
 
@@ -101,3 +115,39 @@ def decided(scanned: DataFrame, keys: list[str], use: str = "answer", truncated:
     per = scanned.select(*keys, strongest.alias("s"), hidden.alias("h"), (F.col(truncated) if truncated else F.lit(False)).alias("t"), F.size(relevant).alias("n"))
     out = per.groupBy(*keys).agg(F.max("s").alias("s"), F.bool_or("h").alias("h"), F.bool_or("t").alias("t"), F.sum("n").cast("long").alias("findings"))
     return out.select(*keys, "findings", policy.named(policy.SEVERITIES, F.col("s")).alias("severity"), policy.decision(F.col("t"), F.col("s"), F.col("h"), F.lit(use)).alias("decision"))
+
+
+def budgeted(segments: DataFrame, key: str, ordinal: str, text: str = "text", most: int = MAX_CHARACTERS, segments_most: int | None = None) -> DataFrame:
+    """segments with allocation, the characters of each that are read, and the text cut to them, front and end.
+
+    All segments of an item share one budget. Beyond segments_most, only the first and last segments of an item have a share;
+    the others stay as rows, with a null text and an allocation of 0.
+    """
+    size = t.u16len(F.col(text))
+    sized = segments.withColumn("__length", F.coalesce(size, F.lit(0)))
+    if segments_most is not None:
+        sized = budget.marked_head_tail(sized, key, ordinal, segments_most, "__read")
+    else:
+        sized = sized.withColumn("__read", F.lit(True))
+    shared = budget.water_filled(sized.withColumn("__wanted", F.when(F.col("__read"), F.col("__length")).otherwise(0)), key, ordinal, "__wanted", most)
+    cut = F.when(F.col("__length") <= F.col("allocation"), F.col(text)).when(F.col("allocation") > 0, t.head_tail(F.col(text), F.col("allocation").cast("int")))
+    return shared.withColumn(text, cut).withColumnsRenamed({"__length": "length", "__read": "selected"}).drop("__wanted")
+
+
+def inspect(segments: DataFrame, key: str, *, ordinal: str = "ordinal", use: str | Column = "answer", strict: bool = False, most: int = MAX_CHARACTERS, segments_most: int | None = None) -> DataFrame:
+    """Segments (key, ordinal, location, text, truncated, lines, omitted) -> one verdict per item.
+
+    key, decision, assurance, severity, findings, reason_codes, reasons, limitations, diagnostics. The findings of an item stand in the
+    order of its segments, each (category, rule, location, hash) once. A null text counts as empty.
+    """
+    rows = budgeted(segments, key, ordinal, most=most, segments_most=segments_most)
+    kept = [key, ordinal, "truncated", "omitted", "length", "selected", "allocation"]
+    scanned = scan(rows, strict=strict, lines="lines", carry=kept)
+    found = F.sort_array(F.collect_list(F.when(F.size("findings") > 0, F.struct(F.col(ordinal).alias("o"), F.col("findings").alias("f")))))
+    cut = F.bool_or(F.col("selected") & (F.col("allocation") < F.col("length")))
+    item = scanned.groupBy(key).agg(
+        F.flatten(F.transform(found, lambda x: x["f"])).alias("f"), F.bool_or("truncated").alias("long"), F.max("omitted").alias("omitted"), F.coalesce(cut, F.lit(False)).alias("over"),
+        F.count("*").alias("segments"), F.count_if("selected").alias("picked"), F.count_if(F.col("allocation") > 0).alias("scanned"),
+        F.sum("length").alias("available"), F.sum("allocation").alias("characters"),
+    )
+    return policy.verdict(item, key, use if isinstance(use, Column) else F.lit(use), most, segments_most or 0)

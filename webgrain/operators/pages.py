@@ -1,4 +1,4 @@
-"""Captured pages to readable rows: one Arrow pass per page, everything after it in Columns."""
+"""Captured bodies to readable rows: one Arrow pass per body, everything after it in Columns."""
 
 from __future__ import annotations
 
@@ -8,35 +8,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.extract import page
+from ..functions.bodies import body
 
-PAGE = "title string, text string, markdown string, score long, truncated boolean, dynamic boolean, omitted long, segments array<struct<location string, text string, truncated boolean>>, error string"
+SEGMENT = "array<struct<location string, text string, truncated boolean, lines boolean>>"
+#: What is said of a body, with its types.
+FIELDS = {
+    "title": "string", "text": "string", "markdown": "string", "score": "long", "characters": "long", "truncated": "boolean", "excerpt": "string",
+    "dynamic": "boolean", "error": "string", "reason": "string", "omitted": "long", "segments": SEGMENT,
+}
 MAX_HTML_BYTES = 2_000_000
 
 
-def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """key, url and the page's fields. A page above the byte limit is an error row and is never parsed."""
-    rows = pages.select(F.col(key), F.col(url).alias("url"), F.col(html).alias("html"))
-    fits = F.coalesce(F.octet_length("html"), F.lit(0)) <= MAX_HTML_BYTES
-    schema = f"{key} {rows.schema[0].dataType.simpleString()}, url string, {PAGE}"
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt over the cores by its key if the scan has fewer partitions than there are cores: a small table in one
+    file would keep one core busy. A large table has more partitions than cores and is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", media_type: str | None = None, fields: list[str] | None = None, most: int = 20_000) -> DataFrame:
+    """key, url and the fields of each body; media_type is a column, without it all bodies are HTML.
+
+    A body above the byte limit is an error row and never parsed: its omitted is 1, as nothing of it was inspected. A
+    null body is an empty one. Markdown is rendered only if one of the fields needs it.
+    """
+    fields = list(fields or FIELDS)
+    renders = any(f in ("markdown", "truncated", "characters", "excerpt") for f in fields)
+    kind = F.lit("text/html") if media_type is None else F.coalesce(media_type, F.lit("text/plain"))
+    rows = pages.select(F.col(key), F.col(url).alias("url"), F.coalesce(html, F.lit("")).alias("html"), kind.alias("kind"))
+    schema = f"{key} {rows.schema[0].dataType.simpleString()}, url string, {', '.join(f'{f} {FIELDS[f]}' for f in fields)}"
+    segment = pa.list_(pa.struct([("location", pa.string()), ("text", pa.string()), ("truncated", pa.bool_()), ("lines", pa.bool_())]))
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), SEGMENT: segment}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("location", pa.string()), ("text", pa.string()), ("truncated", pa.bool_())]))
-        kinds = {"title": pa.string(), "text": pa.string(), "markdown": pa.string(), "score": pa.int64(), "truncated": pa.bool_(), "dynamic": pa.bool_(), "omitted": pa.int64(), "segments": kind, "error": pa.string()}
         for batch in batches:
-            made = [page(h or "", u or "") for h, u in zip(batch.column("html").to_pylist(), batch.column("url").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("url"), *[pa.array([m[c] for m in made], k) for c, k in kinds.items()]], [key, "url", *kinds])
+            columns = (batch.column(c).to_pylist() for c in ("html", "url", "kind"))
+            made = [body(h, k, u or "", most, renders) for h, u, k in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("url"), *[pa.array([m[f] for m in made], kinds[FIELDS[f]]) for f in fields]], [key, "url", *fields])
+
+    fits = F.octet_length("html") <= MAX_HTML_BYTES
+    fixed = {"error": F.lit("RESPONSE_TOO_LARGE"), "omitted": F.lit(1), "truncated": F.lit(False), "dynamic": F.lit(False), "segments": F.array()}
+    large = rows.where(~fits).select(key, "url", *[fixed.get(f, F.lit(None)).cast(FIELDS[f]).alias(f) for f in fields])
+    return spread(rows.where(fits), key).mapInArrow(run, schema).union(large)
+
 
-    large = rows.where(~fits).select(key, "url", *[F.lit("RESPONSE_TOO_LARGE").alias(f.split()[0]) if f.startswith("error") else F.expr(f"CAST(NULL AS {f.split(' ', 1)[1]})").alias(f.split()[0]) for f in PAGE.replace(", text string, truncated boolean>>", "|").split(", ") if "|" not in f and "segments" not in f])
-    return rows.where(fits).mapInArrow(run, schema).unionByName(large, allowMissingColumns=True)
+#: The fields that inspected() needs.
+INSPECTED = ["omitted", "segments"]
 
 
 def inspected(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """All segments of each extracted page, its title and text as the visible one first: key, ordinal, location, text, truncated.
+    """All segments of each extracted body, the visible one first: key, ordinal, location, text, truncated, lines, omitted.
 
-    The first segment of a page some of whose segments were omitted counts as truncated: its rest was not read.
+    Each body has one row at least, also one that could not be read: its text is then empty, and its omitted above 0.
     """
-    visible = F.array(F.struct(F.lit("visible").alias("location"), F.concat_ws("\n\n", "title", "text").alias("text"), F.col("truncated")))
-    rows = F.when(F.col("text").isNotNull(), F.concat(visible, "segments")).otherwise(F.col("segments"))
-    some = pages.select(key, F.col("omitted"), F.posexplode(rows).alias("ordinal", "s"))
-    return some.select(key, "ordinal", "s.location", "s.text", (F.col("s.truncated") | ((F.col("ordinal") == 0) & (F.col("omitted") > 0))).alias("truncated"))
+    nothing = F.array(F.struct(F.lit("visible").alias("location"), F.lit("").alias("text"), F.lit(False).alias("truncated"), F.lit(False).alias("lines")))
+    some = pages.select(key, F.col("omitted"), F.posexplode(F.when(F.size("segments") > 0, F.col("segments")).otherwise(nothing)).alias("ordinal", "s"))
+    return some.select(key, "ordinal", "s.location", "s.text", "s.truncated", "s.lines", "omitted")

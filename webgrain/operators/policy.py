@@ -22,16 +22,30 @@ def named(values: tuple[str, ...], c: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), c.cast("int") + 1)
 
 
+#: The least severity and the confidence by place, and what a benign mention takes off.
+LEAST_HIDDEN, LEAST_ATTRIBUTE, STRICT_FROM, STRICT_TO = 3, 2, 2, 3
+SURE, SURER_HIDDEN, SURER_ATTRIBUTE, LESS_BENIGN, MOST_SURE = 0.72, 0.2, 0.1, 0.2, 0.99
+
+
 def severity(base: Column, location: Column, benign: Column, strict: Column) -> Column:
     """A rule's severity where it was found: at least high in hidden places, medium in attributes; strict lifts medium."""
     r = rank(SEVERITIES, base)
-    r = F.when(location.isin(*HIDDEN_PLACES), F.greatest(r, F.lit(3))).when(location == "attribute", F.greatest(r, F.lit(2))).otherwise(r)
-    return named(SEVERITIES, F.when(strict & (r == 2) & ~benign, 3).otherwise(r))
+    r = F.when(location.isin(*HIDDEN_PLACES), F.greatest(r, F.lit(LEAST_HIDDEN))).when(location == "attribute", F.greatest(r, F.lit(LEAST_ATTRIBUTE))).otherwise(r)
+    return named(SEVERITIES, F.when(strict & (r == STRICT_FROM) & ~benign, STRICT_TO).otherwise(r))
 
 
 def confidence(location: Column, benign: Column) -> Column:
-    place = F.when(location.isin(*HIDDEN_PLACES), 0.2).when(location == "attribute", 0.1).otherwise(0.0)
-    return F.least(F.lit(0.99), F.lit(0.72) + place - F.when(benign, 0.2).otherwise(0.0))
+    place = F.when(location.isin(*HIDDEN_PLACES), SURER_HIDDEN).when(location == "attribute", SURER_ATTRIBUTE).otherwise(0.0)
+    return F.least(F.lit(MOST_SURE), F.lit(SURE) + place - F.when(benign, LESS_BENIGN).otherwise(0.0))
+
+
+def placed(category: str, base: str, location: str, benign: bool, strict: bool) -> dict:
+    """severity() and confidence() of one finding, for Python code, and its public category."""
+    hidden, attribute = location in HIDDEN_PLACES, location == "attribute"
+    r = max(SEVERITIES.index(base), LEAST_HIDDEN if hidden else LEAST_ATTRIBUTE if attribute else 0)
+    r = STRICT_TO if strict and r == STRICT_FROM and not benign else r
+    sure = min(MOST_SURE, SURE + (SURER_HIDDEN if hidden else SURER_ATTRIBUTE if attribute else 0.0) - (LESS_BENIGN if benign else 0.0))
+    return {"category": "hidden_instruction" if hidden else "low_trust_attribute" if attribute else category, "severity": SEVERITIES[r], "confidence": sure}
 
 
 def decision(truncated: Column, strongest: Column, hidden: Column, use: Column) -> Column:
@@ -67,13 +81,33 @@ def withheld(hits: DataFrame, query: str, *, decided: str = "decision") -> DataF
     )
 
 
-#: Reason codes, in their order.
+#: Reason codes, in their order, and what a verdict says.
 REASON_CODES = ("PATTERN_DETECTED", "SEGMENT_COUNT_LIMIT", "CHARACTER_BUDGET_LIMIT", "SEGMENT_TEXT_LIMIT", "SEGMENT_COLLECTION_LIMIT", "INSPECTION_INCOMPLETE", "ADDITIONAL_GUARD_RESTRICTION")
+REASONS = (
+    ("cut_chain", "Truncated inspection cannot authorize another tool action."),
+    ("cut", "Inspection limits were reached before all untrusted content was examined."),
+    ("high_chain", "High-severity untrusted content cannot initiate another tool action."),
+    ("high", "High-severity or hidden instructions require explicit approval."),
+    ("some", "Potential instructions were found in untrusted content."),
+    ("none", "No known injection pattern was detected; content remains untrusted."),
+)
+LIMITATIONS = (
+    "No finding is not proof of safety.",
+    "External stylesheets and computed CSS visibility are not evaluated.",
+    "Heuristic rules cannot detect every semantic prompt injection.",
+)
+CUT_LIMITATION = "Inspection limits truncated part of the content."
+CUT_REASONS = (
+    "One or more content segments exceeded the per-segment inspection limit.",
+    "The content contained more segments than the inspection limit.",
+    "The content exceeded the total character inspection limit.",
+)
+MOST_DIAGNOSTICS = 8
 
 
 def ordered_codes(codes: Column) -> Column:
     """The known codes among an array's, each once and in their order."""
-    return F.filter(F.array(*map(F.lit, REASON_CODES)), lambda c: F.array_contains(codes, c))
+    return F.array_intersect(F.array(*map(F.lit, REASON_CODES)), codes)
 
 
 def reason_codes(pattern: Column, count: Column, budget: Column, text: Column, collection: Column, truncated: Column) -> Column:
@@ -82,6 +116,68 @@ def reason_codes(pattern: Column, count: Column, budget: Column, text: Column, c
     return F.array_compact(F.array(*[F.when(f, c) for f, c in zip(flags, REASON_CODES, strict=False)]))
 
 
+def distinct_findings(findings: Column) -> Column:
+    """The first finding of each category, rule, location and segment."""
+    name = lambda x: F.concat_ws(":", x["category"], x["rule"], x["location"], x["segment_hash"])
+    return F.filter(findings, lambda x, i: F.array_position(F.transform(findings, name), name(x)) == i + 1)
+
+
+def verdict(item: DataFrame, key: str, use: Column, characters_most: int, segments_most: int) -> DataFrame:
+    """A scanned item (f: findings, long, omitted, over, segments, picked, scanned, available, characters) -> its verdict."""
+    item = item.withColumn("f", distinct_findings(F.col("f"))).withColumn("use", use)
+    relevant = F.filter("f", lambda x: x["category"] != "benign_mention")
+    strongest = F.coalesce(F.array_max(F.transform(relevant, lambda x: rank(SEVERITIES, x["severity"]))), F.lit(0))
+    hidden = F.exists(relevant, lambda x: x["location"].isin(*HIDDEN_PLACES, "attribute"))
+    few, left = F.col("picked") < F.col("segments"), F.col("omitted") > 0
+    cut, chains, known = F.col("long") | few | F.col("over") | left, F.col("use").isin(*CHAINING_USES), dict(REASONS)
+    reason = (
+        F.when(cut & chains, known["cut_chain"]).when(cut, known["cut"]).when((strongest >= 3) & chains, known["high_chain"])
+        .when((strongest >= 3) | (hidden & (strongest >= 2)), known["high"]).when(strongest >= 1, known["some"]).otherwise(known["none"])
+    )
+    collected = F.when(left, F.concat(F.col("omitted").cast("string"), F.lit(" content segment(s) were omitted by the collection limit.")))
+    why = [F.when(flag, text) for flag, text in zip((F.col("long"), few, F.col("over")), CUT_REASONS, strict=True)]
+    limits = F.array_compact(F.array(*map(F.lit, LIMITATIONS), F.when(cut, CUT_LIMITATION), *why, collected))
+    counts = {"segment_count": "segments", "selected_segment_count": "picked", "scanned_segment_count": "scanned", "available_characters": "available", "scanned_characters": "characters"}
+    said = [F.lit("content").alias("stage"), *[F.col(c).cast("long").alias(n) for n, c in counts.items()]]
+    said += [F.lit(segments_most).cast("long").alias("max_segments"), F.lit(characters_most).cast("long").alias("max_characters"), F.col("omitted").cast("long").alias("omitted_segments")]
+    return item.select(
+        key, decision(cut, strongest, hidden, F.col("use")).alias("decision"), F.lit("low").alias("assurance"), named(SEVERITIES, strongest).alias("severity"), F.col("f").alias("findings"),
+        reason_codes(F.size(relevant) > 0, few, F.col("over"), F.col("long"), left, F.lit(False)).alias("reason_codes"),
+        F.array(reason).alias("reasons"), limits.alias("limitations"), F.array(F.struct(*said)).alias("diagnostics"),
+    )
+
+
+def merged_verdicts(verdicts: DataFrame, *keys: str, ordinal: str = "ordinal") -> DataFrame:
+    """Verdicts of several inspections of one item -> one: the strictest decision, the weakest assurance, all findings in
+    the order of the inspections, reasons and limitations each once, codes in their order, the first diagnostics."""
+    fields = ("findings", "reasons", "limitations", "reason_codes", "diagnostics")
+    one = F.sort_array(F.collect_list(F.struct(F.col(ordinal).alias("o"), *fields)))
+    each = lambda c, name: F.flatten(F.transform(c, lambda x: F.coalesce(x[name], F.expr("array()"))))
+    some = verdicts.groupBy(*keys).agg(
+        named(DECISIONS, F.max(rank(DECISIONS, F.col("decision")))).alias("decision"), named(ASSURANCES, F.min(rank(ASSURANCES, F.col("assurance")))).alias("assurance"), one.alias("v"),
+    )
+    v = F.col("v")
+    return some.select(
+        *keys, "decision", "assurance", each(v, "findings").alias("findings"), F.array_distinct(each(v, "reasons")).alias("reasons"), F.array_distinct(each(v, "limitations")).alias("limitations"),
+        ordered_codes(each(v, "reason_codes")).alias("reason_codes"), F.slice(each(v, "diagnostics"), 1, MOST_DIAGNOSTICS).alias("diagnostics"),
+    )
+
+
+def restricted(verdicts: DataFrame, additional: DataFrame, *keys: str) -> DataFrame:
+    """Verdicts with the result of an additional guard (keys, decision, and reasons, an array): it never weakens one.
+
+    An item that the additional guard makes stricter gets its decision, its reasons and the code of a restriction; one
+    that it says nothing about stays as it is.
+    """
+    more = additional.select(*keys, F.col("decision").alias("__decision"), F.coalesce("reasons", F.array().cast("array<string>")).alias("__reasons"))
+    both = verdicts.join(more, list(keys), "left")
+    stricter = F.coalesce(rank(DECISIONS, F.col("__decision")) > rank(DECISIONS, F.col("decision")), F.lit(False))
+    codes = ordered_codes(F.when(stricter, F.array_append("reason_codes", F.lit(REASON_CODES[-1]))).otherwise(F.col("reason_codes")))
+    reasons = F.array_distinct(F.concat("reasons", F.coalesce("__reasons", F.array().cast("array<string>"))))
+    changed = {"decision": F.when(stricter, F.col("__decision")).otherwise(F.col("decision")), "reason_codes": codes, "reasons": reasons}
+    return both.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in verdicts.columns])
+
+
 def judged(contract_failures: Column, goal: Column, scores: Column, results: Column, goal_policy: Column) -> Column:
     """failed > inconclusive > passed; scores: answer, groundedness, safety and two more; results: of the criteria."""
     low = F.when(goal_policy, ~F.coalesce(goal, F.lit(False)) | F.exists(F.slice(scores, 1, 3), lambda s: s < 3)).otherwise(F.exists(scores, lambda s: s < 3))

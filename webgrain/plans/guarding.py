@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import budget, guard, policy
+from ..operators.pages import spread
 from .registry import query
 
 USES = ("answer", "summarize", "search_more", "call_readonly_tool", "quote")
@@ -21,24 +22,40 @@ def _sql_pick(values, c):
 @query(None)
 def guard_decisions(spark, read):
     """Plain text -> readings -> rules -> policy; a decision for each document that is long enough to read."""
-    docs = read("documents").select("doc_id", t.plain_text(F.col("text")).alias("text"), F.lit("visible").alias("location"))
+    docs = spread(read("documents").select("doc_id", "text"), "doc_id").select("doc_id", t.plain_text(F.col("text")).alias("text"), F.lit("visible").alias("location"))
     long = docs.where(t.u16len(F.col("text")) >= 20).withColumn("cut", t.u16len(F.col("text")) > guard.MAX_CHARACTERS)
     long = long.withColumn("text", t.head_tail(F.col("text"), guard.MAX_CHARACTERS))
-    return guard.decided(guard.scan(long), ["doc_id"], truncated="cut")
+    return guard.decided(guard.scan(long, carry=["doc_id", "cut"]), ["doc_id"], truncated="cut")
 
 
 @query(None)
 def guard_conversations(spark, read):
-    """Each turn is a segment; the conversation gets the strictest decision."""
-    turns = read("conversations").select("conv_id", F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("role") == "system", "meta").otherwise("visible").alias("location"))
-    return guard.decided(guard.scan(turns), ["conv_id"], use="search_more")
+    """Each turn is a segment; the conversation gets one verdict under one budget."""
+    turns = read("conversations").select(
+        "conv_id", F.col("turn").alias("ordinal"), F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("role") == "system", "meta").otherwise("visible").alias("location"),
+        F.lit(False).alias("truncated"), F.lit(True).alias("lines"), F.lit(0).alias("omitted"),
+    )
+    out = guard.inspect(turns, "conv_id", use="search_more", most=4000, segments_most=64)
+    return out.select("conv_id", "decision", "severity", F.size("findings").alias("findings"), "reason_codes", F.col("diagnostics")[0].alias("diagnostics"))
+
+
+_SIZES = "SELECT conv_id, turn, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS bytes, length(coalesce(text, '')) AS len, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations"
+
+
+@query(f"""SELECT conv_id, CAST(max(n) AS BIGINT) AS segment_count, CAST(sum(len) AS BIGINT) AS available_characters, CAST(least(900, sum(len)) AS BIGINT) AS scanned_characters,
+    sum(len) > 900 AS over_budget FROM ({_SIZES}) GROUP BY conv_id""")
+def scan_diagnostics(spark, read):
+    """What a scan under a budget of 900 characters says of its coverage."""
+    turns = read("conversations").select("conv_id", F.col("turn").alias("ordinal"), F.coalesce("text", F.lit("")).alias("text"), F.lit("visible").alias("location"), F.lit(False).alias("truncated"), F.lit(False).alias("lines"), F.lit(0).alias("omitted"))
+    d = guard.inspect(turns, "conv_id", most=900).select("conv_id", F.col("diagnostics")[0].alias("d"), F.array_contains("reason_codes", "CHARACTER_BUDGET_LIMIT").alias("over_budget"))
+    return d.select("conv_id", "d.segment_count", "d.available_characters", "d.scanned_characters", "over_budget")
 
 
 @query(None)
 def guard_findings(spark, read):
     """Findings by category and severity."""
-    docs = read("documents").select("doc_id", "text", F.lit("visible").alias("location"))
-    found = guard.scan(docs, strict=True).select("doc_id", F.explode("findings").alias("f"))
+    docs = spread(read("documents").select("doc_id", "text"), "doc_id").withColumn("location", F.lit("visible"))
+    found = guard.scan(docs, strict=True, carry=["doc_id"]).select("doc_id", F.explode("findings").alias("f"))
     return found.groupBy("f.category", "f.severity").agg(F.count("*").alias("findings"), F.countDistinct("doc_id").alias("documents"))
 
 
