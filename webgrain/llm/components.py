@@ -1,6 +1,6 @@
 """Connected components by alternating large and small stars.
 
-Each task first contracts its own edges. What is left is united by one task if its written size is within a bound;
+Each task first contracts its own edges. What is left is united by one task if its edges are within a bound;
 beyond it, rounds rewrite the edges so that nodes point at smaller ones: only aggregates with map-side combining and
 joins whose two sides are plain exchanges (which adaptive execution splits when a hub is hot) take part, and
 every round is cut from its lineage in the shared folder. Nothing is collected but two sums per round.
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .staging import Stage
 
 
-#: Edges of at most that many bytes on disk (some hundred thousand) are united by one task.
-ONE_TASK_BYTES = 4 << 20
+#: That many edges at most are united by one task, which holds a few hundred bytes for each.
+ONE_TASK_EDGES = 1 << 19
 
 
 class _Forest:
@@ -61,14 +61,14 @@ def _united(parts):
     yield pd.DataFrame({"node": nodes, "component": [forest.find(x) for x in nodes]}, dtype="int64")
 
 
-def connected_components(spark: SparkSession, edges: DataFrame, stage: Stage, one_task_bytes: int = ONE_TASK_BYTES) -> DataFrame:
+def connected_components(spark: SparkSession, edges: DataFrame, stage: Stage, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """edges (a long, b long) -> staged (node long, component long): the smallest node reachable, for nodes with an edge.
 
     Null ends and loops are ignored; repeated edges count once. An empty table gives an empty one.
     """
     pair = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a != b")
     now = stage.put(pair.mapInPandas(_local, "a long, b long"), "edges")
-    if stage.bytes(now) <= one_task_bytes:
+    if now.count() <= one_task:
         stars = now.coalesce(1).mapInPandas(_united, "node long, component long")
         return stage.put(stars, "components")
     last = None

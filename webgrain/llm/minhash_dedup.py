@@ -7,12 +7,12 @@
    edges from the hub to the others, so a bucket of n classes gives n - 1 of them.
 3. Candidates are confirmed on the full sets, by pairs of blocks of about BLOCK shingles, so that a hot hub's
    members are dealt over many tasks and a set is read once for all its pairs with a block.
-4. A member that its hub refuses may still be linked to another member. Of buckets whose members are in more than
-   one component, each set's shingles that no other open class holds are counted: a link can have none of them, which
-   bounds the similarity and the size of what the set can be linked with, so most members need no
-   comparison. The others go on by pairs of blocks: a task compares those sets that share a bucket, that the bounds
-   allow, until each is in one component with those it is linked to. No pair of documents ever becomes a row, pairs
-   within a component are not compared, and no member is left out.
+4. A member that its hub refuses may still be linked to another member. Buckets whose members are in more than one
+   component go on: a task reads two of their blocks and compares the sets that share a bucket until each is in one
+   component with those it is linked to. In a hot group, of more than one block, each set's shingles that no other
+   class of its buckets holds are counted first: a link can have none of them, which bounds the similarity and the
+   size of what the set can be linked with, so that most members need no comparison. No pair of documents ever
+   becomes a row, pairs within a component are not compared, and no member is left out.
 
 Two sets at the threshold 0.8 share none of the 32 bands of 4 with a probability of (1 - 0.8**4)**32 = 5e-8.
 """
@@ -159,15 +159,16 @@ def _verify(pairs: DataFrame, sets: DataFrame, stage: Stage, threshold: int) ->
 
 
 def _blocked(members: DataFrame, stage: Stage) -> DataFrame:
-    """members (id, hub, n), a row per bucket -> staged (id, k): blocks of about BLOCK shingles, likely alike.
+    """members (id, hub, n), a row per bucket -> staged (id, k, hot): blocks of about BLOCK shingles, likely alike.
 
-    A block is a share of the classes whose smallest hub is the same one.
+    A block is a share of the classes whose smallest hub is the same one; those of a hub with several blocks are hot.
     """
     owned = stage.put(members.groupBy("id").agg(F.min("hub").alias("g"), F.max("n").alias("n")), "owned")
     loads = owned.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
     loads = stage.put(loads.where("parts > 1").select(F.col("g").alias("of"), "parts"), "loads")
-    part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))
-    return stage.put(owned.join(stage.small(loads), F.col("g") == F.col("of"), "left").select("id", F.xxhash64("g", part).alias("k")), "blocks")
+    parts = F.coalesce("parts", F.lit(1))
+    found = owned.join(stage.small(loads), F.col("g") == F.col("of"), "left")
+    return stage.put(found.select("id", F.xxhash64("g", F.pmod(F.xxhash64("id"), parts)).alias("k"), (parts > 1).alias("hot")), "blocks")
 
 
 def _open(known: DataFrame) -> DataFrame:
@@ -176,34 +177,48 @@ def _open(known: DataFrame) -> DataFrame:
     return known.join(apart, F.col("h") == F.col("bucket"), "left_semi")
 
 
+def _bounded(still: DataFrame, blocks: DataFrame, sets: DataFrame, stage: Stage, threshold: int) -> DataFrame:
+    """Of the sets in hot blocks: staged (id, f1, most, dead).
+
+    A set's shingles that another class of its buckets holds too are counted: no link can have more in common. So
+    most is the size of the largest set that it can be linked with, and dead says that there can be none.
+    """
+    hot = stage.small(stage.put(blocks.where("hot").select(F.col("id").alias("hot_id")), "hot"))
+    met = still.join(hot, F.col("rep") == F.col("hot_id"), "left_semi").select(F.col("h").alias("bucket")).distinct()
+    near = still.join(met, F.col("h") == F.col("bucket"), "left_semi").select("rep").distinct()
+    mine = sets.join(near, F.col("id") == F.col("rep"), "left_semi")
+    shingles = stage.put(mine.select("id", "f1", F.explode("set").alias("t")), "shingles")
+    held = shingles.groupBy("t").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(F.col("t").alias("both"))
+    asked = shingles.join(hot, F.col("id") == F.col("hot_id"), "left_semi")
+    common = asked.join(held, F.col("t") == F.col("both"), "left").groupBy("id", "f1").agg(F.count("*").alias("n"), F.count("both").alias("c"))
+    most = F.floor(((100 + threshold) * F.col("c") - threshold * F.col("n")) / threshold)
+    bounds = stage.put(common.select("id", "f1", most.alias("most"), (100 * F.col("c") < threshold * F.col("n")).alias("dead")), "bounds")
+    stage.drop(shingles)
+    return bounds
+
+
 def _left_apart(known: DataFrame, sets: DataFrame, classes: DataFrame, stage: Stage, threshold: int) -> DataFrame | None:
     """Links (a, b) that the stars of known (h, hub, rep, n, comp) have missed, or None if no bucket is open."""
     still = stage.put(_open(known), "open")
     if still.isEmpty():
         return None
-    # of each set, the shingles that another open class holds too: no link can have more in common
-    ids = still.select("rep").distinct()
-    mine = stage.put(sets.join(ids, F.col("id") == F.col("rep"), "left_semi"), "open-sets")
-    shingles = mine.select("id", "f1", F.explode("set").alias("t"))
-    held = stage.put(shingles.groupBy("t").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(F.col("t").alias("both")), "held")
-    common = shingles.join(stage.small(held), F.col("t") == F.col("both"), "left_semi").groupBy("id", "f1").agg(F.count("*").alias("c"))
-    sized = mine.select("id", "f1", F.size("set").alias("n")).join(common, ["id", "f1"])
-    # the largest set that one with c such shingles can be linked with
-    sized = sized.withColumn("most", F.floor(((100 + threshold) * F.col("c") - threshold * F.col("n")) / threshold)).where(100 * F.col("c") >= threshold * F.col("n"))
-    sized = stage.put(sized.select("id", "f1", "n", "most"), "sized")
-    able = sized.select(F.col("id").alias("able")).distinct()
-    still = stage.put(_open(still.join(stage.small(stage.put(able, "able")), F.col("rep") == F.col("able"), "left_semi")), "open")
     blocks = _blocked(still.select(F.col("rep").alias("id"), "hub", "n"), stage)
-    sides = still.join(stage.small(blocks), F.col("rep") == F.col("id")).select("h", "k").distinct()
+    mine = sets.withColumn("most", F.lit(1 << 40))
+    if not blocks.where("hot").isEmpty():
+        bounds = _bounded(still, blocks, sets, stage, threshold)
+        mine = sets.join(stage.small(bounds), ["id", "f1"], "left").where("NOT coalesce(dead, false)").select("id", "f1", "set", F.coalesce("most", F.lit(1 << 40)).alias("most"))
+        alive = stage.put(bounds.groupBy("id").agg(F.bool_and("dead").alias("gone")).where("gone").select(F.col("id").alias("gone_id")), "gone")
+        still = stage.put(_open(still.join(stage.small(alive), F.col("rep") == F.col("gone_id"), "left_anti")), "open")
+        blocks = _blocked(still.select(F.col("rep").alias("id"), "hub", "n"), stage)
+    homes = stage.small(blocks).select("id", "k")
+    sides = still.join(homes, F.col("rep") == F.col("id")).select("h", "k").distinct()
     met = sides.join(sides.select("h", F.col("k").alias("kb")), "h").where("k <= kb").select(F.col("k").alias("ka"), "kb").distinct()
     met = stage.put(met, "block-pairs")
-    members = still.select(F.col("rep").alias("id"), "comp").distinct().join(stage.small(blocks), "id").join(sized, "id").join(mine, ["id", "f1"])
+    members = still.select(F.col("rep").alias("id"), "comp").distinct().join(homes, "id").join(mine, "id")
     members = members.join(classes.select(F.col("rep").alias("id"), "f1", "bands"), ["id", "f1"])
     reads = met.select("ka", "kb", F.explode(F.array_distinct(F.array("ka", "kb"))).alias("k"))
-    rows = reads.join(members, "k").select("ka", "kb", "k", "id", "comp", "n", "most", "bands", "set")
-    more = stage.put(rows.groupBy("ka", "kb").applyInPandas(_across(threshold), "a long, b long"), "more")
-    stage.drop(mine)
-    return more
+    rows = reads.join(members, "k").select("ka", "kb", "k", "id", "comp", F.size("set").alias("n"), "most", "bands", "set")
+    return stage.put(rows.groupBy("ka", "kb").applyInPandas(_across(threshold), "a long, b long"), "more")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, lower: bool = True) -> DataFrame:

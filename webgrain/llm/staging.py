@@ -7,16 +7,21 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: A side is broadcast only if its file on the shared folder is at most this large.
-BROADCAST_BYTES = 16 << 20
+#: A side is broadcast only if its rows take at most about that many bytes in memory.
+BROADCAST_BYTES = 64 << 20
+_FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset, a folder of this process's own."""
+    """spark.checkpoint.dir of the session. Where it is unset, a local session gets a folder of this process's own;
+    on a cluster no folder of one machine would do, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='webgrain-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -49,6 +54,7 @@ class Stage:
         return out
 
     def bytes(self, df: DataFrame) -> int:
+        """Bytes of a staged table's files."""
         fs, path = _fs(self.spark, df._stage_path)
         return fs.getContentSummary(path).getLength()
 
@@ -57,9 +63,16 @@ class Stage:
             fs, path = _fs(self.spark, df._stage_path)
             fs.delete(path, True)
 
+    def in_memory(self, df: DataFrame) -> int:
+        """About how many bytes a staged table's rows take in memory: 8 for each fixed value, and for texts and arrays
+        what the files hold, four times over."""
+        files = self.bytes(df)
+        fixed = sum(isinstance(f.dataType, _FIXED) for f in df.schema)
+        return self.spark.read.schema(df.schema).parquet(df._stage_path).count() * (32 + 8 * fixed + 16 * (len(df.schema) - fixed)) + (4 * files if fixed < len(df.schema) else 0)
+
     def small(self, df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-        """df with a broadcast hint if its written size is within the bound; beyond it, Spark shuffles."""
-        return F.broadcast(df) if self.bytes(df) <= most else df
+        """df with a broadcast hint if its rows are within the bound; beyond it, Spark shuffles."""
+        return F.broadcast(df) if self.bytes(df) <= most and self.in_memory(df) <= most else df
 
 
 def clean(df: DataFrame, *names: str) -> DataFrame:
