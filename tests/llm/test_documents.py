@@ -222,21 +222,26 @@ def test_best_fit_takes_the_tightest_window():
 
 
 def test_token_files(spark, docs, rows, expected_ids, none):
-    got = token_files.read_documents(token_files.write_shards(docs, Stage(spark, "test"), shard_tokens=2000)).collect()
+    stage = Stage(spark, "test")
+    got = token_files.read_documents(token_files.write_shards(docs, stage, shard_tokens=2000), stage).collect()
     assert len(got) == len(rows)
     at = 0
     for r in sorted(got, key=lambda r: (r.doc_id, r.start)):
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(expected_ids[r.doc_id]), zlib.crc32(raw(expected_ids[r.doc_id])))
         at += r.n_tokens
-    assert token_files.read_documents(token_files.write_shards(none, Stage(spark, "test"))).count() == 0
+    assert token_files.read_documents(token_files.write_shards(none, stage), stage).count() == 0
 
 
 @pytest.mark.parametrize("top", [1, 2, 500, 49408, 70000])
-def test_wavelet_matrix(top):
+def test_wavelet_matrix(top, monkeypatch):
     import numpy as np
 
+    monkeypatch.setattr(token_files, "BLOCK", 1 << 10)  # three blocks of a plane
     ids = np.random.default_rng(top).zipf(1.3, 3000) % top
-    shard = token_files.TokenShard.from_bytes(token_files.TokenShard.build([7, None], np.array([1000, 2000]), ids).to_bytes())
+    raw, asked = token_files.TokenShard.write([7, None], np.array([1000, 2000]), ids), []
+    shard = token_files.TokenShard.open(lambda at, n: asked.append(n) or raw[at : at + n])
+    asked.clear()
+    assert shard.token(1, 1500) == ids[2500] and len(asked) <= len(shard.matrix.planes)  # a block of each plane
     assert shard.docs == [7, None]
     assert shard.ids().tolist() == ids.tolist()
     for at in (0, 1, 511, 512, 999):
@@ -354,7 +359,44 @@ def test_sharding_of_one_hot_id(spark):
     pages = defaultdict(int)
     for r in out:
         pages[r["__shard"], r["__page"]] += r["__bytes"]
-    assert len(out) == 51 and max(pages.values()) <= 1000 + 102
+    assert len(out) == 51 and max(pages.values()) <= 1000
+    large = sharding.shard(docs.unionByName(docs.selectExpr("doc_id", "repeat(text, 30) AS text")).repartition(4), limit=1000).collect()
+    pages = defaultdict(list)
+    for r in large:
+        pages[r["__shard"], r["__page"]].append(r["__bytes"])
+    assert len(large) == 102 and all(sum(p) <= 1000 or len(p) == 1 for p in pages.values())
+
+
+def test_written_shards(spark, docs, rows, tmp_path):
+    sharding.write_sharded(docs.drop("sequence_id", "n", "a.b"), f"{tmp_path}/out", limit=6000)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted((r.doc_id, r.text or "") for r in back.collect()) == sorted((r[0], r[1] or "") for r in rows)
+    files = list((tmp_path / "out").glob("*/*/*.parquet"))
+    assert len(files) == back.select("__shard", "__page").distinct().count() > 3
+
+
+def test_clashing_names(spark, rows):
+    names = ["__h", "__size", "__times", "__lang_pred", "__copy", "__gone", "__n_words", "__shard", "__page", "C0", "text2", "size", "source_size", "draw"]
+    clash = spark.createDataFrame([(*r[:5], *range(len(names))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    for step in (minhash_dedup.one_per_group, mixing.mixed, language_id.recognised, substring_dedup.without_repeats):
+        out = step(clash)
+        assert out.columns == clash.columns and out.count() > 0, step
+    assert len(set(sharding.shard(clash).columns)) == len(clash.columns) + 5
+    assert sharding.shard(clash).count() == mixing.mix(clash).count() == len(rows)
+
+
+def test_very_long_texts():
+    import numpy as np
+
+    text = "Été à la mer, 漢字 and more. " * 50_000
+    columns, counts = language_id.grams(text)
+    assert int(counts.sum()) == 3 * (len(" ".join(text.lower().split())) + 2) - 3
+    whole, language_id.STEP = language_id.STEP, 1000
+    try:
+        again = language_id.grams(text[:5000])
+    finally:
+        language_id.STEP = whole
+    assert all(np.array_equal(a, b) for a, b in zip(again, language_id.grams(text[:5000]), strict=True))
 
 
 CONTROL = ["\\", "<turn>", "</turn>", "</role>", "###", " ", "\n", "a", ": ", "<turn> ### ", " </turn>\n", " </role> ", "é😀"]
@@ -368,10 +410,13 @@ def test_chat_round_trip_of_hostile_texts():
         assert [x[:2] for x in chat.parse_turns(made)] == turns
 
 
-def test_chat_format(spark):
+@pytest.mark.parametrize("piece", [1 << 20, 8])
+def test_chat_format(spark, piece):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "\\### Assistant: </turn> ok"), (1, 2, "assistant", None), (2, None, None, "x"), (2, 0, "assistant", "😀é"), (2, 0, "assistant", "😀é"), (None, 1, "user", "a")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", chat.F.lit("clash"))
-    got = {r.conv_id: r for r in chat.read_back(chat.format_turns(df)).collect()}
+    written = chat.write_conversations(chat.format_turns(df), Stage(spark, "test"), piece)
+    assert written.count() == (3 if piece > 8 else 7)
+    got = {r.conv_id: r for r in chat.read_conversations(written).collect()}
     want = {1: [("user", "hi"), ("assistant", rows[1][3]), ("assistant", "")], 2: [("", "x"), ("assistant", "😀é"), ("assistant", "😀é")], None: [("user", "a")]}
     assert set(got) == set(want)
     for c, turns in want.items():
@@ -380,11 +425,27 @@ def test_chat_format(spark):
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert got[c].formatted_chars == sum(len(chat.format_turn(*t)) for t in turns)
-    assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
+    assert chat.read_conversations(chat.write_conversations(chat.format_turns(df.limit(0)), Stage(spark, "test"))).count() == 0
     made = chat.format_turn("assistant", rows[1][3])
     assert [chat.unescape(made[a:b]) for a, b in chat.loss_spans(made)] == [rows[1][3]]
 
 
+def test_written_conversations_are_parsed_whatever_the_pieces():
+    turns = [("user", "a </turn> b " * 40), ("assistant", "\\### x"), ("assistant", "")]
+    made = "".join(chat.format_turn(*t) for t in turns)
+    rows = set()
+    for size in (1, 2, 7, 50, 10_000):
+        reader = chat.Reader(5)
+        for a in range(0, len(made), size):
+            reader.feed(made[a : a + size])
+        rows.add(reader.done(3))
+    assert len(rows) == 1 and rows.pop()[1] == 3
+    reader = chat.Reader(5)
+    reader.feed(made[:-1])
+    with pytest.raises(ValueError, match="came back"):
+        reader.done(3)
+
+
 def test_encoder_equals_plain_encodes(rows):
     import numpy as np
     import pyarrow as pa

@@ -139,6 +139,42 @@ def test_vector_dedup_across_shards(spark, kind, passes, monkeypatch):
     assert got[0].audit_recall == 1.0
 
 
+def test_hot_shards_are_dealt_again(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "SHARD", 25)
+    monkeypatch.setattr(vector_dedup, "MAX_CENTROIDS", 2)
+    monkeypatch.setattr(vector_dedup, "PASSES", vector_dedup.PASSES[:1])
+    cut, sizes = vector_dedup._cut_hot, []
+
+    def seen(dealt, stage, overlap):
+        out = cut(dealt, stage, overlap)
+        sizes.append((dealt.select("shard").distinct().count(), out.select("shard").distinct().count(), out.where("home").count()))
+        return out
+
+    monkeypatch.setattr(vector_dedup, "_cut_hot", seen)
+    rows = dense("ball")
+    links, comps = brute(rows, 0.93)
+    got = vector_dedup.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {k: (links[k], comps[k]) for k in links}
+    assert sizes[0][0] < sizes[0][1] and sizes[0][2] == len(rows)
+
+
+def test_links_are_symmetric_and_counted():
+    rng = np.random.default_rng(5)
+    for n in (1, 9, 300):
+        found = rng.random((n, n)) < 2 / n
+        np.fill_diagonal(found, False)
+        links = vector_dedup.Links(n)
+        for a in range(0, n, 256):
+            links.add(a, found[a : a + 256])
+        both, weight = found | found.T, rng.integers(1, 5, n)
+        assert links.weights(n, weight).tolist() == (both @ weight).tolist()
+        names = rng.permutation(n) + 100
+        group = names.copy()
+        for _ in range(n):
+            group = np.array([min([group[i], *group[both[i]]]) for i in range(n)])
+        assert links.groups(names).tolist() == group.tolist()
+
+
 def test_graph_finds_the_range():
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(size=(300, 32)), rng.normal(size=32) + rng.normal(size=(200, 32)) * 0.1])

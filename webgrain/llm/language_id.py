@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as tk
-from .staging import Stage, clean
+from .staging import Stage, clean, unused
 
 FEATURES = 1 << 15
 #: Documents that teach, about: the bound of the sample, split evenly over the languages.
 SAMPLE = 6000
+#: Languages that are learned: those with the most documents, if the column holds more.
+LANGUAGES = 512
 CALIBRATION = 5  # every fifth document of the sample calibrates
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.5, 0.1
@@ -30,18 +32,22 @@ U = np.uint64
 _MULT = tk.mix(np.arange(3, dtype=U), 91) | U(1)
 
 
+STEP = 1 << 20  # characters whose n-grams are made at a time
+
+
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Columns and counts of a text's character n-grams; white space runs count as one blank."""
-    chars = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-32-le", "replace"), np.uint32).astype(U)
-    found, total = [], np.zeros(len(chars), U)
-    for k in range(3):
-        if len(chars) <= k:
-            break
-        total = total[: len(chars) - k] + (chars[k:] + U(1)) * _MULT[k]
-        h = total ^ (total >> U(29))
-        found.append(((h * U(0xBF58476D1CE4E5B9)) >> U(64 - 15)).astype(np.int32))
-    counts = np.bincount(np.concatenate(found), minlength=FEATURES)
-    columns = np.flatnonzero(counts > 0)
+    """Columns and counts of a text's character n-grams; white space runs count as one blank. Long texts go by steps."""
+    text = " " + " ".join(text.lower().split()) + " "
+    counts = np.zeros(FEATURES, np.int64)
+    for a in range(0, len(text), STEP):
+        chars = np.frombuffer(text[a : a + STEP + 2].encode("utf-32-le", "replace"), np.uint32).astype(U)
+        total = np.zeros(len(chars), U)
+        for k in range(min(3, len(chars))):
+            total = total[: len(chars) - k] + (chars[k:] + U(1)) * _MULT[k]
+            h = total ^ (total >> U(29))
+            # those that begin beyond the step belong to the next one
+            counts += np.bincount(((h[:STEP] * U(0xBF58476D1CE4E5B9)) >> U(64 - 15)).astype(np.int32), minlength=FEATURES)
+    columns = np.flatnonzero(counts)
     return columns, counts[columns]
 
 
@@ -147,7 +153,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     stage = Stage(spark, "language")
     docs = clean(docs, "doc_id", "text", "lang").where("lang IS NOT NULL")
     draw = F.xxhash64("doc_id", F.lit(23))
-    sizes = {r[0]: r[1] for r in docs.groupBy("lang").count().collect()}
+    sizes = {r[0]: r[1] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return Model([], np.zeros(FEATURES), np.zeros((FEATURES, 0)), 1.0)
     each = max(1, sample // len(sizes))
@@ -175,7 +181,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with __lang_pred and __lang_score. A null text or one without a letter is und, with score 0."""
+    """docs with __lang_pred and __lang_score (with more underscores, if docs has such names). A null text or one without
+    a letter is und, with score 0."""
+    added = unused(docs, "lang_pred", "lang_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x languages numbers
 
     names = docs.columns
@@ -189,7 +197,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             arrays = [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "__lang_pred", "__lang_score"])
 
-    return plain.mapInArrow(tk.task(run), schema).toDF(*names, "__lang_pred", "__lang_score")
+    return plain.mapInArrow(tk.task(run), schema).toDF(*names, *added)
 
 
 def held_out() -> F.Column:
@@ -199,7 +207,9 @@ def held_out() -> F.Column:
 def recognised(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """docs of which the language is recognised, with the same columns: und and scores below least go."""
     model = train(docs.where(~held_out()))
-    return predict(docs, model).where((F.col("__lang_pred") != UNDETERMINED) & (F.col("__lang_score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = predict(docs, model)
+    lang, score = out.columns[-2:]
+    return out.where((F.col(lang) != UNDETERMINED) & (F.col(score) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

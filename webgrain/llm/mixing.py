@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .staging import Stage, clean
+from .staging import Stage, unused
 
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
@@ -98,22 +98,44 @@ def _plan(pdf):
     return pd.DataFrame({"source": pdf["source"], "size": lengths, "n": counts, "source_size": total, "target": target, "copies": copies, "more": more})
 
 
+def _draws(slim: DataFrame, plan: DataFrame, stage: Stage) -> DataFrame:
+    """slim (source, size, draw) with the plan -> staged (b_source, b_size, bound, at, ties).
+
+    Of each source and length of which some documents, but not all, are taken: the last draw that is taken, how many
+    rows have it, and how many of those are taken. Ranked within slices of the draw, so no source is one task's.
+    """
+    by = ["source", "size", "part"]
+    met = slim.join(stage.small(plan).where("p_more > 0 AND p_more < p_n"), F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")))
+    part = F.floor((F.col("draw") / F.lit(2.0**64) + 0.5) * F.ceil(F.col("p_n") / SLICE))
+    drawn = stage.put(met.select("source", "size", F.col("p_more").alias("more"), "draw", part.alias("part")), "drawn")
+    slices = drawn.groupBy(*by).agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slices = stage.put(slices.select(*[F.col(c).alias(f"s_{c}") for c in by], "c", before.alias("before")), "slices")
+    same = F.col("source").eqNullSafe(F.col("s_source")) & (F.col("size") == F.col("s_size")) & (F.col("part") == F.col("s_part"))
+    # only the slice in which the last draw falls is ranked
+    edge = drawn.join(stage.small(slices), same).where("before < more AND more <= before + c")
+    ordered = Window.partitionBy(*by).orderBy("draw")
+    ranked = edge.select("source", "size", "draw", "more", (F.col("before") + F.row_number().over(ordered)).alias("rank"), (F.col("before") + F.rank().over(ordered) - 1).alias("below"), F.count("*").over(Window.partitionBy(*by, "draw")).alias("at"))
+    last = ranked.where("rank = more")
+    return stage.put(last.select(F.col("source").alias("b_source"), F.col("size").alias("b_size"), F.col("draw").alias("bound"), "at", (F.col("more") - F.col("below")).alias("ties")), "bounds")
+
+
 def _ties_cut(met: DataFrame, some, stage: Stage) -> DataFrame:
-    """met with __extra for the first __ties of the rows in some, of each source and length; ranked within the tasks that wrote them."""
-    columns = [F.col(f"`{c}`") for c in met.columns]
-    tied = stage.put(met.where(some).withColumn("__row", F.monotonically_increasing_id()), "tied").withColumn("__slice", F.shiftright("__row", 33))
-    by = ["__b_source", "__b_size", "__slice"]
+    """met with extra for the first ties of the rows in some, of each source and length; ranked within the tasks that wrote them."""
+    tied = stage.put(met.where(some).withColumn("row", F.monotonically_increasing_id()), "tied").withColumn("slice", F.shiftright("row", 33))
+    by = ["b_source", "b_size", "slice"]
     slices = tied.groupBy(*by).agg(F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy(*by[:2]).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    slices = stage.put(slices.select(*[F.col(c).alias(f"{c}_s") for c in by], before.alias("__before")), "slices")
-    same = F.col("__b_source").eqNullSafe(F.col("__b_source_s")) & (F.col("__b_size") == F.col("__b_size_s")) & (F.col("__slice") == F.col("__slice_s"))
-    rank = F.col("__before") + F.row_number().over(Window.partitionBy(*by).orderBy("__row"))
-    ranked = tied.join(stage.small(slices), same).withColumn("__extra", rank <= F.col("__ties"))
-    return met.where(~some).select(*columns).union(ranked.select(*columns))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy(*by[:2]).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slices = stage.put(slices.select(*[F.col(c).alias(f"{c}_s") for c in by], before.alias("before")), "slices")
+    same = F.col("b_source").eqNullSafe(F.col("b_source_s")) & (F.col("b_size") == F.col("b_size_s")) & (F.col("slice") == F.col("slice_s"))
+    rank = F.col("before") + F.row_number().over(Window.partitionBy(*by).orderBy("row"))
+    ranked = tied.join(stage.small(slices), same).withColumn("extra", rank <= F.col("ties"))
+    return met.where(~some).select(*met.columns).union(ranked.select(*met.columns))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE_PERCENT / 100, most: int = MOST_EPOCHS, seed: int = 17) -> DataFrame:
-    """docs with __size (its words), __source_size, __target and __times (whole copies that the mix takes).
+    """docs with four more columns: __size (its words), __source_size, __target and __times (whole copies that the mix
+    takes); a name that docs has already gets underscores at its end.
 
     A word is a run of bytes other than white space; a null text has none. Null is a source of its own, the last.
     Documents without words are never taken. Sources without words get a target of 0. The
@@ -123,58 +145,40 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE_PERCENT / 100, mo
     """
     spark = docs.sparkSession
     stage = Stage(spark, "mixing")
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    key = F.col("source").cast("string")
-    counted = clean(docs, "source", "text").select(key.alias("source"), size.alias("size"))
-    counted = stage.put(counted.groupBy("source", "size").agg(F.count("*").alias("n")), "counts")
+    added = unused(docs, "size", "source_size", "target", "times")
+    at = {c: F.col(f"c{i}") for i, c in enumerate(docs.columns)}
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    text, key = at["text"].cast("string"), at["source"].cast("string")
+    size = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    draw = F.xxhash64(at["doc_id"], text, F.lit(seed))
+    # the texts are read twice: here, and when the documents are taken
+    slim = stage.put(plain.select(key.alias("source"), size.alias("size"), draw.alias("draw")), "sizes")
+    counted = stage.put(slim.groupBy("source", "size").agg(F.count("*").alias("n")), "counts")
     sizes = [(r[0], int(r[1])) for r in counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n"))).collect()]
-    goal = targets(sizes, weights, share, most)
-    rows = [(s, t) for s, t in goal.items()]
-    goals = spark.createDataFrame(rows, "goal_source string, target double")
+    goals = spark.createDataFrame(list(targets(sizes, weights, share, most).items()), "goal_source string, target double")
     schema = "source string, size long, n long, source_size long, target double, copies long, more long"
     plan = counted.join(goals, F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
     plan = plan.groupBy("source").applyInPandas(_plan, schema)
-    plan = stage.put(plan.select(*[F.col(c).alias(f"__p_{c}") for c in ("source", "size", "n", "source_size", "target", "copies", "more")]), "plan")
-
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    sized = docs.select(*names, size.alias("__size"))
-    met = sized.join(stage.small(plan), key.eqNullSafe(F.col("__p_source")) & (F.col("__size") == F.col("__p_size")), "left")
-    # the rank by a seeded hash, within slices of it: a source and length with n documents has n / SLICE of them
-    draw = F.xxhash64(F.col("doc_id"), F.col("text").cast("string"), F.lit(seed))
-    part = F.when((F.col("__p_more") > 0) & (F.col("__p_more") < F.col("__p_n")), F.floor((F.col("draw") / F.lit(2.0**64) + 0.5) * F.ceil(F.col("__p_n") / SLICE)))
-    partly = "__p_more > 0 AND __p_more < __p_n"
-    if not plan.where(partly).isEmpty():
-        ids = clean(docs, "doc_id", "source", "text").select(key.alias("source"), size.alias("size"), draw.alias("draw"))
-        drawn = ids.join(stage.small(plan).where(partly), F.col("source").eqNullSafe(F.col("__p_source")) & (F.col("size") == F.col("__p_size")))
-        drawn = stage.put(drawn.select("source", "size", F.col("__p_more").alias("more"), "draw", F.coalesce(part, F.lit(0)).alias("part")), "drawn")
-        by = ["source", "size", "part"]
-        slices = drawn.groupBy(*by).agg(F.count("*").alias("c"))
-        slices = slices.select(*by, F.coalesce(F.sum("c").over(Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-        slices = stage.put(slices.select(F.col("source").alias("s_source"), F.col("size").alias("s_size"), F.col("part").alias("s_part"), "before"), "slices")
-        edge = drawn.join(stage.small(slices), F.col("source").eqNullSafe(F.col("s_source")) & (F.col("size") == F.col("s_size")) & (F.col("part") == F.col("s_part")))
-        ordered = Window.partitionBy(*by).orderBy("draw")
-        rank, below = F.col("before") + F.row_number().over(ordered), F.col("before") + F.rank().over(ordered) - 1
-        # the last draw that is taken, how many rows have it and how many of those are taken, for each source and length
-        bounds = edge.withColumn("rank", rank).withColumn("below", below).withColumn("at", F.count("*").over(Window.partitionBy(*by, "draw"))).where("rank = more")
-        bounds = bounds.select(F.col("source").alias("__b_source"), F.col("size").alias("__b_size"), F.col("draw").alias("__bound"), "at", (F.col("more") - F.col("below")).alias("ties"))
-        bounds = stage.put(bounds.withColumnsRenamed({"at": "__at", "ties": "__ties"}), "bounds")
-        met = met.join(stage.small(bounds), key.eqNullSafe(F.col("__b_source")) & (F.col("__size") == F.col("__b_size")), "left")
-        some = F.coalesce(draw == F.col("__bound"), F.lit(False)) & (F.col("__ties") < F.col("__at"))
-        met = met.withColumn("__extra", (F.col("__p_more") == F.col("__p_n")) | (F.coalesce(draw <= F.col("__bound"), F.lit(False)) & ~F.coalesce(some, F.lit(False))))
-        if not bounds.where("__ties < __at").isEmpty():
-            met = _ties_cut(met, F.coalesce(some, F.lit(False)), stage)
-        extra = F.col("__extra")
-    else:
-        extra = F.col("__p_more") == F.col("__p_n")
-    times = F.when(F.col("__size") > 0, F.col("__p_copies") + F.when(extra, 1).otherwise(0)).otherwise(0)
-    return met.select(*names, "__size", F.col("__p_source_size").alias("__source_size"), F.col("__p_target").alias("__target"), times.cast("long").alias("__times"))
+    plan = stage.put(plan.select(*[F.col(c).alias(f"p_{c}") for c in ("source", "size", "n", "source_size", "target", "copies", "more")]), "plan")
+    bounds = _draws(slim, plan, stage)
+
+    sized = plain.select("*", key.alias("source"), size.alias("size"), draw.alias("draw"))
+    met = sized.join(stage.small(plan), F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")), "left")
+    met = met.join(stage.small(bounds), F.col("source").eqNullSafe(F.col("b_source")) & (F.col("size") == F.col("b_size")), "left")
+    some = F.coalesce((F.col("draw") == F.col("bound")) & (F.col("ties") < F.col("at")), F.lit(False))
+    met = met.withColumn("extra", (F.col("p_more") == F.col("p_n")) | (F.coalesce(F.col("draw") <= F.col("bound"), F.lit(False)) & ~some))
+    if not bounds.where("ties < at").isEmpty():
+        met = _ties_cut(met, some, stage)
+    times = F.when(F.col("size") > 0, F.col("p_copies") + F.when(F.col("extra"), 1).otherwise(0)).otherwise(0)
+    return met.select(*plain.columns, "size", "p_source_size", "p_target", times.cast("long").alias("times")).toDF(*docs.columns, *added)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of docs: a document stands as often as the mix takes it, perhaps never."""
-    out = mix(docs, **options).where("__times > 0")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*names, F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))).alias("__copy")).select(*names)
+    out = mix(docs, **options)
+    times = out.columns[-1]
+    copies = F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))
+    return out.where(F.col(times) > 0).select(*[F.col(f"`{c}`") for c in docs.columns], copies.alias(unused(docs, "copy")[0])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,6 @@ the input comes in many small partitions. Nothing is collected.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -162,7 +161,3 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
-
-
-def crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .chat import op9_chat_format
+from .chat import OP9_TURNS_SQL, chat_turns, op9_chat_format
 from .language_id import op8_language_id
 from .minhash_dedup import OP2_SQL, op2_minhash_dedup
 from .mixing import op6_mixing
 from .packing import op5_packing
-from .sharding import OP4_SQL, op4_sharding
+from .sharding import OP4_SQL, SMALL_SHARDS_SQL, op4_sharding, small_shards
 from .substring_dedup import OP10_SQL, op10_substring_dedup
 from .token_files import op7_token_files
 from .topk import OP1_SQL, op1_topk_search
@@ -18,11 +18,13 @@ QUERIES = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_vector_dedup": op3_vector_dedup,
     "op4_sharding": op4_sharding,
+    "small_shards": small_shards,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op7_token_files": op7_token_files,
     "op8_language_id": op8_language_id,
     "op9_chat_format": op9_chat_format,
+    "chat_turns": chat_turns,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES = {"op1_topk_search": OP1_SQL, "op2_minhash_dedup": OP2_SQL, "op4_sharding": OP4_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLES = {"chat_turns": OP9_TURNS_SQL, "op1_topk_search": OP1_SQL, "op2_minhash_dedup": OP2_SQL, "op4_sharding": OP4_SQL, "small_shards": SMALL_SHARDS_SQL, "op10_substring_dedup": OP10_SQL}

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as tk
-from .staging import Stage, clean
+from .staging import Stage, clean, unused
 from .tokens import input_bytes
 
 U = np.uint64
@@ -210,7 +210,8 @@ def _take_out(names: list[str]):
 
 
 def remove_repeats(docs: DataFrame, n: int = 13) -> DataFrame:
-    """docs with the words of repeated n-word windows taken out of text, and __n_words and __n_removed.
+    """docs with the words of repeated n-word windows taken out of text, and __n_words and __n_removed (with more
+    underscores, if docs has such names).
 
     A text that loses words is the kept words joined by one space; any other is unchanged. Null and blank texts
     have no words. A text of fewer than n words has no window and keeps all. Rows with a null doc_id neither
@@ -252,14 +253,14 @@ def remove_repeats(docs: DataFrame, n: int = 13) -> DataFrame:
     plain = docs.select(*[F.col(f"`{c}`").cast("string").alias("text") if c == "text" else F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(names)])
     joined = plain.join(stage.small(spans), F.col(f"__c{names.index('doc_id')}") == F.col("gone_id"), "left").select(*plain.columns, F.col("spans").alias("__spans"))
     schema = T.StructType([*plain.schema.fields, T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType())])
-    return joined.mapInArrow(tk.task(_take_out(schema.names)), schema).toDF(*names, "__n_words", "__n_removed")
+    return joined.mapInArrow(tk.task(_take_out(schema.names)), schema).toDF(*names, *unused(docs, "n_words", "n_removed"))
 
 
 def without_repeats(docs: DataFrame, n: int = 13) -> DataFrame:
     """docs, with the same columns, the repeated windows out of text; n_chars follows the text."""
     out = remove_repeats(docs, n)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(out.columns[-1]) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

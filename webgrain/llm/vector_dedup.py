@@ -27,14 +27,16 @@ from . import vectors
 from .components import connected_components
 from .staging import Stage, clean
 
-SHARD = 1500  # classes of a shard, about, while MAX_CENTROIDS allows it
-MAX_CENTROIDS = 1024
+SHARD = 1500  # classes of a shard, about
+MAX_CENTROIDS = 1024  # that a label's classes, or those of a hot shard, are dealt to at a time
+HOT, LEVELS = 4, 3  # a shard of that many times SHARD is dealt again, so many times at most
 SAMPLE_EACH = 32  # classes that a centroid is fitted on
 DEGREE, BEAM, ALPHA = 24, 40, 1.2
 SLACK = 0.08  # nodes that much below the range still expand
 MEDOIDS = 16
 AUDIT, AUDIT_LEAST = 256, 0.97
-QUERIES = 256  # searched at a time
+QUERIES = 256  # searched at a time; a multiple of 8
+DENSE = 16  # a search whose range has reached that part of a shard goes on with all of it
 PASSES = ((2, BEAM, False), (4, 2 * BEAM, False), (1, BEAM, True))  # overlap, beam, whether all is compared
 
 
@@ -107,7 +109,11 @@ def greedy(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, q: np.ndarray,
         all_d = np.concatenate([done[live], np.zeros(near.shape, bool)], 1)
         top = np.argsort(-all_s, 1, kind="stable")[:, :beam]
         sims[live], ids[live], done[live] = (np.take_along_axis(y, top, 1) for y in (all_s, all_i, all_d))
+    reached, most = np.zeros(len(q), np.int64), max(64, n // DENSE)
     while spread is not None and spread.any():  # the range expands
+        reached += spread.sum(1)
+        if len(wide := np.flatnonzero((reached > most) & spread.any(1))):  # most of what is left is near, or soon met
+            found[wide], seen[wide], spread[wide] = q[wide] @ x.T, True, False
         who, node = np.nonzero(spread)
         spread[:] = False
         for a in range(0, len(who), 1 << 15):
@@ -208,17 +214,55 @@ def _rows(kind: int, **columns):
     return pd.DataFrame({"kind": kind} | {c: columns.get(c, 0) for c in "abxy"})
 
 
+class Links:
+    """A symmetric relation on n nodes, a bit for each pair."""
+
+    def __init__(self, n: int):
+        self.n, self.bits = n, np.zeros((n, -(-n // 8)), np.uint8)
+
+    def add(self, a: int, found: np.ndarray) -> None:
+        """found: which of all nodes the nodes from a on are linked with; a is a multiple of 8."""
+        self.bits[a : a + len(found)] |= np.packbits(found, 1, "little")
+        turned = np.packbits(found.T, 1, "little")
+        self.bits[:, a // 8 : a // 8 + turned.shape[1]] |= turned
+
+    def weights(self, m: int, n: np.ndarray) -> np.ndarray:
+        """For each of the first m nodes, the sum of n over those of them that it is linked with."""
+        out = [np.unpackbits(self.bits[a : min(a + QUERIES, m)], axis=1, count=self.n, bitorder="little")[:, :m] @ n[:m] for a in range(0, m, QUERIES)]
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    def groups(self, names: np.ndarray) -> np.ndarray:
+        """For each node, the smallest name among those reachable."""
+        out, left = names.copy(), np.ones(self.n, bool)
+        for first in np.flatnonzero(self.bits.any(1)).tolist():
+            if not left[first]:
+                continue
+            left[first], group, edge = False, [np.array([first])], np.array([first])
+            while len(edge):
+                met = np.zeros(self.bits.shape[1], np.uint8)
+                for a in range(0, len(edge), 4096):
+                    met |= np.bitwise_or.reduce(self.bits[edge[a : a + 4096]], 0)
+                edge = np.flatnonzero(np.unpackbits(met, count=self.n, bitorder="little").view(bool) & left)
+                left[edge] = False
+                group.append(edge)
+            at = np.concatenate(group)
+            out[at] = names[at].min()
+        return out
+
+
 def _searched(threshold: float, beam: int, exact: bool):
     def run(key, pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values("rep").reset_index(drop=True)
+        # those at home come first
+        pdf = pdf.sort_values(["home", "rep"], ascending=[False, True]).reset_index(drop=True)
         (label, dim, here), at = (int(k) for k in key), pdf["at"].to_numpy()
         reps, n, home, x = pdf["rep"].to_numpy(), pdf["n"].to_numpy(), pdf["home"].to_numpy(bool), vectors.stacked(pdf["v"])
         lists = [np.asarray(y, np.int64) for y in pdf["near"]]
         flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
         owner = np.repeat(np.arange(len(reps)), [len(y) for y in lists])
-        to = np.minimum(np.searchsorted(reps, flat), len(reps) - 1)
+        sorter = np.argsort(reps)
+        to = sorter[np.minimum(np.searchsorted(reps, flat, sorter=sorter), len(reps) - 1)]
         inside = reps[to] == flat  # the other edges are in far_at
         owner, to = owner[inside], to[inside]
         size = np.bincount(owner, minlength=len(reps))
@@ -226,25 +270,16 @@ def _searched(threshold: float, beam: int, exact: bool):
         graph[owner, np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)] = to
         ends = np.unique(np.concatenate([owner * len(reps) + to, to * len(reps) + owner]))
         either = np.concatenate([[0], np.cumsum(np.bincount(ends // len(reps), minlength=len(reps)))]), ends % len(reps)
-        entry, mine = medoids(x), np.flatnonzero(home)
-        count = np.zeros(len(reps), np.int64)
-        root = np.arange(len(reps))
+        entry, m = medoids(x), int(home.sum())
         borders = _borders(pdf)
         out = []
 
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
         def visits(who: np.ndarray, where) -> None:
             out.append(_rows(1, a=who, b=where, x=label, y=dim))
 
-        # a link found from either end counts at both
-        links = np.zeros(0, np.int64)
-        for a in range(0, len(mine), QUERIES):
-            some = mine[a : a + QUERIES]
+        links = Links(len(reps))  # found from either end, a link counts at both
+        for a in range(0, m, QUERIES):
+            some = np.arange(a, min(m, a + QUERIES))
             sims = x[some] @ x.T if exact else greedy(x, graph, entry, x[some], beam, threshold, either, some)[1]
             sims[np.arange(len(some)), some] = 1.0
             for u, ok in _crossings(sims, borders, threshold):
@@ -255,24 +290,11 @@ def _searched(threshold: float, beam: int, exact: bool):
             found = sims >= threshold
             visits(reps[found.any(0) & ~home], here)
             found[np.arange(len(some)), some] = False
-            i, j = np.nonzero(found)
-            i = some[i]
-            links = np.concatenate([links, np.minimum(i, j) * len(reps) + np.maximum(i, j)])
-            if len(links) > 1 << 22:
-                links = np.unique(links)
-        links = np.unique(links)
-        i, j = links // len(reps), links % len(reps)
-        both = home[i] & home[j]
-        np.add.at(count, i[both], n[j[both]])
-        np.add.at(count, j[both], n[i[both]])
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            a, b = find(a), find(b)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-        out.append(_rows(0, a=reps[mine], x=count[mine]))
-        top = np.array([find(k) for k in range(len(reps))], np.int64)
-        tied = np.flatnonzero(top != np.arange(len(reps)))
-        out.append(_rows(2, a=reps[tied], b=reps[top[tied]]))
+            links.add(a, found)
+        out.append(_rows(0, a=reps[:m], x=links.weights(m, n)))
+        top = links.groups(reps)
+        tied = top != reps
+        out.append(_rows(2, a=reps[tied], b=top[tied]))
         return pd.concat(out).drop_duplicates().astype("int64")
 
     return run
@@ -353,6 +375,67 @@ def _exact(shared, threshold: float):
     return run
 
 
+DEALT = "label long, dim int, shard long, home boolean, at long, rep long, n long, v array<double>"
+
+
+def _fitted(want: int):
+    def run(key, pdf):
+        import pandas as pd
+
+        x = vectors.stacked(pdf.sort_values("rep")["v"])
+        c = kmeans(x, min(want, int(pdf["want"].iat[0]), len(x)))
+        return pd.DataFrame({"c_label": key[0], "c_dim": key[1], "c_shard": key[2], "c": list(c)})
+
+    return run
+
+
+def _dealt_again(overlap: int, level: int):
+    """Rows of a hot shard, with its new centroids -> the rows in their nearest ones; new shards get new numbers."""
+
+    def run(key, rows, centroids):
+        import pandas as pd
+
+        c = vectors.stacked(centroids.assign(k=centroids["c"].map(tuple)).sort_values("k")["c"])
+        near = np.argsort(-(vectors.stacked(rows["v"]) @ c.T), 1, kind="stable")[:, :overlap]
+        out = []
+        for k in range(near.shape[1]):
+            some = np.ones(len(rows), bool) if k == 0 else rows["home"].to_numpy(bool)
+            # the number of a shard begins with that of the one it was cut from
+            made = rows[some].assign(shard=(rows["shard"][some] + 1) * (MAX_CENTROIDS + 1) + near[some, k])
+            out.append(made.assign(home=made["home"] & (k == 0)))
+        return pd.concat(out)[["label", "dim", "shard", "home", "at", "rep", "n", "v"]]
+
+    return run
+
+
+def _cut_hot(dealt: DataFrame, stage: Stage, overlap: int) -> DataFrame:
+    """Shards that are much too large, as centroids are few or a ball is dense, are dealt again to centroids of their own,
+    which are fitted by a task each on a bounded sample."""
+    of = ["label", "dim", "shard"]
+    for level in range(LEVELS):
+        sizes = dealt.where("home").groupBy(*of).agg(F.count("*").alias("c")).where(F.col("c") > HOT * SHARD)
+        hot = stage.put(sizes.select(*[F.col(c).alias(f"h_{c}") for c in of], "c", F.least(F.ceil(F.col("c") / SHARD), F.lit(MAX_CENTROIDS)).alias("want")), "hot")
+        if hot.isEmpty():
+            return dealt
+        same = (F.col("label") == F.col("h_label")) & (F.col("dim") == F.col("h_dim")) & (F.col("shard") == F.col("h_shard"))
+        inside = dealt.join(stage.small(hot), same)
+        drawn = F.xxhash64("rep", F.lit(31 + level)) / F.lit(2.0**64) + 0.5 <= 1.2 * SAMPLE_EACH * F.col("want") / F.col("c")
+        fitted = inside.where(F.col("home") & drawn).select(*of, "rep", "v", "want").groupBy(*of).applyInPandas(_fitted(MAX_CENTROIDS), "c_label long, c_dim int, c_shard long, c array<double>")
+        # a hot shard's rows come in slices, each with all of its centroids
+        slices = F.ceil(F.col("c") / (8 * SHARD))
+        rows = inside.select(*of, "home", "at", "rep", "n", "v", F.pmod(F.xxhash64("rep", F.lit(17)), slices).alias("slice"))
+        every = hot.select("h_label", "h_dim", "h_shard", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("c_slice"))
+        centroids = stage.put(fitted, "centroids").join(stage.small(stage.put(every, "slices")), (F.col("c_label") == F.col("h_label")) & (F.col("c_dim") == F.col("h_dim")) & (F.col("c_shard") == F.col("h_shard")))
+        centroids = centroids.select("c_label", "c_dim", "c_shard", "c_slice", "c")
+        again = rows.groupBy(*of, "slice").cogroup(centroids.groupBy("c_label", "c_dim", "c_shard", "c_slice")).applyInPandas(_dealt_again(overlap, level), DEALT)
+        rest = dealt.join(stage.small(hot), same, "left_anti")
+        moved = stage.put(rest.unionByName(again), "moved")
+        homes = stage.put(moved.where("home").select(F.col("rep").alias("h_rep"), F.col("shard").alias("now")), "homes")
+        dealt = stage.put(moved.join(stage.small(homes), F.col("rep") == F.col("h_rep")).select("label", "dim", "shard", "home", F.col("now").alias("at"), "rep", "n", "v"), "dealt")
+        stage.drop(moved)
+    return dealt
+
+
 def _run(classes: DataFrame, stage: Stage, threshold: float, overlap: int, beam: int, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rep, links) of other classes' vectors, and component edges (a, b)."""
     spark = classes.sparkSession
@@ -369,28 +452,29 @@ def _run(classes: DataFrame, stage: Stage, threshold: float, overlap: int, beam:
             x = vectors.stacked(g.sort_values("rep")["v"])
             centroids[key] = kmeans(x, min(want[key], len(x)))
     shared = spark.sparkContext.broadcast(centroids)
-    dealt = stage.put(classes.mapInPandas(_dealt(shared, overlap), "label long, dim int, shard long, home boolean, at long, rep long, n long, v array<double>"), "dealt")
+    dealt = stage.put(classes.mapInPandas(_dealt(shared, overlap), DEALT), "dealt")
+    dealt = _cut_hot(dealt, stage, overlap)
     graphs = dealt.groupBy("label", "dim", "shard").applyInPandas(_built(threshold), "rep long, near array<long>, far_at array<long>, far_sim array<double>")
     united = graphs.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("far_at", "far_sim")))).alias("far"))
     united = stage.put(united.select(F.col("rep").alias("node"), "near", F.col("far.far_at").alias("far_at"), F.col("far.far_sim").alias("far_sim")), "graph")
     rows = dealt.join(united, F.col("rep") == F.col("node"))
     schema = "kind long, a long, b long, x long, y long"
     found = stage.put(rows.groupBy("label", "dim", "shard").applyInPandas(_searched(threshold, beam, exact), schema), "found")
-    nodes = stage.put(rows.where("home").select("label", "dim", "at", "rep", "n", "v", "far_at", "far_sim"), "nodes") if centroids else None
+    nodes = stage.put(rows.where("home").select("label", "dim", "at", "rep", "n", "v", "far_at", "far_sim"), "nodes")
     counted, edges = (found.where(f"kind = {k}") for k in (0, 2))
 
     def asked(df: DataFrame) -> DataFrame:
         return df.where("kind = 1").select(F.col("a").alias("guest"), F.col("b").alias("shard"), F.col("x").alias("g_label"), F.col("y").cast("int").alias("g_dim")).distinct()
 
     new = asked(found)
-    if exact and centroids:
-        many = spark.createDataFrame([(int(a), int(b), len(c)) for (a, b), c in centroids.items()], "g_label long, g_dim int, many long")
-        new = nodes.join(F.broadcast(many), (F.col("label") == F.col("g_label")) & (F.col("dim") == F.col("g_dim")))
-        new = new.select(F.col("rep").alias("guest"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("shard"), "g_label", "g_dim", "at").where("shard != at").drop("at")
+    if exact:
+        all_ = stage.put(nodes.select(F.col("label").alias("g_label"), F.col("dim").alias("g_dim"), F.col("at").alias("shard")).distinct(), "shards")
+        new = nodes.select("label", "dim", "at", "rep").join(stage.small(all_), (F.col("label") == F.col("g_label")) & (F.col("dim") == F.col("g_dim")) & (F.col("at") != F.col("shard")))
+        new = new.select(F.col("rep").alias("guest"), "shard", "g_label", "g_dim")
     seen = new = stage.put(new, "visits")
     while not new.isEmpty():
         # a shard's guests come in parts of some shards' size
-        parts = new.groupBy("g_label", "g_dim", "shard").agg(F.ceil(F.count("*") / (4 * target)).alias("parts"))
+        parts = new.groupBy("g_label", "g_dim", "shard").agg(F.ceil(F.count("*") / (4 * SHARD)).alias("parts"))
         parts = stage.put(parts.select(F.col("g_label").alias("p_label"), F.col("g_dim").alias("p_dim"), F.col("shard").alias("p_shard"), "parts"), "parts")
         at = (F.col("label") == F.col("p_label")) & (F.col("dim") == F.col("p_dim"))
         guests = nodes.select("label", "dim", "at", "rep", "v").join(stage.small(new), F.col("rep") == F.col("guest"))
@@ -432,7 +516,10 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.93) -> DataFrame:
     classes = stage.put(classes, "classes")
     for overlap, beam, exact in PASSES:
         counted, edges = _run(classes, stage, threshold, overlap, beam, exact)
-        sample = classes.select("rep", "label", "dim", "v", F.xxhash64("rep", F.lit(9)).alias("draw")).orderBy("draw").limit(AUDIT).toPandas()
+        drawn = classes.select("rep", "label", "dim", "v", F.xxhash64("rep", F.lit(9)).alias("draw"))
+        linked = drawn.join(counted.where("links > 0").select(F.col("rep").alias("l_rep")), F.col("rep") == F.col("l_rep"), "left_semi")
+        # any classes, and some of those that have links
+        sample = drawn.orderBy("draw").limit(AUDIT).union(linked.orderBy("draw").limit(AUDIT)).toPandas().drop_duplicates("rep")
         probes = {key: (g["rep"].to_numpy(), vectors.stacked(g["v"])) for key, g in sample.groupby(["label", "dim"])}
         truth = classes.mapInPandas(_exact(spark.sparkContext.broadcast(probes), threshold), "rep long, n long").groupBy("rep").agg(F.sum("n").alias("exact"))
         sums = truth.join(counted, "rep", "left").agg(F.sum("exact"), F.sum(F.coalesce("links", F.lit(0)))).first()

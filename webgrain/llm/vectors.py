@@ -1,28 +1,8 @@
-"""Vectors from Arrow list columns, as matrices."""
+"""Vectors of list columns as matrices."""
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-
-
-def matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row numbers, their vectors as doubles), one pair for each length; null vectors, and those that hold a null or
-    non-finite component, are left out."""
-    by = defaultdict(list)
-    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
-    for i, n in enumerate(sizes.tolist()):
-        if n == n and n is not None:
-            by[int(n)].append(i)
-    for n, rows in sorted(by.items()):
-        rows = np.array(rows)
-        flat = column.take(pa.array(rows)).flatten()
-        x = flat.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(rows), n) if n else np.zeros((len(rows), 0))
-        good = np.isfinite(x).all(1)
-        yield rows[good], x[good]
 
 
 def stacked(column, n: int | None = None) -> np.ndarray:
