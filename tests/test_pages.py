@@ -1,13 +1,14 @@
 """Trees, segments, selection, Markdown, URLs and payloads."""
 
 import gzip
+import zlib
 
 import pytest
 
 from webgrain.functions import bodies, extract, inspection, markdown, markdown_code, markdown_input, urls
 from webgrain.functions.html_tree import TooLarge, parse
 from webgrain.operators import guard, pages
-from webgrain.sources import payloads
+from webgrain.sources import payloads, provider_pages
 
 URL = "https://example.com/a/"
 
@@ -202,9 +203,42 @@ def test_bodies():
         payloads.decompress(b"", "br")
 
 
-def test_search_pages():
+    with pytest.raises(ValueError, match="too large"):
+        payloads.decompress(gzip.compress(b"0" * 50_000_000), "gzip", 1000)
+    for kind, packed in (("deflate", zlib.compress(b"abc")), ("deflate", zlib.compress(b"abc")[2:-4]), ("identity", b"abc"), (None, b"abc")):
+        assert payloads.decompress(packed, kind) == b"abc"
+    with pytest.raises(ValueError, match="broken"):
+        payloads.decompress(gzip.compress(b"abc")[:-9], "gzip")
+
+
+def test_decoded_rows(spark):
+    rows = [(1, b"caf\xc3\xa9", "text/plain", None), (2, gzip.compress("é".encode()), "text/plain", "gzip"), (3, b"x", "text/plain", "br"), (4, None, None, None), (5, gzip.compress(b"0" * 5000), "text/plain", "gzip")]
+    df = spark.createDataFrame(rows, "k long, body binary, content_type string, encoding string")
+    got = {r.k: (r.text, r.decode_error) for r in payloads.decoded(df, encoding="encoding", most=1000).collect()}
+    assert got == {1: ("café", None), 2: ("é", None), 3: (None, "UNSUPPORTED_CONTENT_ENCODING"), 4: ("", None), 5: (None, "RESPONSE_TOO_LARGE")}
+
+
+def test_search_pages(spark):
     html = "<div class=result><a class=result__a href='//duckduckgo.com/l/?uddg=https%3A%2F%2Fe.com'>T <b>x</b></a><a class=result__snippet>S</a></div><div class=result>ad</div>"
-    assert payloads.html_results(html) == [{"title": "T x", "url": "https://e.com", "snippet": "S"}]
-    script = """x;DDG.pageLayout.load('d',[{"t":"A &amp; [b]","u":"https://e.com","a":"<b>s</b>"},{"n":"more"}]);y"""
-    assert payloads.script_results(script) == [{"title": "A & [b]", "url": "https://e.com", "snippet": "s"}]
-    assert payloads.script_results("DDG.pageLayout.load('d',[{") == []
+    assert provider_pages.html_results(html) == [{"title": "T x", "url": "https://e.com/", "snippet": "S"}]
+    script = """x;DDG.pageLayout.load( 'd' ,[{"t":"A &amp; [b]","u":"https://e.com","a":"<b>s</b>"},{"n":"more"},{"t":"B","u":"https://e.com/","a":""}]);y"""
+    assert provider_pages.script_results(script) == [{"title": "A & [b]", "url": "https://e.com/", "snippet": "s"}]
+    assert provider_pages.script_results("DDG.pageLayout.load('d',[{") == []
+    lite = "<table><tr><td><a class=result-link href=https://a.com>A</a></tr><tr><td>one</tr><tr><td>two</tr><tr><td><a class=result-link href=https://b.com>B</a></tr><tr><td>x</table>"
+    assert [(h["url"], h["snippet"]) for h in provider_pages.lite_results(lite)] == [("https://a.com/", "onetwo"), ("https://b.com/", "x")]
+    assert provider_pages.lite_results(lite.replace("<td>one", "<td class=result-snippet>one"))[0]["snippet"] == "one"
+    pages_ = [(1, html), (2, "<p>No results."), (3, "<p>new layout"), (4, "<form id='challenge-form'>"), (5, None)]
+    got = {r.k: (len(r.hits), r.parse_error) for r in provider_pages.parsed(spark.createDataFrame(pages_, "k long, html string"), "html").collect()}
+    assert got == {1: (1, None), 2: (0, None), 3: (0, "PARSE_CHANGED"), 4: (0, "BOT_CHALLENGE"), 5: (0, "PARSE_CHANGED")}
+    assert [r.rank for r in provider_pages.page_hits(spark.createDataFrame(pages_, "k long, html string"), "k", "html").collect()] == [1]
+
+
+def test_preload_addresses():
+    def page(src, token="3-1"):
+        return f"<script>vqd='{token}'</script><script src='{src}'></script>"
+
+    good = "https://links.duckduckgo.com/d.js?q=a+b&vqd=3-1"
+    assert provider_pages.preload_url(page(good), "a b") == (good, None)
+    for bad in (good.replace("links", "evil"), good + "&vqd=3-1", good.replace("3-1", "3-2"), good.replace("https", "http"), good + "#x", good.replace("//", "//u@")):
+        assert provider_pages.preload_url(page(bad), "a b") == (None, "PARSE_CHANGED")
+    assert provider_pages.preload_url(page(good), "a") == (None, "PARSE_CHANGED") and provider_pages.preload_url("", "a")[1] == "PARSE_CHANGED"

@@ -41,3 +41,20 @@ def water_filled(df: DataFrame, doc: str, ordinal: str, length: str, budget: int
     turn = F.sum(short.cast("int")).over(whole.orderBy(ordinal).rowsBetween(Window.unboundedPreceding, 0))
     more = F.when(short & (F.col("__total") > budget) & (turn <= F.col("__rest")), 1).otherwise(0)
     return df.withColumn("allocation", (F.col("__base") + more).cast("long")).drop("__total", "__n", "__before", "__left", "__quota", "__base", "__rest")
+
+
+def over_cap(requests: DataFrame, key: str, order: str, size: Column, cap: float) -> DataFrame:
+    """Adds over_cap: whether the running total of a key's sizes has passed the cap."""
+    running = F.sum(size).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return requests.withColumn("over_cap", running > cap)
+
+
+def wire_size(decoded: Column, encoded: Column) -> Column:
+    """What a request counts: the larger of its sizes before and after decoding."""
+    return F.greatest(F.coalesce(decoded, F.lit(0)), F.coalesce(encoded, F.lit(0)))
+
+
+def admitted(requests: DataFrame, key: str, order: str, running: int, queued: int) -> DataFrame:
+    """Adds admission: run, queue, or RATE_LIMITED for what neither the slots nor the queue of a key can hold."""
+    n = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return requests.withColumn("admission", F.when(n <= running, "run").when(n <= running + queued, "queue").otherwise("RATE_LIMITED"))

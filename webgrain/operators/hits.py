@@ -53,3 +53,23 @@ def failure_kind(started: Column, code: Column, elapsed: Column, page_limit: flo
         .when((code == "TIMEOUT") | (elapsed > page_limit), "page_timeout")
         .otherwise("page_failure")
     )
+
+
+def by_rank(rows: DataFrame, ranks: DataFrame, key: str, url: str) -> DataFrame:
+    """Documents or failures with the rank of their hit, 0 if there is none, and their place in that order."""
+    known = ranks.groupBy(key, url).agg(F.min("rank").alias("rank"))
+    out = rows.join(known, [key, url], "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("rank", url)))
+
+
+def shared_work(requests: DataFrame, key: str, order: str) -> DataFrame:
+    """Equal requests do their work once: adds leader, the order of the first with the same key, and waits."""
+    first = F.min(order).over(Window.partitionBy(key))
+    return requests.withColumn("leader", first).withColumn("waits", F.col(order) > F.col("leader"))
+
+
+def compact(hits: DataFrame) -> DataFrame:
+    """Hits as a tool's answer shows them: provider, title and snippet cut to 100, 200 and 500 characters."""
+    cut = lambda c, n: F.substring(c, 1, n).alias(c)
+    limits = {"provider": 100, "title": 200, "snippet": 500}
+    return hits.select(*[cut(c, limits[c]) if c in limits else F.col(f"`{c}`") for c in hits.columns])

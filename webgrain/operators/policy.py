@@ -166,18 +166,77 @@ def merged_verdicts(verdicts: DataFrame, *keys: str, ordinal: str = "ordinal") -
 def restricted(verdicts: DataFrame, additional: DataFrame, *keys: str) -> DataFrame:
     """Verdicts with the result of an additional guard (keys, decision, and reasons, an array): it never weakens one.
 
-    An item that the additional guard makes stricter gets its decision, its reasons and the code of a restriction; one
+    The stricter decision counts. An item that the additional guard withholds gets the code of a restriction; one
     that it says nothing about stays as it is.
     """
-    more = additional.select(*keys, F.col("decision").alias("__decision"), F.coalesce("reasons", F.array().cast("array<string>")).alias("__reasons"))
+    none = F.array().cast("array<string>")
+    more = additional.select(*keys, F.col("decision").alias("more_decision"), F.coalesce("reasons", none).alias("more_reasons"))
     both = verdicts.join(more, list(keys), "left")
-    stricter = F.coalesce(rank(DECISIONS, F.col("__decision")) > rank(DECISIONS, F.col("decision")), F.lit(False))
-    codes = ordered_codes(F.when(stricter, F.array_append("reason_codes", F.lit(REASON_CODES[-1]))).otherwise(F.col("reason_codes")))
-    reasons = F.array_distinct(F.concat("reasons", F.coalesce("__reasons", F.array().cast("array<string>"))))
-    changed = {"decision": F.when(stricter, F.col("__decision")).otherwise(F.col("decision")), "reason_codes": codes, "reasons": reasons}
+    stricter = F.coalesce(rank(DECISIONS, F.col("more_decision")) > rank(DECISIONS, F.col("decision")), F.lit(False))
+    withheld = F.coalesce(~F.col("more_decision").isin(*VISIBLE_DECISIONS), F.lit(False))
+    codes = ordered_codes(F.when(withheld, F.array_append("reason_codes", F.lit(REASON_CODES[-1]))).otherwise(F.col("reason_codes")))
+    changed = {"decision": F.when(stricter, F.col("more_decision")).otherwise(F.col("decision")), "reason_codes": codes, "reasons": F.array_distinct(F.concat("reasons", F.coalesce("more_reasons", none)))}
     return both.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in verdicts.columns])
 
 
+# Limits of a verdict that comes from elsewhere, and of a review.
+MOST_FINDINGS, MOST_TEXTS, LONGEST_TEXT, MOST_TECHNIQUES, LONGEST_HASH = 256, 32, 1000, 32, 256
+REVIEW_SEGMENTS, REVIEW_CHARACTERS = 4096, 160_000
+CATEGORIES = (
+    "instruction_override", "role_redefinition", "secret_exfiltration", "tool_invocation", "external_send", "memory_write", "policy_override",
+    "source_suppression", "output_control", "authority_claim", "hidden_instruction", "low_trust_attribute", "benign_mention",
+)
+PLACES = ("visible", *HIDDEN_PLACES, "attribute")
+
+
+def verdict_error(df: DataFrame) -> Column:
+    """GUARD_FAILED for a verdict from elsewhere (decision, assurance, findings, reasons, limitations) that breaks a rule."""
+    no = lambda ok: ~F.coalesce(ok, F.lit(False))
+    texts = lambda c: (F.size(c) <= MOST_TEXTS) & F.forall(c, lambda x: F.coalesce(F.length(x) <= LONGEST_TEXT, F.lit(False)))
+    good = lambda f: F.coalesce(
+        f["category"].isin(*CATEGORIES) & f["severity"].isin(*SEVERITIES) & f["confidence"].between(0, 1) & ~F.isnan(f["confidence"]) & f["location"].isin(*PLACES)
+        & (F.length(f["reason"]) <= LONGEST_TEXT) & (F.size(f["techniques"]) <= MOST_TECHNIQUES) & F.forall(f["techniques"], lambda x: F.coalesce(F.length(x) <= 100, F.lit(False)))
+        & (F.length(f["segment_hash"]) <= LONGEST_HASH), F.lit(False),
+    )
+    bad = no(F.col("decision").isin(*DECISIONS)) | no(F.col("assurance").isin(*ASSURANCES)) | no((F.size("findings") <= MOST_FINDINGS) & F.forall("findings", good))
+    return F.when(bad | no(texts("reasons")) | no(texts("limitations")), "GUARD_FAILED")
+
+
+def reviewable(verdicts: DataFrame) -> Column:
+    """Whether an assessor may judge an item: a pattern was found, nothing was cut, and it is small enough to be read whole."""
+    d = F.col("diagnostics")[0]
+    only = (F.size("reason_codes") == 1) & F.array_contains("reason_codes", REASON_CODES[0])
+    return F.coalesce(only & (d["scanned_segment_count"] <= REVIEW_SEGMENTS) & (d["available_characters"] <= REVIEW_CHARACTERS), F.lit(False))
+
+
+def reviewed(verdicts: DataFrame, assessments: DataFrame, *keys: str) -> DataFrame:
+    """Verdicts with an assessor's answers (keys, answer): source_content clears an item that may be reviewed.
+
+    Any other answer, or none, withholds one that would pass. Items that may not be reviewed stay as they are. Answers are
+    a table: a user's own pandas function makes it from the segments of those items.
+    """
+    both = verdicts.join(assessments.select(*keys, F.col("answer").alias("said")), list(keys), "left")
+    asked, clear, passes = reviewable(both), F.coalesce(F.col("said") == "source_content", F.lit(False)), F.col("decision").isin(*VISIBLE_DECISIONS)
+    said = lambda f: F.concat(F.lit("Configured semantic assessor classified the apparent "), f["category"], F.lit(" pattern as source content."))
+    cleared = F.transform("findings", lambda f: f.withField("reason", said(f)).withField("category", F.lit("benign_mention")))
+    stopped = F.when(F.col("said").isNull(), "Semantic assessment was unavailable.").otherwise("Semantic assessment did not authorize reference material extraction.")
+    none = F.array().cast("array<string>")
+    pick = lambda yes, no, c: F.when(asked & clear, yes).when(asked & ~clear & passes, no).otherwise(F.col(c))
+    changed = {
+        "decision": pick(F.lit("allow"), F.lit("require_approval"), "decision"),
+        "findings": F.when(asked & clear, cleared).otherwise(F.col("findings")),
+        "reason_codes": pick(none, F.array(F.lit(REASON_CODES[-1])), "reason_codes"),
+        "reasons": pick(F.array(F.lit("A configured semantic assessor classified the complete inspected material as source content; it remains untrusted.")), F.array(stopped), "reasons"),
+    }
+    return both.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in verdicts.columns])
+
+
+def public_verdict(verdicts: DataFrame, *keys: str) -> DataFrame:
+    """What a tool's answer says of a verdict: the decision, the categories of its findings and the codes; no diagnostics."""
+    names = F.array_distinct(F.transform(F.filter("findings", lambda f: f["category"] != "benign_mention"), lambda f: f["category"]))
+    return verdicts.select(*keys, F.lit("untrusted").alias("trust"), F.lit(True).alias("tainted"), "decision", names.alias("warning_categories"), "reason_codes")
+
+
 def judged(contract_failures: Column, goal: Column, scores: Column, results: Column, goal_policy: Column) -> Column:
     """failed > inconclusive > passed; scores: answer, groundedness, safety and two more; results: of the criteria."""
     low = F.when(goal_policy, ~F.coalesce(goal, F.lit(False)) | F.exists(F.slice(scores, 1, 3), lambda s: s < 3)).otherwise(F.exists(scores, lambda s: s < 3))

@@ -15,10 +15,10 @@ def retry_after_ms(header: Column, now: Column, *, default: int = 60_000, most:
     return F.when(ms.isNull() | (ms <= 0), default).otherwise(F.least(F.ceil(ms), F.lit(most))).cast("long")
 
 
-def cooled(events: DataFrame, key: str, ts: str, failed: Column, cooldown_s: int) -> DataFrame:
-    """Adds until, the end of the cooldown that earlier failures of the key started, and blocked."""
+def cooled(events: DataFrame, key: str, ts: str, failed: Column, cooldown_s: int, ties: str | None = None) -> DataFrame:
+    """Adds until, the end of the cooldown that earlier failures of the key started, and blocked. ties: orders equal times."""
     end = F.when(failed, F.col(ts) + F.make_interval(secs=F.lit(cooldown_s)))
-    before = Window.partitionBy(key).orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(key).orderBy(ts, *([ties] if ties else [])).rowsBetween(Window.unboundedPreceding, -1)
     out = events.withColumn("until", F.last(end, ignorenulls=True).over(before))
     return out.withColumn("blocked", F.coalesce(F.col("until") > F.col(ts), F.lit(False)))
 
@@ -39,3 +39,12 @@ def settled(samples: DataFrame, key: str, ts: str, signature: str) -> DataFrame:
     by = Window.partitionBy(key).orderBy(ts)
     same = (F.col(signature) == F.lag(signature, 1).over(by)) & (F.col(signature) == F.lag(signature, 2).over(by))
     return samples.withColumn("__same", F.coalesce(same, F.lit(False))).groupBy(key).agg(F.min(F.when(F.col("__same"), F.col(ts))).alias("settled_at"), F.count("*").alias("samples"))
+
+
+def preferred_failure(attempts: DataFrame, key: str, order: str) -> DataFrame:
+    """Of a key's failed attempts (code, retryable), the one to report: the last, but an observed challenge in place of a
+    last one that is retryable and says no more."""
+    vague = ("BOT_CHALLENGE", "PARSE_CHANGED", "UPSTREAM_HTTP")
+    found = attempts.groupBy(key).agg(F.max_by(F.struct("code", "retryable"), order).alias("last"), F.count_if(F.col("code") == "BOT_CHALLENGE").alias("n"))
+    challenge = F.col("last.retryable") & F.col("last.code").isin(*vague) & (F.col("n") > 0)
+    return found.select(key, F.when(challenge, "BOT_CHALLENGE").otherwise(F.col("last.code")).alias("code"))

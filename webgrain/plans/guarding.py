@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import budget, guard, policy
-from ..operators.pages import spread
 from .registry import query
 
 USES = ("answer", "summarize", "search_more", "call_readonly_tool", "quote")
@@ -22,7 +21,7 @@ def _sql_pick(values, c):
 @query(None)
 def guard_decisions(spark, read):
     """Plain text -> readings -> rules -> policy; a decision for each document that is long enough to read."""
-    docs = spread(read("documents").select("doc_id", "text"), "doc_id").select("doc_id", t.plain_text(F.col("text")).alias("text"), F.lit("visible").alias("location"))
+    docs = read("documents").select("doc_id", "text").select("doc_id", t.plain_text(F.col("text")).alias("text"), F.lit("visible").alias("location"))
     long = docs.where(t.u16len(F.col("text")) >= 20).withColumn("cut", t.u16len(F.col("text")) > guard.MAX_CHARACTERS)
     long = long.withColumn("text", t.head_tail(F.col("text"), guard.MAX_CHARACTERS))
     return guard.decided(guard.scan(long, carry=["doc_id", "cut"]), ["doc_id"], truncated="cut")
@@ -54,7 +53,7 @@ def scan_diagnostics(spark, read):
 @query(None)
 def guard_findings(spark, read):
     """Findings by category and severity."""
-    docs = spread(read("documents").select("doc_id", "text"), "doc_id").withColumn("location", F.lit("visible"))
+    docs = read("documents").select("doc_id", "text").withColumn("location", F.lit("visible"))
     found = guard.scan(docs, strict=True, carry=["doc_id"]).select("doc_id", F.explode("findings").alias("f"))
     return found.groupBy("f.category", "f.severity").agg(F.count("*").alias("findings"), F.countDistinct("doc_id").alias("documents"))
 

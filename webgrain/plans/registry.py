@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.pages import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -16,16 +19,24 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    #: Tables of texts, by the column that deals their rows over the cores if the scan has fewer partitions than there are.
+    TEXTS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(table, self.TEXTS[name]) if name in self.TEXTS else table
 
     def stream(self, name: str) -> DataFrame:
         """The table's files as they arrive; the file source wants folders, so a file is found by its name."""
-        return self.spark.readStream.schema(self(name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
+        return self.spark.readStream.schema(self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
 
     def drained(self, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-        """All that a stream gives for what is there now, from an in-memory sink: for small results."""
-        run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+        """All that a stream gives for what is there now, from an in-memory sink: for aggregates of a few rows."""
+        place = self.spark.conf.get("spark.checkpoint.dir", None)
+        run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+        if place:  # a stream's state lies where all executors can read it
+            run = run.option("checkpointLocation", f"{place.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}")
+        run = run.start()
         run.awaitTermination()
         return self.spark.table(name)
 

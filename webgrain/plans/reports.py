@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import budget, policy
 from .registry import query
 
 
@@ -50,14 +51,15 @@ def corpus_gate(spark, read):
     """SELECT user_id, CASE WHEN bool_or(event_type = 'error' OR value < 2) THEN 'failed' WHEN count(*) < 3 THEN 'inconclusive' ELSE 'passed' END AS status FROM events GROUP BY 1"""
 )
 def judge_status(spark, read):
-    broken = F.bool_or((F.col("event_type") == "error") | (F.col("value") < 2))
-    return read("events").groupBy("user_id").agg(F.when(broken, "failed").when(F.count("*") < 3, "inconclusive").otherwise("passed").alias("status"))
+    broken = F.count_if((F.col("event_type") == "error") | (F.col("value") < 2))
+    results = F.when(F.count("*") < 3, F.array(F.lit("unknown"))).otherwise(F.array(F.lit("pass")))
+    rows = read("events").groupBy("user_id").agg(broken.alias("broken"), results.alias("results"))
+    scores = F.array(*[F.lit(5)] * 5)
+    return rows.select("user_id", policy.judged(F.col("broken"), F.lit(True), scores, F.col("results"), F.lit(True)).alias("status"))
 
 
 @query("SELECT user_id, event_id, sum(least(value, 40)) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) > 200 AS over_cap FROM events")
 def byte_accounting(spark, read):
     """Running totals of capped sizes against a cap."""
-    by = F.sum(F.least(F.col("value"), F.lit(40.0)))
-    from pyspark.sql.window import Window
-
-    return read("events").select("user_id", "event_id", (by.over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)) > 200).alias("over_cap"))
+    rows = read("events").select("user_id", "event_id", F.least(budget.wire_size(F.col("value"), F.lit(0.0)), F.lit(40.0)).alias("size"))
+    return budget.over_cap(rows, "user_id", "event_id", F.col("size"), 200).select("user_id", "event_id", "over_cap")

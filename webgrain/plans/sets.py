@@ -65,9 +65,9 @@ _COHORT = "SELECT user_id, event_type, count(*) AS n, sum(CAST(value * 100 AS BI
     SELECT a.user_id, a.event_type, a.n AS base_n, b.n AS cand_n, b.n - a.n AS delta FROM a JOIN b ON a.user_id = b.user_id AND a.event_type = b.event_type"""
 )
 def cohort_join(spark, read):
-    n = read("events").groupBy("user_id", "event_type").agg(F.count_if(F.col("event_id") % 2 == 0).alias("base_n"), F.count_if(F.col("event_id") % 2 == 1).alias("cand_n"))
-    # one pass over both cohorts instead of a join of two scans
-    return n.where("base_n > 0 AND cand_n > 0").withColumn("delta", F.col("cand_n") - F.col("base_n"))
+    rows = read("events").select("user_id", "event_type", F.col("event_id") % 2 == 0)
+    sides = [rows.where(~rows[2] if k else rows[2]).groupBy("user_id", "event_type").agg(F.count("*").alias(n)) for k, n in enumerate(("base_n", "cand_n"))]
+    return sides[0].join(sides[1], ["user_id", "event_type"]).withColumn("delta", F.col("cand_n") - F.col("base_n"))
 
 
 @query("SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents) WHERE k = 1")
@@ -95,11 +95,13 @@ def quote_containment(spark, read):
     words = F.split("t", " ")
     # six arrays, each a word further, side by side: the text is split a few times and not once per word
     grams = F.transform(F.arrays_zip(*[F.slice(words, k, F.size(words)).alias(f"w{k}") for k in range(1, 7)]), lambda z: F.xxhash64(z))
-    keys = docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("k"))
+    keys = docs.select("doc_id", F.explode(grams).alias("k"))
     near = long.withColumn("k", F.xxhash64(F.struct(*[lead[i].alias(f"w{i + 1}") for i in range(6)]))).join(keys, "k").select("item_id", "q", "doc_id")
+    near = near.distinct()
     found = near.join(docs, "doc_id").where(F.contains("t", F.col("q"))).select("item_id", "doc_id")
-    few = short.join(docs, F.contains("t", F.col("q"))).select("item_id", "doc_id")
-    return found.unionByName(few)
+    # the few passages without six whole words inside are looked up in each text, together
+    few = docs.crossJoin(F.broadcast(short.agg(F.collect_list(F.struct("item_id", "q")).alias("few")))).select("doc_id", F.explode(F.filter("few", lambda x: F.contains(F.col("t"), x["q"]))).alias("x"))
+    return found.unionByName(few.select("x.item_id", "doc_id"))
 
 
 @query(
@@ -137,11 +139,8 @@ def retry_after_ms(spark, read):
     """SELECT event_id, coalesce(max(CASE WHEN event_type = 'error' OR value < 5 THEN ts + INTERVAL 60 SECOND END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > ts, false) AS blocked FROM events"""
 )
 def cooldown_until(spark, read):
-    rows = read("events").withColumn("t", F.struct("ts", "event_id"))
     failed = (F.col("event_type") == "error") | (F.col("value") < 5)
-    end = F.when(failed, F.col("ts") + F.expr("INTERVAL 60 SECONDS"))
-    by = hits.Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(hits.Window.unboundedPreceding, -1)
-    return rows.select("event_id", F.coalesce(F.last(end, ignorenulls=True).over(by) > F.col("ts"), F.lit(False)).alias("blocked"))
+    return timing.cooled(read("events"), "user_id", "ts", failed, 60, "event_id").select("event_id", "blocked")
 
 
 @query(

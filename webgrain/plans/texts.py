@@ -1,11 +1,9 @@
 """Text and URL queries."""
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as t
 from ..functions import urls as u
-from ..operators.hits import first_of_each
 from .registry import query
 
 _TRIM = r"regexp_replace(regexp_replace({}, '^[\s\x{{a0}}\x{{3000}}\x{{feff}}]+', ''), '[\s\x{{a0}}\x{{3000}}\x{{feff}}]+$', '')"
@@ -97,8 +95,7 @@ def url_normalize(spark, read):
 @query(f"SELECT url, min(page_id) AS page_id, count(*) AS copies FROM (SELECT page_id, {TRACK_SQL.format('url')} AS url FROM pages) GROUP BY url")
 def url_dedupe_first(spark, read):
     rows = read("pages").select("page_id", u.tracking_free(F.col("url")).alias("url"))
-    rows = rows.withColumn("copies", F.count("*").over(Window.partitionBy("url")))
-    return first_of_each(rows, ["url"], "page_id").select("url", "page_id", "copies")
+    return rows.groupBy("url").agg(F.min("page_id").alias("page_id"), F.count("*").alias("copies"))
 
 
 HOST_SQL = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1))"

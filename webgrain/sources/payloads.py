@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
-import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -13,14 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import text, urls
-from ..functions.extract import squeezed
-from ..functions.html_tree import parse
+from ..functions import text
 
 # Fixed values.
 KEPT_HEADERS = ("content-type", "content-language", "last-modified", "etag")
-MEDIA_TYPES = ("text/html", "application/xhtml+xml", "text/plain", "text/markdown", "application/json", "application/xml")
-FRESHNESS = {"day": "pd", "week": "pw", "month": "pm", "year": "py"}
+MEDIA_TYPES = ("text/html", "application/xhtml+xml", "text/plain", "text/markdown", "application/xml", "text/xml")
 CHARSETS = {"utf8": "utf-8", "utf-8": "utf-8", "utf16": "utf-16-le", "utf-16": "utf-16-le", "utf-16le": "utf-16-le", "utf-16be": "utf-16-be", "shift-jis": "cp932", "shift_jis": "cp932", "sjis": "cp932", "windows-31j": "cp932", "cp932": "cp932"}
 BOMS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
 _DECLARED = re.compile(r"(?:^|[;\s])charset\s*=\s*[\"']?([^;\"'\s/>]+)", re.IGNORECASE)
@@ -35,60 +30,6 @@ def json_hits(payloads: DataFrame, key: str, body: str) -> DataFrame:
     return rows.select(key, "pos", text.external_text(F.col("r.title")).alias("title"), F.col("r.url").alias("url"), text.external_text(F.coalesce("r.description", F.lit(""))).alias("snippet"))
 
 
-def html_results(html: str | None) -> list[dict]:
-    """Result blocks of a search page: title, target and snippet."""
-    out = []
-    for block in parse(html or "").elements():
-        if not block.has_class("result"):
-            continue
-        link = next((n for n in block.elements("a") if n.has_class("result__a")), None)
-        if link is None or not squeezed(link.text()) or not link.attrs.get("href"):
-            continue
-        snippet = next((n for n in block.elements() if n.has_class("result__snippet")), None)
-        out.append({"title": squeezed(link.text()), "url": urls.unwrap(link.attrs["href"]), "snippet": squeezed(snippet.text()) if snippet else ""})
-    return out
-
-
-def bracketed(source: str, marker: str) -> str | None:
-    """The JSON array or object that follows a marker in a script, found by its brackets outside strings; never run."""
-    at = source.find(marker)
-    if at < 0:
-        return None
-    begin = next((k for k in range(at + len(marker), len(source)) if source[k] in "[{"), -1)
-    depth, quoted, k = 0, False, begin
-    while 0 <= k < len(source):
-        c = source[k]
-        if quoted:
-            k += c == "\\"
-            quoted = c != '"'
-        elif c == '"':
-            quoted = True
-        elif c in "[{":
-            depth += 1
-        elif c in "]}":
-            depth -= 1
-            if not depth:
-                return source[begin : k + 1]
-        k += 1
-    return None
-
-
-def script_results(source: str | None, marker: str = "DDG.pageLayout.load('d',") -> list[dict]:
-    """Results of a page that carries them as data for its script: t, u and a of each row but those with n."""
-    found = bracketed(source or "", marker)
-    try:
-        rows = json.loads(found) if found else []
-    except ValueError:
-        return []
-    strip = lambda s: squeezed(parse(str(s or "")).text())
-    return [{"title": strip(r.get("t")), "url": str(r["u"]), "snippet": strip(r.get("a"))} for r in rows if isinstance(r, dict) and "n" not in r and r.get("u") and r.get("t")]
-
-
-def page_hits(payloads: DataFrame, key: str, body: str, parser=html_results) -> DataFrame:
-    kind = F.pandas_udf(lambda s: s.map(parser), T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("title", "url", "snippet")])))
-    return payloads.select(key, F.posexplode(kind(body)).alias("pos", "r")).select(key, "pos", "r.title", "r.url", "r.snippet")
-
-
 def kept_headers(headers: Column) -> Column:
     return F.map_filter(F.transform_keys(headers, lambda k, v: F.lower(k)), lambda k, v: k.isin(*KEPT_HEADERS))
 
@@ -97,18 +38,25 @@ def media_type(content_type: Column) -> Column:
     return F.lower(F.trim(F.regexp_extract(content_type, "^([^;]*)", 1)))
 
 
-def decompress(body: bytes, encoding: str, most: int = 2_000_000) -> bytes:
-    """gzip, deflate or identity, within a limit; ValueError for anything else."""
+def decompress(body: bytes, encoding: str | None, most: int = 2_000_000) -> bytes:
+    """gzip, deflate or identity; ValueError for anything else, broken data, or more than most bytes. No more than most
+    bytes are ever inflated."""
     encoding = (encoding or "identity").strip().lower()
     if encoding in ("", "identity"):
         out = body
-    elif encoding == "gzip":
-        out = gzip.decompress(body)
-    elif encoding == "deflate":
-        try:
-            out = zlib.decompress(body)
-        except zlib.error:
-            out = zlib.decompress(body, -15)
+    elif encoding in ("gzip", "x-gzip", "deflate"):
+        kinds = (16 + zlib.MAX_WBITS,) if encoding != "deflate" else (zlib.MAX_WBITS, -zlib.MAX_WBITS)
+        for k, kind in enumerate(kinds):
+            inflate = zlib.decompressobj(kind)
+            try:
+                out = inflate.decompress(body, most + 1)
+            except zlib.error as error:
+                if k + 1 < len(kinds):
+                    continue
+                raise ValueError("broken data") from error
+            if len(out) <= most and not inflate.eof:
+                raise ValueError("broken data")
+            break
     else:
         raise ValueError(f"no decoder for {encoding}")
     if len(out) > most:
@@ -132,17 +80,21 @@ def decode(body: bytes | None, content_type: str | None) -> tuple[str | None, st
         return None, "UNSUPPORTED_CONTENT_ENCODING"
 
 
-def decoded(bodies: DataFrame, body: str = "body", content_type: str = "content_type") -> DataFrame:
-    """bodies with text and error."""
+def decoded(bodies: DataFrame, body: str = "body", content_type: str = "content_type", encoding: str | None = None, most: int = 2_000_000) -> DataFrame:
+    """bodies with text and decode_error: UNSUPPORTED_CONTENT_ENCODING, RESPONSE_TOO_LARGE or null. encoding: the column that
+    names the compression. A null body is an empty one."""
     kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
 
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for b, c in parts:
-            yield pd.DataFrame([decode(x, y) for x, y in zip(b, c, strict=True)], columns=["text", "error"])
-
-    made = F.pandas_udf(run, kind)
-    return bodies.withColumn("__d", made(body, content_type)).select("*", "__d.text", "__d.error").drop("__d")
+    def one(raw, media, packed) -> tuple[str | None, str | None]:
+        try:
+            return decode(decompress(bytes(raw or b""), packed, most), media)
+        except ValueError as error:
+            return None, "RESPONSE_TOO_LARGE" if str(error) == "too large" else "UNSUPPORTED_CONTENT_ENCODING"
 
+    def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for columns in parts:
+            yield pd.DataFrame([one(*row) for row in zip(*columns, strict=True)], columns=["text", "error"])
 
-def freshness(time_range: Column) -> Column:
-    return F.coalesce(*[F.when(time_range == k, v) for k, v in FRESHNESS.items()])
+    made = F.pandas_udf(run, kind)(body, content_type, F.col(encoding) if encoding else F.lit(None).cast("string"))
+    kept = [F.col(f"`{c}`") for c in bodies.columns]
+    return bodies.select(*kept, made.alias("made")).select(*kept, F.col("made.text").alias("text"), F.col("made.error").alias("decode_error"))

@@ -12,16 +12,23 @@ from ..functions import text
 # Parameters of the providers.
 SAFE_SEARCH = {"strict": "1", "moderate": "-1", "off": "-2"}
 TIME_RANGE = {"day": "d", "week": "w", "month": "m", "year": "y"}
-DEFAULT_REGIONS = (
-    "bg:BG cs:CZ da:DK de:DE el:GR en:US es:ES et:EE fi:FI fr:FR he:IL hr:HR hu:HU id:ID it:IT ja:JP ko:KR lt:LT lv:LV ms:MY nl:NL no:NO pl:PL pt:PT "
-    "ro:RO ru:RU sk:SK sl:SI sv:SE th:TH tl:PH tr:TR uk:UA vi:VN zh:CN"
-)
-#: Languages of each region, the first one's code being the region's own; codes are region-language but for these.
-REGION_LANGUAGES = (
-    "AR:es AU:en AT:de BE:fr,nl BR:pt BG:bg CA:en,fr CL:es CN:zh CO:es HR:hr CZ:cs DK:da EE:et FI:fi FR:fr DE:de GR:el HK:zh HU:hu IN:en ID:id,en IE:en IL:he IT:it "
-    "JP:ja KR:ko LV:lv LT:lt MY:ms,en MX:es NL:nl NZ:en NO:no PE:es PH:en,tl PL:pl PT:pt RO:ro RU:ru SG:en SK:sk SI:sl ZA:en ES:es SE:sv CH:de,fr,it TW:zh TH:th TR:tr UA:uk GB:en US:en,es VE:es VN:vi"
-)
-OTHER_CODES = {"HK:zh": "hk-tzh", "JP:ja": "jp-jp", "KR:ko": "kr-kr", "TW:zh": "tw-tzh", "GB:en": "uk-en", "US:es": "ue-es"}
+FRESHNESS = {"day": "pd", "week": "pw", "month": "pm", "year": "py"}
+DEFAULT_REGIONS = {
+    "bg": "BG", "cs": "CZ", "da": "DK", "de": "DE", "el": "GR", "en": "US", "es": "ES", "et": "EE", "fi": "FI", "fr": "FR", "he": "IL", "hr": "HR",
+    "hu": "HU", "id": "ID", "it": "IT", "ja": "JP", "ko": "KR", "lt": "LT", "lv": "LV", "ms": "MY", "nl": "NL", "no": "NO", "pl": "PL", "pt": "PT",
+    "ro": "RO", "ru": "RU", "sk": "SK", "sl": "SI", "sv": "SE", "th": "TH", "tl": "PH", "tr": "TR", "uk": "UA", "vi": "VN", "zh": "CN",
+}
+#: Codes by region and language; a region alone has the first of its codes.
+REGIONS = {
+    "AR:es": "ar-es", "AU:en": "au-en", "AT:de": "at-de", "BE:fr": "be-fr", "BE:nl": "be-nl", "BR:pt": "br-pt", "BG:bg": "bg-bg", "CA:en": "ca-en",
+    "CA:fr": "ca-fr", "CL:es": "cl-es", "CN:zh": "cn-zh", "CO:es": "co-es", "HR:hr": "hr-hr", "CZ:cs": "cz-cs", "DK:da": "dk-da", "EE:et": "ee-et",
+    "FI:fi": "fi-fi", "FR:fr": "fr-fr", "DE:de": "de-de", "GR:el": "gr-el", "HK:zh": "hk-tzh", "HU:hu": "hu-hu", "IN:en": "in-en", "ID:id": "id-id",
+    "ID:en": "id-en", "IE:en": "ie-en", "IL:he": "il-he", "IT:it": "it-it", "JP:ja": "jp-jp", "KR:ko": "kr-kr", "LV:lv": "lv-lv", "LT:lt": "lt-lt",
+    "MY:ms": "my-ms", "MY:en": "my-en", "MX:es": "mx-es", "NL:nl": "nl-nl", "NZ:en": "nz-en", "NO:no": "no-no", "PE:es": "pe-es", "PH:en": "ph-en",
+    "PH:tl": "ph-tl", "PL:pl": "pl-pl", "PT:pt": "pt-pt", "RO:ro": "ro-ro", "RU:ru": "ru-ru", "SG:en": "sg-en", "SK:sk": "sk-sk", "SI:sl": "sl-sl",
+    "ZA:en": "za-en", "ES:es": "es-es", "SE:sv": "se-sv", "CH:de": "ch-de", "CH:fr": "ch-fr", "CH:it": "ch-it", "TW:zh": "tw-tzh", "TH:th": "th-th",
+    "TR:tr": "tr-tr", "UA:uk": "ua-uk", "GB:en": "uk-en", "US:en": "us-en", "US:es": "ue-es", "VE:es": "ve-es", "VN:vi": "vn-vi",
+}
 CHALLENGES = (
     r"DDG\.(?:deep\.)?anomalyDetectionBlock\s*\(",
     r"(?:id|class)=[\"'][^\"']*\banomaly-modal\b",
@@ -30,8 +37,8 @@ CHALLENGES = (
     r"Unfortunately,\s+bots\s+use\s+DuckDuckGo\s+too",
     r"Please\s+complete\s+the\s+following\s+challenge",
 )
-
-REGIONS = {f"{r}:{x}": OTHER_CODES.get(f"{r}:{x}", f"{r.lower()}-{x}") for r, xs in (p.split(":") for p in REGION_LANGUAGES.split()) for x in xs.split(",")}
+RENDER_MODES = ("never", "auto", "always")
+REQUESTED_USES = ("summarize", "answer_with_citation", "extract_facts", "search_more", "call_readonly_tool")
 
 
 def _looked_up(table: dict[str, str], key: Column) -> Column:
@@ -41,11 +48,17 @@ def _looked_up(table: dict[str, str], key: Column) -> Column:
 def region_code(language: Column, region: Column, locale: Column) -> Column:
     """A locale as it is; else the code of region and language; a language alone has its default region, a region alone its first code."""
     language, region = F.lower(language), F.upper(region)
-    default = _looked_up(dict(p.split(":") for p in DEFAULT_REGIONS.split()), language)
     first: dict[str, str] = {}
     for k, code in REGIONS.items():
         first.setdefault(k[:2], code)
-    return F.coalesce(F.trim(locale), F.when(language.isNull(), _looked_up(first, region)).otherwise(_looked_up(REGIONS, F.concat_ws(":", F.coalesce(region, default), language))))
+    of_both = _looked_up(REGIONS, F.concat_ws(":", F.coalesce(region, _looked_up(DEFAULT_REGIONS, language)), language))
+    return F.coalesce(F.trim(locale), F.when(language.isNull(), _looked_up(first, region)).otherwise(of_both))
+
+
+def region_error(language: Column, region: Column, locale: Column) -> Column:
+    """INVALID_INPUT for a language or region that the provider has no code for; null if none is asked for, or it has one."""
+    asked = language.isNotNull() | region.isNotNull()
+    return F.when(locale.isNull() & asked & region_code(language, region, locale).isNull(), "INVALID_INPUT")
 
 
 def safe_search(value: Column) -> Column:
@@ -76,6 +89,33 @@ def search_error(df: DataFrame) -> Column:
     )
 
 
+def too_many_words(query: Column, most: int = 50) -> Column:
+    """Whether a query has more words than the JSON provider takes."""
+    return F.size(F.split(text.trimmed(query), f"[{text.BLANKS}]+")) > most
+
+
+def freshness(span: Column) -> Column:
+    return _looked_up(FRESHNESS, span)
+
+
+def read_error(df: DataFrame) -> Column:
+    """Why a read request (url, max_characters, render, requested_use, and of its source provider, query, rank, snippet) is
+    invalid; null if valid. A source is given if one of its columns is not null."""
+    url, size = text.trimmed(F.col("url")), lambda c: text.u16len(F.col(c))
+    source = F.col("provider").isNotNull() | F.col("query").isNotNull() | F.col("rank").isNotNull() | F.col("snippet").isNotNull()
+    blank = lambda c: F.coalesce(text.trimmed(F.col(c)) == "", F.lit(True))
+    bad = blank("provider") | (size("provider") > 100) | (text.external_text(F.col("provider")) == "") | blank("query") | (size("query") > 400)
+    return (
+        F.when(url.isNull() | ~text.u16len(url).between(1, 2048), "url")
+        .when(~F.col("max_characters").between(200, 100_000), "max_characters")
+        .when(~F.col("render").isin(*RENDER_MODES), "render")
+        .when(~F.col("requested_use").isin(*REQUESTED_USES), "requested_use")
+        .when(source & F.coalesce(bad, F.lit(True)), "source")
+        .when(source & ~F.coalesce(F.col("rank").between(1, 1_000_000), F.lit(False)), "rank")
+        .when(size("snippet") > 10_000, "snippet")
+    )
+
+
 def search_key(provider: str) -> Column:
     """One key for equal requests, defaults filled in."""
     blank = F.lit("")
@@ -83,6 +123,12 @@ def search_key(provider: str) -> Column:
     return F.to_json(F.array(*parts, *[F.coalesce(c, blank) for c in ("locale", "language", "region", "time_range")]))
 
 
+def read_key() -> Column:
+    """One key for equal read requests; a request's source is part of it."""
+    blank = F.lit("")
+    return F.to_json(F.array(text.trimmed(F.col("url")), *[F.coalesce(F.col(c).cast("string"), blank) for c in ("max_characters", "render", "requested_use", "provider", "query", "rank", "snippet")]))
+
+
 def encyclopedia_page(url: Column) -> Column:
     """Edition, title and revision of an encyclopedia URL; null if it is none."""
     edition = F.regexp_extract(url, r"^https://([a-z]{2,3}(?:-[a-z0-9]{2,8})*)\.wikipedia\.org/", 1)
