@@ -31,7 +31,7 @@ from .tokens import END_ID, default_path, encoder, input_bytes, kept
 MAGIC = b"WGWM0002"
 SHARD_TOKENS = 2 << 20
 BLOCK = 1 << 18  # bits of a block
-PARTS, PART_BYTES = (12, 20_000), 22  # least and most parts of a table, and bits of a part's bytes of Parquet
+PARTS, PART_BYTES = (12, 20_000), 23  # least and most parts of a table, and bits of a part's bytes of Parquet
 
 
 class Plane:
