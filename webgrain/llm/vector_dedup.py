@@ -19,7 +19,10 @@ more overlap and a wider search, and at last with every class compared with all
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -492,6 +495,29 @@ def _run(classes: DataFrame, stage: Stage, threshold: float, overlap: int, beam:
     return counted, edges.select("a", "b")
 
 
+def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of vectors that can be linked, at unit length; the others are left out."""
+    for batch in batches:
+        rows = batch.column("v")
+        begin = np.concatenate([[0], np.cumsum(rows.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        x = rows.flatten().to_numpy(zero_copy_only=False).astype(float)  # nulls become nan
+        if not len(x):
+            continue
+        # scaled by the largest component first, so that no square overflows or vanishes
+        good = np.logical_and.reduceat(np.isfinite(x), begin[:-1])
+        peak = np.maximum.reduceat(np.abs(x), begin[:-1])
+        good &= peak > 0
+        keep = np.flatnonzero(good)
+        size = np.diff(begin)
+        x, peak, size = x[np.repeat(good, size)], peak[keep], size[keep]
+        x /= np.repeat(peak, size)
+        at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        norm = np.sqrt(np.add.reduceat(x * x, at[:-1])) if len(x) else x
+        x = x / np.repeat(norm, size) + 0.0
+        taken = batch.take(pa.array(keep))
+        yield pa.RecordBatch.from_arrays([taken.column("vec_id"), taken.column("label"), pa.ListArray.from_arrays(at, x)], ["vec_id", "label", "v"])
+
+
 def near_vectors(embeddings: DataFrame, threshold: float = 0.93) -> DataFrame:
     """embeddings (vec_id, embedding, label; others ignored) -> a row for each of its rows: vec_id, n_links,
     component_id, kept, audit_recall.
@@ -504,12 +530,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.93) -> DataFrame:
     spark = embeddings.sparkSession
     stage = Stage(spark, "vectors")
     plain = clean(embeddings, "vec_id", "embedding", "label").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
-    usable = plain.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda y: y.isNull() | F.isnan(y) | (F.abs(y) == float("inf"))) & F.exists("v", lambda y: y != 0))
-    # scaled by the largest component first, so that no square overflows or vanishes
-    peak = F.array_max(F.transform("v", F.abs))
-    usable = usable.withColumn("peak", peak).withColumn("v", F.transform("v", lambda y: y / F.col("peak")))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y))
-    usable = usable.withColumn("norm", norm).withColumn("v", F.transform("v", lambda y: y / F.col("norm") + F.lit(0.0)))
+    usable = plain.where("vec_id IS NOT NULL AND label IS NOT NULL AND size(v) > 0").mapInArrow(_unit, "vec_id long, label long, v array<double>")
     one = usable.groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("s")).select("vec_id", "s.label", "s.v")
     one = stage.put(one, "rows")
     classes = one.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("dim", F.size("v"))
