@@ -145,3 +145,22 @@ def test_corpus_gate(spark, strict):
         assert [k for k, d in got.items() if k.startswith("attack") and d == "allow"] == []
         benign = [d for k, d in got.items() if k.startswith("benign")]
         assert "deny" not in benign and sum(d == "require_approval" for d in benign) <= 0.05 * len(benign)
+
+
+def test_cuts_in_code_units(spark):
+    from webgrain.functions import plain, text
+
+    samples = ["", "abc", "a😀b😀c", "😀" * 9, "é" * 12, "ab😀" * 5, "x" * 30]
+    df = spark.createDataFrame([(s, n) for s in samples for n in (0, 1, 2, 3, 4, 5, 7, 8, 100)], "s string, n int")
+    for r in df.select("s", "n", text.first_units(F.col("s"), F.col("n")).alias("f"), text.head_tail(F.col("s"), F.col("n")).alias("h")).collect():
+        assert r.f == plain.first_units(r.s, r.n), (r.s, r.n)
+        assert r.h == ("" if r.n <= 0 else plain.sampled(r.s, r.n)), (r.s, r.n)
+
+
+def test_public_errors(spark):
+    row = [(1, "CONTENT_INSUFFICIENT", "m", "secret cause", ["a", "a"], ["X", "INSPECTION_INCOMPLETE", "PATTERN_DETECTED"], "INSUFFICIENT_TEXT"), (2, "TIMEOUT", "m", "c", None, None, "INSUFFICIENT_TEXT")]
+    got = policy.public_errors(spark.createDataFrame(row, "k long, code string, message string, cause string, warning_categories array<string>, guard_reason_codes array<string>, reason_code string"), "k")
+    assert "cause" not in got.columns
+    one, two = got.orderBy("k").collect()
+    assert (one.warning_categories, one.guard_reason_codes, one.reason_code) == (["a"], ["PATTERN_DETECTED", "INSPECTION_INCOMPLETE"], "INSUFFICIENT_TEXT")
+    assert two.reason_code is None

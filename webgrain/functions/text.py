@@ -42,9 +42,27 @@ def has_control(c: Column) -> Column:
     return c.rlike("[\\x00-\\x1f\\x7f]")
 
 
+def _units(c: Column, begin: Column, n: Column) -> Column:
+    """n code units from the begin-th (from 0) on; half a pair at either end is left out."""
+    raw = F.encode(c, "UTF-16BE")
+    at = lambda k: F.hex(F.substring(raw, (2 * k + 1).cast("int"), F.lit(1)))
+    first = begin + F.when(at(begin).between("DC", "DF"), 1).otherwise(0)
+    last = begin + n - F.when(at(begin + n - 1).between("D8", "DB"), 1).otherwise(0)
+    cut = F.decode(F.substring(raw, (2 * first + 1).cast("int"), F.greatest(2 * (last - first), F.lit(0)).cast("int")), "UTF-16BE")
+    # texts of the basic plane need no detour
+    plain = F.substring(c, (begin + 1).cast("int"), n.cast("int"))
+    return F.when(n <= 0, "").when(F.length(c) == u16len(c), plain).otherwise(cut)
+
+
+def first_units(c: Column, n: Column | int) -> Column:
+    """The first n code units at most."""
+    n = n if isinstance(n, Column) else F.lit(n)
+    return F.when(u16len(c) <= n, c).otherwise(_units(c, F.lit(0), n))
+
+
 def truncated(c: Column, limit: int) -> Column:
-    """The first limit code units without the white space before the cut; exact where no pair straddles it."""
-    return F.when(u16len(c) <= limit, c).otherwise(F.regexp_replace(F.substring(c, 1, limit), f"[{BLANKS}]+$", ""))
+    """The first limit code units, without the white space before the cut."""
+    return F.when(u16len(c) <= limit, c).otherwise(F.regexp_replace(first_units(c, limit), f"[{BLANKS}]+$", ""))
 
 
 def excerpt(c: Column, limit: int = 240) -> Column:
@@ -52,12 +70,10 @@ def excerpt(c: Column, limit: int = 240) -> Column:
 
 
 def head_tail(c: Column, budget: Column | int) -> Column:
-    """The larger half of the budget from the front and the rest from the end, joined by nothing."""
+    """The larger half of the budget, in code units, from the front and the rest from the end, joined by nothing."""
     n = budget if isinstance(budget, Column) else F.lit(budget)
-    size = F.length(c)
-    head, tail = F.ceil(n / 2).cast("int"), F.floor(n / 2).cast("int")
-    cut = F.concat(F.substring(c, F.lit(1), head), F.when(tail > 0, F.substring(c, (size - tail + 1).cast("int"), tail)).otherwise(""))
-    return F.when(n <= 0, "").when(size <= n, c).otherwise(cut)
+    size, head, tail = u16len(c), F.ceil(n / 2), F.floor(n / 2)
+    return F.when(n <= 0, "").when(size <= n, c).otherwise(F.concat(_units(c, F.lit(0), head), _units(c, size - tail, tail)))
 
 
 def segment_hash(c: Column) -> Column:

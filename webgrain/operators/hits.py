@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text
+
 
 def first_of_each(df: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
     """One row per key, the first by order. dropDuplicates would leave the choice to chance."""
@@ -70,6 +72,6 @@ def shared_work(requests: DataFrame, key: str, order: str) -> DataFrame:
 
 def compact(hits: DataFrame) -> DataFrame:
     """Hits as a tool's answer shows them: provider, title and snippet cut to 100, 200 and 500 characters."""
-    cut = lambda c, n: F.substring(c, 1, n).alias(c)
+    cut = lambda c, n: text.first_units(F.col(c), n).alias(c)
     limits = {"provider": 100, "title": 200, "snippet": 500}
     return hits.select(*[cut(c, limits[c]) if c in limits else F.col(f"`{c}`") for c in hits.columns])

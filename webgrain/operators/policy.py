@@ -237,6 +237,25 @@ def public_verdict(verdicts: DataFrame, *keys: str) -> DataFrame:
     return verdicts.select(*keys, F.lit("untrusted").alias("trust"), F.lit(True).alias("tainted"), "decision", names.alias("warning_categories"), "reason_codes")
 
 
+# What an error says in public.
+PUBLIC_ERROR = ("name", "code", "message", "retryable", "provider", "url", "status", "cooldown_ms", "guard_decision")
+
+
+def public_errors(errors: DataFrame, *keys: str) -> DataFrame:
+    """Errors without causes and diagnostics: the public fields that the table has, its warning categories each once, known
+    codes in their order, and a reason only where content was insufficient."""
+    have = set(errors.columns)
+    out = [F.col(c) for c in (*keys, *PUBLIC_ERROR) if c in have]
+    if "warning_categories" in have:
+        out.append(F.array_distinct("warning_categories").alias("warning_categories"))
+    if "guard_reason_codes" in have:
+        out.append(F.slice(ordered_codes(F.col("guard_reason_codes")), 1, MOST_DIAGNOSTICS).alias("guard_reason_codes"))
+    if "reason_code" in have:
+        known = (F.col("code") == "CONTENT_INSUFFICIENT") & F.col("reason_code").isin("INSUFFICIENT_TEXT", "DYNAMIC_RENDERING_REQUIRED")
+        out.append(F.when(known, F.col("reason_code")).alias("reason_code"))
+    return errors.select(*out)
+
+
 def judged(contract_failures: Column, goal: Column, scores: Column, results: Column, goal_policy: Column) -> Column:
     """failed > inconclusive > passed; scores: answer, groundedness, safety and two more; results: of the criteria."""
     low = F.when(goal_policy, ~F.coalesce(goal, F.lit(False)) | F.exists(F.slice(scores, 1, 3), lambda s: s < 3)).otherwise(F.exists(scores, lambda s: s < 3))

@@ -51,3 +51,19 @@ def reason_code_order(spark, read):
 def challenge_detection(spark, read):
     html = F.when(F.col("page_id") % 9 == 0, F.concat("html", F.lit('<form id="challenge-form">'))).otherwise(F.col("html"))
     return read("pages").select("page_id", r.challenged(html).alias("challenged"))
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 13 = 0 THEN 'query' WHEN c_custkey % 11 = 0 THEN 'limit' WHEN c_custkey % 7 = 1 THEN 'safe_search' WHEN c_custkey % 7 = 2 THEN 'time_range' WHEN c_custkey % 5 = 0 THEN 'locale'
+    WHEN c_custkey % 5 = 1 AND c_custkey % 2 = 0 THEN 'language' WHEN c_custkey % 5 = 2 AND c_custkey % 2 = 0 THEN 'region' WHEN c_custkey % 5 = 3 THEN 'locale_with_language_or_region' END AS error FROM customer"""
+)
+def search_fields(spark, read):
+    """All fields of a search request, each wrong in some rows."""
+    k = F.col("c_custkey")
+    rows = read("customer").select(
+        "c_custkey", F.when(k % 13 == 0, F.repeat(F.lit("q"), 401)).otherwise(" weather ").alias("query"), F.when(k % 11 == 0, 21).otherwise(5).alias("limit"),
+        F.when(k % 7 == 1, "maybe").otherwise("strict").alias("safe_search"), F.when(k % 7 == 2, "hour").otherwise("week").alias("time_range"),
+        F.when(k % 5 == 0, "\x01de").when(k % 5 == 3, "de-de").alias("locale"), F.when(k % 5 == 1, F.when(k % 2 == 0, "deu").otherwise("de")).when(k % 5 == 3, "de").alias("language"),
+        F.when(k % 5 == 2, F.when(k % 2 == 0, "1A").otherwise("de")).alias("region"),
+    )
+    return rows.select("c_custkey", r.search_error(rows).alias("error"))
