@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Row groups of staged tables: what a task buffers of a table that it writes.
+GROUP_BYTES = 16 << 20
 #: A side is broadcast only if its rows take at most about that many bytes in memory.
 BROADCAST_BYTES = 64 << 20
 _FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
@@ -38,6 +40,7 @@ class Stage:
     def __init__(self, spark: SparkSession, name: str):
         if spark.conf.get(BATCH, "10000") == "10000":  # rows are texts, so batches are kept short
             spark.conf.set(BATCH, "1000")
+            spark.conf.set(BATCH_BYTES, "8m")
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
@@ -48,7 +51,7 @@ class Stage:
     def put(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Writes df as Parquet and reads it back, so that a lost executor costs one stage and not the whole plan."""
         path = self.path(name)
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stage_path = path
         return out
