@@ -29,15 +29,15 @@ class Rule:
 # Of each pattern, words of which a match without Japanese letters has at least one, in lower case.
 STEMS = {
     "instruction_override": ("ignore disregard forget override bypass discard", "instruction prompt rule direction guideline message"),
-    "role_redefinition": ("you are|act as|pretend|new role|roleplay",),
+    "role_redefinition": ("you are now|act as|pretend to be|pretend you are|new role|roleplay as",),
     "secret_exfiltration": ("secret password token api credential prompt environment", "reveal show print output send post upload exfiltrate steal"),
     "tool_invocation": ("tool function command shell terminal browser", "call invoke execute run launch open"),
     "external_send": ("send post upload forward transmit", "url webhook email server endpoint external attacker"),
     "memory_write": ("remember store save write persist add", "memory procedure skill knowledge profile"),
     "policy_override": ("policy rule safety guardrail setting", "change update disable remove bypass override"),
     "source_suppression": ("not don't never omit hide remove", "cite quote citation source reference provenance"),
-    "output_control": ("only|exactly",),
-    "authority_claim": ("message|authorized|instruction",),
+    "output_control": ("output only|respond only|reply exactly|print exactly|say only",),
+    "authority_claim": ("system message|developer message|authorized by|administrator instruction|priority instruction",),
 }
 JAPANESE = re.compile("[\u3005\u3040-\u30ff\u4e00-\u9fff]")
 

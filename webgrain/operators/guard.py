@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -65,22 +67,37 @@ def findings(text: str, location: str, strict: bool, lines: bool = False) -> lis
 PLAIN_LETTERS = r"\x09\x0A\x0D\x20-\x7E\u00A1\u00AB\u00BB\u00BF\u00C0-\u012F\u0134-\u013E\u0141-\u0148\u014A-\u017E\u2013\u2014\u2018-\u201D\u0410-\u044F"
 
 
+#: What is left out of a text before rules' words are looked for, and the signs that may stand for letters.
+JOINTS, SIGNS, LETTERS = " \t\n\r\x0b\x0c._|/\\-", "013457@$", "oieastas"
+
+
 def possible(text: Column) -> Column:
     """Whether some rule could match some reading: never false where one does.
 
     Without white space, delimiters and signs that stand for letters, a text holds the words of all its readings, but
     for characters that normalise to others, escapes and encoded runs; those make a text possible by themselves.
     """
-    bare = F.translate(F.lower(F.regexp_replace(text, r"[\s._|/\\-]+", "")), "013457@$", "oieastas")
-    rules = F.lit(False)
-    for rule in RULES:
-        every = F.lit(True)
-        for stems in rule.stems:
-            every = every & bare.rlike("|".join(s.replace(" ", "") for s in stems))
-        rules = rules | every
-    disguised = text.rlike(rf"[^{PLAIN_LETTERS}]|\\[uxUX]|%[0-9a-fA-F]{{2}}|(?<![A-Za-z])(?:[A-Za-z][\t ]+){{3}}")
-    encoded = F.regexp_replace(text, r"[._|\\-]", "").rlike("[A-Za-z0-9+/@$]{16}")
-    return F.coalesce(disguised | encoded | rules, F.lit(False))
+
+    def some_rule(bare: Column) -> Column:
+        out = F.lit(False)
+        for rule in RULES:
+            every = F.lit(True)
+            for stems in sorted(rule.stems, key=lambda stems: -min(map(len, stems))):  # the rarer words first
+                words = sorted({s.replace(" ", "") for s in stems})
+                # a word that holds another one adds nothing
+                any_ = [F.contains(bare, F.lit(w)) for w in words if not any(o != w and o in w for o in words)]
+                every = every & reduce(or_, any_)
+            out = out | every
+        return out
+
+    # a list of one element, so that the bare text is made once for all the words
+    bare = F.translate(F.lower(text), SIGNS + JOINTS, LETTERS)
+    rules = F.exists(F.array(bare), some_rule)
+    odd = F.when(F.octet_length(text) == F.length(text), text.rlike(r"[^\t\n\r -~]")).otherwise(text.rlike(f"[^{PLAIN_LETTERS}]"))
+    escaped = (F.contains(text, F.lit("\\")) & text.rlike(r"\\[uxUX]")) | (F.contains(text, F.lit("%")) & text.rlike("%[0-9a-fA-F]{2}"))
+    spelled = text.rlike(r"(?:^|[^A-Za-z])[A-Za-z][\t ]+[A-Za-z][\t ]+[A-Za-z][\t ]")
+    encoded = F.translate(text, "._|\\-", "").rlike("[A-Za-z0-9+/@$]{16}")
+    return F.coalesce(rules | encoded | odd | escaped | spelled, F.lit(False))
 
 
 def scan(segments: DataFrame, *, strict: bool = False, text: str = "text", location: str = "location", lines: bool | str = False, carry: list[str] | None = None) -> DataFrame:
