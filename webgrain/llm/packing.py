@@ -90,7 +90,7 @@ def _pack(path: str, end_id: int, window: int, group_tokens: int):
             groups += 1
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64(), mask=None if docs.dtype != object else np.array([d is None for d in docs])), *map(pa.array, (starts, lengths)), pa.array(ids, pa.binary()), *map(pa.array, (totals, number, offsets, fill[bins]))], names)
 
-        for batch in (p for b in batches for p in tk.parts(b, 2 << 20)):
+        for batch in (p for b in batches for p in tk.parts(b, 1 << 20)):
             flat, at = encoder(path).encode(*tk.buffers(batch.column("text")), end_id)
             total = np.diff(at)
             pieces = -(-total // window)

@@ -9,6 +9,7 @@ splitting rule would leave as they are; all others go through the whole tokenize
 from __future__ import annotations
 
 import json
+import os
 import re
 
 import numpy as np
@@ -72,20 +73,35 @@ class _Table:
 
 class Encoder:
     def __init__(self, path: str):
+        # a task has one core, and threads of the library's own would only take memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
-        self.plain = None
-        stated = json.loads(self.whole.to_str())
+        self._tokenizer = Tokenizer.from_file(path)
+        self._stated = self._tokenizer.normalizer, self._tokenizer.pre_tokenizer
+        self._plain = None
+        stated = json.loads(self._tokenizer.to_str())
         rules = (stated.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         if rules[0].get("pattern") == {"Regex": _RULE} and stated["model"].get("end_of_word_suffix") == "</w>":
-            self.plain = Tokenizer.from_file(path)
-            self.plain.normalizer = None
-            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-            self.is_end = np.zeros(self.whole.get_vocab_size() + 1, bool)
-            self.is_end[[v for k, v in self.whole.get_vocab().items() if k.endswith("</w>")]] = True
+            self._plain = None, pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.is_end = np.zeros(self._tokenizer.get_vocab_size() + 1, bool)
+            self.is_end[[v for k, v in self._tokenizer.get_vocab().items() if k.endswith("</w>")]] = True
         self.forget()
 
+    @property
+    def whole(self):
+        """The tokenizer as its file states it."""
+        self._tokenizer.normalizer, self._tokenizer.pre_tokenizer = self._stated
+        return self._tokenizer
+
+    @property
+    def plain(self):
+        """The same model for chunks that are split already; None if the file's rules are others."""
+        if self._plain:
+            self._tokenizer.normalizer, self._tokenizer.pre_tokenizer = self._plain
+            return self._tokenizer
+        return None
+
     def forget(self) -> None:
         self.table = _Table()
         self.pool, self.starts, self.sizes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
@@ -106,7 +122,7 @@ class Encoder:
         pieces: dict[str, int] = {}
         quick, counts, parts, slow = [], [], [], []
         for i, c in enumerate(texts):
-            if self.plain and _PLAIN.fullmatch(c) and "<|" not in c:
+            if self._plain and _PLAIN.fullmatch(c) and "<|" not in c:
                 found = _PIECES.findall(c.lower())
                 quick.append(i)
                 counts.append(len(found))
@@ -117,7 +133,8 @@ class Encoder:
         if pieces:
             names = list(pieces)
             joined = [" ".join(names[k : k + 256]) for k in range(0, len(names), 256)]
-            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.plain.encode_batch_fast(joined, add_special_tokens=False)])
+            plain = self.plain
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in plain.encode_batch_fast(joined, add_special_tokens=False)])
             ends = np.flatnonzero(self.is_end[ids]) + 1
             if len(ends) == len(names):
                 begin, part = np.concatenate([[0], ends[:-1]]), np.array(parts)
@@ -127,8 +144,9 @@ class Encoder:
                 order += quick
             else:
                 slow += quick
+        whole = self.whole
         for k in range(0, len(slow), 4096):
-            got = [e.ids for e in self.whole.encode_batch_fast([texts[i] for i in slow[k : k + 4096]], add_special_tokens=False)]
+            got = [e.ids for e in whole.encode_batch_fast([texts[i] for i in slow[k : k + 4096]], add_special_tokens=False)]
             sizes.append(np.array([len(x) for x in got], np.int64))
             flats.append(np.array([t for x in got for t in x], np.uint32))
             order += slow[k : k + 4096]
