@@ -126,10 +126,15 @@ def public_ipv4(address: Column) -> Column:
     octets = F.split(address, "\\.")
     value = F.aggregate(F.transform(octets, lambda x: x.try_cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s * 256 + x)
     shape = address.rlike("^(?:(?:0|[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\\.|$)){4}$") & ~address.endswith(".")
-    reserved = F.lit(False)
-    for net in map(ipaddress.ip_network, V4_RESERVED):
-        reserved |= value.between(int(net.network_address), int(net.broadcast_address))
-    return F.coalesce(shape & ~reserved, F.lit(False))
+
+    def outside(v: Column) -> Column:
+        out = F.lit(True)
+        for net in map(ipaddress.ip_network, V4_RESERVED):
+            out &= ~v.between(int(net.network_address), int(net.broadcast_address))
+        return out
+
+    # a list of one element, so that the address is made a number once
+    return F.coalesce(shape & F.forall(F.array(value), outside), F.lit(False))
 
 
 def public_address(address: str | None) -> bool:
@@ -149,18 +154,23 @@ def is_public(addresses: pd.Series) -> pd.Series:
 
 def outbound_error(url: Column) -> Column:
     """Why a URL must not be fetched, before its addresses are known; null if nothing speaks against it."""
-    scheme = F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     authority = F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
-    port = F.regexp_extract(authority, ":([0-9]+)$", 1)
-    name = host(url)
-    local = name.isin("localhost", "home.arpa") | name.endswith(".localhost") | name.endswith(".local") | name.endswith(".home.arpa")
-    literal = name.rlike("^[0-9.]+$")
-    return (
-        F.when(url.isNull() | (F.trim(url) == "") | (F.length(url) > 2048), "length")
-        .when(~scheme.isin("http", "https"), "scheme")
-        .when(authority.contains("@"), "credentials")
-        .when((port != "") & (port != F.when(scheme == "https", "443").otherwise("80")), "port")
-        .when(name == "", "invalid")
-        .when(local, "local_name")
-        .when(literal & ~public_ipv4(name), "private_address")
-    )
+    parts = F.struct(
+        url.alias("url"), F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)).alias("scheme"), authority.alias("authority"),
+        F.regexp_extract(authority, ":([0-9]+)$", 1).alias("port"), host(url).alias("name"),
+    )
+
+    def error(p: Column) -> Column:
+        name = p["name"]
+        local = name.isin("localhost", "home.arpa") | name.endswith(".localhost") | name.endswith(".local") | name.endswith(".home.arpa")
+        return (
+            F.when(p["url"].isNull() | (F.trim(p["url"]) == "") | (F.length(p["url"]) > 2048), "length")
+            .when(~p["scheme"].isin("http", "https"), "scheme")
+            .when(p["authority"].contains("@"), "credentials")
+            .when((p["port"] != "") & (p["port"] != F.when(p["scheme"] == "https", "443").otherwise("80")), "port")
+            .when(name == "", "invalid")
+            .when(local, "local_name")
+            .when(name.rlike("^[0-9.]+$") & ~public_ipv4(name), "private_address")
+        )
+
+    return F.get(F.transform(F.array(parts), error), F.lit(0))

@@ -26,15 +26,16 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
-def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", media_type: str | None = None, fields: list[str] | None = None, most: int = 20_000) -> DataFrame:
+def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", media_type: str | None = None, fields: list[str] | None = None, most: int = 20_000, deal: bool = True) -> DataFrame:
     """key, url and the fields of each body; media_type is a column, without it all bodies are HTML.
 
     A body above the byte limit is an error row and never parsed: its omitted is 1, as nothing of it was inspected. A
-    null body is an empty one. Markdown is rendered only if one of the fields needs it.
+    null body is an empty one. Markdown is rendered only if one of the fields needs it. deal: see spread().
     """
     fields = list(fields or FIELDS)
     renders = any(f in ("markdown", "truncated", "characters", "excerpt") for f in fields)
     kind = F.lit("text/html") if media_type is None else F.coalesce(media_type, F.lit("text/plain"))
+    pages = spread(pages, key) if deal else pages
     rows = pages.select(F.col(key), F.col(url).alias("url"), F.coalesce(html, F.lit("")).alias("html"), kind.alias("kind"))
     schema = f"{key} {rows.schema[0].dataType.simpleString()}, url string, {', '.join(f'{f} {FIELDS[f]}' for f in fields)}"
     segment = pa.list_(pa.struct([("location", pa.string()), ("text", pa.string()), ("truncated", pa.bool_()), ("lines", pa.bool_())]))
@@ -49,7 +50,7 @@ def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     fits = F.octet_length("html") <= MAX_HTML_BYTES
     fixed = {"error": F.lit("RESPONSE_TOO_LARGE"), "omitted": F.lit(1), "truncated": F.lit(False), "dynamic": F.lit(False), "segments": F.array()}
     large = rows.where(~fits).select(key, "url", *[fixed.get(f, F.lit(None)).cast(FIELDS[f]).alias(f) for f in fields])
-    return spread(rows.where(fits), key).mapInArrow(run, schema).union(large)
+    return rows.where(fits).mapInArrow(run, schema).union(large)
 
 
 #: The fields that inspected() needs.

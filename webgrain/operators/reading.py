@@ -25,10 +25,11 @@ def read(captures: DataFrame, key: str, *, use: str = "answer_with_citation", mo
     One error per row, in the order in which the stages are: source, decoding, the tree's limits, GUARD_DENIED, and only
     then the content's own. A row with an error has no text. additional: verdicts (key, decision, reasons) of another guard.
     """
+    captures = pages.spread(captures, key)
     checked = source.decoded(source.checked(captures))
     kinds = checked.select(key, F.col("final_url").alias("url"), "text", "media_type", F.coalesce("source_error", "decode_error").alias("stopped"))
     usable = kinds.where("stopped IS NULL").select(key, "url", "text", "media_type")
-    read_ = pages.extracted(usable, key, html="text", media_type="media_type", most=most)
+    read_ = pages.extracted(usable, key, html="text", media_type="media_type", most=most, deal=False)
     content = guard.inspect(pages.inspected(read_, key), key, use=use).withColumn("ordinal", F.lit(1))
     asked = guard.inspect(references(captures, key, extra or []), key, use=use).withColumn("ordinal", F.lit(0))
     verdicts = policy.merged_verdicts(asked.unionByName(content), key)
