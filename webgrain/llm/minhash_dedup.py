@@ -88,7 +88,7 @@ def _sketch(k: int, lower: bool):
 
 
 def _sets(k: int, lower: bool):
-    """Each text's set itself, with one of its fingerprints to tell apart the texts of one id."""
+    """Each text's set itself, with its bands, and one of its fingerprints to tell apart the texts of one id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in tk.parts(b)):
@@ -97,7 +97,10 @@ def _sets(k: int, lower: bool):
             at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             marks = pa.array(np.array([tk.mix(s, 21).sum(dtype=U) for s in sets], U).view(np.int64))
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), marks, pa.ListArray.from_arrays(at, flat)], ["id", "f1", "set"])
+            of = [bands(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
+            ends = np.concatenate([[0], np.cumsum([len(b) for b in of])]).astype(np.int32)
+            banded = pa.ListArray.from_arrays(ends, np.concatenate(of) if of else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), marks, pa.ListArray.from_arrays(at, flat), banded], ["id", "f1", "set", "bands"])
 
     return run
 
@@ -197,7 +200,7 @@ def _bounded(still: DataFrame, blocks: DataFrame, sets: DataFrame, stage: Stage,
     return bounds
 
 
-def _left_apart(known: DataFrame, sets: DataFrame, classes: DataFrame, stage: Stage, threshold: int) -> DataFrame | None:
+def _left_apart(known: DataFrame, sets: DataFrame, stage: Stage, threshold: int) -> DataFrame | None:
     """Links (a, b) that the stars of known (h, hub, rep, n, comp) have missed, or None if no bucket is open."""
     still = stage.put(_open(known), "open")
     if still.isEmpty():
@@ -206,7 +209,7 @@ def _left_apart(known: DataFrame, sets: DataFrame, classes: DataFrame, stage: St
     mine = sets.withColumn("most", F.lit(1 << 40))
     if not blocks.where("hot").isEmpty():
         bounds = _bounded(still, blocks, sets, stage, threshold)
-        mine = sets.join(stage.small(bounds), ["id", "f1"], "left").where("NOT coalesce(dead, false)").select("id", "f1", "set", F.coalesce("most", F.lit(1 << 40)).alias("most"))
+        mine = sets.join(stage.small(bounds), ["id", "f1"], "left").where("NOT coalesce(dead, false)").select("id", "f1", "set", "bands", F.coalesce("most", F.lit(1 << 40)).alias("most"))
         alive = stage.put(bounds.groupBy("id").agg(F.bool_and("dead").alias("gone")).where("gone").select(F.col("id").alias("gone_id")), "gone")
         still = stage.put(_open(still.join(stage.small(alive), F.col("rep") == F.col("gone_id"), "left_anti")), "open")
         blocks = _blocked(still.select(F.col("rep").alias("id"), "hub", "n"), stage)
@@ -215,7 +218,6 @@ def _left_apart(known: DataFrame, sets: DataFrame, classes: DataFrame, stage: St
     met = sides.join(sides.select("h", F.col("k").alias("kb")), "h").where("k <= kb").select(F.col("k").alias("ka"), "kb").distinct()
     met = stage.put(met, "block-pairs")
     members = still.select(F.col("rep").alias("id"), "comp").distinct().join(homes, "id").join(mine, "id")
-    members = members.join(classes.select(F.col("rep").alias("id"), "f1", "bands"), ["id", "f1"])
     reads = met.select("ka", "kb", F.explode(F.array_distinct(F.array("ka", "kb"))).alias("k"))
     rows = reads.join(members, "k").select("ka", "kb", "k", "id", "comp", F.size("set").alias("n"), "most", "bands", "set")
     return stage.put(rows.groupBy("ka", "kb").applyInPandas(_across(threshold), "a long, b long"), "more")
@@ -245,9 +247,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, lower: boo
     hubs = stage.put(hubs.select(F.col("h").alias("bucket"), "hub"), "hubs")
     bucketed = stage.put(spread.join(stage.small(hubs), F.col("h") == F.col("bucket")).select("h", "hub", "rep", "n"), "buckets")
     blocks = _blocked(bucketed.select(F.col("rep").alias("id"), "hub", "n"), stage)
-    sets = docs.select(F.col("doc_id").alias("id"), "text").join(stage.small(blocks), "id", "left_semi").mapInArrow(tk.task(_sets(k, lower)), "id long, f1 long, set array<long>")
+    sets = docs.select(F.col("doc_id").alias("id"), "text").join(stage.small(blocks), "id", "left_semi").mapInArrow(tk.task(_sets(k, lower)), "id long, f1 long, set array<long>, bands array<long>")
     if not repeats.isEmpty():
-        sets = sets.groupBy("id", "f1").agg(F.first("set").alias("set"))
+        sets = sets.groupBy("id", "f1").agg(F.first("set").alias("set"), F.first("bands").alias("bands"))
     sets = stage.put(sets.where(F.size("set") > 0), "sets")
 
     homes = stage.small(blocks).select("id", "k")
@@ -260,7 +262,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, lower: boo
         links = links.union(tied.select("doc_id", "rep"))
     comps = connected_components(spark, links, stage)
     known = bucketed.join(stage.small(comps), F.col("rep") == F.col("node"), "left").select("h", "hub", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    more = _left_apart(known, sets, classes, stage, threshold)
+    more = _left_apart(known, sets, stage, threshold)
     if more is not None:
         comps = connected_components(spark, more.union(comps.select("node", "component")), stage)
     stage.drop(sets)
