@@ -28,8 +28,8 @@ def default_path() -> str:
 
 U = np.uint64
 #: Chunks that a worker remembers; beyond it, it starts anew. It bounds memory and changes no result.
-REMEMBERED = 300_000
-_SLOTS = 1 << 20
+REMEMBERED = 800_000
+_SLOTS = 1 << 21
 _PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u017f]+")
 _LETTERS = "a-z\u00df-\u00f6\u00f8-\u017f"
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+")
