@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .bpe import op13_bpe_codec
 from .chat import OP9_TURNS_SQL, chat_turns, op9_chat_format
+from .hard_negatives import OP12_SQL, op12_hard_negatives
 from .language_id import op8_language_id
 from .minhash_dedup import OP2_SQL, op2_minhash_dedup
 from .mixing import op6_mixing
@@ -26,5 +28,7 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "chat_turns": chat_turns,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_bpe_codec": op13_bpe_codec,
 }
-ORACLES = {"chat_turns": OP9_TURNS_SQL, "op1_topk_search": OP1_SQL, "op2_minhash_dedup": OP2_SQL, "op4_sharding": OP4_SQL, "small_shards": SMALL_SHARDS_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLES = {"chat_turns": OP9_TURNS_SQL, "op1_topk_search": OP1_SQL, "op2_minhash_dedup": OP2_SQL, "op4_sharding": OP4_SQL, "small_shards": SMALL_SHARDS_SQL, "op10_substring_dedup": OP10_SQL, "op12_hard_negatives": OP12_SQL}
