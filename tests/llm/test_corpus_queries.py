@@ -59,6 +59,8 @@ def test_query(spark, folder, name):
     if name == "op1_topk_search":
         assert {r.query_id for r in some} <= {0, 100, 200, 1000, 2000} and all(r.query_id != r.vec_id for r in some)
         assert max(r["rank"] for r in some) == 10
+    elif name == "op12_hard_negatives":
+        assert some and max(r["rank"] for r in some) <= 3 and all(r.anchor_id % 50 == 0 and 50 * r.positive_score <= 100 * r.negative_score <= 95 * r.positive_score for r in some)
     elif name == "op5_packing":
         whole = {}
         for r in some:

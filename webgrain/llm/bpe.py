@@ -284,7 +284,7 @@ def strings(column: pa.Array) -> list[str]:
     return [str(raw[a:b], "utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
-def _kept(name: str, make):
+def kept(name: str, make):
     if name not in tk.KEPT:
         tk.KEPT[name] = make()
     return tk.KEPT[name]
@@ -295,7 +295,7 @@ def _encoding(path: str, special: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for b in batches for p in tk.parts(b, 1 << 20)):
-            ids, at = _kept(name, lambda: Encoder(path, special)).encode(strings(part.column("text")))
+            ids, at = kept(name, lambda: Encoder(path, special)).encode(strings(part.column("text")))
             column = pa.LargeListArray.from_arrays(pa.array(at), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), column.cast(pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -320,7 +320,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bpe = _kept(name, lambda: ByteBPE(path))
+            bpe = kept(name, lambda: ByteBPE(path))
             column = batch.column("ids")
             offsets = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
             texts = bpe.decode(column.flatten().fill_null(-1).to_numpy(zero_copy_only=False), offsets)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_alignment
 from .bpe import op13_bpe_codec
 from .chat import OP9_TURNS_SQL, chat_turns, op9_chat_format
 from .hard_negatives import OP12_SQL, op12_hard_negatives
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "chat_turns": chat_turns,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_alignment": op11_alignment,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_bpe_codec": op13_bpe_codec,
 }
