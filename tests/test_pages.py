@@ -4,8 +4,9 @@ import gzip
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
-from webgrain.functions import bodies, extract, inspection, markdown, markdown_code, markdown_input, urls
+from webgrain.functions import bodies, extract, hosts, inspection, markdown, markdown_code, markdown_input, urls
 from webgrain.functions.html_tree import TooLarge, parse
 from webgrain.operators import guard, pages
 from webgrain.sources import payloads, provider_pages
@@ -166,9 +167,7 @@ def test_normalize(raw, normal):
     [("8.8.8.8", True), ("10.0.0.1", False), ("100.64.0.1", False), ("172.32.0.1", True), ("192.0.2.9", False), ("198.19.0.1", False), ("224.0.0.1", False), ("1.2.3", False), ("01.2.3.4", False), ("2606:4700::1", True), ("2001:db8::1", False), ("fe80::1", False), ("2002::1", False), ("x", False), (None, False)],
 )
 def test_public_addresses(spark, address, public):
-    assert urls.public_address(address) is public
-    if address is None or ":" not in address:
-        assert spark.createDataFrame([(address,)], "a string").select(urls.public_ipv4(urls.F.col("a"))).first()[0] is public
+    assert spark.createDataFrame([(address,)], "a string").select(hosts.public_address(F.col("a"))).first()[0] is public
 
 
 def test_extracted_rows(spark):

@@ -44,6 +44,18 @@ def test_reading_in_the_order_of_its_stages(spark, responses):
     assert (denied[1].error, denied[1].reason_codes, denied[13].error) == ("GUARD_DENIED", ["ADDITIONAL_GUARD_RESTRICTION"], None)
 
 
+def test_every_capture_has_a_row(spark, responses):
+    """Null keys, repeated keys and equal rows: none is lost, none is multiplied."""
+    one = responses.where("k = 1")
+    none = F.lit(None).cast("long").alias("k")
+    rows = one.union(one).union(responses.where("k = 2").withColumn("k", F.lit(1))).union(responses.where("k = 7").withColumn("k", none)).union(one.withColumn("k", none)).select(*responses.columns)
+    got = reading.read(rows, "k").collect()
+    assert sorted((str(r.k), str(r.error)) for r in got) == [("1", "None"), ("1", "None"), ("1", "UPSTREAM_HTTP"), ("None", "GUARD_DENIED"), ("None", "None")]
+    more = spark.createDataFrame([(1, "allow", ["a"]), (1, "deny", ["b"]), (None, "deny", ["c"])], "k long, decision string, reasons array<string>")
+    denied = reading.read(rows, "k", additional=more).collect()
+    assert sorted((str(r.k), str(r.error)) for r in denied) == [("1", "GUARD_DENIED"), ("1", "GUARD_DENIED"), ("1", "UPSTREAM_HTTP"), ("None", "GUARD_DENIED"), ("None", "None")]
+
+
 def test_kept_headers_and_redirects(spark, responses):
     rows = captures.checked(responses.withColumn("hops", F.when(F.col("k") == 1, F.array(*[F.lit("https://a.com/")] * 4)).when(F.col("k") == 5, F.array(F.lit("http://localhost/"))).otherwise(F.array())), "hops")
     got = {r.k: r for r in rows.collect()}

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import ipaddress
 import re
 from collections.abc import Iterator
-from urllib.parse import parse_qsl, quote, quote_plus, unquote_plus, urlencode, urlsplit, urlunsplit
+from urllib.parse import parse_qsl, quote, quote_plus, unquote_plus, urlencode, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import hosts
+
 #: Query keys that only track.
 TRACKING = ("fbclid", "gclid", "dclid", "msclkid", "mc_cid", "mc_eid", "ref_src")
 WRAPPER_HOST = "duckduckgo.com"
-PORTS = {"http": 80, "https": 443}
 
 
 def tracking_free(url: Column) -> Column:
@@ -51,24 +51,27 @@ def _absolute(raw: str) -> str | None:
     return f"https://{WRAPPER_HOST}/{raw.lstrip('/')}"
 
 
+_URL = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*):[/\\]*([^/\\?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?", re.DOTALL)
+_AUTHORITY = re.compile(r"(?:(.*)@)?(\[[^\]]*\]|[^:\[\]]*)(?::([0-9]*))?", re.DOTALL)
+
+
 def _parts(raw: str):
     """Scheme, user, host, port, path, query and fragment of an http(s) URL in canonical form; None if it is none."""
-    try:
-        u = urlsplit(raw)
-        if u.scheme.lower() not in PORTS or not u.hostname:
-            return None
-        name = u.hostname if u.hostname.isascii() else u.hostname.encode("idna").decode()
-        port = None if u.port in (None, PORTS[u.scheme.lower()]) else u.port
-    except (ValueError, UnicodeError):
+    whole = _URL.fullmatch(re.sub("[\t\r\n]", "", raw.strip("".join(map(chr, range(33))))))
+    found = whole and _AUTHORITY.fullmatch(whole[2])
+    scheme = whole[1].lower() if found else ""
+    name = hosts.canonical(found[2]) if scheme in hosts.PORTS else None
+    if not name or int(found[3] or 0) > 65535:
         return None
+    port = None if not found[3] or int(found[3]) == hosts.PORTS[scheme] else int(found[3])
     path = []
-    for piece in u.path.split("/")[1:]:
+    for piece in whole[3].replace("\\", "/").split("/")[1:]:
         low = piece.lower().replace("%2e", ".")
         if low == "..":
             path = path[:-1]
         elif low != ".":
             path.append(piece)
-    return u.scheme.lower(), bool(u.username or u.password), name.lower(), port, quote("/" + "/".join(path), safe="/%:@!$&'()*+,;=-._~|"), u.query, u.fragment
+    return scheme, (found[1] or "") not in ("", ":"), name, port, quote("/" + "/".join(path), safe="/%:@!$&'()*+,;=-._~|"), whole[4] or "", whole[5] or ""
 
 
 def unwrap(raw: str) -> str:
@@ -108,69 +111,3 @@ def _tracks(key: str) -> bool:
 def normalized_url(urls: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in urls:
         yield s.map(normalize)
-
-
-#: Networks that are not public.
-V4_RESERVED = (
-    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24",
-    "192.31.196.0/24", "192.52.193.0/24", "192.88.99.0/24", "192.168.0.0/16", "192.175.48.0/24", "198.18.0.0/15", "198.51.100.0/24",
-    "203.0.113.0/24", "224.0.0.0/3",
-)
-V6_RESERVED = ("2001::/32", "2001:2::/48", "2001:10::/28", "2001:20::/28", "2001:db8::/32", "2002::/16", "3fff::/20")
-_V6 = [ipaddress.ip_network(n) for n in V6_RESERVED]
-_GLOBAL = ipaddress.ip_network("2000::/3")
-
-
-def public_ipv4(address: Column) -> Column:
-    """Whether a dotted quad is a public address; anything else is false."""
-    octets = F.split(address, "\\.")
-    value = F.aggregate(F.transform(octets, lambda x: x.try_cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s * 256 + x)
-    shape = address.rlike("^(?:(?:0|[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\\.|$)){4}$") & ~address.endswith(".")
-
-    def outside(v: Column) -> Column:
-        out = F.lit(True)
-        for net in map(ipaddress.ip_network, V4_RESERVED):
-            out &= ~v.between(int(net.network_address), int(net.broadcast_address))
-        return out
-
-    # a list of one element, so that the address is made a number once
-    return F.coalesce(shape & F.forall(F.array(value), outside), F.lit(False))
-
-
-def public_address(address: str | None) -> bool:
-    try:
-        ip = ipaddress.ip_address((address or "").split("%")[0])
-    except ValueError:
-        return False
-    if ip.version == 4:
-        return not any(ip in ipaddress.ip_network(n) for n in V4_RESERVED)
-    return ip in _GLOBAL and not any(ip in n for n in _V6)
-
-
-@F.pandas_udf(T.BooleanType())
-def is_public(addresses: pd.Series) -> pd.Series:
-    return addresses.map(public_address)
-
-
-def outbound_error(url: Column) -> Column:
-    """Why a URL must not be fetched, before its addresses are known; null if nothing speaks against it."""
-    authority = F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
-    parts = F.struct(
-        url.alias("url"), F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)).alias("scheme"), authority.alias("authority"),
-        F.regexp_extract(authority, ":([0-9]+)$", 1).alias("port"), host(url).alias("name"),
-    )
-
-    def error(p: Column) -> Column:
-        name = p["name"]
-        local = name.isin("localhost", "home.arpa") | name.endswith(".localhost") | name.endswith(".local") | name.endswith(".home.arpa")
-        return (
-            F.when(p["url"].isNull() | (F.trim(p["url"]) == "") | (F.length(p["url"]) > 2048), "length")
-            .when(~p["scheme"].isin("http", "https"), "scheme")
-            .when(p["authority"].contains("@"), "credentials")
-            .when((p["port"] != "") & (p["port"] != F.when(p["scheme"] == "https", "443").otherwise("80")), "port")
-            .when(name == "", "invalid")
-            .when(local, "local_name")
-            .when(name.rlike("^[0-9.]+$") & ~public_ipv4(name), "private_address")
-        )
-
-    return F.get(F.transform(F.array(parts), error), F.lit(0))

@@ -20,10 +20,18 @@ MAX_HTML_BYTES = 2_000_000
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """df dealt over the cores by its key if the scan has fewer partitions than there are cores: a small table in one
-    file would keep one core busy. A large table has more partitions than cores and is not shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    """df dealt over the cores by its key if it is a scan of less than a partition for each core: a small table in one file
+    would keep one core busy. A larger table is not shuffled, nor is one that has been dealt, joined or grouped already.
+
+    The plan and its estimated size decide, so that nothing is run.
+    """
+    session = df.sparkSession
+    cores, node = session.sparkContext.defaultParallelism, df._jdf.queryExecution().optimizedPlan()
+    most = cores * session._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    scan = node.nodeName() in ("LogicalRelation", "DataSourceV2ScanRelation") and not node.isStreaming()
+    return df.repartition(cores, key) if scan and int(node.stats().sizeInBytes()) < most else df
 
 
 def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", media_type: str | None = None, fields: list[str] | None = None, most: int = 20_000, deal: bool = True) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hosts import once
+
 #: Orders of the enumerations.
 SEVERITIES = ("info", "low", "medium", "high", "critical")
 DECISIONS = ("allow", "allow_with_warning", "require_approval", "deny")
@@ -117,9 +119,12 @@ def reason_codes(pattern: Column, count: Column, budget: Column, text: Column, c
 
 
 def distinct_findings(findings: Column) -> Column:
-    """The first finding of each category, rule, location and segment."""
+    """The first finding of each category, rule, location and segment: sorted by name and place, so that each is compared with
+    the one before it only, and back in their order."""
     name = lambda x: F.concat_ws(":", x["category"], x["rule"], x["location"], x["segment_hash"])
-    return F.filter(findings, lambda x, i: F.array_position(F.transform(findings, name), name(x)) == i + 1)
+    named_ = F.array_sort(F.transform(findings, lambda x, i: F.struct(name(x).alias("n"), i.alias("i"))))
+    first = lambda s: F.array_sort(F.transform(F.filter(s, lambda y, i: (i == 0) | (F.get(s, i - 1)["n"] != y["n"])), lambda y: y["i"]))
+    return once(F.struct(findings.alias("f"), once(named_, first).alias("i")), lambda p: F.transform(p["i"], lambda i: F.get(p["f"], i)))
 
 
 def verdict(item: DataFrame, key: str, use: Column, characters_most: int, segments_most: int) -> DataFrame:
@@ -166,11 +171,13 @@ def merged_verdicts(verdicts: DataFrame, *keys: str, ordinal: str = "ordinal") -
 def restricted(verdicts: DataFrame, additional: DataFrame, *keys: str) -> DataFrame:
     """Verdicts with the result of an additional guard (keys, decision, and reasons, an array): it never weakens one.
 
-    The stricter decision counts. An item that the additional guard withholds gets the code of a restriction; one
-    that it says nothing about stays as it is.
+    The stricter decision counts, also among several results for one item. An item that the additional guard withholds
+    gets the code of a restriction; one that it says nothing about, or that has a null key, stays as it is.
     """
     none = F.array().cast("array<string>")
-    more = additional.select(*keys, F.col("decision").alias("more_decision"), F.coalesce("reasons", none).alias("more_reasons"))
+    more = additional.groupBy(*keys).agg(
+        named(DECISIONS, F.max(rank(DECISIONS, F.col("decision")))).alias("more_decision"), F.array_distinct(F.flatten(F.sort_array(F.collect_list(F.coalesce("reasons", none))))).alias("more_reasons")
+    )
     both = verdicts.join(more, list(keys), "left")
     stricter = F.coalesce(rank(DECISIONS, F.col("more_decision")) > rank(DECISIONS, F.col("decision")), F.lit(False))
     withheld = F.coalesce(~F.col("more_decision").isin(*VISIBLE_DECISIONS), F.lit(False))

@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 
 
 def retry_after_ms(header: Column, now: Column, *, default: int = 60_000, most: int = 300_000) -> Column:
-    """Seconds or an HTTP date -> milliseconds; missing or past: default; never above most."""
-    seconds = header.try_cast("double")
+    """Seconds, as a plain decimal number, or an HTTP date -> milliseconds; missing, unreadable or past: default; never above most."""
+    plain = F.regexp_extract(header, r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*$", 1)
+    seconds = F.when(plain != "", plain.try_cast("double"))
     date = F.try_to_timestamp(F.regexp_replace(header, "^[A-Za-z]+, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
     ms = F.coalesce(seconds * 1000, (F.unix_millis(date) - F.unix_millis(now)).cast("double"))
     return F.when(ms.isNull() | (ms <= 0), default).otherwise(F.least(F.ceil(ms), F.lit(most))).cast("long")

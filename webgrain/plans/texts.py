@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import hosts
 from ..functions import text as t
 from ..functions import urls as u
+from ..sources import captures
 from .registry import query
 
 _TRIM = r"regexp_replace(regexp_replace({}, '^[\s\x{{a0}}\x{{3000}}\x{{feff}}]+', ''), '[\s\x{{a0}}\x{{3000}}\x{{feff}}]+$', '')"
@@ -108,7 +110,7 @@ def host_distribution(spark, read):
 
 
 _IP = "(({k} * 7919) % 256) || '.' || (({k} * 104729) % 256) || '.' || (({k} * 31) % 256) || '.' || ({k} % 256)"
-_NETS = [(n, 2 ** (32 - int(n.split("/")[1]))) for n in u.V4_RESERVED]
+_NETS = [(n, 2 ** (32 - int(n.split("/")[1]))) for n in hosts.V4_RESERVED]
 
 
 def _first(net: str) -> int:
@@ -123,7 +125,7 @@ def _first(net: str) -> int:
 def public_ipv4_policy(spark, read):
     k = F.col("o_orderkey")
     address = F.concat_ws(".", *[(x % 256).cast("string") for x in (k * 7919, k * 104729, k * 31, k)])
-    return read("orders").select(address.alias("address"), u.public_ipv4(address).alias("public"))
+    return read("orders").select(address.alias("address"), hosts.public_ipv4(address).alias("public"))
 
 
 @query(
@@ -134,7 +136,46 @@ def public_ipv4_policy(spark, read):
 def outbound_policy(spark, read):
     k, url = F.col("page_id") % 5, F.col("url")
     url = F.when(k == 0, F.replace(url, F.lit("https://"), F.lit("ftp://"))).when(k == 1, F.replace(url, F.lit("://"), F.lit("://me:pw@"))).when(k == 2, "http://printer.local/").otherwise(url)
-    return read("pages").select("page_id", u.outbound_error(url).alias("error"))
+    return read("pages").select("page_id", hosts.outbound_error(url).alias("error"))
+
+
+#: The address of a page's URL when it is rewritten: four octets, and eight groups of an IPv6 address.
+_OCTETS = [f"(page_id * {m} + {a}) % 256" for m, a in ((7919, 10), (104729, 1), (31, 0), (17, 9))]
+_GROUPS = ["CASE page_id % 5 WHEN 0 THEN 8193 WHEN 1 THEN 9734 WHEN 2 THEN 64512 WHEN 3 THEN 16383 ELSE 0 END", "CASE page_id % 3 WHEN 0 THEN 3512 WHEN 1 THEN 18176 ELSE page_id % 64 END", *["0"] * 4, "page_id % 65536", "(page_id * 31) % 65536"]
+_PRIVATE4 = f"({' OR '.join(f'v BETWEEN {_first(n)} AND {_first(n) + size - 1}' for n, size in _NETS)})"
+_PRIVATE6 = "NOT (g0 BETWEEN 8192 AND 16383) OR (g0 = 8193 AND (g1 = 0 OR (g1 = 2 AND g2 = 0) OR g1 BETWEEN 16 AND 47 OR g1 = 3512)) OR g0 = 8194 OR (g0 = 16383 AND g1 < 4096)"
+
+
+@query(
+    f"""SELECT page_id, CASE WHEN form < 6 THEN CASE WHEN {_PRIVATE4} THEN 'private_address' END WHEN form < 8 THEN CASE WHEN {_PRIVATE6} THEN 'private_address' END WHEN form = 8 THEN 'private_address' WHEN form = 9 THEN 'invalid' END AS error
+    FROM (SELECT page_id, page_id % 11 AS form, {_GROUPS[0]} AS g0, {_GROUPS[1]} AS g1, 0 AS g2, ((({_OCTETS[0]}) * 256 + ({_OCTETS[1]})) * 256 + ({_OCTETS[2]})) * 256 + ({_OCTETS[3]}) AS v FROM pages)"""
+)
+def outbound_hosts(spark, read):
+    """Each page's URL with its host rewritten to an address in one of its forms: what the policy says of it."""
+    o, g = [F.expr(x) for x in _OCTETS], [F.expr(x).cast("bigint") for x in _GROUPS]
+    v = ((o[0] * 256 + o[1]) * 256 + o[2]) * 256 + o[3]
+    dotted, six = F.concat_ws(".", *[x.cast("string") for x in o]), [F.lower(F.hex(x)) for x in g]
+    octal = F.concat_ws(".", *[F.concat(F.lit("0"), F.conv(x, 10, 8)) for x in o])
+    wide = F.translate(dotted, "0123456789", "".join(chr(0xFF10 + k) for k in range(10)))
+    forms = [
+        dotted, F.concat(F.lit("0x"), F.hex(v)), octal, F.concat_ws(".", o[0].cast("string"), F.concat(F.lit("0X"), F.hex(v % (1 << 24)))), wide, v.cast("string"),
+        F.concat(F.lit("["), F.concat_ws(":", *six), F.lit("]")), F.concat(F.lit("["), six[0], F.lit(":"), six[1], F.lit("::"), six[6], F.lit(":"), six[7], F.lit("]")),
+        F.concat(F.lit("[::ffff:"), dotted, F.lit("]")), F.concat(dotted, F.lit(".1")),
+    ]
+    host = F.get(F.array(*forms), (F.col("page_id") % 11).cast("int"))
+    url = F.when(host.isNotNull(), F.concat(F.lit("http://"), host, F.regexp_replace("url", "^[a-z]+://[^/?#]*", ""))).otherwise(F.col("url"))
+    return read("pages").select("page_id", hosts.outbound_error(url).alias("error"))
+
+
+@query(
+    f"""SELECT page_id, CASE WHEN page_id % 4 <> 1 AND {_PRIVATE4} THEN 'private_address' WHEN page_id % 4 <> 0 AND ({_PRIVATE6}) THEN 'private_address' END AS error
+    FROM (SELECT page_id, {_GROUPS[0]} AS g0, {_GROUPS[1]} AS g1, 0 AS g2, ((({_OCTETS[0]}) * 256 + ({_OCTETS[1]})) * 256 + ({_OCTETS[2]})) * 256 + ({_OCTETS[3]}) AS v FROM pages)"""
+)
+def address_families(spark, read):
+    """Lists of addresses of one or both families, each of which must be public."""
+    four, six = F.concat_ws(".", *[F.expr(x).cast("string") for x in _OCTETS]), F.concat_ws(":", *[F.hex(F.expr(x).cast("bigint")) for x in _GROUPS])
+    k = F.col("page_id") % 4
+    return read("pages").select("page_id", captures.address_error(F.when(k == 0, F.array(four)).when(k == 1, F.array(six)).otherwise(F.array(four, six))).alias("error"))
 
 
 @query(r"SELECT page_id, len(regexp_extract_all(html, '<!--(?:[^-]|-[^-])*-->')) AS comments, regexp_extract(html, '<!--((?:[^-]|-[^-])*)-->', 1) AS first FROM pages")

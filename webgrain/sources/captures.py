@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import hosts
 from . import payloads
 
 # Limits of a response.
@@ -24,7 +24,8 @@ def header_error(headers: Column) -> Column:
 
 
 def header(headers: Column, name: str) -> Column:
-    return F.try_element_at(F.transform_keys(headers, lambda k, v: F.lower(k)), F.lit(name))
+    """The value of a header, whatever its case; of several that differ in case only, the first."""
+    return payloads.first_header(headers, name)
 
 
 def response_error(df: DataFrame) -> Column:
@@ -37,7 +38,7 @@ def response_error(df: DataFrame) -> Column:
     media = payloads.media_type(c("content_type"))
     said = payloads.media_type(header(c("headers"), "content-type"))
     bad = (
-        urls.outbound_error(c("requested_url")).isNotNull() | urls.outbound_error(c("final_url")).isNotNull()
+        hosts.outbound_error(c("requested_url")).isNotNull() | hosts.outbound_error(c("final_url")).isNotNull()
         | no(c("status").between(200, 299)) | no(media.rlike(_MEDIA)) | (F.octet_length("body") > MAX_BODY) | no(c("fetch_method").isin(*METHODS))
         | header_error(c("headers")) | F.coalesce(said != media, F.lit(False))
     )
@@ -45,8 +46,8 @@ def response_error(df: DataFrame) -> Column:
 
 
 def address_error(addresses: Column) -> Column:
-    """A host's addresses: between 1 and 64, each of them public."""
-    return F.when(~F.coalesce(F.size(addresses).between(1, 64), F.lit(False)), "addresses").when(~F.forall(addresses, lambda a: urls.public_ipv4(a)), "private_address")
+    """A host's addresses of either family: between 1 and 64, each of them public."""
+    return F.when(~F.coalesce(F.size(addresses).between(1, 64), F.lit(False)), "addresses").when(~F.forall(addresses, hosts.public_address), "private_address")
 
 
 def checked(captures: DataFrame, redirects: str | None = None) -> DataFrame:
@@ -54,7 +55,7 @@ def checked(captures: DataFrame, redirects: str | None = None) -> DataFrame:
     error = response_error(captures)
     if redirects:
         hops = F.col(redirects)
-        error = F.coalesce(error, F.when(F.size(hops) > MAX_REDIRECTS, "REDIRECT_LIMIT").when(F.exists(hops, lambda u: urls.outbound_error(u).isNotNull()), "REDIRECT_BLOCKED"))
+        error = F.coalesce(error, F.when(F.size(hops) > MAX_REDIRECTS, "REDIRECT_LIMIT").when(F.exists(hops, lambda u: hosts.outbound_error(u).isNotNull()), "REDIRECT_BLOCKED"))
     return captures.select("*", payloads.media_type(F.col("content_type")).alias("media_type"), payloads.kept_headers(F.col("headers")).alias("kept_headers"), error.alias("source_error"))
 
 

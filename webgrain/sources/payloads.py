@@ -30,8 +30,21 @@ def json_hits(payloads: DataFrame, key: str, body: str) -> DataFrame:
     return rows.select(key, "pos", text.external_text(F.col("r.title")).alias("title"), F.col("r.url").alias("url"), text.external_text(F.coalesce("r.description", F.lit(""))).alias("snippet"))
 
 
+def first_header(headers: Column, name: str) -> Column:
+    """The value of the first header with this name, in any case."""
+    return F.get(F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == name), F.lit(0))["value"]
+
+
 def kept_headers(headers: Column) -> Column:
-    return F.map_filter(F.transform_keys(headers, lambda k, v: F.lower(k)), lambda k, v: k.isin(*KEPT_HEADERS))
+    """The headers that are kept, under lower-case names; of names that differ in case only, the first."""
+    found = F.array(*[F.struct(F.lit(n).alias("key"), first_header(headers, n).alias("value")) for n in KEPT_HEADERS])
+    return F.when(headers.isNotNull(), F.map_from_entries(F.filter(found, lambda e: e["value"].isNotNull())))
+
+
+def json_error(body: Column) -> Column:
+    """PARSE_CHANGED for a JSON search payload that json_hits can read nothing of: null, broken, or without a list of results."""
+    results = F.from_json(body, f"web struct<results {_RESULT}>")["web"]["results"]
+    return F.when(results.isNull(), "PARSE_CHANGED")
 
 
 def media_type(content_type: Column) -> Column:

@@ -94,6 +94,19 @@ def too_many_words(query: Column, most: int = 50) -> Column:
     return F.size(F.split(text.trimmed(query), f"[{text.BLANKS}]+")) > most
 
 
+def json_request(df: DataFrame) -> Column:
+    """What the JSON provider is asked for a valid search request: a map of its parameters, only those that are given.
+
+    A language outweighs a locale, which is passed on as it is; defaults are those of a request.
+    """
+    pairs = {
+        "q": text.trimmed(F.col("query")), "count": F.coalesce("limit", F.lit(10)).cast("string"), "safesearch": F.coalesce("safe_search", F.lit("moderate")),
+        "search_lang": F.coalesce(F.lower("language"), F.when(F.col("locale") != "", F.trim("locale"))), "country": F.upper("region"), "freshness": freshness(F.col("time_range")),
+    }
+    given = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs.items()]), lambda e: e["value"].isNotNull())
+    return F.map_from_entries(given)
+
+
 def freshness(span: Column) -> Column:
     return _looked_up(FRESHNESS, span)
 
