@@ -13,6 +13,7 @@ and each block gets the counts of its own pairs back.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from .bpe import default_path as byte_path
 from .staging import Stage, clean
 
 #: Bytes of text of a block, unless one text is longer.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 _SPACE = "▁"
 _ENCODED = "block long, docs binary, nulls binary, sizes binary, codes binary, numbers binary, links binary, n_links binary, `groups` binary, pairs array<struct<a int, b int, n long>>"
 _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, `groups` string"
@@ -58,38 +59,28 @@ class Pieces:
         return [self.lone if u == " " else ids for u, ids in zip(units, self.model.encode([u[1:] for u in units], num_threads=1), strict=True)]
 
 
-def components(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Sizes (tokens of the one, of the other) of the connected components of overlapping tokens, in order; a and b are
-    the tokens' lengths, which sum to the same."""
-    parent = list(range(len(a) + len(b)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    i = j = 0
-    end_a, end_b = a[0], b[0]
-    while True:  # tokens i and j overlap: an edge
-        x, y = find(i), find(len(a) + j)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-        done_a, done_b = end_a <= end_b, end_b <= end_a
-        if done_a:
-            i += 1
-        if done_b:
-            j += 1
-        if i == len(a) or j == len(b):
+def components(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The connected component of each token of the one and the other, numbered in order; tokens are given by where they
+    end, both lists end at the same place.
+
+    Between two neighbouring ends lies one token of each kind: an edge. Union-find over all edges at once: roots that an edge
+    joins are hooked onto the smaller one, and paths are halved until each token points at its root.
+    """
+    n = len(ends_a)
+    cuts = np.union1d(ends_a, ends_b)
+    a, b = np.searchsorted(ends_a, cuts), n + np.searchsorted(ends_b, cuts)
+    parent = np.arange(n + len(ends_b))
+    while True:
+        x, y = parent[a], parent[b]
+        apart = x != y
+        if not apart.any():
             break
-        if done_a:
-            end_a += a[i]
-        if done_b:
-            end_b += b[j]
-    sizes: dict[int, list[int]] = {}
-    for k in range(len(parent)):
-        sizes.setdefault(find(k), [0, 0])[k >= len(a)] += 1
-    return [(m, n) for m, n in sizes.values()]  # roots are tokens of the first kind, met in order
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while (above := parent[parent]).tobytes() != parent.tobytes():
+            parent = above
+    number = np.cumsum(parent[:n] == np.arange(n)) - 1  # a component's root is its first token of the first kind
+    return number[parent[:n]], number[parent[n:]]
 
 
 class Aligner(Remembered):
@@ -98,6 +89,8 @@ class Aligner(Remembered):
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteBPE(path_a, special=False), Pieces(path_b)
         self.size = len(self.b.bytes)
+        self.a_lengths, self.b_lengths = (np.array([len(p) for p in x], np.int64) for x in (self.a.pieces, self.b.bytes))
+        self.said = {sign: np.array([f"{k}{sign}" for k in range(max(self.a.size, self.size))], object) for sign in ",|;\n"}
         super().__init__()
 
     def forget(self) -> None:
@@ -109,29 +102,48 @@ class Aligner(Remembered):
         return self.a.units(text)
 
     def learn(self, units: list[str]) -> None:
-        links, numbers = [], []
-        for unit, ids_a, ids_b in zip(units, self.a.encode_units(units), self.b.encode_units(units), strict=True):
-            parts_b = [self.b.bytes[t] for t in ids_b]
-            if b"".join(parts_b) != unit.encode():
-                # a piece never stands for more bytes than it was made of, so no other unit makes up for these
-                self.groups.append("")
-                links.append([])
-                numbers.append((0, 0, 0, 1))
-                continue
-            at_a = at_b = 0
-            said, pairs = [], []
-            for m, n in [(1, 1)] if len(ids_a) == len(ids_b) == 1 else components([len(self.a.pieces[t]) for t in ids_a], [len(p) for p in parts_b]):
-                own, other = ids_a[at_a : at_a + m], ids_b[at_b : at_b + n]
-                said.append(",".join(map(str, own)) + "|" + ",".join(map(str, other)))
-                pairs += [x * self.size + y for x in own for y in other]
-                at_a, at_b = at_a + m, at_b + n
-            self.groups.append(";".join(said))
-            links.append(pairs)
-            numbers.append((len(ids_a), len(ids_b), len(said), 0))
-        while self.links.known + len(links) > len(self.numbers):
+        runs = self.a.encode_units(units), self.b.encode_units(units)
+        sizes = [np.fromiter(map(len, r), np.int64, len(units)) for r in runs]
+        ids = [np.fromiter(itertools.chain.from_iterable(r), np.int64, int(n.sum())) for r, n in zip(runs, sizes, strict=True)]
+        whole = self._given_back(ids, sizes)
+        if not whole.all():
+            ids = [x[np.repeat(whole, n)] for x, n in zip(ids, sizes, strict=True)]
+            sizes = [np.where(whole, n, 0) for n in sizes]
+        owner = np.repeat(np.arange(len(units)), sizes[0])
+        ends = [np.cumsum(lengths[x]) for lengths, x in zip((self.a_lengths, self.b_lengths), ids, strict=True)]
+        of = components(*ends)
+        m, n = (np.bincount(x) for x in of) if len(owner) else (np.zeros(0, np.int64),) * 2
+        first = [np.cumsum(x) - x for x in (m, n)]
+        unit = owner[first[0]]  # of each group
+        group = np.repeat(np.arange(len(m)), m * n)
+        inside = np.arange(len(group)) - np.repeat(np.cumsum(m * n) - m * n, m * n)
+        links = ids[0][first[0][group] + inside // n[group]] * self.size + ids[1][first[1][group] + inside % n[group]]
+        per = np.stack([*sizes, np.bincount(unit, minlength=len(units)), ~whole], axis=1)
+        while self.links.known + len(units) > len(self.numbers):
             self.numbers = np.concatenate([self.numbers, np.zeros_like(self.numbers)])
-        self.numbers[self.links.known : self.links.known + len(links)] = numbers
-        self.links.add(links)
+        self.numbers[self.links.known : self.links.known + len(units)] = per
+        self.links.extend(links, np.bincount(unit, m * n, len(units)).astype(np.int64))
+        # a group's tokens of the one, then of the other; each brings the sign that follows it
+        said = np.empty(len(ids[0]) + len(ids[1]), object)
+        last = [np.append(x[1:] != x[:-1], True) if len(x) else np.zeros(0, bool) for x in of]
+        said[np.arange(len(of[0])) + first[1][of[0]]] = np.where(last[0], self.said["|"][ids[0]], self.said[","][ids[0]])
+        ended = last[1] & np.append(unit[1:] != unit[:-1], True)[of[1]]
+        said[np.arange(len(of[1])) + (first[0] + m)[of[1]]] = np.where(ended, self.said["\n"][ids[1]], np.where(last[1], self.said[";"][ids[1]], self.said[","][ids[1]]))
+        found = iter("".join(said.tolist()).split("\n"))
+        self.groups += [next(found) if ok else "" for ok in whole.tolist()]
+
+    def _given_back(self, ids: list[np.ndarray], sizes: list[np.ndarray]) -> np.ndarray:
+        """Which units' pieces have the bytes of the unit, which the byte-level tokens have. A piece never stands for more
+        bytes than it was made of, so no other unit makes up for one that is not given back."""
+        total = [np.bincount(np.repeat(np.arange(len(n)), n), lengths[x], len(n)) for n, lengths, x in zip(sizes, (self.a_lengths, self.b_lengths), ids, strict=True)]
+        whole = total[0] == total[1]
+        keep = [np.repeat(whole, n) for n in sizes]
+        a, b = (np.frombuffer(b"".join([pieces[t] for t in x[k].tolist()]), np.uint8) for pieces, x, k in zip((self.a.pieces, self.b.bytes), ids, keep, strict=True))
+        wrong = np.flatnonzero(a != b)
+        if len(wrong):
+            at = np.flatnonzero(whole)
+            whole[at[np.searchsorted(np.cumsum(total[0][at]), wrong, "right")]] = False
+        return whole
 
     def align(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Units of the texts by number, and where each text's begin; a text that the tokenizers do not both give back has none."""
@@ -158,24 +170,21 @@ class _Block:
         self.docs: list[int | None] = []
         self.sizes, self.codes, self.pairs = [], [], []
         self.number: dict[str, int] = {}  # of the block's units, by their groups
-        self.numbers, self.links = [], []
+        self.numbers, self.links, self.n_links = [], [], []
         self.bytes = 0
 
     def add(self, aligner: Aligner, docs: list[int | None], texts: list[str]) -> None:
         codes, first = aligner.align(texts)
-        owner = np.repeat(np.arange(len(texts)), np.diff(first))
         present, at = np.unique(codes, return_inverse=True)
-        local = np.zeros(len(present), np.uint32)
-        for i, k in enumerate(present.tolist()):
-            groups = aligner.groups[k]
-            found = self.number.get(groups)
-            if found is None:
-                found = self.number[groups] = len(self.number)
-                start = int(aligner.links.starts[k])
-                self.links.append(aligner.links.flat[start : start + int(aligner.links.sizes[k])].copy())
-                self.numbers.append(aligner.numbers[k, :3].copy())
-            local[i] = found
-        own, doc = _distinct(codes, owner)
+        known, number = len(self.number), self.number
+        local = np.fromiter((number.setdefault(aligner.groups[k], len(number)) for k in present.tolist()), np.int64, len(present))
+        fresh, met = np.unique(local, return_index=True)
+        new = present[met[fresh >= known]]
+        links, at_link = aligner.links.joined(new)
+        self.links.append(links)
+        self.n_links.append(np.diff(at_link))
+        self.numbers.append(aligner.numbers[new, :3])
+        own, doc = _distinct(codes, np.repeat(np.arange(len(texts)), np.diff(first)))
         pairs, at_pair = aligner.links.joined(own)
         self.pairs.append(_distinct(pairs, np.repeat(doc, np.diff(at_pair)))[0])
         self.docs += docs
@@ -185,18 +194,31 @@ class _Block:
 
     def row(self, block: int, size: int) -> pa.RecordBatch:
         pair, n = np.unique(np.concatenate(self.pairs), return_counts=True)
-        links = np.concatenate([*self.links, np.zeros(0, np.int64)])
         raw = {
             "docs": np.array([0 if d is None else d for d in self.docs], np.int64), "nulls": np.array([d is None for d in self.docs], np.uint8),
-            "sizes": np.concatenate(self.sizes), "codes": np.concatenate(self.codes), "numbers": np.array(self.numbers, np.uint32).reshape(-1, 3),
-            "links": np.searchsorted(pair, links).astype(np.uint32), "n_links": np.array([len(x) for x in self.links], np.uint32),
+            "sizes": np.concatenate(self.sizes), "codes": np.concatenate(self.codes), "numbers": np.concatenate(self.numbers).astype(np.uint32),
+            "links": np.searchsorted(pair, np.concatenate(self.links)).astype(np.uint32), "n_links": np.concatenate(self.n_links).astype(np.uint32),
+            "groups": np.frombuffer("\n".join(self.number).encode(), np.uint8),
         }
         pairs = pa.StructArray.from_arrays([pa.array((pair // size).astype(np.int32)), pa.array((pair % size).astype(np.int32)), pa.array(n.astype(np.int64))], ["a", "b", "n"])
-        columns = {"block": pa.array([block], pa.int64())} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in raw.items()}
-        columns |= {"groups": pa.array(["\n".join(self.number).encode()], pa.binary()), "pairs": pa.ListArray.from_arrays([0, len(pairs)], pairs)}
+        columns = {"block": pa.array([block], pa.int64())} | {k: pa.array([_packed(v)], pa.binary()) for k, v in raw.items()} | {"pairs": pa.ListArray.from_arrays([0, len(pairs)], pairs)}
         return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
+#: How the numbers of a block are written.
+_KINDS = {"docs": np.int64, "nulls": np.uint8, "sizes": np.int64, "codes": np.uint32, "numbers": np.uint32, "links": np.uint32, "n_links": np.uint32, "groups": np.uint8}
+
+
+def _packed(values: np.ndarray) -> bytes:
+    raw = values.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, kind) -> np.ndarray:
+    size = int.from_bytes(raw[:8], "little")
+    return np.frombuffer(pa.decompress(raw[8:], size, "zstd", asbytes=True) if size else b"", kind)
+
+
 def _aligning(path_a: str, path_b: str, block_bytes: int):
     name = f"aligner {path_a} {path_b}"
 
@@ -229,7 +251,7 @@ def _counted(aligned: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
     """The documents of a block, given its pairs' counts."""
     out = []
     for r in aligned.to_dict("records"):
-        raw = {c: np.frombuffer(r[c], kind) for c, kind in (("docs", np.int64), ("nulls", np.uint8), ("sizes", np.int64), ("codes", np.uint32), ("numbers", np.uint32), ("links", np.uint32), ("n_links", np.uint32))}
+        raw = {c: _unpacked(r[c], kind) for c, kind in _KINDS.items()}
         n_docs, is_best = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
         n_docs[counts["k"]], is_best[counts["k"]] = counts["n_docs"], counts["best"]
         unit = np.repeat(np.arange(len(raw["n_links"])), raw["n_links"])
@@ -240,7 +262,7 @@ def _counted(aligned: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         ends = np.cumsum(raw["sizes"])
         total = np.concatenate([np.zeros((1, 6), np.int64), np.cumsum(per[raw["codes"]], axis=0)])
         sums = total[ends] - total[ends - raw["sizes"]]
-        names = r["groups"].decode().split("\n")
+        names = raw["groups"].tobytes().decode().split("\n")
         said = [";".join([names[k] for k in raw["codes"][a:b].tolist()]) for a, b in zip((ends - raw["sizes"]).tolist(), ends.tolist(), strict=True)]
         frame = pd.DataFrame(sums, columns=["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"])
         frame.insert(0, "doc_id", pd.array(raw["docs"], dtype="Int64"))

@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,17 @@ from . import textkernel as tk
 from .staging import Stage, clean
 
 #: Units that a worker remembers, beyond those of one part of a batch; it bounds memory and changes no result.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Characters that are cut into units at once, unless there is no place to cut.
 STEP = 1 << 20
 #: Units that are looked up at once.
 LOOKUP = 1 << 19
 _CUT = re.compile(r"(?<=\S)(?= )")  # Python's white space holds all that the splitting rule takes for such
 _NEVER = 1 << 62
+#: Lengths that a token may have that ends as no longer one does.
+SHORT = (2, 1)
+#: Pairs of tokens that a worker remembers.
+PAIRS = 1 << 20
 
 
 def default_path() -> str:
@@ -89,7 +94,11 @@ class ByteBPE:
             self.formed[made], self.left[made], self.right[made] = rank, a, b
         if any(len(p) > 1 and self.formed[i] < 0 for p, i in self.ids.items()):
             raise ValueError("a token without a merge")
-        self.lengths = sorted({len(p) for p in self.ids}, reverse=True)
+        ending: dict[bytes, set[int]] = {}
+        for p in self.ids:
+            if len(p) > 2:
+                ending.setdefault(p[-3:], {1, 2}).add(len(p))
+        self._ending = {end: tuple(sorted(found, reverse=True)) for end, found in ending.items()}  # how long tokens are, by their last three bytes
         self.special = {t["content"]: t["id"] for t in added} if special else {}
         self._between = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         for t in added:
@@ -101,30 +110,23 @@ class ByteBPE:
     def follows(self, x: int, y: int) -> bool:
         """Whether y directly after x stays so: no merge takes the right end of x with the left end of y. From the whole
         tokens down, what was merged last is taken apart first; of equal merges the left one came first."""
-        key = x * self.size + y
-        known = self._follows.get(key)
-        if known is None:
-            until_x = until_y = _NEVER  # when the piece that is looked at was merged into the next larger one
-            while True:
-                rank = self.merges.get(x * self.size + y)
-                if rank is not None and rank < until_x and rank <= until_y:
-                    known = False
-                    break
-                if self.formed[x] > self.formed[y]:
-                    until_x, x = self.formed[x], self.right[x]
-                elif self.formed[y] >= 0:
-                    until_y, y = self.formed[y], self.left[y]
-                else:
-                    known = True
-                    break
-            if len(self._follows) > 1 << 20:
-                self._follows.clear()
-            self._follows[key] = known
-        return known
+        until_x = until_y = _NEVER  # when the piece that is looked at was merged into the next larger one
+        while True:
+            rank = self.merges.get(x * self.size + y)
+            if rank is not None and rank < until_x and rank <= until_y:
+                return False
+            if self.formed[x] > self.formed[y]:
+                until_x, x = self.formed[x], self.right[x]
+            elif self.formed[y] >= 0:
+                until_y, y = self.formed[y], self.left[y]
+            else:
+                return True
 
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:
         """Ids of each distinct word. Words in order are the trie's depth-first walk: a node's ancestors are the path to it."""
-        ids, follows, lengths, out = self.ids, self.follows, self.lengths, {}
+        ids, size, known, ending, out = self.ids, self.size, self._follows, self._ending, {}
+        if len(known) > PAIRS:
+            known.clear()
         last, begin = [-1], [0]  # of each node: its last token, and the node where that begins; node 0 is the empty prefix
         path, before = [0], b""
         for word in sorted(set(words)):
@@ -135,19 +137,29 @@ class ByteBPE:
                 shared += 1
             del path[shared + 1 :]
             for depth in range(shared + 1, len(word) + 1):
-                for n in lengths:
-                    if n <= depth and (token := ids.get(word[depth - n : depth])) is not None and (n == depth or follows(last[path[depth - n]], token)):
-                        path.append(len(last))
-                        last.append(token)
-                        begin.append(path[depth - n])
-                        break
+                for n in ending.get(word[depth - 3 : depth], SHORT) if depth > 2 else SHORT:
+                    if n > depth or (token := ids.get(word[depth - n : depth])) is None:
+                        continue
+                    at = path[depth - n]
+                    if at:
+                        pair = last[at] * size + token
+                        fits = known.get(pair)
+                        if fits is None:
+                            fits = known[pair] = self.follows(last[at], token)
+                        if not fits:
+                            continue
+                    path.append(len(last))
+                    last.append(token)
+                    begin.append(at)
+                    break
                 else:
                     raise ValueError("a byte without a token")
             node, found = path[-1], []
             while node:
                 found.append(last[node])
                 node = begin[node]
-            out[word] = found[::-1]
+            found.reverse()
+            out[word] = found
             before = word
         return out
 
@@ -196,15 +208,19 @@ class Pool:
 
     def add(self, runs: list) -> None:
         sizes = np.fromiter(map(len, runs), np.int64, len(runs))
-        total = int(sizes.sum())
+        self.extend(np.fromiter(chain.from_iterable(runs), self.flat.dtype, int(sizes.sum())), sizes)
+
+    def extend(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Runs that stand one after another in flat."""
+        total = len(flat)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.known + len(runs) > len(self.starts):
+        while self.known + len(sizes) > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        self.flat[self.used : self.used + total] = np.fromiter((x for r in runs for x in r), self.flat.dtype, total)
-        self.sizes[self.known : self.known + len(runs)] = sizes
-        self.starts[self.known : self.known + len(runs)] = self.used + np.cumsum(sizes) - sizes
-        self.used, self.known = self.used + total, self.known + len(runs)
+        self.flat[self.used : self.used + total] = flat
+        self.sizes[self.known : self.known + len(sizes)] = sizes
+        self.starts[self.known : self.known + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.used, self.known = self.used + total, self.known + len(sizes)
 
     def joined(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The runs of these units one after another, and where each begins, the end included."""
