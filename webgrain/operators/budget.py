@@ -54,6 +54,33 @@ def wire_size(decoded: Column, encoded: Column) -> Column:
     return F.greatest(F.coalesce(decoded, F.lit(0)), F.coalesce(encoded, F.lit(0)))
 
 
+def accounted(events: DataFrame, key: str, order: str, cap: int) -> DataFrame:
+    """Network events (key, order, request, kind, decoded, encoded) of pages -> key, order, total, code: the event with which
+    a page passes the cap, or that says something impossible; no row for a page that never does.
+
+    kind: data adds to both sizes of its request; finished brings the encoded size to what it states, if that is more;
+    failed ends a request without bytes. A request counts the larger of its sizes, and a page all of its requests, those
+    that ended too; what comes after an end is a new request. Null or negative sizes are UPSTREAM_HTTP, the cap is
+    RESPONSE_TOO_LARGE.
+    """
+    data, ended = F.col("kind") == "data", F.col("kind").isin("finished", "failed")
+    of = Window.partitionBy(key, "request").orderBy(order)
+    df = events.withColumn("__n", F.coalesce(F.sum(ended.cast("int")).over(of.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    one = Window.partitionBy(key, "request", "__n").orderBy(order)
+    so_far, before = one.rowsBetween(Window.unboundedPreceding, 0), one.rowsBetween(Window.unboundedPreceding, -1)
+    size = lambda c: F.coalesce(F.greatest(F.col(c), F.lit(0)), F.lit(0))
+    decoded = F.sum(F.when(data, size("decoded")).otherwise(0)).over(so_far)
+    sent = F.coalesce(F.sum(F.when(data, size("encoded")).otherwise(0)).over(before), F.lit(0))
+    encoded = F.when(data, sent + size("encoded")).when(F.col("kind") == "finished", F.greatest(sent, size("encoded"))).otherwise(sent)
+    df = df.withColumn("__counted", wire_size(decoded, encoded))
+    df = df.withColumn("__delta", F.col("__counted") - F.coalesce(F.lag("__counted").over(one), F.lit(0)))
+    df = df.withColumn("__total", F.sum("__delta").over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    bad = (F.col("kind") != "failed") & (F.col("encoded").isNull() | (F.col("encoded") < 0) | (data & (F.col("decoded").isNull() | (F.col("decoded") < 0))))
+    over = df.where(bad | (F.col("__total") > cap))
+    first = over.groupBy(key).agg(F.min_by(F.struct(F.col(order), (F.col("__total") - F.when(bad, F.col("__delta")).otherwise(0)).alias("total"), bad.alias("bad")), order).alias("x"))
+    return first.select(key, F.col("x")[order].alias(order), F.col("x.total").alias("total"), F.when(F.col("x.bad"), "UPSTREAM_HTTP").otherwise("RESPONSE_TOO_LARGE").alias("code"))
+
+
 def admitted(requests: DataFrame, key: str, order: str, running: int, queued: int) -> DataFrame:
     """Adds admission: run, queue, or RATE_LIMITED for what neither the slots nor the queue of a key can hold."""
     n = F.row_number().over(Window.partitionBy(key).orderBy(order))

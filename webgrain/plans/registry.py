@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.pages import spread
+from ..sources import shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,14 +31,15 @@ class Tables:
         return self.spark.readStream.schema(self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
 
     def drained(self, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-        """All that a stream gives for what is there now, from an in-memory sink: for aggregates of a few rows."""
-        place = self.spark.conf.get("spark.checkpoint.dir", None)
-        run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-        if place:  # a stream's state lies where all executors can read it
-            run = run.option("checkpointLocation", f"{place.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}")
-        run = run.start()
-        run.awaitTermination()
-        return self.spark.table(name)
+        """All that a stream gives for what is there now, written to the shared folder as its state is."""
+        place = shared.run_dir(self.spark, f"streams-{name}")
+        out = stream.writeStream.option("checkpointLocation", f"{place}/state").outputMode(mode).trigger(availableNow=True)
+        if mode == "append":
+            out = out.format("parquet").option("path", f"{place}/rows")
+        else:  # the last result replaces those before
+            out = out.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{place}/rows"))
+        out.start().awaitTermination()
+        return self.spark.read.schema(stream.schema).parquet(f"{place}/rows")
 
 
 def query(sql: str | None = None):
