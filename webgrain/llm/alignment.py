@@ -14,6 +14,7 @@ and each block gets the counts of its own pairs back.
 from __future__ import annotations
 
 import itertools
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .bpe import ByteBPE, Pool, Remembered, kept, strings
+from .bpe import ByteVocabulary, Pool, Remembered, kept, strings
 from .bpe import default_path as byte_path
 from .staging import Stage, clean
 
@@ -87,7 +88,12 @@ class Aligner(Remembered):
     """Units with their ids, groups and links. A unit's links are pairs a * size + b, repeated as they occur."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = ByteBPE(path_a, special=False), Pieces(path_b)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.a, self.b = ByteVocabulary(path_a, special=False), Pieces(path_b)
+        self.library = Tokenizer.from_file(path_a)
+        self.library.encode_special_tokens = True  # their strings are plain text
         self.size = len(self.b.bytes)
         self.a_lengths, self.b_lengths = (np.array([len(p) for p in x], np.int64) for x in (self.a.pieces, self.b.bytes))
         self.said = {sign: np.array([f"{k}{sign}" for k in range(max(self.a.size, self.size))], object) for sign in ",|;\n"}
@@ -102,7 +108,7 @@ class Aligner(Remembered):
         return self.a.units(text)
 
     def learn(self, units: list[str]) -> None:
-        runs = self.a.encode_units(units), self.b.encode_units(units)
+        runs = [e.ids for e in self.library.encode_batch_fast(units, add_special_tokens=False)], self.b.encode_units(units)
         sizes = [np.fromiter(map(len, r), np.int64, len(units)) for r in runs]
         ids = [np.fromiter(itertools.chain.from_iterable(r), np.int64, int(n.sum())) for r, n in zip(runs, sizes, strict=True)]
         whole = self._given_back(ids, sizes)

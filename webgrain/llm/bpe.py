@@ -63,12 +63,11 @@ def segments(text: str, most: int = STEP) -> Iterator[str]:
     yield text[at:]
 
 
-class ByteBPE:
-    """A tokenizer's file, byte-level BPE only. special: whether the strings of its added tokens are tokens in a text."""
+class ByteVocabulary:
+    """What a tokenizer's file, byte-level BPE only, says of its tokens. special: whether the strings of its added tokens are
+    tokens in a text."""
 
     def __init__(self, path: str, special: bool = True):
-        from tokenizers import pre_tokenizers
-
         with open(path, encoding="utf-8") as f:
             stated = json.load(f)
         model, split = stated["model"], stated["pre_tokenizer"]
@@ -79,10 +78,50 @@ class ByteBPE:
             raise ValueError("not a plain byte-level BPE file")
         number = {c: b for b, c in enumerate(byte_names())}
         self.size = max([*model["vocab"].values(), *(t["id"] for t in added)]) + 1
-        self.ids = {bytes(number[c] for c in t): i for t, i in model["vocab"].items()}
         self.pieces = [b""] * self.size
-        for piece, i in self.ids.items():
-            self.pieces[i] = piece
+        for t, i in model["vocab"].items():
+            self.pieces[i] = bytes(number[c] for c in t)
+        self._read(model, number)
+        self.special = {t["content"]: t["id"] for t in added} if special else {}
+        self._between = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        for t in added:
+            self.pieces[t["id"]] = bytes(number[c] for c in t["content"]) if all(c in number for c in t["content"]) else t["content"].encode()
+
+    def _read(self, model: dict, number: dict[str, int]) -> None:
+        """What else is taken from the file's model."""
+
+    def units(self, text: str) -> Iterator[list[str]]:
+        """A text's units, by pieces of bounded size; an added token is a unit of its own."""
+        for part in self._between.split(text) if self._between else (text,):
+            if part in self.special:
+                yield [part]
+            elif part:
+                yield from map(_CUT.split, segments(part))
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of ids[offsets[k]:offsets[k + 1]]. Ids that the file does not have stand for nothing; bytes that are no UTF-8 become U+FFFD."""
+        sizes = np.array([len(p) for p in self.pieces] + [0], np.int64)
+        flat = np.frombuffer(b"".join(self.pieces) + b"\0", np.uint8)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        out = []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            text = bytearray()
+            for k in range(a, b, STEP):
+                part = np.minimum(np.asarray(ids[k : min(b, k + STEP)]).astype(np.int64), self.size)
+                part[part < 0] = self.size
+                n = sizes[part]
+                text += flat[np.repeat(starts[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
+            out.append(text.decode("utf-8", "replace"))
+        return out
+
+
+class ByteBPE(ByteVocabulary):
+    """The vocabulary with its merges."""
+
+    def _read(self, model: dict, number: dict[str, int]) -> None:
+        from tokenizers import pre_tokenizers
+
+        self.ids = {self.pieces[i]: i for i in model["vocab"].values()}
         self.merges: dict[int, int] = {}  # rank of a pair of ids
         self.formed, self.left, self.right = [-1] * self.size, [-1] * self.size, [-1] * self.size
         for rank, pair in enumerate(model["merges"]):
@@ -99,10 +138,6 @@ class ByteBPE:
             if len(p) > 2:
                 ending.setdefault(p[-3:], {1, 2}).add(len(p))
         self._ending = {end: tuple(sorted(found, reverse=True)) for end, found in ending.items()}  # how long tokens are, by their last three bytes
-        self.special = {t["content"]: t["id"] for t in added} if special else {}
-        self._between = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        for t in added:
-            self.pieces[t["id"]] = bytes(number[c] for c in t["content"]) if all(c in number for c in t["content"]) else t["content"].encode()
         self._words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self._library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         self._follows: dict[int, bool] = {}
@@ -174,30 +209,6 @@ class ByteBPE:
         known = self.encode_words(w for ws in words for w in ws)
         return [[self.special[u]] if u in self.special else known[ws[0]] if len(ws) == 1 else [t for w in ws for t in known[w]] for u, ws in zip(units, words, strict=True)]
 
-    def units(self, text: str) -> Iterator[list[str]]:
-        """A text's units, by pieces of bounded size; an added token is a unit of its own."""
-        for part in self._between.split(text) if self._between else (text,):
-            if part in self.special:
-                yield [part]
-            elif part:
-                yield from map(_CUT.split, segments(part))
-
-    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
-        """The texts of ids[offsets[k]:offsets[k + 1]]. Ids that the file does not have stand for nothing; bytes that are no UTF-8 become U+FFFD."""
-        sizes = np.array([len(p) for p in self.pieces] + [0], np.int64)
-        flat = np.frombuffer(b"".join(self.pieces) + b"\0", np.uint8)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        out = []
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            text = bytearray()
-            for k in range(a, b, STEP):
-                part = np.minimum(np.asarray(ids[k : min(b, k + STEP)]).astype(np.int64), self.size)
-                part[part < 0] = self.size
-                n = sizes[part]
-                text += flat[np.repeat(starts[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
-            out.append(text.decode("utf-8", "replace"))
-        return out
-
 
 class Pool:
     """Runs of numbers under the numbers of their units."""
@@ -336,7 +347,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bpe = kept(name, lambda: ByteBPE(path))
+            bpe = kept(name, lambda: ByteVocabulary(path))
             column = batch.column("ids")
             offsets = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
             texts = bpe.decode(column.flatten().fill_null(-1).to_numpy(zero_copy_only=False), offsets)
