@@ -36,7 +36,8 @@ def read(captures: DataFrame, key: str, *, use: str = "answer_with_citation", mo
 
     A row in, a row out, also for null and repeated keys and for equal rows. One error per row, in the order in which the
     stages are: source, decoding, the tree's limits, GUARD_DENIED, and only then the content's own. A row with an error
-    has no text. additional: verdicts (key, decision, reasons) of another guard.
+    has no text. additional: verdicts (key, decision, reasons) of another guard, as hooks.guarded gives them; where its
+    error is not null, the row's is GUARD_FAILED.
     """
     given = list(dict.fromkeys([key, "requested_url", "final_url", "status", "content_type", "headers", "body", "fetch_method", *(extra or [])]))
     captures = identified(captures.select(*[F.col(f"`{c}`") for c in given]), ROW)
@@ -50,11 +51,16 @@ def read(captures: DataFrame, key: str, *, use: str = "answer_with_citation", mo
     if additional is not None:
         verdicts = verdicts.join(captures.select(ROW, F.col(key).alias("__key")), ROW)
         verdicts = policy.restricted(verdicts, additional.withColumnRenamed(key, "__key"), "__key").drop("__key")
+    failed = F.lit(None).cast("string")
     verdicts = policy.public_verdict(verdicts, ROW).drop("trust", "tainted")
     made = read_.select(ROW, "title", F.coalesce("markdown", "text").alias("text"), "excerpt", "characters", "truncated", F.col("error").alias("content_error"), "reason")
     out = kinds.select(ROW, "__key", "url", "stopped", "fetch_method").join(verdicts, ROW, "left").join(made, ROW, "left")
+    if additional is not None and "error" in additional.columns:
+        broken = additional.where(F.col("error").isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("__broken")).distinct()
+        out = out.join(broken, F.col("__key") == F.col("__broken"), "left")
+        failed = F.when(F.col("__broken").isNotNull(), "GUARD_FAILED")
     limits = F.when(F.col("content_error").isin("RESPONSE_TOO_LARGE", "GUARD_FAILED"), F.col("content_error"))
     denied = F.when(~F.col("decision").isin(*policy.VISIBLE_DECISIONS), "GUARD_DENIED")
-    error = F.coalesce("stopped", limits, denied, "content_error")
+    error = F.coalesce("stopped", limits, failed, denied, "content_error")
     shown = lambda c: F.when(error.isNull(), F.col(c)).alias(c)
     return out.select(F.col("__key").alias(key), "url", shown("title"), shown("text"), shown("excerpt"), shown("characters"), shown("truncated"), "fetch_method", "decision", "warning_categories", "reason_codes", error.alias("error"), F.when(error == "CONTENT_INSUFFICIENT", F.col("reason")).alias("reason"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import urls as u
-from ..operators import hits, timing
+from ..operators import containment, hits, timing
 from .registry import query
 from .texts import TRACK_SQL
 
@@ -86,22 +86,10 @@ def union_evidence(spark, read):
     SELECT item_id, doc_id FROM b JOIN d ON contains(t, q)"""
 )
 def quote_containment(spark, read):
-    """Which documents contain a passage: candidates share its first eight words; then the text decides."""
+    """Which documents contain a passage, blanks and case aside."""
     clean = lambda c: F.lower(F.regexp_replace(c, "\\s+", " "))
-    quotes = read("benchmark").select("item_id", clean("text").alias("q"))
-    lead = F.slice(F.split(F.trim("q"), " "), 2, 6)  # the first and last word may be parts of longer ones
-    long, short = quotes.where(F.size(F.split(F.trim("q"), " ")) >= 8), quotes.where(F.size(F.split(F.trim("q"), " ")) < 8)
-    docs = read("documents").select("doc_id", clean("text").alias("t"))
-    words = F.split("t", " ")
-    # six arrays, each a word further, side by side: the text is split a few times and not once per word
-    grams = F.transform(F.arrays_zip(*[F.slice(words, k, F.size(words)).alias(f"w{k}") for k in range(1, 7)]), lambda z: F.xxhash64(z))
-    keys = docs.select("doc_id", F.explode(grams).alias("k"))
-    near = long.withColumn("k", F.xxhash64(F.struct(*[lead[i].alias(f"w{i + 1}") for i in range(6)]))).join(keys, "k").select("item_id", "q", "doc_id")
-    near = near.distinct()
-    found = near.join(docs, "doc_id").where(F.contains("t", F.col("q"))).select("item_id", "doc_id")
-    # the few passages without six whole words inside are looked up in each text, together
-    few = docs.crossJoin(F.broadcast(short.agg(F.collect_list(F.struct("item_id", "q")).alias("few")))).select("doc_id", F.explode(F.filter("few", lambda x: F.contains(F.col("t"), x["q"]))).alias("x"))
-    return found.unionByName(few.select("x.item_id", "doc_id"))
+    docs, quotes = read("documents").select("doc_id", clean("text").alias("t")), read("benchmark").select("item_id", clean("text").alias("q"))
+    return containment.contained(docs, "doc_id", "t", quotes, "item_id", "q")
 
 
 @query(
