@@ -34,6 +34,7 @@ STEP = 1 << 20
 #: Units that are looked up at once.
 LOOKUP = 1 << 19
 _CUT = re.compile(r"(?<=\S)(?= )")  # Python's white space holds all that the splitting rule takes for such
+_LETTERS = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 _NEVER = 1 << 62
 #: Lengths that a token may have that ends as no longer one does.
 SHORT = (2, 1)
@@ -158,41 +159,40 @@ class ByteBPE(ByteVocabulary):
                 return True
 
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:
-        """Ids of each distinct word. Words in order are the trie's depth-first walk: a node's ancestors are the path to it."""
+        """Ids of each distinct word. Words in order are the trie's depth-first walk: the path to a node is a stack, which
+        has each ancestor's last token and how long that is; what the next word shares of it stays."""
         ids, size, known, ending, out = self.ids, self.size, self._follows, self._ending, {}
         if len(known) > PAIRS:
             known.clear()
-        last, begin = [-1], [0]  # of each node: its last token, and the node where that begins; node 0 is the empty prefix
-        path, before = [0], b""
-        for word in sorted(set(words)):
+        words = sorted(set(words))
+        last, length = ([0] * (max(map(len, words), default=0) + 1) for _ in range(2))  # by depth
+        before = b""
+        for word in words:
             shared = 0
             for a, b in zip(before, word, strict=False):
                 if a != b:
                     break
                 shared += 1
-            del path[shared + 1 :]
             for depth in range(shared + 1, len(word) + 1):
                 for n in ending.get(word[depth - 3 : depth], SHORT) if depth > 2 else SHORT:
-                    if n > depth or (token := ids.get(word[depth - n : depth])) is None:
+                    begin = depth - n
+                    if begin < 0 or (token := ids.get(word[begin:depth])) is None:
                         continue
-                    at = path[depth - n]
-                    if at:
-                        pair = last[at] * size + token
+                    if begin:
+                        pair = last[begin] * size + token
                         fits = known.get(pair)
                         if fits is None:
-                            fits = known[pair] = self.follows(last[at], token)
+                            fits = known[pair] = self.follows(last[begin], token)
                         if not fits:
                             continue
-                    path.append(len(last))
-                    last.append(token)
-                    begin.append(at)
+                    last[depth], length[depth] = token, n
                     break
                 else:
                     raise ValueError("a byte without a token")
-            node, found = path[-1], []
-            while node:
-                found.append(last[node])
-                node = begin[node]
+            depth, found = len(word), []
+            while depth:
+                found.append(last[depth])
+                depth -= length[depth]
             found.reverse()
             out[word] = found
             before = word
@@ -200,6 +200,8 @@ class ByteBPE(ByteVocabulary):
 
     def words(self, unit: str) -> list[bytes]:
         """A unit by the file's splitting rule. Beyond ASCII the library says which characters are letters."""
+        if _LETTERS.fullmatch(unit):
+            return [unit.encode()]
         if unit.isascii():
             return [w.encode() for w in self._words.findall(unit)]
         return [unit[a:b].encode() for _, (a, b) in self._library.pre_tokenize_str(unit)]
