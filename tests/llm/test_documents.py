@@ -459,3 +459,46 @@ def test_encoder_equals_plain_encodes(rows):
         for i, t in enumerate(texts):
             assert ids[at[i] : at[i + 1]].tolist() == enc.whole.encode(t, add_special_tokens=False).ids
     assert isinstance(ids, np.ndarray)
+
+
+def test_documents_made_of_common_passages(spark, monkeypatch):
+    """Subsets of a few passages: every shingle is held by many, and only some pairs are similar enough."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 4000)
+    rng = random.Random(9)
+    passages = [" ".join(f"p{k}w{i}" for i in range(12)) for k in range(30)]
+    chosen = [sorted(rng.sample(range(30), 23)) for _ in range(120)]
+    for c in chosen[:30]:  # one or two passages exchanged
+        other = [k for k in c if k != rng.choice(c)]
+        chosen.append(sorted({*other, rng.randrange(30)}))
+    rows = [(k, " ".join(passages[x] for x in c), None, None, 0, None, None, None) for k, c in enumerate(chosen)]
+    sets = [shingles(t, 2) for _, t, *_ in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), 2).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: find(k) for k in range(len(rows))}
+    assert 1 < len({find(k) for k in range(len(rows))}) < len(rows)
+
+
+@pytest.mark.parametrize("dense", [True, False])
+def test_common_shingles_are_counted(dense, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(minhash_dedup, "CELLS", 64)
+    pool = rng.integers(0, 1 << 63, 40 if dense else 4000).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, rng.integers(1, 30))) for _ in range(25)]
+    for rows, common in minhash_dedup._common(sets):
+        for i, line in zip(rows.tolist(), common, strict=True):
+            want = [len(np.intersect1d(sets[i], s)) for s in sets]
+            exact = [c if k != i else None for k, c in enumerate(line.tolist())]
+            assert exact == [w if k != i else None for k, w in enumerate(want)]

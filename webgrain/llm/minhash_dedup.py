@@ -8,11 +8,11 @@
 3. Candidates are confirmed on the full sets, by pairs of blocks of about BLOCK shingles, so that a hot hub's
    members are dealt over many tasks and a set is read once for all its pairs with a block.
 4. A member that its hub refuses may still be linked to another member. Buckets whose members are in more than one
-   component go on: a task reads two of their blocks and compares the sets that share a bucket until each is in one
-   component with those it is linked to. In a hot group, of more than one block, each set's shingles that no other
-   class of its buckets holds are counted first: a link can have none of them, which bounds the similarity and the
-   size of what the set can be linked with, so that most members need no comparison. No pair of documents ever
-   becomes a row, pairs within a component are not compared, and no member is left out.
+   component go on: a task reads two of their blocks and counts what their sets have in common by kinds of shingles,
+   those that the same sets hold, so that documents made of shared passages cost what the passages do. In a hot group,
+   of more than one block, each set's shingles that no other class of its buckets holds are counted first: a link can
+   have none of them, so that most members need no comparison. No pair of documents ever becomes a row, and no member
+   is left out.
 
 Two sets at the threshold 0.8 share none of the 32 bands of 4 with a probability of (1 - 0.8**4)**32 = 5e-8.
 """
@@ -33,6 +33,7 @@ from .staging import Stage, clean, unused
 U = np.uint64
 BINS = 128
 ROWS = 4  # bins of a band
+CELLS = 1 << 21  # of a matrix of sets and kinds of shingles, or of sets and sets
 BLOCK = 1 << 18  # shingles of a block, about; the verification reads two blocks' sets at a time
 
 _PROBES = np.stack([np.random.default_rng(7919 + i).permutation(BINS) for i in range(BINS)])
@@ -88,7 +89,7 @@ def _sketch(k: int, lower: bool):
 
 
 def _sets(k: int, lower: bool):
-    """Each text's set itself, with its bands, and one of its fingerprints to tell apart the texts of one id."""
+    """Each text's set itself, and one of its fingerprints to tell apart the texts of one id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in tk.parts(b)):
@@ -97,10 +98,7 @@ def _sets(k: int, lower: bool):
             at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             marks = pa.array(np.array([tk.mix(s, 21).sum(dtype=U) for s in sets], U).view(np.int64))
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            of = [bands(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-            ends = np.concatenate([[0], np.cumsum([len(b) for b in of])]).astype(np.int32)
-            banded = pa.ListArray.from_arrays(ends, np.concatenate(of) if of else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), marks, pa.ListArray.from_arrays(at, flat), banded], ["id", "f1", "set", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), marks, pa.ListArray.from_arrays(at, flat)], ["id", "f1", "set"])
 
     return run
 
@@ -118,25 +116,65 @@ def _confirm(threshold: int):
     return run
 
 
+def _common(sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Some sets' numbers, and how many shingles each of them has in common with each set.
+
+    Shingles that the same sets hold, as those of one passage do, are one kind with a weight, and those of a single set are
+    none. Dense products of sets and kinds, or sums over the kinds' lists of sets, whichever takes less.
+    """
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    exact = np.float32 if sizes.max() < 1 << 24 else float
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(n), sizes)
+    held = np.bincount(at)
+    pattern = np.zeros(len(held), U)
+    np.add.at(pattern, at, tk.mix(np.arange(1, n + 1, dtype=U), 31)[owner])
+    several = np.flatnonzero(held > 1)
+    _, first, weight = np.unique(pattern[several], return_index=True, return_counts=True)
+    number = np.full(len(held), -1)
+    number[several[first]] = np.arange(len(first))  # one shingle stands for its kind
+    kind = number[at]
+    owner, kind = owner[kind >= 0], kind[kind >= 0]
+    lists = np.bincount(kind, minlength=len(weight))
+    if n * n * len(weight) < 64 * int((lists.astype(np.int64) ** 2).sum()):
+        step = max(1, CELLS // n)
+        for a in range(0, n, step):
+            rows = np.arange(a, min(n, a + step))
+            out = np.zeros((len(rows), n), exact)
+            for k in range(0, len(weight), step):
+                some = (kind >= k) & (kind < k + step)
+                dense = np.zeros((n, min(step, len(weight) - k)), exact)
+                dense[owner[some], kind[some] - k] = 1
+                out += (dense[rows] * weight[k : k + step].astype(exact)) @ dense.T
+            yield rows, out
+        return
+    order = np.argsort(kind, kind="stable")
+    docs, begin = owner[order], np.cumsum(lists) - lists
+    ends = np.cumsum(np.bincount(owner, minlength=n))
+    for i in range(n):
+        own = kind[ends[i - 1] if i else 0 : ends[i]]
+        size = lists[own]
+        found = docs[np.repeat(begin[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        yield np.array([i]), np.bincount(found, np.repeat(weight[own], size), n)[None, :]
+
+
 def _across(threshold: int):
-    """The open sets of two blocks -> links between those that share a bucket and are not yet in one component."""
+    """The open sets of two blocks -> links between those that are not yet in one component."""
 
     def run(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("id")
-        sets, sizes, most = [s.view(U) for s in pdf["set"]], pdf["n"].to_numpy(), pdf["most"].to_numpy()
-        block, ids, out = pdf["k"].to_numpy(), pdf["id"].to_numpy(), []
-        band = np.stack(pdf["bands"].to_list())
+        sizes, block, ids, out = pdf["n"].to_numpy(), pdf["k"].to_numpy(), pdf["id"].to_numpy(), []
         comp, same = pdf["comp"].to_numpy().copy(), pdf["ka"].iat[0] == pdf["kb"].iat[0]
-        for i in range(len(pdf)):
-            rest = slice(i + 1, None)
-            fit = (sizes[rest] <= most[i]) & (sizes[i] <= most[rest]) & (100 * np.minimum(sizes[rest], sizes[i]) >= threshold * np.maximum(sizes[rest], sizes[i]))
-            fit &= comp[rest] != comp[i]
+        for rows, common in _common([s.view(U) for s in pdf["set"]]):
+            linked = (100 + threshold) * common.astype(float) >= threshold * (sizes[rows][:, None] + sizes[None, :])
+            linked &= comp[rows][:, None] != comp[None, :]
             if not same:
-                fit &= block[rest] != block[i]
-            for j in np.flatnonzero(fit) + i + 1:
-                if comp[j] != comp[i] and (band[j] == band[i]).any() and _linked(sets[i], sets[j], threshold):
+                linked &= block[rows][:, None] != block[None, :]
+            for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+                i = int(rows[i])
+                if comp[i] != comp[j]:
                     out.append((ids[i], ids[j]))
                     comp[comp == comp[j]] = comp[i]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
@@ -181,10 +219,10 @@ def _open(known: DataFrame) -> DataFrame:
 
 
 def _bounded(still: DataFrame, blocks: DataFrame, sets: DataFrame, stage: Stage, threshold: int) -> DataFrame:
-    """Of the sets in hot blocks: staged (id, f1, most, dead).
+    """Of the sets in hot blocks: staged (id, f1, dead).
 
-    A set's shingles that another class of its buckets holds too are counted: no link can have more in common. So
-    most is the size of the largest set that it can be linked with, and dead says that there can be none.
+    A set's shingles that another class of its buckets holds too are counted: no link can have more in common, and dead
+    says that this is too few for any.
     """
     hot = stage.small(stage.put(blocks.where("hot").select(F.col("id").alias("hot_id")), "hot"))
     met = still.join(hot, F.col("rep") == F.col("hot_id"), "left_semi").select(F.col("h").alias("bucket")).distinct()
@@ -194,8 +232,7 @@ def _bounded(still: DataFrame, blocks: DataFrame, sets: DataFrame, stage: Stage,
     held = shingles.groupBy("t").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(F.col("t").alias("both"))
     asked = shingles.join(hot, F.col("id") == F.col("hot_id"), "left_semi")
     common = asked.join(held, F.col("t") == F.col("both"), "left").groupBy("id", "f1").agg(F.count("*").alias("n"), F.count("both").alias("c"))
-    most = F.floor(((100 + threshold) * F.col("c") - threshold * F.col("n")) / threshold)
-    bounds = stage.put(common.select("id", "f1", most.alias("most"), (100 * F.col("c") < threshold * F.col("n")).alias("dead")), "bounds")
+    bounds = stage.put(common.select("id", "f1", (100 * F.col("c") < threshold * F.col("n")).alias("dead")), "bounds")
     stage.drop(shingles)
     return bounds
 
@@ -206,10 +243,10 @@ def _left_apart(known: DataFrame, sets: DataFrame, stage: Stage, threshold: int)
     if still.isEmpty():
         return None
     blocks = _blocked(still.select(F.col("rep").alias("id"), "hub", "n"), stage)
-    mine = sets.withColumn("most", F.lit(1 << 40))
+    mine = sets
     if not blocks.where("hot").isEmpty():
         bounds = _bounded(still, blocks, sets, stage, threshold)
-        mine = sets.join(stage.small(bounds), ["id", "f1"], "left").where("NOT coalesce(dead, false)").select("id", "f1", "set", "bands", F.coalesce("most", F.lit(1 << 40)).alias("most"))
+        mine = sets.join(stage.small(bounds), ["id", "f1"], "left").where("NOT coalesce(dead, false)").select("id", "f1", "set")
         alive = stage.put(bounds.groupBy("id").agg(F.bool_and("dead").alias("gone")).where("gone").select(F.col("id").alias("gone_id")), "gone")
         still = stage.put(_open(still.join(stage.small(alive), F.col("rep") == F.col("gone_id"), "left_anti")), "open")
         blocks = _blocked(still.select(F.col("rep").alias("id"), "hub", "n"), stage)
@@ -219,7 +256,7 @@ def _left_apart(known: DataFrame, sets: DataFrame, stage: Stage, threshold: int)
     met = stage.put(met, "block-pairs")
     members = still.select(F.col("rep").alias("id"), "comp").distinct().join(homes, "id").join(mine, "id")
     reads = met.select("ka", "kb", F.explode(F.array_distinct(F.array("ka", "kb"))).alias("k"))
-    rows = reads.join(members, "k").select("ka", "kb", "k", "id", "comp", F.size("set").alias("n"), "most", "bands", "set")
+    rows = reads.join(members, "k").select("ka", "kb", "k", "id", "comp", F.size("set").alias("n"), "set")
     return stage.put(rows.groupBy("ka", "kb").applyInPandas(_across(threshold), "a long, b long"), "more")
 
 
@@ -247,9 +284,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, lower: boo
     hubs = stage.put(hubs.select(F.col("h").alias("bucket"), "hub"), "hubs")
     bucketed = stage.put(spread.join(stage.small(hubs), F.col("h") == F.col("bucket")).select("h", "hub", "rep", "n"), "buckets")
     blocks = _blocked(bucketed.select(F.col("rep").alias("id"), "hub", "n"), stage)
-    sets = docs.select(F.col("doc_id").alias("id"), "text").join(stage.small(blocks), "id", "left_semi").mapInArrow(tk.task(_sets(k, lower)), "id long, f1 long, set array<long>, bands array<long>")
+    sets = docs.select(F.col("doc_id").alias("id"), "text").join(stage.small(blocks), "id", "left_semi").mapInArrow(tk.task(_sets(k, lower)), "id long, f1 long, set array<long>")
     if not repeats.isEmpty():
-        sets = sets.groupBy("id", "f1").agg(F.first("set").alias("set"), F.first("bands").alias("bands"))
+        sets = sets.groupBy("id", "f1").agg(F.first("set").alias("set"))
     sets = stage.put(sets.where(F.size("set") > 0), "sets")
 
     homes = stage.small(blocks).select("id", "k")
