@@ -193,8 +193,8 @@ def _linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
 
 def _verify(pairs: DataFrame, sets: DataFrame, stage: Stage, threshold: int) -> DataFrame:
     """pairs (a, ka, b, kb), distinct, k the blocks -> staged (a, b, linked). Each pair of blocks reads its sets once."""
-    ends = pairs.select("ka", "kb", F.col("a").alias("id")).union(pairs.select("ka", "kb", F.col("b").alias("id"))).distinct()
-    docs = ends.join(sets, "id").select(F.col("ka").alias("da"), F.col("kb").alias("db"), "id", "set")
+    ends = stage.put(pairs.select("ka", "kb", F.col("a").alias("end")).union(pairs.select("ka", "kb", F.col("b").alias("end"))).distinct(), "ends")
+    docs = sets.join(stage.small(ends), F.col("id") == F.col("end")).select(F.col("ka").alias("da"), F.col("kb").alias("db"), "id", "set")
     found = pairs.groupBy("ka", "kb").cogroup(docs.groupBy("da", "db")).applyInPandas(_confirm(threshold), "a long, b long, linked boolean")
     return stage.put(found, "links")
 
@@ -254,9 +254,11 @@ def _left_apart(known: DataFrame, sets: DataFrame, stage: Stage, threshold: int)
     sides = still.join(homes, F.col("rep") == F.col("id")).select("h", "k").distinct()
     met = sides.join(sides.select("h", F.col("k").alias("kb")), "h").where("k <= kb").select(F.col("k").alias("ka"), "kb").distinct()
     met = stage.put(met, "block-pairs")
-    members = still.select(F.col("rep").alias("id"), "comp").distinct().join(homes, "id").join(mine, "id")
+    # which pairs of blocks read a member: a set goes to each of them, and nowhere before
     reads = met.select("ka", "kb", F.explode(F.array_distinct(F.array("ka", "kb"))).alias("k"))
-    rows = reads.join(members, "k").select("ka", "kb", "k", "id", "comp", F.size("set").alias("n"), "set")
+    asked = still.select(F.col("rep").alias("id"), "comp").distinct().join(homes, "id").join(reads, "k")
+    asked = stage.put(asked.select(F.col("id").alias("member"), "comp", "k", "ka", "kb"), "asked")
+    rows = mine.join(stage.small(asked), F.col("id") == F.col("member")).select("ka", "kb", "k", "id", "comp", F.size("set").alias("n"), "set")
     return stage.put(rows.groupBy("ka", "kb").applyInPandas(_across(threshold), "a long, b long"), "more")
 
 
