@@ -502,3 +502,52 @@ def test_common_shingles_are_counted(dense, monkeypatch):
             want = [len(np.intersect1d(sets[i], s)) for s in sets]
             exact = [c if k != i else None for k, c in enumerate(line.tolist())]
             assert exact == [w if k != i else None for k, w in enumerate(want)]
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(6)
+    names = [f"l{k:03d}" for k in range(150)]
+    own = {n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(6)] for n in names}
+    rows = [(10 * k + j, " ".join(rng.choices(own[n], k=8)), n) for k, n in enumerate(names) for j in range(8)]
+    rows += [(90_000 + k, " ".join(rng.choices(own["l000"], k=8)), "l000") for k in range(3000)] + [(99_999, "12 34", "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, sample=900)
+    assert model.languages == names and isinstance(model.weights, language_id.Sparse)
+    got = {r["doc_id"]: r["__lang_pred"] for r in language_id.predict(docs.where("doc_id < 90000").drop("lang"), model).collect()}
+    assert sum(got[d] == n for d, _, n in rows if d < 90_000) > 0.9 * len(got)
+
+
+def test_learning_equals_plain_loops(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(language_id, "FEATURES", 12)
+    rng = np.random.default_rng(4)
+    rows = [(np.sort(rng.choice(12, 5, replace=False)), rng.random(5), int(rng.integers(3))) for _ in range(60)]
+    z, n = [[0.0] * 3 for _ in range(12)], [[0.0] * 3 for _ in range(12)]
+
+    def weight(c, k):
+        if abs(z[c][k]) <= language_id.L1:
+            return 0.0
+        return -(z[c][k] - language_id.L1 * (1 if z[c][k] > 0 else -1)) / ((language_id.BETA + n[c][k] ** 0.5) / language_id.ALPHA + language_id.L2)
+
+    order = np.random.default_rng(3)
+    for _ in range(2):
+        for i in order.permutation(len(rows)):
+            columns, x, y = rows[i]
+            w = {(c, k): weight(c, k) for c in columns for k in range(3)}
+            scores = [sum(v * w[c, k] for c, v in zip(columns, x, strict=True)) for k in range(3)]
+            total = sum(np.exp(s) for s in scores)
+            for c, v in zip(columns, x, strict=True):
+                for k in range(3):
+                    g = v * (np.exp(scores[k]) / total - (k == y))
+                    step = ((n[c][k] + g * g) ** 0.5 - n[c][k] ** 0.5) / language_id.ALPHA
+                    z[c][k] += g - step * w[c, k]
+                    n[c][k] += g * g
+    got = language_id.ftrl(rows, 3, epochs=2)
+    assert np.allclose(got, [[weight(c, k) for k in range(3)] for c in range(12)])
+    sparse, columns, x = language_id.Sparse(got), np.array([1, 4, 7]), np.array([0.5, 0.25, 2.0])
+    assert np.allclose(sparse.dot(columns, x), x @ got[columns]) and np.allclose(sparse.dot(columns[:0], x[:0]), 0)
+    scores, truth = rng.normal(size=(80, 3)) * 4, rng.integers(0, 3, 80)
+    loss = lambda t: float(np.mean([np.log(np.exp(s / t).sum()) - s[y] / t for s, y in zip(scores, truth, strict=True)]))
+    grid = [float(np.exp(a)) for a in np.linspace(-4, 3, 2001)]
+    assert abs(loss(language_id.calibrate(scores, truth)) - min(map(loss, grid))) < 1e-4

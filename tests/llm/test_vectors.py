@@ -203,3 +203,9 @@ def test_components(spark, one_task):
     got = {r.node: r.component for r in connected_components(spark, df, Stage(spark, "test"), one_task).collect()}
     assert got == {x: find(x) for e in edges for x in e if e[0] != e[1]}
     assert connected_components(spark, df.limit(0), Stage(spark, "test"), one_task).count() == 0
+
+
+def test_an_audit_that_meets_no_link_measures_nothing(spark):
+    rows = [(k, [float(k == j) for j in range(40)], 1, 1, "") for k in range(40)]
+    got = vector_dedup.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.n_links for r in got} == {0} and {r.audit_recall for r in got} == {None}

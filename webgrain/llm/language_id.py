@@ -20,10 +20,12 @@ from . import textkernel as tk
 from .staging import Stage, clean, unused
 
 FEATURES = 1 << 15
-#: Documents that teach, about: the bound of the sample, split evenly over the languages.
-SAMPLE = 6000
-#: Languages that are learned: those with the most documents, if the column holds more.
-LANGUAGES = 512
+#: Documents that teach, about: the bound of the sample, split evenly over the languages; but EACH for every language.
+SAMPLE, EACH = 6000, 8
+#: Bytes of the sample's features that the driver holds; beyond it only each language's first document is added.
+SAMPLE_BYTES = 256 << 20
+#: Beyond that many languages the state has half the precision, and the model keeps only the weights that are not zero.
+DENSE = 64
 CALIBRATION = 5  # every fifth document of the sample calibrates
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.5, 0.1
@@ -73,7 +75,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = batch.take(pa.array(keep, pa.int32()))
         found = [grams(t) for t in batch.column("text").to_pylist()]
         if found:
-            yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("lang"), pa.array([x[0].astype("<u2").tobytes() for x in found], pa.binary()), pa.array([x[1].astype("<u4").tobytes() for x in found], pa.binary())], ["draw", "lang", "columns", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("lang"), batch.column("first"), pa.array([x[0].astype("<u2").tobytes() for x in found], pa.binary()), pa.array([x[1].astype("<u4").tobytes() for x in found], pa.binary())], ["draw", "lang", "first", "columns", "counts"])
 
 
 def weigh(columns: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -81,16 +83,31 @@ def weigh(columns: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarra
     return x / max(1e-12, float(np.sqrt((x * x).sum())))
 
 
+class Sparse:
+    """Weights (columns x languages) without the zeros that L1 leaves."""
+
+    def __init__(self, weights: np.ndarray):
+        row, self.at = np.nonzero(weights)
+        self.values, self.shape = weights[row, self.at], weights.shape
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(weights)))])
+
+    def dot(self, columns: np.ndarray, x: np.ndarray) -> np.ndarray:
+        sizes = self.begin[columns + 1] - self.begin[columns]
+        places = np.repeat(self.begin[columns] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return np.bincount(self.at[places], self.values[places] * np.repeat(x, sizes), self.shape[1])
+
+
 class Model:
     """languages, idf of each column, weights (columns x languages), temperature."""
 
     def __init__(self, languages: list[str], idf: np.ndarray, weights: np.ndarray, temperature: float):
-        self.languages, self.idf, self.weights, self.temperature = languages, idf, weights, temperature
+        self.languages, self.idf, self.temperature = languages, idf, temperature
+        self.weights = weights if len(languages) <= DENSE else Sparse(weights)
 
     def scores(self, text: str) -> np.ndarray:
         columns, counts = grams(text)
-        z = weigh(columns, counts, self.idf) @ self.weights[columns]
-        return z
+        x = weigh(columns, counts, self.idf)
+        return self.weights.dot(columns, x) if isinstance(self.weights, Sparse) else x @ self.weights[columns]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.languages or not has_letter(text):
@@ -107,7 +124,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], n_languages: int, epochs: int = EPOCHS, seed: int = 3) -> np.ndarray:
     """FTRL-proximal with per-coordinate rates; L1 keeps the weights sparse. rows: columns, values, language."""
-    z, n = np.zeros((FEATURES, n_languages)), np.zeros((FEATURES, n_languages))
+    z, n = (np.zeros((FEATURES, n_languages), float if n_languages <= DENSE else np.float32) for _ in range(2))
 
     def weights(at):
         zs = z[at]
@@ -147,25 +164,38 @@ def calibrate(scores: np.ndarray, truth: np.ndarray) -> float:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """docs: the documents that may teach (doc_id, text, lang). Rows with a null lang or no letter teach nothing.
 
-    doc_id only draws the sample. Without a row to learn from, the model knows no language and every prediction is und.
+    Every language of a document with a letter is learned. doc_id only draws the sample: sample rows about, evenly over
+    the languages, EACH of every one at least and the one with the smallest draw always, SAMPLE_BYTES of features at most
+    besides these. A language takes a row on the driver, and 256 KB of state while it is learned. Without a row to learn
+    from, the model knows no language and every prediction is und.
     """
     spark = docs.sparkSession
     stage = Stage(spark, "language")
     docs = clean(docs, "doc_id", "text", "lang").where("lang IS NOT NULL")
     draw = F.xxhash64("doc_id", F.lit(23))
-    sizes = {r[0]: r[1] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not sizes:
+    some = F.col("text").rlike("\\p{L}")  # its lowest draw may have no letter otherwise
+    sizes = stage.put(docs.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("c"), F.min(F.when(some, draw)).alias("low")), "sizes")
+    n_languages = sizes.count()
+    if not n_languages:
         return Model([], np.zeros(FEATURES), np.zeros((FEATURES, 0)), 1.0)
-    each = max(1, sample // len(sizes))
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 1.2 * each / n))])
+    each = max(EACH, sample // n_languages)
+    shares = sizes.select("of", "low", F.least(F.lit(1.0), 1.2 * each / F.col("c")).alias("share"))
     df = stage.put(docs.select("text").mapInArrow(tk.task(_document_frequency), "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")), "df")
     found = {r[0]: r[1] for r in df.collect()}  # FEATURES rows and one at most
     n = found.pop(-1, 0)
     counts = np.zeros(FEATURES)
     counts[list(found)] = list(found.values())
     idf = np.log((1 + n) / (1 + counts)) + 1
-    picked = docs.where(draw / F.lit(2.0**64) + 0.5 <= share[F.col("lang")]).select(draw.alias("draw"), "lang", "text")
-    rows = stage.put(picked.mapInArrow(tk.task(_features), "draw long, lang string, columns binary, counts binary"), "sample").orderBy("draw", "lang").limit(2 * sample).collect()
+    picked = docs.join(stage.small(stage.put(shares, "shares")), F.col("lang") == F.col("of")).where((draw / F.lit(2.0**64) + 0.5 <= F.col("share")) | (draw == F.col("low")))
+    picked = picked.select(draw.alias("draw"), "lang", (draw == F.col("low")).alias("first"), "text")
+    made_of = stage.put(picked.mapInArrow(tk.task(_features), "draw long, lang string, first boolean, columns binary, counts binary"), "sample")
+    taken, held_bytes = [], 0
+    for r in made_of.orderBy(F.desc("first"), "draw", "lang").limit(2 * max(sample, EACH * n_languages)).toLocalIterator():
+        if not r["first"] and held_bytes > SAMPLE_BYTES:
+            break
+        held_bytes += len(r["columns"]) + len(r["counts"])
+        taken.append(r)
+    rows = sorted(taken, key=lambda r: (r["draw"], r["lang"]))
     stage.drop(df)
     languages = sorted({r["lang"] for r in rows})
     at = {lang: k for k, lang in enumerate(languages)}
@@ -173,8 +203,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     for r in rows:
         columns = np.frombuffer(r["columns"], "<u2").astype(np.int32)
         made.append((columns, weigh(columns, np.frombuffer(r["counts"], "<u4"), idf).astype(np.float32), at[r["lang"]]))
-    held = made[::CALIBRATION] if len(made) >= 2 * CALIBRATION else []
-    taught = [x for i, x in enumerate(made) if i % CALIBRATION or not held]
+    # a language with few rows needs them all to be taught
+    enough = np.bincount([y for _, _, y in made], minlength=len(languages)) >= CALIBRATION
+    calibrates = [len(made) >= 2 * CALIBRATION and i % CALIBRATION == 0 and bool(enough[y]) for i, (_, _, y) in enumerate(made)]
+    held = [x for x, c in zip(made, calibrates, strict=True) if c]
+    taught = [x for x, c in zip(made, calibrates, strict=True) if not c]
     weights = ftrl(taught, len(languages))
     scores = np.array([x @ weights[c] for c, x, _ in held]).reshape(len(held), len(languages))
     return Model(languages, idf, weights, calibrate(scores, np.array([y for _, _, y in held], int)))
@@ -184,7 +217,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with __lang_pred and __lang_score (with more underscores, if docs has such names). A null text or one without
     a letter is und, with score 0."""
     added = unused(docs, "lang_pred", "lang_score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x languages numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x DENSE numbers at most, or those that are not zero
 
     names = docs.columns
     plain = docs.select(*[F.col(f"`{c}`").alias("text" if c == "text" else f"__c{i}") for i, c in enumerate(names)])

@@ -38,6 +38,7 @@ DEGREE, BEAM, ALPHA = 24, 40, 1.2
 SLACK = 0.08  # nodes that much below the range still expand
 MEDOIDS = 16
 AUDIT, AUDIT_LEAST = 256, 0.97
+AUDIT_BYTES = 64 << 20  # of the vectors that an audit takes to every task
 QUERIES = 256  # searched at a time; a multiple of 8
 DENSE = 16  # a search whose range has reached that part of a shard goes on with all of it
 PASSES = ((2, BEAM, False), (4, 2 * BEAM, False), (1, BEAM, True))  # overlap, beam, whether all is compared
@@ -525,7 +526,8 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.93) -> DataFrame:
     Vectors with equal labels are linked at a cosine of threshold or more. A null label, null vec_id, or vector that is
     null, empty, zero or holds null or non-finite components links with nothing: n_links 0, component_id its vec_id.
     Vectors of different lengths are never linked. Rows that repeat a vec_id are one vector, the least by label and
-    components. An empty table gives an empty result.
+    components. An empty table gives an empty result. audit_recall: the share of the links of some classes that were found,
+    against all rows; null if neither these nor 16 times as many have any link.
     """
     spark = embeddings.sparkSession
     stage = Stage(spark, "vectors")
@@ -539,13 +541,18 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.93) -> DataFrame:
         counted, edges = _run(classes, stage, threshold, overlap, beam, exact)
         drawn = classes.select("rep", "label", "dim", "v", F.xxhash64("rep", F.lit(9)).alias("draw"))
         linked = drawn.join(counted.where("links > 0").select(F.col("rep").alias("l_rep")), F.col("rep") == F.col("l_rep"), "left_semi")
-        # any classes, and some of those that have links
-        sample = drawn.orderBy("draw").limit(AUDIT).union(linked.orderBy("draw").limit(AUDIT)).toPandas().drop_duplicates("rep")
-        probes = {key: (g["rep"].to_numpy(), vectors.stacked(g["v"])) for key, g in sample.groupby(["label", "dim"])}
-        truth = classes.mapInPandas(_exact(spark.sparkContext.broadcast(probes), threshold), "rep long, n long").groupBy("rep").agg(F.sum("n").alias("exact"))
-        sums = truth.join(counted, "rep", "left").agg(F.sum("exact"), F.sum(F.coalesce("links", F.lit(0)))).first()
-        recall = float(sums[1] / sums[0]) if sums[0] else 1.0
-        if recall >= AUDIT_LEAST:
+        # any classes, and some of those that have links; more of them while none of the sample has a link
+        widest = classes.agg(F.max("dim")).first()[0] or 1
+        for size in (AUDIT, 4 * AUDIT, 16 * AUDIT):
+            size = min(size, max(AUDIT, AUDIT_BYTES // (8 * widest)))
+            sample = drawn.orderBy("draw").limit(size).union(linked.orderBy("draw").limit(AUDIT)).toPandas().drop_duplicates("rep")
+            probes = {key: (g["rep"].to_numpy(), vectors.stacked(g["v"])) for key, g in sample.groupby(["label", "dim"])}
+            truth = classes.mapInPandas(_exact(spark.sparkContext.broadcast(probes), threshold), "rep long, n long").groupBy("rep").agg(F.sum("n").alias("exact"))
+            sums = truth.join(counted, "rep", "left").agg(F.sum("exact"), F.sum(F.coalesce("links", F.lit(0)))).first()
+            if sums[0]:
+                break
+        recall = float(sums[1] / sums[0]) if sums[0] else None
+        if recall is None or recall >= AUDIT_LEAST:
             break
     comps = connected_components(spark, edges, stage)
     named = classes.join(comps, F.col("rep") == F.col("node"), "left").join(counted.withColumnRenamed("rep", "c_rep"), F.col("rep") == F.col("c_rep"), "left")
@@ -553,7 +560,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.93) -> DataFrame:
     per = stage.put(one.join(named, ["label", "v"]).select(F.col("vec_id").alias("id"), "links", "component"), "result")
     out = plain.select("vec_id").join(stage.small(per), F.col("vec_id") == F.col("id"), "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"), F.lit(recall).alias("audit_recall"))
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"), F.lit(recall).cast("double").alias("audit_recall"))
 
 
 def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
