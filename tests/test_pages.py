@@ -249,3 +249,22 @@ def test_preload_addresses():
     for bad in (good.replace("links", "evil"), good + "&vqd=3-1", good.replace("3-1", "3-2"), good.replace("https", "http"), good + "#x", good.replace("//", "//u@")):
         assert provider_pages.preload_url(page(bad), "a b") == (None, "PARSE_CHANGED")
     assert provider_pages.preload_url(page(good), "a") == (None, "PARSE_CHANGED") and provider_pages.preload_url("", "a")[1] == "PARSE_CHANGED"
+
+
+def test_xml_trees():
+    from webgrain.functions import xml_tree
+
+    text = lambda x: xml_tree.parse(x).text()
+    assert text("<a>x &amp; &#65;&#x42; &lt;b&gt;<![CDATA[<i>&amp;</i>]]></a>") == "x & AB <b><i>&amp;</i>"
+    assert text("<a><![CDATA[one <![CDATA[two]]> three</a>") == "one <![CDATA[two three" and text("<a><![CDATA[open") == "open"
+    bomb = '<!DOCTYPE l [<!ENTITY a "ha"><!ENTITY b "&a;&a;"><!ENTITY f SYSTEM "file:///etc/passwd">]><l>&b;&f;&nbsp;</l>'
+    assert text(bomb) == "&b;&f;&nbsp;"
+    assert text("<?xml version='1'?><A b='>' c=\"&quot;x\"><!-- no --><B/>t</A>rest</b>") == "trest"
+    tree = xml_tree.parse("<A b='>' c=\"&quot;x\"><B/>t<b>u</b></A>")
+    assert [(n.name, n.attrs) for n in tree.elements()] == [("A", {"b": ">", "c": '"x'}), ("B", {}), ("b", {})] and [c.name for c in tree.children[0].children] == ["B", "#text", "b"]
+    assert text("&#0;&#xD800;&#99999999;a < b") == "��&#99999999;a < b"
+    for large in ("<a>" * 600, "<a/>" * 100_001, "<!---->" * 100_001):
+        with pytest.raises(TooLarge):
+            xml_tree.parse(large)
+        assert bodies.body(large, "text/xml", URL)["error"] == "RESPONSE_TOO_LARGE"
+    assert bodies.body("<a>" + "words of text " * 5 + "</a>", "application/xml; charset=utf-8", URL)["text"].startswith("words of text")

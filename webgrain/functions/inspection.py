@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import html as entities
 import json
 import math
 import re
-from collections.abc import Iterator
 
-from . import extract
+from . import extract, xml_tree
 from .extract import MAX_SEGMENT, MAX_SEGMENTS, Segments
 from .html_tree import parse
 from .plain import sampled, squeezed, units
 
-_XML = re.compile(r"<!\[CDATA\[([\s\S]*?)\]\]>|<!--[\s\S]*?-->|<\?[\s\S]*?\?>|<![^>]*>|</?[^\s<>/](?:[^\"'<>]|\"[^\"]*\"|'[^']*')*>")
 _INDEX = re.compile("0|[1-9][0-9]{0,9}")
 
 
@@ -123,14 +120,5 @@ def _take(out: Segments, text: str, more: Segments) -> None:
 
 
 def xml_text(raw: str) -> str:
-    """The character data of an XML body."""
-
-    def pieces() -> Iterator[str]:
-        at = 0
-        for m in _XML.finditer(raw):
-            yield entities.unescape(raw[at : m.start()])
-            yield m[1] or ""
-            at = m.end()
-        yield entities.unescape(raw[at:])
-
-    return "".join(pieces())
+    """The character data of an XML body. Raises TooLarge."""
+    return xml_tree.parse(raw).text()
