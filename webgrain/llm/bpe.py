@@ -28,11 +28,11 @@ from . import textkernel as tk
 from .staging import Stage, clean
 
 #: Units that a worker remembers, beyond those of one part of a batch; it bounds memory and changes no result.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 #: Characters that are cut into units at once, unless there is no place to cut.
 STEP = 1 << 20
 #: Units that are looked up at once.
-LOOKUP = 1 << 19
+LOOKUP = 1 << 20
 _CUT = re.compile(r"(?<=\S)(?= )")  # Python's white space holds all that the splitting rule takes for such
 _LETTERS = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 _NEVER = 1 << 62
@@ -245,6 +245,8 @@ class Pool:
 class Remembered:
     """Numbers of units, each learned once until too many are known."""
 
+    most: int | None = None  # REMEMBERED, unless a kind of its own takes more memory for each
+
     def __init__(self):
         self.forget()
 
@@ -259,7 +261,7 @@ class Remembered:
 
     def codes(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
         """The units of texts as numbers, and the first one's place of each text, the end included."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > (self.most or REMEMBERED):
             self.forget()
         out, sizes, waiting = [], [], []
         for text in texts:
@@ -323,7 +325,7 @@ def _encoding(path: str, special: bool):
     name = f"bpe {path} {special}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (p for b in batches for p in tk.parts(b, 1 << 20)):
+        for part in (p for b in batches for p in tk.parts(b, 4 << 20)):
             ids, at = kept(name, lambda: Encoder(path, special)).encode(strings(part.column("text")))
             column = pa.LargeListArray.from_arrays(pa.array(at), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), column.cast(pa.list_(pa.int32()))], ["doc_id", "ids"])
