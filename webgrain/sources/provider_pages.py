@@ -33,7 +33,10 @@ def _hit(title: str, href: str, snippet: str) -> dict | None:
 
 
 def _first_of_each(found: list[dict | None]) -> list[dict]:
-    return list({h["url"]: h for h in reversed([h for h in found if h])}.values())[::-1]
+    kept: dict[str, dict] = {}
+    for hit in filter(None, found):
+        kept.setdefault(hit["url"], hit)
+    return list(kept.values())
 
 
 def _by_class(root: Node, *names: str) -> list[Node]:
