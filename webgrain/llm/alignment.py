@@ -87,7 +87,7 @@ def components(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.n
 class Aligner(Remembered):
     """Units with their ids, groups and links. A unit's links are pairs a * size + b, repeated as they occur."""
 
-    most = 150_000
+    most = 450_000
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -162,13 +162,13 @@ class Aligner(Remembered):
         return codes[keep], np.concatenate([[0], np.cumsum(np.where(bad, 0, np.diff(first)))]).astype(np.int64)
 
 
-def _distinct(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """The values of each owner, each once."""
-    order = np.lexsort((values, owner))
-    values, owner = values[order], owner[order]
-    keep = np.ones(len(values), bool)
-    keep[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-    return values[keep], owner[keep]
+def _distinct(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of each owner, each once, in order. Pairs are sorted as one number: a part has fewer than 2**20 owners, and
+    pairs of ids of two vocabularies take fewer than 43 bits."""
+    bits = int(values.max()).bit_length() if len(values) else 0
+    both = np.sort((owner << bits) | values)
+    both = both[np.append(True, both[1:] != both[:-1])[: len(both)]]
+    return both & ((1 << bits) - 1), both >> bits
 
 
 class _Block:
