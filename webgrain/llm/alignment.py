@@ -87,7 +87,7 @@ def components(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.n
 class Aligner(Remembered):
     """Units with their ids, groups and links. A unit's links are pairs a * size + b, repeated as they occur."""
 
-    most = 450_000
+    most = 300_000
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
