@@ -48,6 +48,16 @@ def test_the_whole_text_is_escaped(spark, tmp_path):
     assert got == {k: hashlib.sha256(safe[k].encode()).hexdigest() if k in safe else None for k in texts}
 
 
+def test_titles_with_references_that_are_not_closed(spark, tmp_path):
+    told = {1: "a &amp; b&amp", 2: "&amp;quot; &lt &copy; &copy", 3: "x&y &nbsp;&ampz; &middot;"}
+    pages = [(k, "https://example.com/", f"<html><head><title>{t}</title></head><body><p>{'word ' * 30}</p></body></html>") for k, t in told.items()]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = [(r.page_id, r.title) for r in catalogue.QUERIES["all_page_titles"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(con.execute(catalogue.ORACLES["all_page_titles"]).fetchall())
+
+
 def test_the_entry_module_works_without_the_optional_parts():
     import subprocess
     import sys

@@ -275,5 +275,7 @@ def table_render(spark, read):
 
 @query(r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '" + '"' + r"'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages")
 def all_page_titles(spark, read):
-    """The title of every page, entities decoded."""
-    return pages.extracted(read("pages"), fields=["title"]).select("page_id", "title")
+    """The title of every page. As its SQL says, a reference is one of five names with its semicolon; an ampersand that begins
+    none stands for itself, where page_extract reads it as HTML does."""
+    html = F.regexp_replace("html", "&(?!(?:quot|copy|middot|nbsp|amp);)", "&amp;")
+    return pages.extracted(read("pages").withColumn("html", html), fields=["title"]).select("page_id", "title")
