@@ -551,3 +551,20 @@ def test_learning_equals_plain_loops(monkeypatch):
     loss = lambda t: float(np.mean([np.log(np.exp(s / t).sum()) - s[y] / t for s, y in zip(scores, truth, strict=True)]))
     grid = [float(np.exp(a)) for a in np.linspace(-4, 3, 2001)]
     assert abs(loss(language_id.calibrate(scores, truth)) - min(map(loss, grid))) < 1e-4
+
+
+def test_open_buckets_are_cut_by_size(spark):
+    """Sets that may be linked still meet, others do not, and small shares of many hubs make few blocks."""
+    sizes = [*range(1, 60), 100, 124, 125, 126, 4000, 5000, 5001]
+    known = spark.createDataFrame([(7, k, k, n, k) for k, n in enumerate(sizes)], "h long, hub long, rep long, n long, comp long")
+    cut = minhash_dedup._by_size(known, 80).collect()
+    held = defaultdict(set)
+    for r in cut:
+        held[r.rep].add(r.h)
+    assert len(cut) == 2 * len(sizes)
+    for i, n in enumerate(sizes):
+        for j, m in enumerate(sizes):
+            assert held[i] & held[j] or 100 * min(n, m) < 80 * max(n, m)
+            assert not held[i] & held[j] or 64 * max(n, m) < 100 * 100 / 64 * min(n, m)
+    members = spark.createDataFrame([(k, k, 10, k % 3) for k in range(300)], "id long, hub long, n long, c long")
+    assert minhash_dedup._blocked(members, Stage(spark, "test"), by_size=True).select("k").distinct().count() == 3

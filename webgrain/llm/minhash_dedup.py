@@ -8,7 +8,7 @@
 3. Candidates are confirmed on the full sets, by pairs of blocks of about BLOCK shingles, so that a hot hub's
    members are dealt over many tasks and a set is read once for all its pairs with a block.
 4. A member that its hub refuses may still be linked to another member. Buckets whose members are in more than one
-   component go on: a task reads two of their blocks and counts what their sets have in common by kinds of shingles,
+   component go on, cut by size, as linked sets are of similar size: a task reads two of their blocks and counts what their sets have in common by kinds of shingles,
    those that the same sets hold, so that documents made of shared passages cost what the passages do. In a hot group,
    of more than one block, each set's shingles that no other class of its buckets holds are counted first: a link can
    have none of them, so that most members need no comparison. No pair of documents ever becomes a row, and no member
@@ -19,6 +19,7 @@ Two sets at the threshold 0.8 share none of the 32 bands of 4 with a probability
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,7 @@ BINS = 128
 ROWS = 4  # bins of a band
 CELLS = 1 << 21  # of a matrix of sets and kinds of shingles, or of sets and sets
 BLOCK = 1 << 18  # shingles of a block, about; the verification reads two blocks' sets at a time
+MEMBER = 64  # what a set counts for besides its shingles where blocks are filled with many small ones
 
 _PROBES = np.stack([np.random.default_rng(7919 + i).permutation(BINS) for i in range(BINS)])
 
@@ -199,17 +201,25 @@ def _verify(pairs: DataFrame, sets: DataFrame, stage: Stage, threshold: int) ->
     return stage.put(found, "links")
 
 
-def _blocked(members: DataFrame, stage: Stage) -> DataFrame:
+def _blocked(members: DataFrame, stage: Stage, by_size: bool = False) -> DataFrame:
     """members (id, hub, n), a row per bucket -> staged (id, k, hot): blocks of about BLOCK shingles, likely alike.
 
     A block is a share of the classes whose smallest hub is the same one; those of a hub with several blocks are hot.
+    by_size: members have their size class c, and the shares of one size class are put together up to BLOCK, so that a set
+    meets as many blocks as its size classes fill, however many hubs there are.
     """
-    owned = stage.put(members.groupBy("id").agg(F.min("hub").alias("g"), F.max("n").alias("n")), "owned")
-    loads = owned.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
-    loads = stage.put(loads.where("parts > 1").select(F.col("g").alias("of"), "parts"), "loads")
+    c = F.min("c") if by_size else F.lit(0)
+    owned = stage.put(members.groupBy("id").agg(F.min("hub").alias("g"), F.max("n").alias("n"), c.alias("c")), "owned")
+    loads = owned.groupBy("g", "c").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
+    loads = stage.put(loads.where("parts > 1").select(F.col("g").alias("of"), F.col("c").alias("of_c"), "parts"), "loads")
     parts = F.coalesce("parts", F.lit(1))
-    found = owned.join(stage.small(loads), F.col("g") == F.col("of"), "left")
-    return stage.put(found.select("id", F.xxhash64("g", F.pmod(F.xxhash64("id"), parts)).alias("k"), (parts > 1).alias("hot")), "blocks")
+    found = owned.join(stage.small(loads), (F.col("g") == F.col("of")) & (F.col("c") == F.col("of_c")), "left")
+    share = F.xxhash64("g", F.pmod(F.xxhash64("id"), parts))
+    if by_size:
+        filled = owned.groupBy("c").agg(F.ceil(F.sum(F.col("n") + MEMBER) / BLOCK).alias("filled")).withColumnRenamed("c", "size")
+        found = found.join(F.broadcast(filled), F.col("c") == F.col("size"))  # a row for each size class
+        share = F.xxhash64("c", F.pmod(share, F.col("filled")))
+    return stage.put(found.select("id", share.alias("k"), (parts > 1).alias("hot")), "blocks")
 
 
 def _open(known: DataFrame) -> DataFrame:
@@ -218,6 +228,13 @@ def _open(known: DataFrame) -> DataFrame:
     return known.join(apart, F.col("h") == F.col("bucket"), "left_semi")
 
 
+def _by_size(known: DataFrame, threshold: int) -> DataFrame:
+    """Each bucket cut into its pairs of neighbouring size classes c: sets that are linked are at most one class apart."""
+    width = math.log(100 / max(threshold, 1)) + 1e-6
+    c = F.floor(F.log("n") / width)
+    return known.withColumn("c", c).withColumn("low", F.explode(F.array(c - 1, c))).withColumn("h", F.xxhash64("h", "low")).drop("low")
+
+
 def _bounded(still: DataFrame, blocks: DataFrame, sets: DataFrame, stage: Stage, threshold: int) -> DataFrame:
     """Of the sets in hot blocks: staged (id, f1, dead).
 
@@ -239,17 +256,17 @@ def _bounded(still: DataFrame, blocks: DataFrame, sets: DataFrame, stage: Stage,
 
 def _left_apart(known: DataFrame, sets: DataFrame, stage: Stage, threshold: int) -> DataFrame | None:
     """Links (a, b) that the stars of known (h, hub, rep, n, comp) have missed, or None if no bucket is open."""
-    still = stage.put(_open(known), "open")
+    still = stage.put(_open(_by_size(_open(known), threshold)), "open")
     if still.isEmpty():
         return None
-    blocks = _blocked(still.select(F.col("rep").alias("id"), "hub", "n"), stage)
+    blocks = _blocked(still.select(F.col("rep").alias("id"), "hub", "n", "c"), stage, by_size=True)
     mine = sets
     if not blocks.where("hot").isEmpty():
         bounds = _bounded(still, blocks, sets, stage, threshold)
         mine = sets.join(stage.small(bounds), ["id", "f1"], "left").where("NOT coalesce(dead, false)").select("id", "f1", "set")
         alive = stage.put(bounds.groupBy("id").agg(F.bool_and("dead").alias("gone")).where("gone").select(F.col("id").alias("gone_id")), "gone")
         still = stage.put(_open(still.join(stage.small(alive), F.col("rep") == F.col("gone_id"), "left_anti")), "open")
-        blocks = _blocked(still.select(F.col("rep").alias("id"), "hub", "n"), stage)
+        blocks = _blocked(still.select(F.col("rep").alias("id"), "hub", "n", "c"), stage, by_size=True)
     homes = stage.small(blocks).select("id", "k")
     sides = still.join(homes, F.col("rep") == F.col("id")).select("h", "k").distinct()
     met = sides.join(sides.select("h", F.col("k").alias("kb")), "h").where("k <= kb").select(F.col("k").alias("ka"), "kb").distinct()
