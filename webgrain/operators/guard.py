@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as t
+from ..functions.batches import parts, short_batches
 from ..functions.directives import request, sentences
 from ..functions.plain import units
 from ..functions.rules import BENIGN, RULES, candidates
@@ -105,6 +106,7 @@ def scan(segments: DataFrame, *, strict: bool = False, text: str = "text", locat
 
     carry: the columns that the result keeps (all, if None). lines: whether a line's end ends a clause, or a column's name.
     """
+    short_batches(segments.sparkSession)
     carry = list(segments.columns) if carry is None else carry
     ends = F.col(lines) if isinstance(lines, str) else F.lit(lines)
     some = possible(F.col(text))
@@ -116,7 +118,7 @@ def scan(segments: DataFrame, *, strict: bool = False, text: str = "text", locat
         from pyspark.sql.pandas.types import to_arrow_type
 
         kind = to_arrow_type(schema["findings"].dataType)
-        for batch in batches:
+        for batch in parts(batches):
             columns = (c.to_pylist() for c in batch.columns[-3:])
             found = [[] if x is None else findings(x, place, strict, bool(cut)) for x, place, cut in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(found, kind)], [*carry, "findings"])

@@ -6,12 +6,13 @@ import re
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
+from ..functions.batches import parts, short_batches
 
 # Fixed values.
 KEPT_HEADERS = ("content-type", "content-language", "last-modified", "etag")
@@ -104,10 +105,12 @@ def decoded(bodies: DataFrame, body: str = "body", content_type: str = "content_
         except ValueError as error:
             return None, "RESPONSE_TOO_LARGE" if str(error) == "too large" else "UNSUPPORTED_CONTENT_ENCODING"
 
-    def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for columns in parts:
-            yield pd.DataFrame([one(*row) for row in zip(*columns, strict=True)], columns=["text", "error"])
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for part in parts(pa.RecordBatch.from_arrays(list(columns), ["body", "type", "packed"]) for columns in batches):
+            made = [one(*row) for row in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+            yield pa.StructArray.from_arrays([pa.array([m[k] for m in made], pa.string()) for k in (0, 1)], ["text", "error"])
 
-    made = F.pandas_udf(run, kind)(body, content_type, F.col(encoding) if encoding else F.lit(None).cast("string"))
+    short_batches(bodies.sparkSession)
+    made = F.arrow_udf(run, kind)(body, content_type, F.col(encoding) if encoding else F.lit(None).cast("string"))
     kept = [F.col(f"`{c}`") for c in bodies.columns]
     return bodies.select(*kept, made.alias("made")).select(*kept, F.col("made.text").alias("text"), F.col("made.error").alias("decode_error"))
