@@ -139,3 +139,11 @@ def test_components_are_the_smallest_groups():
         both = sorted(set(ends[0].tolist()) & set(ends[1].tolist()))
         want = [[next(k for k, end in enumerate(both) if end >= e) for e in c] for c in ends]
         assert [x.tolist() for x in alignment.components(*ends)] == want
+
+
+def test_counting_a_block_keeps_no_units():
+    import pandas as pd
+
+    alignment.tk.KEPT["aligner of another task"] = object()
+    assert alignment._counted(pd.DataFrame(columns=["block"]), pd.DataFrame(columns=["k", "n_docs", "best"])).empty
+    assert not alignment.tk.KEPT

@@ -257,6 +257,7 @@ def link_counts(aligned: DataFrame) -> DataFrame:
 
 def _counted(aligned: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
     """The documents of a block, given its pairs' counts."""
+    tk.settle()  # the units that this worker remembers of the blocks' making are not needed for their counting
     out = []
     for r in aligned.to_dict("records"):
         raw = {c: _unpacked(r[c], kind) for c, kind in _KINDS.items()}
@@ -268,8 +269,10 @@ def _counted(aligned: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         np.add.at(per[:, 4], unit, is_best[raw["links"]])
         np.add.at(per[:, 5], unit, n_docs[raw["links"]])
         ends = np.cumsum(raw["sizes"])
-        total = np.concatenate([np.zeros((1, 6), np.int64), np.cumsum(per[raw["codes"]], axis=0)])
-        sums = total[ends] - total[ends - raw["sizes"]]
+        sums = np.zeros((len(ends), 6), np.int64)
+        for j in range(6):  # a column at a time, as a block has many units
+            total = np.append(0, np.cumsum(per[raw["codes"], j]))
+            sums[:, j] = total[ends] - total[ends - raw["sizes"]]
         names = raw["groups"].tobytes().decode().split("\n")
         said = [";".join([names[k] for k in raw["codes"][a:b].tolist()]) for a, b in zip((ends - raw["sizes"]).tolist(), ends.tolist(), strict=True)]
         frame = pd.DataFrame(sums, columns=["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"])
