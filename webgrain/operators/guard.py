@@ -1,7 +1,7 @@
 """Screening of text segments for injected instructions.
 
-A segment's readings, rules and request grammar run in one Arrow function, for the segments that a JVM expression has
-marked as possible matches; budgets, severities, policy, reason codes and merging are Columns.
+A segment's readings, rules and request grammar run in one Arrow function, which makes no readings of texts in which no
+rule can match (screening.open_rules); budgets, severities, policy, reason codes and merging are Columns.
 """
 
 from __future__ import annotations
@@ -21,23 +21,31 @@ from ..functions.batches import parts, short_batches
 from ..functions.directives import request, sentences
 from ..functions.plain import units
 from ..functions.rules import BENIGN, RULES, candidates
-from ..functions.variants import readings
+from ..functions.screening import open_rules
+from ..functions.variants import each_reading
 from . import budget, policy
 
 FINDING = "array<struct<category string, rule string, severity string, confidence double, location string, reason string, techniques array<string>, segment_hash string>>"
 MAX_CHARACTERS = 250_000
 
 
-def matches(text: str, lines: bool = False) -> list[tuple]:
-    """(rule, steps, reading number, start, end) of all matches, in UTF-16 units of the reading."""
-    out = []
-    for k, (reading, steps) in enumerate(readings(text)):
+def matches(text: str, lines: bool = False, first: bool = False) -> list[tuple]:
+    """(rule, steps, reading number, start, end) of all matches, in UTF-16 units of the reading; first: of each rule's
+    first one only, and no more readings than that takes."""
+    out, left = [], set(open_rules(text))
+    for k, (reading, steps) in enumerate(each_reading(text) if left else ()):
+        if not left:
+            break
         spans = None
         for rule in candidates(reading):
-            if "word_delimiter_spaced" in steps and not rule.direct:
+            if rule.category not in left or ("word_delimiter_spaced" in steps and not rule.direct):
                 continue
-            hits = [p.search(reading) for p in rule.patterns]
-            if not all(hits):
+            hits = []
+            for p in rule.patterns:
+                hits.append(p.search(reading))
+                if not hits[-1]:
+                    break
+            if not hits[-1]:
                 continue
             if rule.action is None:
                 at = min(m.start() for m in hits), max(m.end() for m in hits)
@@ -46,15 +54,20 @@ def matches(text: str, lines: bool = False) -> list[tuple]:
                 at = request(reading, spans, rule.patterns[rule.action], rule.patterns[1 - rule.action], secret=rule.category == "secret_exfiltration", direct=rule.direct, lines=lines)
             if at:
                 out.append((rule, steps, k, *(units(reading[:x]) for x in at)))
+                if first:
+                    left.remove(rule.category)
     return out
 
 
 def findings(text: str, location: str, strict: bool, lines: bool = False) -> list[dict]:
     """One segment's findings, one for each public category and rule; the first reading's is kept."""
+    out: dict[tuple, dict] = {}
+    found_first = matches(text, lines, first=True)
+    if not found_first:
+        return []
     benign = location == "visible" and bool(BENIGN.search(text))
     mark = hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()[:16]
-    out: dict[tuple, dict] = {}
-    for rule, steps, k, start, end in matches(text, lines):
+    for rule, steps, k, start, end in found_first:
         place = f" Detected in {location} content." if location in policy.HIDDEN_PLACES else ""
         reason = f"{rule.reason}{place} Rule {rule.category}; variant {k}; UTF-16 range [{start}, {end})."
         found = policy.placed(rule.category, rule.severity, location, benign, strict)
@@ -73,7 +86,7 @@ JOINTS, SIGNS, LETTERS = " \t\n\r\x0b\x0c._|/\\-", "013457@$", "oieastas"
 
 
 def possible(text: Column) -> Column:
-    """Whether some rule could match some reading: never false where one does.
+    """Whether some rule could match some reading, for a filter in the JVM before texts are shuffled.
 
     Without white space, delimiters and signs that stand for letters, a text holds the words of all its readings, but
     for characters that normalise to others, escapes and encoded runs; those make a text possible by themselves.
@@ -109,9 +122,7 @@ def scan(segments: DataFrame, *, strict: bool = False, text: str = "text", locat
     short_batches(segments.sparkSession)
     carry = list(segments.columns) if carry is None else carry
     ends = F.col(lines) if isinstance(lines, str) else F.lit(lines)
-    some = possible(F.col(text))
-    # the texts of the other rows do not go through Python, unless they are carried
-    marked = segments.select(*[F.col(f"`{c}`") for c in carry], F.when(some, F.col(text)).alias("__text"), F.col(location).alias("__place"), ends.alias("__lines"))
+    marked = segments.select(*[F.col(f"`{c}`") for c in carry], F.col(text).alias("__text"), F.col(location).alias("__place"), ends.alias("__lines"))
     schema = T.StructType([*(segments.schema[c] for c in carry), T.StructField("findings", T._parse_datatype_string(FINDING))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

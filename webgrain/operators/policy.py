@@ -71,8 +71,9 @@ def merged(results: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def withheld(hits: DataFrame, query: str, *, decided: str = "decision") -> DataFrame:
-    """Per query: visible and withheld hits, and the decision, which a blocked hit replaces by deny or a warning."""
+def withheld(hits: DataFrame, query: str, *more: Column, decided: str = "decision") -> DataFrame:
+    """Per query: visible and withheld hits, and the decision, which a blocked hit replaces by deny or a warning; more: other
+    aggregates of the same hits."""
     shown = F.col(decided).isin(*VISIBLE_DECISIONS)
     return hits.groupBy(query).agg(
         F.count_if(shown).alias("visible"),
@@ -80,6 +81,7 @@ def withheld(hits: DataFrame, query: str, *, decided: str = "decision") -> DataF
         F.when(F.count_if(~shown) > 0, F.when(F.count_if(shown) == 0, "deny").otherwise("allow_with_warning"))
         .otherwise(named(DECISIONS, F.max(rank(DECISIONS, F.col(decided)))))
         .alias("decision"),
+        *more,
     )
 
 

@@ -34,8 +34,7 @@ def shown(inspected_hits: DataFrame) -> DataFrame:
 def answers(inspected_hits: DataFrame, query: str) -> DataFrame:
     """Per query: visible and withheld hits, decision and reasons of the whole answer. A withheld hit makes it a warning, or deny
     if none is left; the reasons are those of all hits, each once, and how many were withheld."""
-    totals = policy.withheld(inspected_hits, query)
-    said = inspected_hits.groupBy(query).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))).alias("reasons"))
-    both = totals.withColumnRenamed(query, "__query").join(said, F.col("__query").eqNullSafe(F.col(query)))
+    # one grouping for all of it, so that the hits are inspected once
+    both = policy.withheld(inspected_hits, query, F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))).alias("reasons"))
     more = F.when(F.col("withheld") > 0, F.array(F.concat(F.col("withheld").cast("string"), F.lit(" search result(s) were withheld by the context guard.")))).otherwise(F.array().cast("array<string>"))
     return both.select(query, "visible", "withheld", "decision", F.concat("reasons", more).alias("reasons"))
