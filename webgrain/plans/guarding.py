@@ -22,9 +22,11 @@ def _sql_pick(values, c):
 def guard_decisions(spark, read):
     """Plain text -> readings -> rules -> policy; a decision for each document that is long enough to read."""
     docs = read("documents").select("doc_id", "text").select("doc_id", t.plain_text(F.col("text")).alias("text"), F.lit("visible").alias("location"))
-    long = docs.where(t.u16len(F.col("text")) >= 20).withColumn("cut", t.u16len(F.col("text")) > guard.MAX_CHARACTERS)
-    long = long.withColumn("text", t.head_tail(F.col("text"), guard.MAX_CHARACTERS))
-    return guard.decided(guard.scan(long, carry=["doc_id", "cut"]), ["doc_id"], truncated="cut")
+    sized = docs.withColumn("size", t.u16len(F.col("text"))).withColumn("cut", F.col("size") > guard.MAX_CHARACTERS)
+    sized = sized.withColumn("text", F.when(F.col("cut"), t.head_tail(F.col("text"), guard.MAX_CHARACTERS)).otherwise(F.col("text")))
+    # the condition on the size comes after the scan: before it, the optimizer would have each plain text made twice
+    scanned = guard.scan(sized, carry=["doc_id", "cut", "size"]).where("size >= 20")
+    return guard.decided(scanned, ["doc_id"], truncated="cut")
 
 
 @query(None)
