@@ -162,6 +162,17 @@ def test_substring_dedup_of_unlike_texts_of_one_id(spark):
     assert sorted((r["doc_id"], r["__n_words"], r["__n_removed"]) for r in got) == [(1, 20, 0), (2, 20, 20), (2, 20, 20), (3, 1, 1), (3, 20, 20), (4, 21, 20)]
 
 
+def test_substring_windows_of_a_common_passage_stay_in_their_part(spark):
+    import numpy as np
+
+    got = substring_dedup._repeats(*(np.array(x) for x in ([5, 5, 5, 7, 5], [1, 1, 2, 1, 1], [3, 2, 9, 4, 2])))
+    assert got.tolist() == [True, False, False, False, False]
+    passage = " ".join(f"p{k}" for k in range(15))
+    rows = [(k, f"a{k} {passage} b{k} c{k}") for k in range(300, 0, -1)]
+    out = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {(r["doc_id"] == 1, r["__n_words"], r["__n_removed"]) for r in out.collect()} == {(True, 18, 0), (False, 18, 15)}
+
+
 def test_substring_sketch_never_underestimates():
     import numpy as np
 

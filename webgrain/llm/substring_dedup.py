@@ -8,8 +8,10 @@ also starts in a document with a smaller doc_id.
    are equal, so the merged sketch never underestimates how often a window occurs, with a fifth of the insertions.
    Counters hold 0, 1 or "2 and more" as two bit planes, which merge by OR and AND.
 2. Documents of at least n words with the same words as a smaller doc_id go whole and take no further part.
-3. Only windows that the sketch estimates as repeated are emitted. They are grouped exactly, by a 96-bit hash of
-   their words, with map-side minima; the groups found in two documents join back to the windows.
+3. Only windows that the sketch estimates as repeated are emitted, under a 96-bit hash of their words. What repeats within
+   a part of a task's texts is settled there: of each window only the rows of the part's smallest doc_id go on, so that a
+   passage of very many documents brings its groups few rows. One shuffle then brings equal windows together, each with
+   the smallest doc_id of all.
 4. A document's removed windows merge to spans, and a last pass over the texts takes them out.
 
 The sketch has a fixed size, so a larger corpus lets more unrepeated windows through to step 3; none is lost.
@@ -25,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from . import textkernel as tk
 from .staging import Stage, clean, unused
@@ -143,8 +146,20 @@ def merged(sketches: DataFrame, cells: int, fan: int = 64) -> DataFrame:
     return some.groupBy("piece").applyInPandas(_merge(step), schema)
 
 
+def _repeats(one: np.ndarray, two: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which windows also start in a document with a smaller id among these."""
+    order = np.lexsort((ids, two, one))
+    new = np.ones(len(order), bool)
+    new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    least = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    out = np.zeros(len(order), bool)
+    out[order] = ids[order] > least
+    return out
+
+
 def _emit(n: int, cells: int, shared):
-    """Windows that the sketch estimates as repeated: two hashes of the words, the document and the start."""
+    """Windows that the sketch estimates as repeated: two hashes of the words, the document and the start, and whether they are
+    known to repeat an earlier document's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plane = None
@@ -166,7 +181,8 @@ def _emit(n: int, cells: int, shared):
                 continue
             one, two = tk.windows(hashes, n, 61)[start], tk.windows(hashes ^ U(tk.BASE), n, 62)[start]
             ids = np.asarray(batch.column("doc_id").fill_null(0))[text]
-            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array((two >> U(32)).astype(np.uint32).view(np.int32)), pa.array(ids), pa.array((start - first[:-1][text]).astype(np.int32))], ["w1", "w2", "doc", "pos"])
+            one, two, at = one.view(np.int64), (two >> U(32)).astype(np.uint32).view(np.int32), (start - first[:-1][text]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(ids), pa.array(at), pa.array(_repeats(one, two, ids))], ["w1", "w2", "doc", "pos", "known"])
 
     return run
 
@@ -240,14 +256,13 @@ def remove_repeats(docs: DataFrame, n: int = 13) -> DataFrame:
     stage.drop(scanned)
 
     first = plain.where("doc_id IS NOT NULL").join(stage.small(copies), F.col("doc_id") == F.col("copy"), "left_anti")
-    found = stage.put(first.mapInArrow(tk.task(_emit(n, cells, shared)), "w1 long, w2 int, doc long, pos int"), "windows")
-    groups = found.groupBy("w1", "w2").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y")
-    groups = stage.put(groups.select(F.col("w1").alias("g1"), F.col("w2").alias("g2"), "x"), "groups")
-    hits = found.join(groups, (F.col("w1") == F.col("g1")) & (F.col("w2") == F.col("g2"))).where("doc > x")
+    found = stage.put(first.mapInArrow(tk.task(_emit(n, cells, shared)), "w1 long, w2 int, doc long, pos int, known boolean"), "windows")
+    rest = found.where("NOT known").select("w1", "w2", "doc", "pos").withColumn("x", F.min("doc").over(Window.partitionBy("w1", "w2")))
+    hits = found.where("known").select("doc", "pos").union(rest.where("doc > x").select("doc", "pos"))
     starts = hits.groupBy("doc").agg(F.collect_set("pos").alias("at"))
     spans = starts.mapInArrow(_spans(n), "gone_id long, spans array<long>")
     spans = stage.put(spans.union(copies.select("copy", F.array(F.lit(0).cast("long"), F.lit(-1).cast("long")))), "spans")
-    stage.drop(found, groups)
+    stage.drop(found)
 
     names = docs.columns
     plain = docs.select(*[F.col(f"`{c}`").cast("string").alias("text") if c == "text" else F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(names)])
