@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 from dataclasses import dataclass
 
 WS = r"[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
@@ -42,12 +43,23 @@ STEMS = {
 JAPANESE = re.compile("[\u3005\u3040-\u30ff\u4e00-\u9fff]")
 
 
-def candidates(text: str) -> list[Rule]:
-    """The rules that a text could match."""
-    if JAPANESE.search(text):
-        return list(RULES)
+def japanese(text: str) -> bool:
+    return not text.isascii() and bool(JAPANESE.search(text))
+
+
+def candidates(text: str, of: Collection[str] | None = None) -> list[Rule]:
+    """The rules that a text could match. of: only those of these categories."""
+    rules = [r for r in RULES if of is None or r.category in of]
+    if japanese(text):
+        return rules
+    low = text.lower()
+    return [r for r in rules if all(any(s in low for s in part) for part in r.stems)]
+
+
+def lowered(text: str) -> str | None:
+    """The text in lower case, letter by letter; None where that or the rules' words (Japanese ones) do not tell what matches."""
     low = text.lower()
-    return [r for r in RULES if all(any(s in low for s in part) for part in r.stems)]
+    return None if len(low) != len(text) or japanese(text) else low
 
 
 def _rule(category, severity, reason, *patterns, action=None, direct=False) -> Rule:
@@ -112,3 +124,10 @@ RULES = (
     ),
 )
 BENIGN = compiled(r"\b(?:example|demonstration|article|discussion|detect(?:ion)?|prevention|attack pattern|quoted text)\b|(?:例|解説|説明|検出|防止|攻撃手法|引用)")
+_BENIGN_STEMS = ("example", "demonstration", "article", "discussion", "detect", "prevention", "attack", "quoted")
+
+
+def benign(text: str) -> bool:
+    """Whether a text says that it quotes or discusses."""
+    low = text.lower()
+    return (japanese(text) or any(s in low for s in _BENIGN_STEMS)) and bool(BENIGN.search(text))

@@ -18,9 +18,9 @@ from pyspark.sql import types as T
 
 from ..functions import text as t
 from ..functions.batches import parts, short_batches
-from ..functions.directives import request, sentences
+from ..functions.directives import holding, request, sentences
 from ..functions.plain import units
-from ..functions.rules import BENIGN, RULES, candidates
+from ..functions.rules import RULES, benign, candidates, lowered
 from ..functions.screening import open_rules
 from ..functions.variants import each_reading
 from . import budget, policy
@@ -36,22 +36,19 @@ def matches(text: str, lines: bool = False, first: bool = False) -> list[tuple]:
     for k, (reading, steps) in enumerate(each_reading(text) if left else ()):
         if not left:
             break
-        spans = None
-        for rule in candidates(reading):
-            if rule.category not in left or ("word_delimiter_spaced" in steps and not rule.direct):
-                continue
-            hits = []
-            for p in rule.patterns:
-                hits.append(p.search(reading))
-                if not hits[-1]:
-                    break
-            if not hits[-1]:
+        spans, low = None, None
+        for rule in candidates(reading, left):
+            if "word_delimiter_spaced" in steps and not rule.direct:
                 continue
             if rule.action is None:
-                at = min(m.start() for m in hits), max(m.end() for m in hits)
+                hits = [p.search(reading) for p in rule.patterns]
+                at = (min(m.start() for m in hits), max(m.end() for m in hits)) if all(hits) else None
             else:
-                spans = sentences(reading) if spans is None else spans
-                at = request(reading, spans, rule.patterns[rule.action], rule.patterns[1 - rule.action], secret=rule.category == "secret_exfiltration", direct=rule.direct, lines=lines)
+                if spans is None:
+                    spans, low = sentences(reading), lowered(reading)
+                # no verb and no target stands in a sentence without one of the rule's words
+                some = spans if low is None else holding(spans, low, sum(rule.stems, ()))
+                at = request(reading, some, rule.patterns[rule.action], rule.patterns[1 - rule.action], secret=rule.category == "secret_exfiltration", direct=rule.direct, lines=lines)
             if at:
                 out.append((rule, steps, k, *(units(reading[:x]) for x in at)))
                 if first:
@@ -65,14 +62,14 @@ def findings(text: str, location: str, strict: bool, lines: bool = False) -> lis
     found_first = matches(text, lines, first=True)
     if not found_first:
         return []
-    benign = location == "visible" and bool(BENIGN.search(text))
+    harmless = location == "visible" and benign(text)
     mark = hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()[:16]
     for rule, steps, k, start, end in found_first:
         place = f" Detected in {location} content." if location in policy.HIDDEN_PLACES else ""
         reason = f"{rule.reason}{place} Rule {rule.category}; variant {k}; UTF-16 range [{start}, {end})."
-        found = policy.placed(rule.category, rule.severity, location, benign, strict)
+        found = policy.placed(rule.category, rule.severity, location, harmless, strict)
         out.setdefault((found["category"], rule.category), found | {"rule": rule.category, "location": location, "reason": reason, "techniques": list(steps), "segment_hash": mark})
-    if out and benign:
+    if out and harmless:
         out["benign_mention", ""] = {"category": "benign_mention", "rule": "", "severity": "info", "confidence": 0.7, "location": "visible", "reason": "Content appears to discuss or quote a security pattern.", "techniques": [], "segment_hash": mark}
     return list(out.values())
 
