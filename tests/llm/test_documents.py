@@ -579,3 +579,28 @@ def test_open_buckets_are_cut_by_size(spark):
             assert not held[i] & held[j] or 64 * max(n, m) < 100 * 100 / 64 * min(n, m)
     members = spark.createDataFrame([(k, k, 10, k % 3) for k in range(300)], "id long, hub long, n long, c long")
     assert minhash_dedup._blocked(members, Stage(spark, "test"), by_size=True).select("k").distinct().count() == 3
+
+
+def test_windows_are_shuffled_without_being_written_first(spark, monkeypatch):
+    from webgrain.llm import staging
+
+    put, columns = staging.Stage.put, []
+    monkeypatch.setattr(staging.Stage, "put", lambda self, df, name="t": (columns.append(set(df.columns)), put(self, df, name))[1])
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(1, f"{a} one"), (2, f"two {a} {b}"), (3, f"{b} three {a}"), (4, None), (5, f"{a} {b} {a}")]
+    got = {r.doc_id: r.text for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).collect()}
+    assert got == {1: f"{a} one", 2: f"two {b}", 3: "three", 4: None, 5: ""}
+    assert not any({"w1", "pos"} <= c for c in columns)
+
+
+def test_tables_that_no_result_reads_are_removed(spark):
+    import os
+
+    from webgrain.llm.staging import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before, text = set(os.listdir(folder)), " ".join(f"w{i}" for i in range(60))
+    out = minhash_dedup.near_duplicates(spark.createDataFrame([(1, text), (2, text + " x"), (2, text), (3, "y")], "doc_id long, text string"))
+    (made,) = set(os.listdir(folder)) - before
+    assert {t.split("-", 1)[1] for t in os.listdir(f"{folder}/{made}")} <= {"sketches", "named", "whole"}
+    assert sorted((r.doc_id, r.component_id) for r in out.collect()) == [(1, 1), (2, 1), (2, 1), (3, 3)]

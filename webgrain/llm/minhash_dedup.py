@@ -324,10 +324,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, lower: boo
     stage.drop(sets)
     named = classes.join(comps, F.col("rep") == F.col("node"), "left").select(*of, F.coalesce("component", "rep").alias("class_component"))
     named = stage.put(named, "named")
+    read = [sketched, named]
     joined = sketched.select("doc_id", *of).join(stage.small(named), of, "left")
     if not unlike.isEmpty():  # also its blank texts
         whole = stage.put(comps.join(unlike, F.col("node") == F.col("again"), "left_semi").select(F.col("node").alias("whole"), F.col("component").alias("whole_component")), "whole")
+        read.append(whole)
         joined = joined.join(stage.small(whole), F.col("doc_id") == F.col("whole"), "left").withColumn("class_component", F.coalesce("class_component", "whole_component"))
+    stage.keep(*read)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 

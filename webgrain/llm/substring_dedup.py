@@ -10,8 +10,9 @@ also starts in a document with a smaller doc_id.
 2. Documents of at least n words with the same words as a smaller doc_id go whole and take no further part.
 3. Only windows that the sketch estimates as repeated are emitted, under a 96-bit hash of their words. What repeats within
    a part of a task's texts is settled there: of each window only the rows of the part's smallest doc_id go on, so that a
-   passage of very many documents brings its groups few rows. One shuffle then brings equal windows together, each with
-   the smallest doc_id of all.
+   passage of very many documents brings its groups few rows; a text's other windows are one row with all their starts.
+   One shuffle then brings equal windows together, each with the smallest doc_id of all. They go from the texts into it,
+   and are written nowhere else.
 4. A document's removed windows merge to spans, and a last pass over the texts takes them out.
 
 The sketch has a fixed size, so a larger corpus lets more unrepeated windows through to step 3; none is lost.
@@ -158,8 +159,8 @@ def _repeats(one: np.ndarray, two: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def _emit(n: int, cells: int, shared):
-    """Windows that the sketch estimates as repeated: two hashes of the words, the document and the start, and whether they are
-    known to repeat an earlier document's."""
+    """Windows that the sketch estimates as repeated: two hashes of the words, the document and the start. Those that are known
+    to repeat an earlier document's are a row for each text, with their starts and a hash of the document only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plane = None
@@ -182,7 +183,15 @@ def _emit(n: int, cells: int, shared):
             one, two = tk.windows(hashes, n, 61)[start], tk.windows(hashes ^ U(tk.BASE), n, 62)[start]
             ids = np.asarray(batch.column("doc_id").fill_null(0))[text]
             one, two, at = one.view(np.int64), (two >> U(32)).astype(np.uint32).view(np.int32), (start - first[:-1][text]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(ids), pa.array(at), pa.array(_repeats(one, two, ids))], ["w1", "w2", "doc", "pos", "known"])
+            known, names = _repeats(one, two, ids), ["w1", "w2", "doc", "pos", "known"]
+            rest = [pa.array(x[~known]) for x in (one, two, ids, at)]
+            yield pa.RecordBatch.from_arrays([*rest, pa.nulls(len(rest[0]), pa.list_(pa.int32()))], names)
+            if known.any():
+                of, at = text[known], at[known]
+                begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+                docs, none = ids[known][begin], pa.nulls(len(begin), pa.int32())
+                starts = pa.ListArray.from_arrays(np.append(begin, len(of)).astype(np.int32), at)
+                yield pa.RecordBatch.from_arrays([pa.array(tk.mix(docs.astype(np.int64).view(U), 63).view(np.int64)), none, pa.array(docs), none, starts], names)
 
     return run
 
@@ -256,13 +265,12 @@ def remove_repeats(docs: DataFrame, n: int = 13) -> DataFrame:
     stage.drop(scanned)
 
     first = plain.where("doc_id IS NOT NULL").join(stage.small(copies), F.col("doc_id") == F.col("copy"), "left_anti")
-    found = stage.put(first.mapInArrow(tk.task(_emit(n, cells, shared)), "w1 long, w2 int, doc long, pos int, known boolean"), "windows")
-    rest = found.where("NOT known").select("w1", "w2", "doc", "pos").withColumn("x", F.min("doc").over(Window.partitionBy("w1", "w2")))
-    hits = found.where("known").select("doc", "pos").union(rest.where("doc > x").select("doc", "pos"))
-    starts = hits.groupBy("doc").agg(F.collect_set("pos").alias("at"))
+    found = first.mapInArrow(tk.task(_emit(n, cells, shared)), "w1 long, w2 int, doc long, pos int, known array<int>")
+    least = found.withColumn("x", F.min("doc").over(Window.partitionBy("w1", "w2")))
+    hits = least.where("known IS NOT NULL OR doc > x").select("doc", F.coalesce("known", F.array("pos")).alias("at"))
+    starts = hits.groupBy("doc").agg(F.flatten(F.collect_list("at")).alias("at"))
     spans = starts.mapInArrow(_spans(n), "gone_id long, spans array<long>")
     spans = stage.put(spans.union(copies.select("copy", F.array(F.lit(0).cast("long"), F.lit(-1).cast("long")))), "spans")
-    stage.drop(found)
 
     names = docs.columns
     plain = docs.select(*[F.col(f"`{c}`").cast("string").alias("text") if c == "text" else F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(names)])
