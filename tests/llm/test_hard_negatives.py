@@ -10,6 +10,7 @@ pytest.importorskip("webgrain.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
 from webgrain.llm import hard_negatives as hn  # noqa: E402
+from webgrain.llm.staging import Stage  # noqa: E402
 
 SCHEMA = "vec_id long, embedding array<double>, label int, x int, block int, score string"
 
@@ -61,6 +62,15 @@ def test_equals_brute_force(spark, monkeypatch, block, scores):
     assert {tuple(r) for r in got} == want and len(got) == len(want) > 300
 
 
+def test_copies_of_anchors_are_not_broadcast(spark):
+    stage = Stage(spark, "hard-negatives")
+    blocks = stage.put(hn._blocks(hn.usable(spark.createDataFrame(rows(), SCHEMA), 256), 7), "blocks")
+    met = hn._meet(stage, blocks, blocks, (7, 7), hn._positives(3))
+    assert met.count() > 300
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_no_rows(spark):
     assert hn.hard_negatives(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 10 == 0).collect() == []
 

@@ -201,12 +201,16 @@ def _blocks(rows: DataFrame, n: int, more: str = "") -> DataFrame:
 
 
 def _meet(stage: Stage, rows: DataFrame, anchors: DataFrame, sizes: tuple[int, int], one: Callable[[dict, dict], list]) -> DataFrame:
-    """What one finds in each pair of a block of rows and a block of anchors."""
+    """What one finds in each pair of a block of rows and a block of anchors.
+
+    Both sides are dealt by the whole key of the join and meet by sorting. Spark judges a side by the staged files, and not by the
+    copies made for the other side's blocks, so without the hint it would send all copies of the anchors through the driver.
+    """
     tasks = min(4 * sizes[0] * sizes[1], 20_000)
     each = lambda df, name, other, n: df.select(F.struct(*df.columns).alias(name), F.col("width").alias(f"{name}_w"), F.col("block").alias(f"{name}_k"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(f"{name}_{other}"))
-    r = each(rows, "r", "other", sizes[1]).repartition(tasks, "r_k", "r_other")
-    a = each(anchors, "a", "other", sizes[0]).repartition(tasks, "a_other", "a_k")
-    pairs = r.join(a, (F.col("r_k") == F.col("a_other")) & (F.col("r_other") == F.col("a_k")) & (F.col("r_w") == F.col("a_w"))).select("r", "a")
+    r = each(rows, "r", "other", sizes[1]).repartition(tasks, "r_k", "r_other", "r_w")
+    a = each(anchors, "a", "other", sizes[0]).repartition(tasks, "a_other", "a_k", "a_w")
+    pairs = r.join(a.hint("merge"), (F.col("r_k") == F.col("a_other")) & (F.col("r_other") == F.col("a_k")) & (F.col("r_w") == F.col("a_w"))).select("r", "a")
     return pairs.mapInPandas(_meeting(one), _FOUND)
 
 
