@@ -22,6 +22,17 @@ def test_open_formatting_goes_on_in_later_blocks():
     assert md("<p><b>one<br><p>two</p><p>three") == "**one**\n\n**two**\n\n**three**"
 
 
+def test_of_equal_formatting_that_stays_open_three_go_on():
+    html = "".join(f"<p><b>word {k}</p>" for k in range(1200))
+    made = bodies.body(f"<title>T</title><article>{html}</article>", "text/html", URL)
+    assert made["error"] is None and made["title"] == "T" and made["text"].split("\n\n") == [f"word {k}" for k in range(1200)]
+    last = parse(html).elements("p")[-1]
+    assert [n.name for n in last.walk()] == ["p", "b", "b", "b", "b", "#text"]
+    other = parse("<p><font color=red>a<font color=blue>b<font color=red>c<font color=red>d<font color=red>e</p><p>f").elements("p")[-1]
+    assert [n.attrs["color"] for n in other.elements("font")] == ["blue", "red", "red", "red"]
+    assert md("<p><b>a<b>b<b>c<b>d</b>e</b>f</b>g</b>h</p><p>i").endswith("\n\ni")
+
+
 @pytest.mark.parametrize(
     ("html", "markdown"),
     [

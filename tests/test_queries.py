@@ -58,6 +58,22 @@ def test_titles_with_references_that_are_not_closed(spark, tmp_path):
     assert sorted(got) == sorted(con.execute(catalogue.ORACLES["all_page_titles"]).fetchall())
 
 
+@pytest.mark.parametrize("name", ["all_page_titles"])
+def test_titles_of_pages_that_are_not_closed_or_too_large(spark, tmp_path, name):
+    title = "<title> A  title </title>"
+    html = {
+        1: title + "<article>" + "".join(f"<p><b>word {k}</p>" for k in range(600)) + "</article>",
+        2: title + "<div>" * 600, 3: f"{title}<p>{'word ' * 450_000}", 4: "<h1>Head</h1><p>no title", 5: "<title> </title><h1>Head</h1>", 6: None,
+        8: f"<title>{'long title ' * 200}</title><p>{'word ' * 30}",
+        7: "<title>a &amp;amp; b&quot;\n&nbsp;&lt;i</title>" + "<div>" * 600,
+    }
+    spark.createDataFrame([(k, "https://example.com/", h) for k, h in html.items()], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = [(r.page_id, r.title) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(con.execute(catalogue.ORACLES[name]).fetchall())
+
+
 def test_the_entry_module_works_without_the_optional_parts():
     import subprocess
     import sys

@@ -6,6 +6,7 @@ from ..functions.variants import readings
 from ..operators import budget, guard, hits, pages, policy, reading, rendered, research, timing
 from ..sources import captures, encyclopedia, payloads, provider_pages
 from ..sources import requests as r
+from .capture import titles
 from .registry import query
 
 
@@ -277,5 +278,8 @@ def table_render(spark, read):
 def all_page_titles(spark, read):
     """The title of every page. As its SQL says, a reference is one of five names with its semicolon; an ampersand that begins
     none stands for itself, where page_extract reads it as HTML does."""
+    told = F.col("title")
+    for name, sign in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("nbsp", " "), ("amp", "&")):
+        told = F.replace(told, F.lit(f"&{name};"), F.lit(sign))
     html = F.regexp_replace("html", "&(?!(?:quot|copy|middot|nbsp|amp);)", "&amp;")
-    return pages.extracted(read("pages").withColumn("html", html), fields=["title"]).select("page_id", "title")
+    return titles(read("pages").withColumn("html", html), told)
