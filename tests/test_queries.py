@@ -58,7 +58,7 @@ def test_titles_with_references_that_are_not_closed(spark, tmp_path):
     assert sorted(got) == sorted(con.execute(catalogue.ORACLES["all_page_titles"]).fetchall())
 
 
-@pytest.mark.parametrize("name", ["all_page_titles"])
+@pytest.mark.parametrize("name", ["page_titles", "all_page_titles"])
 def test_titles_of_pages_that_are_not_closed_or_too_large(spark, tmp_path, name):
     title = "<title> A  title </title>"
     html = {
