@@ -282,4 +282,4 @@ def all_page_titles(spark, read):
     for name, sign in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("nbsp", " "), ("amp", "&")):
         told = F.replace(told, F.lit(f"&{name};"), F.lit(sign))
     html = F.regexp_replace("html", "&(?!(?:quot|copy|middot|nbsp|amp);)", "&amp;")
-    return titles(read("pages").withColumn("html", html), told)
+    return titles(read("pages"), told, html)
